@@ -6,9 +6,10 @@ The folder is the session's ``spark.checkpoint.dir``. Only where that is unset
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
-import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,30 +28,30 @@ def _remove(spark: SparkSession, path: str) -> None:
         jvm, sc = spark._jvm, spark.sparkContext
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the session has ended; its folder ends with it
-        pass
+    except Exception:  # the session has ended
+        if path.startswith("file:"):
+            shutil.rmtree("/" + path[5:].lstrip("/"), ignore_errors=True)
 
 
-class Stored:
-    """A table written to the shared folder; the files go when this object does."""
+class Folder:
+    """A path of its own in the shared folder; dropped by hand, or at the end of the process.
 
-    def __init__(self, df: DataFrame, name: str, **options: str):
-        spark = df.sparkSession
+    What a lazy result still reads is never dropped by an operator.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
         self.path = f"{shared_dir(spark)}/strataline/{name}-{uuid.uuid4().hex}"
-        df.write.options(**options).parquet(self.path)
-        self.df = spark.read.schema(df.schema).parquet(self.path)
-        self._gone = weakref.finalize(self, _remove, spark, self.path)
+        self._spark = spark
+        atexit.register(_remove, spark, self.path)
 
     def drop(self) -> None:
-        self._gone()
+        _remove(self._spark, self.path)
 
 
-def keep(result: DataFrame, *stores: Stored) -> DataFrame:
-    """Tie stored tables to a lazy result that still reads them."""
-    result._strataline_stores = [*getattr(result, "_strataline_stores", []), *stores]
-    return result
+class Stored(Folder):
+    """A table written to the shared folder."""
 
-
-def carry(result: DataFrame, source: DataFrame) -> DataFrame:
-    """Hand the stored tables of ``source`` on to a result made from it."""
-    return keep(result, *getattr(source, "_strataline_stores", []))
+    def __init__(self, df: DataFrame, name: str, **options: str):
+        super().__init__(df.sparkSession, name)
+        df.write.options(**options).parquet(self.path)
+        self.df = df.sparkSession.read.schema(df.schema).parquet(self.path)
