@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("quality", "chat", "licenses", "rans", "bpe", "mixing", "topk", "neardup", "suffix")
+MODULES = ("quality", "chat", "licenses", "rans", "bpe", "mixing", "topk", "neardup", "suffix", "wrappers")
 
 
 def _merged(name: str) -> dict:
