@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 K, PIVOTS, PIVOT_SAMPLE = 20, 32, 1024
 CANDIDATE_BLOCK, QUERY_BLOCK = 1 << 14, 1 << 16
-#: Products of components up to this size add up exactly in double precision.
-EXACT = 1 << 20
+#: If more of a block's candidates than this part can still reach the k best, their scores come from one product.
+DENSE = 0.25
 
 
 def scaled(embedding: Column, scale: int = 64) -> Column:
@@ -76,8 +76,9 @@ def _table(vectors: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def search_block(q_ids, q, q_table, c_ids, c, c_table, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Query number, candidate number and score of each query's k best candidates in a block."""
-    exact = max(abs(q).max(initial=0), abs(c).max(initial=0)) < EXACT
-    kind = np.float64 if exact else np.int64
+    # sums that stay below the mantissa's range are exact
+    most = float(abs(q).max(initial=0)) * float(abs(c).max(initial=0)) * q.shape[1]
+    kind = np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else np.int64
     q, c = q.astype(kind), c.astype(kind)
     q2, c2 = (q.astype(float) ** 2).sum(1), (c.astype(float) ** 2).sum(1)
     # distances are rounded to float32: the bounds are widened by more than that error
@@ -100,6 +101,10 @@ def search_block(q_ids, q, q_table, c_ids, c, c_table, k: int) -> tuple[np.ndarr
         if len(lead) >= k:
             least = np.partition(got, len(got) - k)[len(got) - k]
             rest = bound >= least
+            if np.count_nonzero(rest) > DENSE * len(c):
+                got = np.where(rest, c @ q[i], -np.inf)
+                lead = np.flatnonzero(got >= np.partition(got, len(got) - k)[len(got) - k])
+                got, rest[:] = got[lead], False
             rest[lead] = False
             more = np.flatnonzero(rest)
             more = more[np.argsort(-bound[more], kind="stable")]
