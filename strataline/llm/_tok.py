@@ -1,26 +1,37 @@
 """Exact and fast use of public tokenizers: split texts into words, encode each distinct word once.
 
 Two shapes of tokenizer files are split here: byte-level (a pattern that keeps
-white space) and lower-case word BPE (a pattern that drops it). Texts that
-hold an added token, or characters where the rules of two Unicode libraries
-could differ, go to the tokenizers library itself, as do all texts of files of
-any other shape. The results are those of the library in every case.
+white space) and lower-case word BPE (a pattern that drops it). A word here is
+a run between white space, with the white space character before it where the
+pattern keeps that; it is cut into the pattern's pieces only when it is new.
+Texts that hold an added token, or characters where the rules of two Unicode
+libraries could differ, go to the tokenizers library itself, as do all texts of
+files of any other shape. The results are those of the library in every case.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
+from array import array
+from collections.abc import Iterable
+from functools import cached_property
 
-import numpy as np
 import regex
 
-#: White space as the tokenizers library's patterns have it. (fixed values)
-WHITE = r"\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
-BYTE_LEVEL = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
-WORD_LEVEL = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{L}}\p{{N}}]+")
+#: Within PLAIN, white space and numbers other than digits, as the tokenizers library's patterns have them. (fixed values)
+WHITE, SIGNS = r"\x09-\x0D\x20\x85\xA0", "\u00b2\u00b3\u00b9\u00bc\u00bd\u00be"
+LETTERS, OTHERS = rf"[^\W\d_{SIGNS}]+", rf"(?:[^\w{WHITE}]|_)+"
+SHORT = "'(?:s|t|re|ve|m|ll|d)"
+BYTE_LEVEL = re.compile(rf" ?{LETTERS}|{SHORT}| ?[\d{SIGNS}]+| ?{OTHERS}|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
+WORD_LEVEL = re.compile(rf"{LETTERS}|[\d{SIGNS}]|{SHORT}|{OTHERS}")
 #: Letters and signs whose properties, composition and case are the same in all Unicode versions.
 PLAIN = regex.compile(r"[\x00-\u024F\u2010-\u2027]*+\Z")
+#: White space in runs, or of other kinds than space and line feed: the words depend on what stands around.
+KNOTS = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c", "\x85", "\xa0", "\x00")
+#: str.split() takes these for white space, the patterns don't.
+SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 
 def spec(path: str) -> str:
@@ -32,19 +43,24 @@ def spec(path: str) -> str:
     return out
 
 
+def byte_signs() -> dict[int, str]:
+    """The sign that stands for each byte in byte-level vocabularies."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class WordEncoder:
-    """Encodes as ``Tokenizer.encode(text, add_special_tokens=False).ids`` does, without truncation or padding."""
+    """Encodes as ``Tokenizer.encode(text, add_special_tokens=False).ids`` does, without truncation or padding.
 
-    def __init__(self, text: str, cache: int = 400_000):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+    ids are given as bytes: unsigned integers of 2 or 4 bytes, in the machine's order.
+    """
 
-        self.tok = Tokenizer.from_str(text)
-        self.tok.no_truncation()
-        self.tok.no_padding()
+    def __init__(self, text: str, width: int = 4, cache: int = 800_000):
+        self.text = text
         d = json.loads(text)
-        self.size = self.tok.get_vocab_size(with_added_tokens=True)
         self.added = [a["content"] for a in d.get("added_tokens", [])]
+        self.code = {2: "H", 4: "I"}[width]
         pre, norm = d.get("pre_tokenizer") or {}, d.get("normalizer")
         kinds = [x["type"] for x in pre.get("pretokenizers", [])]
         self.kind = ""
@@ -52,48 +68,82 @@ class WordEncoder:
             self.kind, self.pattern = "byte", BYTE_LEVEL
         elif kinds == ["Split", "ByteLevel"] and norm and [x["type"] for x in norm["normalizers"]] == ["NFC", "Replace", "Lowercase"]:
             self.kind, self.pattern = "word", WORD_LEVEL
-        self.cache: dict[str, bytes] = {}
+        self.signs = byte_signs()
+        self.words_seen = _Seen(self.encode_words)
+        self.pieces_seen: dict[str, bytes] = {}
         self.most = cache
 
-    def words(self, text: str) -> list[str] | None:
-        """The words whose encodings, one after the other, are the text's; None if only the library can tell."""
-        if not self.kind or any(a in text for a in self.added):
-            return None
-        if not text.isascii() and not PLAIN.match(text):
-            if self.kind != "byte":
-                return None
-            return [text[a:b] for _, (a, b) in self.tok.pre_tokenizer.pre_tokenize_str(text)]
-        return self.pattern.findall(text.lower() if self.kind == "word" else text)
+    @cached_property
+    def tok(self):
+        """The library's tokenizer, loaded where it is first needed."""
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
 
-    def encode_words(self, words: list[str]) -> list[bytes]:
-        """Little-endian uint32 ids of each word."""
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch(words, add_special_tokens=False)]
+        out = Tokenizer.from_str(self.text)
+        out.no_truncation()
+        out.no_padding()
+        return out
 
-    def whole(self, text: str) -> bytes:
-        return self.encode_words([text])[0]
+    @property
+    def size(self) -> int:
+        return self.tok.get_vocab_size(with_added_tokens=True)
+
+    def _plain(self, text: str) -> bool:
+        return bool(self.kind) and not any(a in text for a in self.added) and (text.isascii() or PLAIN.match(text) is not None)
+
+    def words(self, text: str) -> list[str]:
+        """Words whose encodings, one after the other, are the text's; the text itself where only the library can tell."""
+        if not self._plain(text):
+            return [text]
+        if self.kind == "word":
+            return [text] if any(x in text for x in SEPARATORS) else text.lower().split()
+        if any(x in text for x in KNOTS):
+            return self.pattern.findall(text)
+        return text.replace(" ", "\x00 ").replace("\n", "\x00\n").split("\x00")
+
+    def encode_words(self, words: Iterable[str]) -> list[bytes]:
+        """The ids of each word."""
+        seen, out, tokenize, signs = self.pieces_seen, [], self.tok.model.tokenize, self.signs
+        if len(seen) > self.most // 2:
+            seen.clear()
+        for w in words:
+            if not self._plain(w):
+                out.append(array(self.code, self.tok.encode(w, add_special_tokens=False).ids).tobytes())
+                continue
+            got = b""
+            for p in self.pattern.findall(w.lower() if self.kind == "word" else w):
+                if p not in seen:
+                    seen[p] = array(self.code, [x.id for x in tokenize(p.encode().decode("latin-1").translate(signs))]).tobytes()
+                got += seen[p]
+            out.append(got)
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian uint32 ids of each text; null is empty. Words seen lately are not encoded again."""
-        out: list[bytes] = []
-        cache, get = self.cache, self.cache.__getitem__
-        split = [self.words(x or "") for x in texts]
-        new = set().union(*(w for w in split if w)).difference(cache)
-        if len(new) + len(cache) > self.most:
-            cache.clear()
-            new = set().union(*(w for w in split if w))
-        fresh = list(new)
-        cache.update(zip(fresh, self.encode_words(fresh), strict=True))
-        for text, w in zip(texts, split, strict=True):
-            out.append(self.whole(text or "") if w is None else b"".join(map(get, w)))
+        """The ids of each text; null is empty. Words seen lately are not encoded again."""
+        if len(self.words_seen) > self.most:
+            self.words_seen.clear()
+        get = self.words_seen.__getitem__
+        return [b"".join(map(get, self.words(x or ""))) for x in texts]
+
+
+class _Seen(dict):
+    """Ids by word; a word that is missing is encoded."""
+
+    def __init__(self, encode_words):
+        super().__init__()
+        self.encode_words = encode_words
+
+    def __missing__(self, word: str) -> bytes:
+        out = self[word] = self.encode_words((word,))[0]
         return out
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[tuple[str, int], WordEncoder] = {}
 
 
-def encoder(text: str) -> WordEncoder:
+def encoder(text: str, width: int = 4) -> WordEncoder:
     """One encoder per worker process and tokenizer."""
-    if text not in _encoders:
+    if (text, width) not in _encoders:
         _encoders.clear()
-        _encoders[text] = WordEncoder(text)
-    return _encoders[text]
+        _encoders[text, width] = WordEncoder(text, width)
+    return _encoders[text, width]

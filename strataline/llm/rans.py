@@ -130,21 +130,19 @@ def _sorted_tokens(docs: DataFrame, spec: str, end_id: int, text: str) -> Stored
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(spec)
     rows = docs.select("doc_id", F.col(text).alias("text"))
-    # equal doc_ids spread over partitions by the text's hash
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    width = 2 if max(_tok.encoder(spec).size, end_id) < 1 << 16 else 4
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _tok.encoder(shared.value)
-        kind = "<u2" if max(enc.size, end_id) < 1 << 16 else "<u4"
-        tail = np.array([end_id], "<u4").tobytes()
+        enc = _tok.encoder(shared.value, width)
+        tail = np.array([end_id], f"<u{width}").tobytes()
         for batch in batches:
             for b in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
                 ids = [x + tail for x in enc.encode(b.column(1).to_pylist())]
-                small = [np.frombuffer(x, "<u4").astype(kind).tobytes() for x in ids]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(small, pa.binary())], names=["doc_id", "n_ids", "ids"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // width for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n_ids", "ids"])
 
-    made = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(run, "doc_id long, n_ids long, ids binary")
+    made = rows.repartitionByRange(parts, order[0]).sortWithinPartitions(*order).mapInArrow(run, "doc_id long, n_ids long, ids binary")
     return Stored(made, "tokens", compression="zstd")
 
 

@@ -25,6 +25,13 @@ def test_words_equal_library(path, text):
     assert np.frombuffer(ENC[path].encode([text])[0], "<u4").tolist() == want
 
 
+def test_plain_characters_have_the_library_s_classes():
+    for c in map(chr, [*range(0x250), *range(0x2010, 0x2028)]):
+        for path in (WORD, BYTE):
+            for text in (c, f"a{c}b", f"1{c}2", f" {c} {c}", f"{c}\n{c}x", f"{c * 3}!{c}"):
+                assert np.frombuffer(ENC[path].encode([text])[0], "<u4").tolist() == LIB[path].encode(text, add_special_tokens=False).ids, ascii(text)
+
+
 def frames(spark, sf):
     yield docs_frame(spark, awkward_texts() * 2)
     yield spark.read.parquet(f"{sf}/documents.parquet")
