@@ -1,24 +1,26 @@
 """BPE encoding through a table of distinct words, and decoding through an id-to-piece join.
 
-Documents are dealt to blocks by a hash. Each block lists its distinct words,
-bucketed by word hash; a bucket gathers the lists of all blocks, encodes each
-distinct word once and hands every block the ids of its own words. These join
-back by position: a document is the run of its words' ids. Decoding takes each
-id's piece from the vocabulary by position in a join of flat arrays, and cuts the
-pieces' bytes at the documents' bounds.
+Documents are packed in chunks, and chunks dealt to blocks by a hash. Each block
+lists its distinct words, bucketed by word hash; a bucket gathers the lists of
+all blocks, encodes each distinct word once and hands every block the ids of
+its own words. These join back by position: a document is the run of its words'
+ids. Decoding takes each id's piece from the vocabulary by position in a join of
+flat arrays, and cuts the pieces' bytes at the documents' bounds.
 
 A block holds about ``BLOCK_BYTES`` of text, a bucket the words of about as much
 text; the numbers of both follow from the size of the input.
 
 Defined cases: a null or empty text has no ids and decodes to the empty text;
-repeated rows and equal ids are encoded row by row; a text longer than a block
-is in one block; an empty table gives an empty result; extra columns are
+repeated rows and equal ids are encoded row by row; a text longer than a chunk
+is a chunk of its own; an empty table gives an empty result; extra columns are
 dropped by ``encode`` and ``decode`` (join them back by doc_id).
 """
 
 from __future__ import annotations
 
 import json
+import zlib
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,14 +32,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataline.llm import _tok
-from strataline.llm import _text as t
 
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES, CHUNK_BYTES = 12 << 20, 1 << 20
 
 
 def _pack(items: list[bytes]) -> bytes:
     """Byte strings with their lengths, compressed."""
-    return zstandard.compress(np.array([len(items), *map(len, items)], "<u4").tobytes() + b"".join(items), 1)
+    return zstandard.compress(np.array([len(items), *map(len, items)], "<u4").tobytes() + b"".join(items), 3)
 
 
 def _unpack(packed: bytes) -> list[bytes]:
@@ -47,92 +48,121 @@ def _unpack(packed: bytes) -> list[bytes]:
     return [raw[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
-def _split(enc: _tok.WordEncoder, texts: list[str | None]) -> list[list[str]]:
-    """The words of each text, or the whole text as its only word if the library must encode it whole."""
-    out = []
-    for x in texts:
-        w = enc.words(x or "")
-        out.append([x or ""] if w is None else w)
-    return out
+class _New(dict):
+    """What ``found`` gives for a word when it is first met."""
+
+    def __init__(self, found):
+        super().__init__()
+        self.found = found
 
+    def __missing__(self, word: str):
+        out = self[word] = self.found(word)
+        return out
 
-def _buckets(words: list[bytes], n: int) -> np.ndarray:
-    """The bucket of each word, from a hash of its bytes alone."""
-    buf = np.frombuffer(b"".join(words), np.uint8)
-    ends = np.concatenate(([0], np.cumsum([len(w) for w in words], dtype=np.int64)))
-    return (t.span_hash(t.prefix_hash(buf), ends[:-1], ends[1:]) % np.uint64(n)).astype(np.int64)
 
+def encode(docs: DataFrame, tokenizer: str, text: str = "text", block_bytes: int = BLOCK_BYTES, decoded: bool = False) -> DataFrame:
+    """doc_id and ids (array of int) of every row, as the tokenizers library encodes the whole text.
 
-def encode(docs: DataFrame, tokenizer: str, text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id and ids (array of int) of every row, as the tokenizers library encodes the whole text."""
+    With ``decoded`` the column of ``decode`` too, from the ids, by the same worker processes.
+    """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(_tok.spec(tokenizer))
+    spec = _tok.spec(tokenizer)
+    width = 2 if _tok.encoder(spec).size < 1 << 16 else 4
+    shared = spark.sparkContext.broadcast(spec)
     rows = docs.select("doc_id", F.col(text).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // block_bytes), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    blocks = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n))).repartition(n, "block")
+    chunk = min(CHUNK_BYTES, block_bytes)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Runs of rows as one row each, dealt to blocks by the checksum of their texts."""
+        ids: list = []
+        texts: list[bytes] = []
+        size = 0
+
+        def row() -> pa.RecordBatch:
+            body = _pack(texts)
+            block = zlib.crc32(body) % n
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([body], pa.binary())], names=["block", "doc_ids", "texts"])
+
+        for b in batches:
+            for i, x in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                ids.append(i)
+                texts.append(x or b"")
+                size += len(texts[-1])
+                if size >= chunk:
+                    yield row()
+                    ids, texts, size = [], [], 0
+        if ids:
+            yield row()
+
+    blocks = rows.mapInArrow(packed, "block long, doc_ids array<bigint>, texts binary").repartition(n, "block")
+
+    def words_of(enc: _tok.WordEncoder, column: pa.ChunkedArray) -> Iterator[list[str]]:
+        """The words of each text of a block, in the order in which the block's rows come."""
+        for x in column:
+            for text in _unpack(x.as_py()):
+                yield enc.words(text.decode())
+
+    def ordered(table):
+        """Rows of a block in one order, wherever they were read from."""
+        order = sorted(range(table.num_rows), key=lambda i: (zlib.crc32(table.column("texts")[i].as_py()), table.column("doc_ids")[i].as_py()))
+        return table.take(order)
 
     def distinct(key, table):
-        """A block's distinct words, in order of first place, as a row per bucket with the words' numbers."""
-        enc = _tok.encoder(shared.value)
-        seen: dict[str, None] = {}
-        for b in table.select(["text"]).to_batches(max_chunksize=500):
-            for w in _split(enc, b.column(0).to_pylist()):
-                seen.update(dict.fromkeys(w))
-        words = [w.encode() for w in seen]
-        at = _buckets(words, n)
-        order = np.argsort(at, kind="stable")
-        cuts = np.flatnonzero(np.diff(at[order])) + 1
-        out = [(int(at[g[0]]), g.astype("<u4").tobytes(), _pack([words[i] for i in g])) for g in np.split(order, cuts) if len(g)]
-        block = pa.array([key[0].as_py()] * len(out), pa.int64())
-        return pa.Table.from_arrays([block, *(pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else ((), (), ()), (pa.int64(), pa.binary(), pa.binary()), strict=True))], names=["block", "bucket", "numbers", "words"])
+        """A block's distinct words by bucket, in the order in which the block has them."""
+        enc = _tok.encoder(shared.value, width)
+        by: dict[int, list[bytes]] = {}
+
+        def add(word: str) -> None:
+            raw = word.encode()
+            by.setdefault(zlib.crc32(raw) % n, []).append(raw)
+
+        seen = _New(add)
+        for w in words_of(enc, ordered(table).column("texts")):
+            deque(map(seen.__getitem__, w), maxlen=0)
+        del seen
+        block = pa.array([key[0].as_py()] * len(by), pa.int64())
+        return pa.Table.from_arrays([block, pa.array(by, pa.int64()), pa.array(map(_pack, by.values()), pa.binary())], names=["block", "bucket", "words"])
 
     def encoded(key, table):
         """A bucket: each distinct word is encoded once, each block gets its words' ids."""
-        enc = _tok.encoder(shared.value)
+        enc = _tok.encoder(shared.value, width)
         lists = [_unpack(x.as_py()) for x in table.column("words")]
-        known = list(dict.fromkeys(w for x in lists for w in x))
-        ids: dict[bytes, bytes] = {}
+        ids = dict.fromkeys(w for x in lists for w in x)
+        known = list(ids)
         for i in range(0, len(known), 20_000):
             part = known[i : i + 20_000]
             ids.update(zip(part, enc.encode_words([w.decode() for w in part]), strict=True))
         got = pa.array([_pack([ids[w] for w in x]) for x in lists], pa.binary())
-        return pa.Table.from_arrays([table.column("block"), table.column("numbers"), got], names=["block", "numbers", "ids"])
+        return pa.Table.from_arrays([table.column("block"), table.column("bucket"), got], names=["block", "bucket", "ids"])
 
     def joined(key, docs, table):
         """A block: its words' ids join back by position."""
-        enc = _tok.encoder(shared.value)
-        numbers = [np.frombuffer(x.as_py(), "<u4") for x in table.column("numbers")]
-        ids: list[bytes] = [b""] * sum(map(len, numbers))
-        for at, packed in zip(numbers, table.column("ids"), strict=True):
-            for i, x in zip(at.tolist(), _unpack(packed.as_py()), strict=True):
-                ids[i] = x
-        out: list[bytes] = []
-        number: dict[str, int] = {}
-        table_of: dict[str, bytes] = {}
-        for b in docs.select(["text"]).to_batches(max_chunksize=500):
-            for w in _split(enc, b.column(0).to_pylist()):
-                for x in w:
-                    if x not in number:
-                        table_of[x] = ids[len(number)]
-                        number[x] = len(number)
-                out.append(b"".join(map(table_of.__getitem__, w)))
-        flat = np.frombuffer(b"".join(out), "<i4")
-        offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in out], dtype=np.int64))).astype(np.int32)
-        return pa.Table.from_arrays([docs.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc_id", "ids"])
-
-    words = blocks.groupBy("block").applyInArrow(distinct, "block long, bucket long, numbers binary, words binary")
-    table = words.groupBy("bucket").applyInArrow(encoded, "block long, numbers binary, ids binary")
-    return blocks.groupBy("block").cogroup(table.groupBy("block")).applyInArrow(joined, "doc_id long, ids array<int>")
+        enc = _tok.encoder(shared.value, width)
+        left = {k.as_py(): iter(_unpack(x.as_py())) for k, x in zip(table.column("bucket"), table.column("ids"), strict=True)}
+        docs = ordered(docs)
+        of = _New(lambda word: next(left[zlib.crc32(word.encode()) % n]))
+        out = [b"".join(map(of.__getitem__, w)) for w in words_of(enc, docs.column("texts"))]
+        flat = np.frombuffer(b"".join(out), f"<u{width}").astype("<i4")
+        offsets = np.concatenate(([0], np.cumsum([len(x) // width for x in out], dtype=np.int64))).astype(np.int32)
+        del out, of, left
+        doc_ids = pa.chunked_array([x.flatten() for x in docs.column("doc_ids").chunks], pa.int64())
+        ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+        if not decoded:
+            return pa.Table.from_arrays([doc_ids, ids], names=["doc_id", "ids"])
+        return pa.Table.from_arrays([doc_ids, ids, joined_pieces(shared.value, ids)], names=["doc_id", "ids", "decoded"])
+
+    words = blocks.groupBy("block").applyInArrow(distinct, "block long, bucket long, words binary")
+    table = words.groupBy("bucket").applyInArrow(encoded, "block long, bucket long, ids binary")
+    return blocks.groupBy("block").cogroup(table.groupBy("block")).applyInArrow(joined, "doc_id long, ids array<int>" + ", decoded string" * decoded)
 
 
 def pieces(spec: str) -> list[bytes]:
     """The bytes of each id, for byte-level and word-end tokenizers."""
     d = json.loads(spec)
     vocab = dict(d["model"]["vocab"])
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    signs = {chr(b): b for b in printable}
-    signs |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in printable)}
+    signs = {sign: b for b, sign in _tok.byte_signs().items()}
     suffix = d["model"].get("end_of_word_suffix") or ""
     out = [b""] * (max([*vocab.values(), *(a["id"] for a in d["added_tokens"])]) + 1)
     for piece, i in vocab.items():
@@ -144,25 +174,33 @@ def pieces(spec: str) -> list[bytes]:
     return out
 
 
+_pieces: dict[str, pa.Array] = {}
+
+
+def joined_pieces(spec: str, ids: pa.ListArray) -> pa.Array:
+    """The texts of lists of ids: the ids join the vocabulary's pieces by position."""
+    if spec not in _pieces:
+        _pieces.clear()
+        _pieces[spec] = pa.array(pieces(spec), pa.large_binary())
+    texts: list[str] = []
+    for i in range(0, len(ids), 500):
+        part = ids.slice(i, 500)
+        flat, bounds = part.flatten(), np.concatenate(([0], np.cumsum(pc.list_value_length(part).to_numpy(zero_copy_only=False))))
+        got = _pieces[spec].take(flat)
+        offs = np.frombuffer(got.buffers()[1], np.int64)[: len(flat) + 1] if len(flat) else np.zeros(1, np.int64)
+        view = memoryview(got.buffers()[2] or b"")
+        cut = offs[bounds].tolist()
+        texts += [str(view[x:y], "utf-8", "replace") for x, y in zip(cut[:-1], cut[1:], strict=True)]
+    return pa.array(texts, pa.string())
+
+
 def decode(encoded: DataFrame, tokenizer: str, ids: str = "ids") -> DataFrame:
     """doc_id, ids and decoded text of every row; bytes that are not UTF-8 become U+FFFD."""
     shared = encoded.sparkSession.sparkContext.broadcast(_tok.spec(tokenizer))
-    known: list[pa.Array] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not known:
-            known.append(pa.array(pieces(shared.value), pa.large_binary()))
-        for batch in batches:
-            for b in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
-                lists = pc.fill_null(b.column(1), [])
-                flat, bounds = lists.flatten(), np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))))
-                joined = known[0].take(flat)
-                offs = np.frombuffer(joined.buffers()[1], np.int64)[: len(flat) + 1] if len(flat) else np.zeros(1, np.int64)
-                data = joined.buffers()[2]
-                view = memoryview(data) if data is not None else memoryview(b"")
-                cut = offs[bounds]
-                texts = [bytes(view[x:y]).decode("utf-8", "replace") for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), joined_pieces(shared.value, pc.fill_null(b.column(1), []))], names=["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", F.col(ids).alias("ids")).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
@@ -170,7 +208,7 @@ def decode(encoded: DataFrame, tokenizer: str, ids: str = "ids") -> DataFrame:
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of all documents encoded with byte_bpe_50k and decoded again."""
     path = public_tokenizers.path("byte_bpe_50k.json")
-    both = decode(encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), path), path)
+    both = encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, decoded=True)
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
