@@ -11,7 +11,8 @@ smallest doc_id. Representatives that share a band are candidates. They are
 first verified against the smallest one of the bucket; verified links join
 them. Only members of a bucket that are not joined yet are compared with each
 other, by their whole signatures within blocks, and what comes close is
-verified on full sets too. No bucket is capped.
+verified on full sets, most alike first, unless joined meanwhile. No bucket is
+capped.
 
 Defined cases: null and empty texts, and texts without words, have an empty set
 and are linked with nothing; rows with null doc_id likewise; repeated rows are
@@ -141,53 +142,86 @@ def _sets(docs: DataFrame, text: str) -> DataFrame:
     return docs.select("doc_id", F.col(text).alias("text")).mapInArrow(run, "doc_id long, set binary")
 
 
+def _sets_of(docs: DataFrame, ids: DataFrame, text: str) -> DataFrame:
+    """doc_id and set of the documents named in ``ids`` (doc_id)."""
+    wanted = ids.distinct()
+    small = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return _sets(docs.join(F.broadcast(wanted) if small else wanted, "doc_id", "left_semi"), text)
+
+
 def verify(docs: DataFrame, pairs: DataFrame, text: str, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity; each of a and b is a doc_id of ``docs``."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    small = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    sets = _sets(docs.join(F.broadcast(wanted) if small else wanted, "doc_id", "left_semi"), text)
+    sets = _sets_of(docs, pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).toDF("doc_id"), text)
     both = pairs.join(sets.toDF("b", "set_b"), "b").join(sets.toDF("a", "set_a"), "a").select("a", "b", "set_a", "set_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
             for x, y in zip(b.column(2), b.column(3), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                at = np.searchsorted(q, p)
-                common = int((q[np.minimum(at, len(q) - 1)] == p).sum()) if len(q) else 0
-                keep.append(common > 0 and 100 * common >= percent * (len(p) + len(q) - common))
+                keep.append(_similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent))
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep, pa.bool_())), b.column(1).filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
 
     return both.mapInArrow(run, "a long, b long")
 
 
+def _common(p: np.ndarray, q: np.ndarray) -> int:
+    """How many elements two sorted sets share."""
+    if len(p) > len(q):
+        p, q = q, p
+    if not len(p):
+        return 0
+    return int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
+
+
+def _similar(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    common = _common(p, q)
+    return common > 0 and 100 * common >= percent * (len(p) + len(q) - common)
+
+
 def _rest(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a bucket's members (band, rep, n, label, low) that are not joined and whose signatures come close.
+    """Links (a, b) between a bucket's members (band, rep, n, label, low, set) that are not joined yet.
 
-    Blocks of a bucket meet pairwise, each pair of blocks in one task.
+    Blocks of a bucket meet pairwise, each pair of blocks in one task. Pairs whose signatures
+    come close are taken from the most alike on and verified on full sets, unless links found
+    before join them: what comes out is a forest, at most a row per member and task.
     """
     counts = members.groupBy("band").agg(F.count("*").alias("size"))
     dealt = members.join(counts, "band").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    placed = dealt.select("band", "rep", "n", "label", "low", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    placed = dealt.select("band", "rep", "n", "label", "low", "set", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     placed = placed.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
 
     def compare(key, table):
         i, j = key[1].as_py(), key[2].as_py()
         rep, n, label, own = (table.column(c).to_numpy() for c in ("rep", "n", "label", "own"))
         low = np.frombuffer(b"".join(table.column("low").to_pylist()), np.uint8).reshape(len(rep), -1)
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("set")]
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        a, b = [], []
+        close: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for x in left:
             y = right[(label[right] != label[x]) & (rep[right] != rep[x]) & (100 * np.minimum(n[right], n[x]) >= percent * np.maximum(n[right], n[x]))]
             if i == j:
                 y = y[rep[y] > rep[x]]
-            y = y[(low[y] == low[x]).sum(1) >= CLOSE] if len(y) else y
-            a.append(np.minimum(rep[y], rep[x]))
-            b.append(np.maximum(rep[y], rep[x]))
-        flat = lambda z: np.concatenate(z).astype(np.int64) if z else np.zeros(0, np.int64)
-        return pa.table({"a": flat(a), "b": flat(b)})
+            alike = (low[y] == low[x]).sum(1)
+            y, alike = y[alike >= CLOSE], alike[alike >= CLOSE]
+            close.append((alike, np.full(len(y), x), y))
+        alike, xs, ys = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (zip(*close, strict=True) if close else ((), (), ())))
+        order = np.argsort(-alike, kind="stable")
+        _, root = np.unique(label, return_inverse=True)
+        parent, root = list(range(len(rep))), root.tolist()
+        a, b = [], []
+        for x, y in zip(xs[order].tolist(), ys[order].tolist(), strict=True):
+            p, q = root[x], root[y]
+            while parent[p] != p:
+                parent[p] = p = parent[parent[p]]
+            while parent[q] != q:
+                parent[q] = q = parent[parent[q]]
+            if p != q and _similar(sets[x], sets[y], percent):
+                parent[max(p, q)] = min(p, q)
+                a.append(min(rep[x], rep[y]))
+                b.append(max(rep[x], rep[y]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return placed.groupBy("band", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+    return placed.groupBy("band", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def groups(docs: DataFrame, text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -207,11 +241,11 @@ def groups(docs: DataFrame, text: str = "text", percent: int = PERCENT) -> DataF
     label = F.coalesce("label", "rep").alias("label")
     joined = met.select("band", "rep").join(first.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", label)
     mixed = joined.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("band")
-    members = joined.join(mixed, "band").join(reps.df.select("rep", "n", "low"), "rep")
-    open_pairs = Stored(_rest(members, percent).join(star.df, ["a", "b"], "left_anti"), "pairs")
+    members = Stored(joined.join(mixed, "band").select("band", "rep", "label"), "members")
     every = links.df
-    if not open_pairs.df.isEmpty():
-        more = Stored(verify(docs, open_pairs.df, text, percent), "verified")
+    if not members.df.isEmpty():
+        sets = _sets_of(docs, members.df.select(F.col("rep").alias("doc_id")), text).withColumnRenamed("doc_id", "rep")
+        more = Stored(_rest(members.df.join(reps.df.select("rep", "n", "low"), "rep").join(sets, "rep"), percent), "verified")
         every = every.unionByName(more.df)
     labels = components(every)
     named = reps.df.select("key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", label)
