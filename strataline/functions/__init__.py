@@ -1 +1 @@
-
+"""Functions of the array-sensor library."""

@@ -1 +1 @@
-
+"""Operators of the array-sensor library."""

@@ -1 +1 @@
-
+"""Plans of the array-sensor library."""

@@ -1 +1 @@
-
+"""Sources of the array-sensor library."""

@@ -1 +1 @@
-
+"""Streaming of the array-sensor library."""
