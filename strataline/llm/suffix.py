@@ -40,7 +40,7 @@ SEGMENT, LOW_BITS = 1 << 23, 24
 #: Pieces of a task that are compared with each other before the shuffle.
 HELD = 400_000
 #: Bytes of pieces in one suffix array, but for a group that is larger.
-ARRAY_BYTES = 4 << 20
+ARRAY_BYTES = 1 << 20
 PIECE = "anchor long, piece long, doc long, lo int, n int, copy boolean"
 
 
@@ -144,8 +144,9 @@ def suffix_repeats(buf: np.ndarray, begin: np.ndarray, end: np.ndarray, length:
         return []
     rest = end[owner] - start - length
     wide = -(-int(rest.max()) // 8) * 8
-    at = np.arange(wide)
-    tail = np.where(at < rest[:, None], np.concatenate((buf, np.zeros(wide, np.uint8)))[np.minimum(start[:, None] + length + at, len(buf))], 0).astype(np.uint8)
+    rows = np.lib.stride_tricks.sliding_window_view(np.concatenate((buf, np.zeros(wide + 1, np.uint8))), max(wide, 1))
+    tail = rows[start + length][:, :wide]
+    tail[np.arange(wide) >= rest[:, None]] = 0
     words = tail.view(">u8").astype(np.uint64) if wide else np.zeros((len(start), 0), np.uint64)
     order = np.lexsort((rest, *words.T[::-1], head))
     start, owner, head, rest, tail = start[order], owner[order], head[order], rest[order], tail[order]
