@@ -92,7 +92,8 @@ def sos_filter(sos: np.ndarray, x: np.ndarray, state: np.ndarray) -> tuple[np.nd
 
     The recursion steps through time with all channels at once; sections are chained within a step.
     """
-    y, state = np.array(x, float), np.array(state, float)
+    y = np.array(x, float)
+    state = np.array(np.broadcast_to(state, (len(sos), 2, y.shape[1])), float)
     for i, (b0, b1, b2, _, a1, a2) in enumerate(sos):
         s1, s2 = state[i]
         for n in range(len(y)):

@@ -311,8 +311,8 @@ def peaks(spark: SparkSession, d: str) -> DataFrame:
     f"{_power(64, 32, 21)}, b AS (SELECT *, row_number() OVER (PARTITION BY ch ORDER BY k) AS i, row_number() OVER (PARTITION BY ch ORDER BY k DESC) AS j FROM a WHERE freq >= 5 AND freq <= 40),"
     " e AS (SELECT ch, avg(CASE WHEN i <= 5 THEN power END) AS f, avg(CASE WHEN j <= 5 THEN power END) AS l, count(*) AS n FROM b GROUP BY ch),"
     " u AS (SELECT b.ch, b.k, b.freq, greatest(b.power - (e.f + (e.l - e.f) * (b.i - 1) / CAST(e.n - 1 AS DOUBLE)), CAST(0 AS DOUBLE)) AS net FROM b JOIN e ON e.ch = b.ch),"
-    " s AS (SELECT ch, (lead(freq) OVER (PARTITION BY ch ORDER BY k) - freq) * (lead(net) OVER (PARTITION BY ch ORDER BY k) + net) / 2 AS strip FROM u)"
-    f" SELECT CAST(ch AS BIGINT) AS ch, {r('sum(strip)', 4)} AS band_power FROM s GROUP BY ch"
+    " st AS (SELECT ch, (lead(freq) OVER (PARTITION BY ch ORDER BY k) - freq) * (lead(net) OVER (PARTITION BY ch ORDER BY k) + net) / 2 AS strip FROM u)"
+    f" SELECT CAST(ch AS BIGINT) AS ch, {r('sum(strip)', 4)} AS band_power FROM st GROUP BY ch"
 )
 def band_power(spark: SparkSession, d: str) -> DataFrame:
     return spectral.band_power(spectral.spectrum(eg(spark, d), FS, 64), 5.0, 40.0).select("ch", rounded("band_power", 4).alias("band_power"))
