@@ -23,6 +23,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand texts to Python workers ``rows`` at a time, where the session still has Spark's own 10000.
+
+    Texts are thousands of bytes: batches of 10000 would take much of a small worker's memory on both sides.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm, sc = spark._jvm, spark.sparkContext

@@ -6,6 +6,8 @@ a whole chunk at once, so that NumPy's per-call cost is shared by its rows.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,18 +41,29 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 ASCII_LOWER = np.arange(256, dtype=np.uint8)
 ASCII_LOWER[65:91] += 32
+KEPT_POWERS = (1 << 20) + 4096
 _powers = [np.ones(1, U64), np.ones(1, U64)]
 
 
+def release() -> None:
+    """Give memory that is free back to the system: a worker lives on between tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only in the GNU C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i for i < n, kept for later calls."""
-    if len(_powers[0]) < n:
-        size = max(n, 1 << 20)
-        for k, b in enumerate((BASE, BASE_INVERSE)):
-            a = np.full(size, b, U64)
-            a[0] = 1
-            _powers[k] = np.multiply.accumulate(a)
-    return _powers[0][:n], _powers[1][:n]
+    """BASE**i and BASE**-i for i < n, kept for later calls unless they are many."""
+    if len(_powers[0]) >= n:
+        return _powers[0][:n], _powers[1][:n]
+    out = []
+    for b in (BASE, BASE_INVERSE):
+        a = np.full(max(n, KEPT_POWERS), b, U64)
+        a[0] = 1
+        out.append(np.multiply.accumulate(a))
+    if n <= KEPT_POWERS:
+        _powers[:] = out
+    return out[0][:n], out[1][:n]
 
 
 @dataclass

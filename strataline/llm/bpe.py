@@ -32,8 +32,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataline.llm import _tok
+from strataline.llm._store import small_batches
+from strataline.llm._text import release
 
-BLOCK_BYTES, CHUNK_BYTES = 12 << 20, 1 << 20
+BLOCK_BYTES, CHUNK_BYTES = 8 << 20, 1 << 20
 
 
 def _pack(items: list[bytes]) -> bytes:
@@ -66,6 +68,7 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", block_bytes: int
     With ``decoded`` the column of ``decode`` too, from the ids, by the same worker processes.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     spec = _tok.spec(tokenizer)
     width = 2 if _tok.encoder(spec).size < 1 << 16 else 4
     shared = spark.sparkContext.broadcast(spec)
@@ -95,6 +98,7 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", block_bytes: int
                     ids, texts, size = [], [], 0
         if ids:
             yield row()
+        release()
 
     blocks = rows.mapInArrow(packed, "block long, doc_ids array<bigint>, texts binary").repartition(n, "block")
 
@@ -121,7 +125,7 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", block_bytes: int
         seen = _New(add)
         for w in words_of(enc, ordered(table).column("texts")):
             deque(map(seen.__getitem__, w), maxlen=0)
-        del seen
+        del seen, enc
         block = pa.array([key[0].as_py()] * len(by), pa.int64())
         return pa.Table.from_arrays([block, pa.array(by, pa.int64()), pa.array(map(_pack, by.values()), pa.binary())], names=["block", "bucket", "words"])
 
@@ -135,6 +139,9 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", block_bytes: int
             part = known[i : i + 20_000]
             ids.update(zip(part, enc.encode_words([w.decode() for w in part]), strict=True))
         got = pa.array([_pack([ids[w] for w in x]) for x in lists], pa.binary())
+        enc.pieces_seen.clear()
+        del lists, ids, known
+        release()
         return pa.Table.from_arrays([table.column("block"), table.column("bucket"), got], names=["block", "bucket", "ids"])
 
     def joined(key, docs, table):
@@ -147,6 +154,7 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", block_bytes: int
         flat = np.frombuffer(b"".join(out), f"<u{width}").astype("<i4")
         offsets = np.concatenate(([0], np.cumsum([len(x) // width for x in out], dtype=np.int64))).astype(np.int32)
         del out, of, left
+        release()
         doc_ids = pa.chunked_array([x.flatten() for x in docs.column("doc_ids").chunks], pa.int64())
         ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
         if not decoded:

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataline.llm import _text as t
+from strataline.llm._store import small_batches
 
 WEIGHTS, SHARE, MOST, SEED = (5, 2, 1), 1.5, 2, 17
 #: The dynamic programme runs over budgets up to so many words; larger rests are first closed by lengths in seeded order.
@@ -42,7 +43,9 @@ def sized(docs: DataFrame, text: str = "text") -> DataFrame:
             counts = [t.words(c).counts for c in t.chunks(b.column(2))]
             n = np.concatenate(counts) if counts else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], names=["doc_id", "source", "size"])
+        t.release()
 
+    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", "source", F.col(text).alias("text")).mapInArrow(run, "doc_id long, source string, size long")
     return rows.withColumn("key", F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), "source")))
 

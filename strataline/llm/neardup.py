@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataline.llm import _text as t
-from strataline.llm._store import Stored
+from strataline.llm._store import Stored, small_batches
 from strataline.llm.graph import components
 
 SHINGLE, PERCENT = 5, 75
@@ -125,6 +125,7 @@ def sign(docs: DataFrame, text: str = "text") -> DataFrame:
                     ],
                     names=["doc_id", "n_shingles", "key", "bands", "low"],
                 )
+        t.release()
 
     return docs.select("doc_id", F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, key binary, bands array<bigint>, low binary")
 
@@ -138,6 +139,7 @@ def _sets(docs: DataFrame, text: str) -> DataFrame:
                 sets, bounds = shingle_sets(c)
                 body = [sets[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(c.first, c.rows), pa.array(body, pa.binary())], names=["doc_id", "set"])
+        t.release()
 
     return docs.select("doc_id", F.col(text).alias("text")).mapInArrow(run, "doc_id long, set binary")
 
@@ -226,6 +228,7 @@ def _rest(members: DataFrame, percent: int) -> DataFrame:
 
 def groups(docs: DataFrame, text: str = "text", percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id linked with it, itself included) of every row."""
+    small_batches(docs.sparkSession)
     signed = Stored(sign(docs, text), "signed")
     some = signed.df.filter("key IS NOT NULL AND doc_id IS NOT NULL")
     classes = some.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("low").alias("low"))

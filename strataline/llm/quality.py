@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from strataline.llm import _text as t
+from strataline.llm._store import small_batches
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "longest_word")
 WINDOW = 8
@@ -80,6 +81,7 @@ def _measures(chunk: t.Chunk) -> list[np.ndarray]:
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """All columns of ``docs`` (a clash with a measurement's name: replaced) and the measurements."""
+    small_batches(docs.sparkSession)
     docs = docs.drop(*[m for m in MEASURES if m != text])
     names = docs.columns
     schema = StructType([*docs.schema.fields, *(StructField(m, LongType()) for m in MEASURES)])
@@ -89,6 +91,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
             parts = [np.stack(_measures(c)) for c in t.chunks(b.column(names.index(text)))]
             got = np.concatenate(parts, axis=1) if parts else np.zeros((len(MEASURES), 0), np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(x, pa.int64()) for x in got)], names=[*names, *MEASURES])
+        t.release()
 
     return docs.mapInArrow(run, schema)
 

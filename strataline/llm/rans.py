@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataline.llm import _tok
-from strataline.llm._store import Folder, Stored
+from strataline.llm._store import Folder, Stored, small_batches
 
 SCALE_BITS = 20
 LOW = np.uint64(1 << 31)
@@ -189,6 +189,7 @@ _BLOCK_ARROW = pa.schema([(name, pa.int64() if kind == "long" else pa.binary())
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, text: str = "text") -> None:
     """Tokenise ``docs`` (doc_id and ``text``) and write them to ``path`` in ascending doc_id order."""
     spark = docs.sparkSession
+    small_batches(spark)
     spec = _tok.spec(tokenizer)
     tokens = _sorted_tokens(docs, spec, end_id, text)
     size = max(_tok.encoder(spec).size, end_id + 1)

@@ -31,16 +31,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataline.llm import _text as t
-from strataline.llm._store import Stored
+from strataline.llm._store import Stored, small_batches
 
 LENGTH, GRAM = 100, 32
 HOT = 4096
 #: Positions of a run of bytes that is hashed at once; their numbers fit the low bits of a key.
 SEGMENT, LOW_BITS = 1 << 23, 24
+#: Bytes of texts that are hashed together.
+CHUNK = 1 << 18
 #: Pieces of a task that are compared with each other before the shuffle.
 HELD = 400_000
 #: Bytes of pieces in one suffix array, but for a group that is larger.
-ARRAY_BYTES = 1 << 20
+ARRAY_BYTES = 1 << 19
 PIECE = "anchor long, piece long, doc long, lo int, n int, copy boolean"
 
 
@@ -109,7 +111,7 @@ def _found(docs: DataFrame, text: str, length: int) -> DataFrame:
         size = 0
         for b in batches:
             ids = b.column(0).to_numpy()
-            for c in t.chunks(b.column(1)):
+            for c in t.chunks(b.column(1), CHUNK):
                 for base, buf, offs in _segments(c, length):
                     lo, n, anchor, piece = pieces(buf, offs, length)
                     row = np.searchsorted(offs, lo, "right") - 1
@@ -120,6 +122,8 @@ def _found(docs: DataFrame, text: str, length: int) -> DataFrame:
                     held, size = [], 0
         if size:
             yield flush(held)
+        del held
+        t.release()
 
     rows = docs.filter("doc_id IS NOT NULL").select("doc_id", F.col(text).alias("text"))
     return rows.mapInArrow(run, PIECE)
@@ -211,6 +215,8 @@ def _repeats(strings: DataFrame, length: int) -> DataFrame:
                     size += b.column(3).nbytes
         if held:
             yield scan(held)
+        del held
+        t.release()
 
     return strings.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "group long, length int, doc long, start int, first boolean")
 
@@ -240,6 +246,7 @@ def _hot_repeats(strings: DataFrame, length: int) -> DataFrame:
 
 def repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
     """All occurrences of the repeats found: group, length, doc, start (byte), and whether the place is the group's first."""
+    small_batches(docs.sparkSession)
     class_ = Window.partitionBy("anchor", "piece").orderBy("doc", "lo").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     group = Window.partitionBy("anchor")
     marked = (
@@ -275,6 +282,7 @@ def repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFr
                 keep = np.flatnonzero(fits)
                 body = [buf[x:y] for x, y in zip(begin[keep].tolist(), (begin + size)[keep].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(cols["anchor"][keep]), pa.array(ids[row[keep]]), pa.array(cols["lo"][keep]), pa.array(body, pa.binary()), pa.array(cols["pieces"][keep])], names=["anchor", "doc", "lo", "body", "pieces"])
+        t.release()
 
     strings = rows.mapInArrow(cut, "anchor long, doc long, lo int, body binary, pieces long")
     out = copies.unionByName(_repeats(strings.filter(F.col("pieces") <= HOT).drop("pieces"), length))

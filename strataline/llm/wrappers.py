@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataline.llm._store import Stored
+from strataline.llm._store import Stored, small_batches
 
 # Element sets of the HTML standard. (fixed values)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -337,6 +337,7 @@ def infer(pages: DataFrame) -> DataFrame:
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url and text of every row of ``pages`` (page_id, url, html)."""
+    small_batches(pages.sparkSession)
     known = Stored(infer(pages).select("host", "slots"), "wrappers")
     slots = known.df
     if (slots.agg(F.sum(F.octet_length("slots") + F.octet_length("host"))).first()[0] or 0) <= BROADCAST_BYTES:
