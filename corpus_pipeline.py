@@ -16,8 +16,8 @@ from strataline.llm._store import Stored
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that policy corpus 1 keeps."""
-    return quality.apply_policy(quality.ledger(docs), "corpus", 1).filter("kept").select(*docs.columns)
+    """Documents that policy corpus 2 keeps."""
+    return quality.apply_policy(quality.ledger(docs), "corpus", 2).filter("kept").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

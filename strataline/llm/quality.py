@@ -38,12 +38,14 @@ RULES: tuple[tuple[int, str, str], ...] = (
     (4, "short_words", "n_words > 0 AND word_chars < 2 * n_words"),
     (5, "long_words", "word_chars > 40 * n_words"),
     (6, "giant_word", "longest_word > 1000"),
+    (7, "separators", "100 * n_symbols > 30 * n_words"),
 )
 BITS = {name: 1 << bit for bit, name, _ in RULES}
 #: (policy, version): mask of the bits that reject.
 POLICIES: dict[tuple[str, int], int] = {
     ("base", 1): BITS["few_words"] | BITS["repeated_words"],
-    ("corpus", 1): sum(BITS.values()),
+    ("corpus", 1): sum(BITS.values()) - BITS["separators"],
+    ("corpus", 2): sum(BITS.values()),
 }
 
 
@@ -110,12 +112,12 @@ def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     return measure(docs.drop("fail_bits"), text).withColumn("fail_bits", fail_bits())
 
 
-def apply_policy(rows: DataFrame, policy: str = "corpus", version: int = 1, name: str = "kept") -> DataFrame:
+def apply_policy(rows: DataFrame, policy: str = "corpus", version: int = 2, name: str = "kept") -> DataFrame:
     """Add ``name``: whether no bit of the policy's mask is set."""
     return rows.withColumn(name, F.col("fail_bits").bitwiseAND(F.lit(POLICIES[policy, version])) == 0)
 
 
-def ablation(rows: DataFrame, policy: str = "corpus", version: int = 1) -> DataFrame:
+def ablation(rows: DataFrame, policy: str = "corpus", version: int = 2) -> DataFrame:
     """Per rule of the policy: documents it fails, those that it alone rejects, those kept without it.
 
     One pass over the ledger: counts by distinct bit pattern first, then the few patterns by rule.
@@ -138,7 +140,7 @@ def ablation(rows: DataFrame, policy: str = "corpus", version: int = 1) -> DataF
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ledger of all documents and the verdict of policy corpus 1."""
+    """The ledger of all documents and the verdict of policy corpus 2."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     rows = apply_policy(apply_policy(ledger(docs)), "base", 1, "base_kept")
     return rows.select(
