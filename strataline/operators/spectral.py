@@ -231,3 +231,20 @@ def fk_inverse(spec: DataFrame) -> DataFrame:
 def long_fft(df: DataFrame, fs: float, size: int | None = None) -> DataFrame:
     """fft_mag for channels longer than SHORT samples (or of unknown length), else the sums."""
     return dft_mag(df, fs) if size is not None and size <= SHORT else fft_mag(df, fs)
+
+
+def psd(df: DataFrame, fs: float, window: int, hop: int) -> DataFrame:
+    """ch, k, freq, psd: mean power of symmetric Hann segments within the data, filled with zeros to twice their length."""
+    hann = np.hanning(window)
+    norm = 2 / (fs * (hann @ hann))
+
+    def kernel(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        total, n = 0.0, 0
+        for at in range(0, len(x) - window + 1, hop):
+            total = total + np.abs(np.fft.rfft(x[at : at + window] * hann[:, None], 2 * window, axis=0)) ** 2
+            n += 1
+        freq = np.broadcast_to(np.fft.rfftfreq(2 * window, 1 / fs)[:, None], (window + 1, x.shape[1]))
+        return total / max(n, 1) * norm + np.zeros_like(freq), freq
+
+    made = map_traces(to_traces(df), kernel, "ch long, psd array<double>, freq array<double>")
+    return made.select("ch", F.posexplode(F.arrays_zip("freq", "psd")).alias("k", "z")).select("ch", F.col("k").cast("long").alias("k"), "z.freq", "z.psd")

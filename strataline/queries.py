@@ -14,6 +14,7 @@ from strataline.functions import dsp, timeutil, units
 from strataline.operators import detect, filters, match, pointwise, rolling, spectral, stats
 from strataline.sources import spool
 from strataline.sources.tables import FS, eg, em, ev, ix, table
+from strataline.streaming import stateful
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -503,6 +504,69 @@ def spool_concat(spark: SparkSession, d: str) -> DataFrame:
     return spool.concat(rows, ix(spark, d)).select("ch", F.col("ti").cast("long").alias("ti"), "v")
 
 
+@query(_long(EM, "(SELECT ch, ti, v, CAST(w.w AS BIGINT) AS w FROM em CROSS JOIN (SELECT i AS w FROM unnest(range(0, 9)) AS g(i)) w WHERE ti BETWEEN w.w * 7 AND w.w * 7 + 9)", "v").replace("AS v FROM (", "AS v, w AS chunk FROM ("))
+def spool_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Windows of ten samples that share three; the last one is short."""
+    c = spool.chunks(em(spark, d), 10, 3).filter("chunk < 9")
+    return c.select(F.col("ch").cast("long").alias("ch"), "ti", rounded("v").alias("v"), F.col("chunk").cast("long").alias("chunk"))
+
+
+# --- what streams give, on the batch
+
+
+@query(_long(EV, "ev", "v", "QUALIFY ti > max(ti) OVER (PARTITION BY ch) - 20"))
+def ring_view(spark: SparkSession, d: str) -> DataFrame:
+    return _out(stateful.view(ev(spark, d), 20))
+
+
+@query(
+    """WITH h AS (SELECT user_id AS ch, ts, value AS v FROM events WHERE abs(value) > 80), g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (ORDER BY ts) < INTERVAL 300 SECOND THEN 0 ELSE 1 END AS new FROM h),
+    s AS (SELECT *, sum(new) OVER (ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM g)
+    SELECT CAST(epoch_us(min(ts)) AS BIGINT) AS start_us, CAST(epoch_us(max(ts)) + 300000000 AS BIGINT) AS end_us, min(ch) AS min_channel, max(ch) AS max_channel, count(*) AS n, max(abs(v)) AS peak FROM s GROUP BY s.s"""
+)
+def stream_session(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "events").select(F.col("user_id").alias("ch"), F.col("ts").cast("timestamp").alias("timestamp"), F.col("value").alias("v"))
+    s = stateful.trigger_sessions(rows, 80.0, "300 seconds")
+    return s.select(F.unix_micros("start_time").alias("start_us"), F.unix_micros("end_time").alias("end_us"), "min_channel", "max_channel", "n", "peak")
+
+
+def _causal(sos) -> str:
+    """SQL of one forward pass over EM from the sections' steady state."""
+    parts, last = [EM], "em"
+    lit = lambda x: f"CAST({float(x)!r} AS DOUBLE)"
+    for k, ((b0, b1, b2, _, a1, a2), (z1, z2)) in enumerate(zip(sos, dsp.steady_state(sos), strict=True)):
+        first, later = f"{lit(b0)} * x.v + {lit(z1)}", f"{lit(b0)} * x.v + r.s1"
+        state = lambda y, s2: f"{lit(b1)} * x.v - {lit(a1)} * ({y}) + {s2}, {lit(b2)} * x.v - {lit(a2)} * ({y})"
+        parts.append(
+            f"c{k}(ch, ti, v, s1, s2) AS (SELECT x.ch, x.ti, {first}, {state(first, lit(z2))} FROM {last} x WHERE x.ti = 0"
+            f" UNION ALL SELECT x.ch, x.ti, {later}, {state(later, 'r.s2')} FROM c{k} r JOIN {last} x ON x.ch = r.ch AND x.ti = r.ti + 1)"
+        )
+        last = f"c{k}"
+    return f"WITH RECURSIVE {', '.join(parts)} SELECT CAST(ch AS BIGINT) AS ch, CAST(ti AS BIGINT) AS ti, {r('v')} AS v FROM {last}"
+
+
+@query(_causal(dsp.butter_sos(4, 20.0, "lowpass", FS)))
+def stream_sos(spark: SparkSession, d: str) -> DataFrame:
+    return _out(filters.causal(em(spark, d), dsp.butter_sos(4, 20.0, "lowpass", FS)))
+
+
+@query(
+    f"""WITH {EG}, c AS (SELECT ch, ti - seg * 16 AS j, seg, v FROM eg CROSS JOIN (SELECT i AS seg FROM unnest(range(0, 44)) AS g(i)) g WHERE ti - seg * 16 BETWEEN 0 AND 31),
+    w AS (SELECT ch, seg, j, v * (CAST(0.5 AS DOUBLE) - CAST(0.5 AS DOUBLE) * cos({TAU} * j / 31)) AS v, 64 AS n FROM c), f AS ({_dft("w", "ch, seg", "j", "n", 33)}), h AS (SELECT sum((CAST(0.5 AS DOUBLE) - CAST(0.5 AS DOUBLE) * cos({TAU} * i / 31)) * (CAST(0.5 AS DOUBLE) - CAST(0.5 AS DOUBLE) * cos({TAU} * i / 31))) AS s FROM unnest(range(0, 32)) AS q(i))
+    SELECT CAST(ch AS BIGINT) AS ch, CAST(k AS BIGINT) AS k, {r("k * CAST(100 AS DOUBLE) / 64")} AS freq, {r("avg(re * re + im * im) * 2 / (100 * max(h.s))", 4)} AS psd FROM f, h GROUP BY ch, k"""
+)
+def psd(spark: SparkSession, d: str) -> DataFrame:
+    return spectral.psd(eg(spark, d), FS, 32, 16).select("ch", "k", rounded("freq").alias("freq"), rounded("psd", 4).alias("psd"))
+
+
+@query(
+    f"WITH {FK}, m AS (SELECT fi, ki, 20 * log10(sqrt(re * re + im * im) + CAST(1e-12 AS DOUBLE)) AS db FROM fk) SELECT CAST(fi AS INTEGER) AS fi, CAST(ki AS INTEGER) AS ki, {r('db - (SELECT max(db) FROM m)', 4)} AS db FROM m"
+)
+def fk_db(spark: SparkSession, d: str) -> DataFrame:
+    plane = spectral.fk_transform(_few(spark, d), FS).withColumn("db", spectral.to_db(F.hypot("re", "im"), 20.0))
+    return plane.crossJoin(F.broadcast(plane.agg(F.max("db").alias("top")))).select("fi", "ki", rounded(F.col("db") - F.col("top"), 4).alias("db"))
+
+
 # --- units and times
 
 

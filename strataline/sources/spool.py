@@ -71,3 +71,48 @@ def chunks(samples: DataFrame, length: int, overlap_: int = 0) -> DataFrame:
     hop = length - overlap_
     first = F.greatest(F.ceil((F.col("ti") - (length - 1)) / hop), F.lit(0))
     return samples.withColumn("chunk", F.explode(F.sequence(first, F.floor(F.col("ti") / hop))))
+
+
+def resolve(paths: list[str] | str) -> list[str]:
+    """Files behind paths, folders and patterns, sorted: of folders those with an extension that a format knows."""
+    import glob
+    import os
+
+    from strataline.sources.formats import FORMATS
+
+    known, out = tuple(FORMATS.extensions()), set()
+    for p in [paths] if isinstance(paths, str) else paths:
+        if os.path.isdir(p):
+            out.update(os.path.join(p, n) for n in os.listdir(p) if n.lower().endswith(known))
+        else:
+            out.update(glob.glob(p) if any(c in p for c in "*?[") else [p])
+    return sorted(out)
+
+
+def refresh(spark, listing: DataFrame, path: str, **options) -> DataFrame:
+    """The index kept at ``path`` (Parquet), with files that it lacks scanned and appended; sorted by start time."""
+    import os
+
+    from strataline.sources import formats
+
+    new = listing
+    if os.path.isdir(path):
+        new = unseen(listing, spark.read.parquet(path))
+    found = formats.scans(new, **options)
+    if not found.isEmpty():
+        found.write.mode("append").parquet(path)
+    return spark.read.parquet(path).orderBy("start_time", "path")
+
+
+def to_frame(spark, index: DataFrame, **options):
+    """The files of an index (few enough for the driver to name) as one frame along time."""
+    from functools import reduce
+
+    from strataline.frame import SignalFrame
+    from strataline.sources import formats
+
+    rows = index.orderBy("start_time", "path").select("path", "sampling_rate", "channel_spacing").collect()
+    if not rows:
+        raise ValueError("the index has no files")
+    parts = [formats.read(spark, r.path, **options).df.withColumn("path", F.lit(r.path)) for r in rows]
+    return SignalFrame(concat(reduce(DataFrame.unionByName, parts), index), rows[0].sampling_rate, rows[0].channel_spacing)

@@ -145,3 +145,20 @@ def test_units():
         units.factor("m", "s")
     with pytest.raises(ValueError):
         units.unit("parsec")
+
+
+def test_api(spark, tmp_path):
+    from strataline import api
+
+    for i in range(3):
+        (tmp_path / f"{i}.dat").write_bytes(np.full((50, 4), i, "<i2").tobytes())
+    (tmp_path / "notes.txt").write_text("x")
+    index = api.open_spool(spark, str(tmp_path), str(tmp_path / "index"), n_channels=4, fs=100)
+    assert index.count() == 3 and api.open_spool(spark, str(tmp_path / "*.dat"), str(tmp_path / "index"), n_channels=4).count() == 3
+    (tmp_path / "3.dat").write_bytes(np.full((50, 4), 3, "<i2").tobytes())
+    index = api.open_spool(spark, str(tmp_path), str(tmp_path / "index"), n_channels=4, fs=100)
+    assert index.count() == 4
+    whole = spool.to_frame(spark, index.withColumn("start_time", F.timestamp_seconds(F.substring("path", -5, 1).cast("long"))), n_channels=4, fs=100)
+    assert whole.shape == (200, 4) and np.allclose(whole.collect()[::50, 0], np.arange(4) * np.pi / 2**13)
+    assert api.detect_format(str(tmp_path / "0.dat")) == "DAT" and "DAT" in api.list_formats() and api.scan(str(tmp_path / "0.dat"), n_channels=4).n_samples == 50
+    assert api.from_array(spark, np.ones((3, 2)), 5.0).fs == 5.0 and api.stream(spark).isStreaming and api.read(spark, str(tmp_path / "1.dat"), n_channels=4).shape == (50, 4)
