@@ -2,7 +2,8 @@
 
 A text becomes its words (A-Z lower-cased, runs of digits, a-z and characters
 beyond ASCII), each with one space around it. Texts without any keyword stem end
-there. In the others every rule whose keyword occurs is matched; a detection
+there. In the others every rule whose keyword and whose longest plain text occur is
+matched; a detection
 that lies inside another one's interval is suppressed, and of two with the same
 interval the rule of smaller priority number stays.
 
@@ -14,6 +15,7 @@ an empty table gives an empty result. Texts are scanned whole.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,6 +35,22 @@ class Rule:
     pattern: str
     score: float
 
+    @property
+    def hint(self) -> str:
+        """The longest text that stands in every match."""
+        return literal(self.pattern)
+
+
+def literal(pattern: str) -> str:
+    """The longest run of plain characters outside groups, classes and optional characters."""
+    while True:
+        flat = re.sub(r"\((?:\?:)?[^()]*\)[?*+]?", "\0", pattern)
+        if flat == pattern:
+            break
+        pattern = flat
+    runs = re.sub(r"\[[^\]]*\][?*+]?|.[?*+]|\\.", "\0", pattern).split("\0")
+    return max(runs, key=len)
+
 
 def _versions(*names: str) -> list[tuple[str, str]]:
     """Version labels and the words that a text has for them."""
@@ -191,8 +209,8 @@ def _spans(canon: Column, rule: Column) -> Column:
 
 def detections(canon: Column, ordered: tuple[Rule, ...]) -> Column:
     """Detections that no other one suppresses, by start."""
-    table = F.array(*[F.struct(F.lit(r.priority).alias("priority"), F.lit(r.label).alias("label"), F.lit(r.keyword).alias("keyword"), F.lit(r.pattern).alias("pattern"), F.lit(r.score).alias("score")) for r in ordered])
-    found = F.sort_array(F.flatten(F.transform(F.filter(table, lambda r: F.contains(canon, r["keyword"])), lambda r: _spans(canon, r))))
+    table = F.array(*[F.struct(F.lit(r.priority).alias("priority"), F.lit(r.label).alias("label"), F.lit(r.keyword).alias("keyword"), F.lit(r.hint).alias("hint"), F.lit(r.pattern).alias("pattern"), F.lit(r.score).alias("score")) for r in ordered])
+    found = F.sort_array(F.flatten(F.transform(F.filter(table, lambda r: F.contains(canon, r["keyword"]) & F.contains(canon, r["hint"])), lambda r: _spans(canon, r))))
     empty = F.array().cast("array<struct<start:int,stop:int,priority:int,score:double,label:string>>")
     # in order of start, longest first: a detection lies inside an earlier one exactly if it ends no later than the furthest end so far
     kept = F.aggregate(
