@@ -69,8 +69,7 @@ class WordEncoder:
         elif kinds == ["Split", "ByteLevel"] and norm and [x["type"] for x in norm["normalizers"]] == ["NFC", "Replace", "Lowercase"]:
             self.kind, self.pattern = "word", WORD_LEVEL
         self.signs = byte_signs()
-        self.words_seen = _Seen(self.encode_words)
-        self.pieces_seen: dict[str, bytes] = {}
+        self.words_seen, self.pieces_seen = _Seen(self._part), _Seen(self._piece)
         self.most = cache
 
     @cached_property
@@ -103,38 +102,51 @@ class WordEncoder:
 
     def encode_words(self, words: Iterable[str]) -> list[bytes]:
         """The ids of each word."""
-        seen, out, tokenize, signs = self.pieces_seen, [], self.tok.model.tokenize, self.signs
-        if len(seen) > self.most // 2:
-            seen.clear()
+        if len(self.pieces_seen) > self.most // 2:
+            self.pieces_seen.clear()
+        get, find, low = self.pieces_seen.__getitem__, self.pattern.findall if self.kind else None, self.kind == "word"
+        out = []
         for w in words:
-            if not self._plain(w):
-                out.append(array(self.code, self.tok.encode(w, add_special_tokens=False).ids).tobytes())
-                continue
-            got = b""
-            for p in self.pattern.findall(w.lower() if self.kind == "word" else w):
-                if p not in seen:
-                    seen[p] = array(self.code, [x.id for x in tokenize(p.encode().decode("latin-1").translate(signs))]).tobytes()
-                got += seen[p]
-            out.append(got)
+            if self._plain(w):
+                out.append(b"".join(map(get, find(w.lower() if low else w))))
+            else:
+                out.append(self._ids(self.tok.encode(w, add_special_tokens=False).ids))
         return out
 
+    def _ids(self, ids: list[int]) -> bytes:
+        return array(self.code, ids).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        """The ids of one of the pattern's pieces; in printable ASCII every byte is its own sign."""
+        signs = piece if self.kind == "word" and piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.signs)
+        return self._ids([x.id for x in self.tok.model.tokenize(signs)])
+
+    def _part(self, word: str) -> bytes:
+        """The ids of a word of a plain text."""
+        return b"".join(map(self.pieces_seen.__getitem__, self.pattern.findall(word)))
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; null is empty. Words seen lately are not encoded again."""
-        if len(self.words_seen) > self.most:
-            self.words_seen.clear()
-        get = self.words_seen.__getitem__
-        return [b"".join(map(get, self.words(x or ""))) for x in texts]
+        for seen, most in ((self.words_seen, self.most), (self.pieces_seen, self.most // 2)):
+            if len(seen) > most:
+                seen.clear()
+        get, out = self.words_seen.__getitem__, []
+        for x in texts:
+            w = self.words(x or "")
+            # a text that is its only word may be one for the library, which _part is not
+            out.append(b"".join(map(get, w)) if len(w) > 1 else self.encode_words(w)[0] if w else b"")
+        return out
 
 
 class _Seen(dict):
-    """Ids by word; a word that is missing is encoded."""
+    """Ids by word; those of a word that is missing are made."""
 
-    def __init__(self, encode_words):
+    def __init__(self, make):
         super().__init__()
-        self.encode_words = encode_words
+        self.make = make
 
     def __missing__(self, word: str) -> bytes:
-        out = self[word] = self.encode_words((word,))[0]
+        out = self[word] = self.make(word)
         return out
 
 

@@ -147,10 +147,12 @@ def _sorted_tokens(docs: DataFrame, spec: str, end_id: int, text: str) -> Stored
 
 
 def _ids_of(column: pa.Array, lengths: np.ndarray) -> np.ndarray:
-    """All ids of a batch in one array."""
-    raw = b"".join(column.to_pylist())
-    total = int(lengths.sum())
-    return np.frombuffer(raw, "<u2" if len(raw) == 2 * total else "<u4")
+    """All ids of a batch in one array, on the batch's own buffer."""
+    if not len(column):
+        return np.zeros(0, "<u2")
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    raw = memoryview(column.buffers()[2])[ends[0] : ends[-1]]
+    return np.frombuffer(raw, "<u2" if len(raw) == 2 * int(lengths.sum()) else "<u4")
 
 
 def _counts(tokens: DataFrame, size: int) -> np.ndarray:
