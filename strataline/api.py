@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from strataline.frame import SignalFrame
-from strataline.sources import formats, spool
+from strataline.sources import arrays, formats, spool
 from strataline.streaming import stateful
 
 
@@ -13,6 +13,9 @@ def read(spark: SparkSession, path: str, **options) -> SignalFrame:
     return formats.read(spark, path, **options)
 
 
+write_zarr, write_netcdf = arrays.write_zarr, arrays.write_netcdf
+
+
 def scan(path: str, **options) -> formats.Scan:
     return formats.FORMATS.scan(path, **options)
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import struct
+import sys
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
@@ -32,6 +33,11 @@ def opened(path: str):
     return fs.open_input_file(place)
 
 
+def exists(path: str) -> bool:
+    fs, place = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+    return fs.get_file_info(place).type != pafs.FileType.NotFound
+
+
 @dataclass(frozen=True)
 class Scan:
     """What a file holds."""
@@ -214,6 +220,9 @@ class Registry:
 
     def reset(self) -> None:
         self._known = {f.name: f for f in (Dat(), SegY(), *HDF5)}
+        arrays = sys.modules.get("strataline.sources.arrays")  # registers its formats when it is imported
+        for f in getattr(arrays, "CONTAINERS", ()):
+            self.register(f)
 
     def register(self, fmt: Format) -> None:
         self._known[fmt.name.upper()] = fmt
@@ -234,9 +243,7 @@ class Registry:
 
     def detect(self, path: str) -> str | None:
         """The first format by priority that takes the file; None if there is no such file or format."""
-        try:
-            opened(path).close()
-        except OSError:
+        if not exists(path):
             return None
         for f in sorted(self._known.values(), key=lambda f: f.priority):
             try:
@@ -264,6 +271,8 @@ class Range(InputPartition):
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
+        import strataline.sources.arrays  # noqa: F401 - the worker's registry gets all formats
+
         self.options = {k.lower(): v for k, v in options.items()}
         self.path = self.options["path"]
         known = {"n_channels", "fs", "dx", "byte_order"}
@@ -290,6 +299,8 @@ class _Reader(DataSourceReader):
         return [Range(i, min(i + step, self.high)) for i in range(self.low, self.high, step)] or [Range(0, 0)]
 
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
+        import strataline.sources.arrays  # noqa: F401
+
         fmt = FORMATS.get(self.scan.format_name)
         args = self.args | {"n_channels": self.scan.n_channels}
         wanted = np.arange(self.scan.n_channels)
@@ -318,6 +329,8 @@ class FileSource(DataSource):
 
 def read(spark: SparkSession, path: str, kind: str | None = None, **options) -> SignalFrame:
     """A frame from a file of any known format, or from a Parquet folder with ch, ti and v."""
+    import strataline.sources.arrays  # noqa: F401
+
     if kind is None and FORMATS.detect(path) is None:
         fs, dx = float(options.pop("fs", 1.0)), float(options.pop("dx", 1.0))
         return SignalFrame(spark.read.parquet(path).select("ch", "ti", "v"), fs, dx)

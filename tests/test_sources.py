@@ -162,3 +162,60 @@ def test_api(spark, tmp_path):
     assert whole.shape == (200, 4) and np.allclose(whole.collect()[::50, 0], np.arange(4) * np.pi / 2**13)
     assert api.detect_format(str(tmp_path / "0.dat")) == "DAT" and "DAT" in api.list_formats() and api.scan(str(tmp_path / "0.dat"), n_channels=4).n_samples == 50
     assert api.from_array(spark, np.ones((3, 2)), 5.0).fs == 5.0 and api.stream(spark).isStreaming and api.read(spark, str(tmp_path / "1.dat"), n_channels=4).shape == (50, 4)
+
+
+def test_zarr_and_netcdf(spark, tmp_path):
+    from strataline import api
+
+    x = RNG.normal(size=(53, 7))
+    f = SignalFrame.from_array(spark, x, 250.0, 2.0)
+    api.write_zarr(f, str(tmp_path / "a.zarr"), samples=20, channels=3)
+    api.write_netcdf(f, str(tmp_path / "a.nc"))
+    for name, kind in (("a.zarr", "ZARR"), ("a.nc", "NETCDF")):
+        back = api.read(spark, str(tmp_path / name))
+        assert api.detect_format(str(tmp_path / name)) == kind and (back.fs, back.dx) == (250.0, 2.0) and np.allclose(back.collect(), x)
+        part = back.df.filter("ti >= 19 AND ti < 42 AND ch = 4").orderBy("ti").collect()
+        assert np.allclose([r.v for r in part], x[19:42, 4])
+
+
+def record(name, second, rate, coding, body, n):
+    head = bytearray(64)
+    head[0:8] = b"000001D "
+    head[8:13], head[13:15], head[15:18], head[18:20] = b"STA  ", b"  ", name, b"XX"
+    struct.pack_into(">HHBBBBH", head, 20, 2024, 1, 0, 0, second, 0, 0)
+    struct.pack_into(">Hhh", head, 30, n, rate, 1)
+    head[39] = 1
+    struct.pack_into(">HH", head, 44, 64, 48)
+    struct.pack_into(">HHBBBB", head, 48, 1000, 0, coding, 1, 9, 0)
+    return bytes(head) + body.ljust(448, b"\0")
+
+
+def steim1(x):
+    """Frames of one-byte differences, four a word."""
+    d = np.diff(x, prepend=x[0]).astype(np.int8)
+    words = [int.from_bytes(d[i : i + 4].tobytes().ljust(4, b"\0"), "big") for i in range(0, len(d), 4)]
+    out, first = b"", True
+    while words:
+        room = 13 if first else 15
+        part, words = words[:room], words[room:]
+        lead = [int(x[0]) & 0xFFFFFFFF, int(x[-1]) & 0xFFFFFFFF] if first else []
+        codes = [0, *([0] * len(lead)), *([1] * len(part))]
+        codes += [0] * (16 - len(codes))
+        out += struct.pack(">16I", sum(c << (30 - 2 * i) for i, c in enumerate(codes)), *lead, *part, *([0] * (15 - len(lead) - len(part))))
+        first = False
+    return out
+
+
+def test_miniseed(spark, tmp_path):
+    from strataline import api
+
+    x = np.cumsum(RNG.integers(-100, 100, (100, 2)), 0)
+    raw = record(b"HHZ", 0, 50, 3, x[:50, 0].astype(">i4").tobytes(), 50) + record(b"HHZ", 1, 50, 3, x[50:, 0].astype(">i4").tobytes(), 50)
+    raw += record(b"HHN", 0, 50, 10, steim1(x[:, 1]), 100)
+    (tmp_path / "a.mseed").write_bytes(raw)
+    back = api.read(spark, str(tmp_path / "a.mseed"))
+    assert back.fs == 50 and np.array_equal(back.collect(), x[:, ::-1].astype(float))
+    assert api.scan(str(tmp_path / "a.mseed")).start_time.startswith("2024-01-01 00:00:00")
+    (tmp_path / "b.mseed").write_bytes(record(b"HHZ", 0, 50, 3, x[:50, 0].astype(">i4").tobytes(), 50) + record(b"HHZ", 2, 50, 3, x[50:, 0].astype(">i4").tobytes(), 50))
+    gap = api.read(spark, str(tmp_path / "b.mseed")).collect()[:, 0]
+    assert len(gap) == 150 and np.allclose(gap[49:101], np.linspace(x[49, 0], x[50, 0], 52))
