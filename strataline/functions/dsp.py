@@ -87,17 +87,41 @@ def steady_state(sos: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Samples that are filtered by one matrix product in long signals.
+STEP = 128
+
+
 def sos_filter(sos: np.ndarray, x: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Run (n, channels) samples through the sections; state is (sections, 2, channels).
 
-    The recursion steps through time with all channels at once; sections are chained within a step.
+    Long signals go by blocks: what a block puts out and the state it leaves are linear in its samples and
+    the state before it, so both come from matrix products with the answers to unit samples and unit states.
     """
     y = np.array(x, float)
     state = np.array(np.broadcast_to(state, (len(sos), 2, y.shape[1])), float)
+    whole = len(y) // STEP * STEP
+    if whole < 4 * STEP:
+        return _recursion(sos, y, state)
+    from_samples, left = _recursion(sos, np.eye(STEP), np.zeros((len(sos), 2, STEP)))
+    left = left.reshape(-1, STEP)
+    units = np.eye(2 * len(sos)).reshape(len(sos), 2, -1)
+    from_state, moved = _recursion(sos, np.zeros((STEP, 2 * len(sos))), units)
+    moved, s = moved.reshape(2 * len(sos), -1), state.reshape(2 * len(sos), -1)
+    for i in range(0, whole, STEP):
+        block = y[i : i + STEP].copy()
+        y[i : i + STEP] = from_samples @ block + from_state @ s
+        s = left @ block + moved @ s
+    y[whole:], state = _recursion(sos, y[whole:], s.reshape(state.shape))
+    return y, state
+
+
+def _recursion(sos: np.ndarray, y: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sample by sample, all channels at once; sections one after the other."""
+    y, state = y.copy(), state.copy()
     for i, (b0, b1, b2, _, a1, a2) in enumerate(sos):
         s1, s2 = state[i]
         for n in range(len(y)):
-            v = y[n]
+            v = y[n].copy()
             out = b0 * v + s1
             s1 = b1 * v - a1 * out + s2
             s2 = b2 * v - a2 * out

@@ -362,3 +362,11 @@ def test_trace_chain_equals_long_chain(spark, noise):
     assert np.allclose(SignalFrame(got).collect(), f.detrend().bandpass(5.0, 20.0).normalize().abs().scale(2.0).collect())
     z = layout.to_long(traces.chain(t, traces.demean(), traces.normalize("zscore")))
     assert np.allclose(SignalFrame(z).collect(), f.normalize("zscore").collect())
+
+
+def test_block_filter_is_the_recursion():
+    x = RNG.normal(size=(1000, 3)).cumsum(0)
+    for sos in (dsp.butter_sos(4, (1.0, 20.0), "bandpass", 100.0), dsp.butter_sos(5, 0.5, "highpass", 100.0), dsp.notch_sos(10.0, 30.0, 100.0)):
+        z = dsp.steady_state(sos)[:, :, None] * x[0]
+        (y, s), (want, last) = dsp.sos_filter(sos, x, z), dsp._recursion(sos, x, z)
+        assert np.allclose(y, want, rtol=1e-9, atol=1e-9) and np.allclose(s, last, rtol=1e-9, atol=1e-9)
