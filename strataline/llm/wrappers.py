@@ -53,6 +53,7 @@ ASIDE_TAGS = frozenset("aside button datalist dialog footer form head header ifr
 ASIDE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies disqus disclaimer footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination paywall popup promo promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe teaser toolbar topbar widget widgets".split()
 )
+LAYOUT_WORDS = frozenset(("with", "has", "no"))
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>|<[!?/][^>]*(?:>|\Z)|(?P<text>[^<]+|<)",
@@ -80,7 +81,10 @@ def tag_of(sym: str) -> str:
 
 
 def is_aside(sym: str) -> bool:
+    """Whether an element is no main text; classes such as with-sidebar speak of the page, not of the element."""
     tag, *words = sym.split(".")
+    if tag in ("html", "body") or not LAYOUT_WORDS.isdisjoint(words):
+        words = []
     return tag in ASIDE_TAGS or not ASIDE_WORDS.isdisjoint(words)
 
 

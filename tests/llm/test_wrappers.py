@@ -68,3 +68,8 @@ def test_expressions():
     assert learn("<div><p>a</p></div>", "<div><h2>t</h2><p>b</p></div>") == "<><div>(<h2>#=</>)? <p>#</></></>"
     assert learn("<dl><dt>a<dd>b<dt>c<dd>d</dl>", "<dl><dt>x<dd>y</dl>") == "<><dl>(<dt>#</> <dd>#</>)+</></>"
     assert learn("<p>same", "<p>same", "<p>same") == "<><p>#=</></>"
+
+
+def test_classes_that_speak_of_the_page(spark):
+    page = "<body class='home has-menu'><div class='page with-sidebar'><article><p>Text</p></article><div class='sidebar'><p>Bar</p></div></div></body>"
+    assert text_of(spark, [("http://h/1", page)]) == ["Text"]
