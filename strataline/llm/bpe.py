@@ -24,7 +24,6 @@ from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
-import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
@@ -215,6 +214,8 @@ def decode(encoded: DataFrame, tokenizer: str, ids: str = "ids") -> DataFrame:
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of all documents encoded with byte_bpe_50k and decoded again."""
+    import public_tokenizers  # only the query needs it: the operators take a path
+
     path = public_tokenizers.path("byte_bpe_50k.json")
     both = encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, decoded=True)
     return both.select(
