@@ -90,7 +90,7 @@ def write_zarr(frame: SignalFrame, path: str, samples: int = 10_000, channels: i
         with fs.open_output_stream(f"{place}/{name}") as f:
             f.write(json.dumps(what).encode())
 
-    def put(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def put(key, rows):
         i, j = (int(k) for k in key)
         x = np.full((samples, channels), np.nan)
         x[rows["ti"].to_numpy() - i * samples, rows["ch"].to_numpy() - j * channels] = rows["v"].to_numpy(float)
