@@ -56,7 +56,7 @@ class WordEncoder:
     ids are given as bytes: unsigned integers of 2 or 4 bytes, in the machine's order.
     """
 
-    def __init__(self, text: str, width: int = 4, cache: int = 800_000):
+    def __init__(self, text: str, width: int = 4, cache: int = 1_600_000):
         self.text = text
         d = json.loads(text)
         self.added = [a["content"] for a in d.get("added_tokens", [])]
@@ -102,7 +102,7 @@ class WordEncoder:
 
     def encode_words(self, words: Iterable[str]) -> list[bytes]:
         """The ids of each word."""
-        if len(self.pieces_seen) > self.most // 2:
+        if len(self.pieces_seen) > self.most // 4:
             self.pieces_seen.clear()
         get, find, low = self.pieces_seen.__getitem__, self.pattern.findall if self.kind else None, self.kind == "word"
         out = []
@@ -127,7 +127,7 @@ class WordEncoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; null is empty. Words seen lately are not encoded again."""
-        for seen, most in ((self.words_seen, self.most), (self.pieces_seen, self.most // 2)):
+        for seen, most in ((self.words_seen, self.most), (self.pieces_seen, self.most // 4)):
             if len(seen) > most:
                 seen.clear()
         get, out = self.words_seen.__getitem__, []

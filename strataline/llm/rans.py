@@ -22,14 +22,14 @@ an empty table gives an empty file set; extra columns are not written.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import public_tokenizers
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataline.llm import _tok
@@ -38,7 +38,7 @@ from strataline.llm._store import Folder, Stored, small_batches
 SCALE_BITS = 20
 LOW = np.uint64(1 << 31)
 WORD_BITS = np.uint64(32)
-LANES, CHECKPOINT, BLOCK_IDS = 1024, 128, 1 << 18
+LANES, CHECKPOINT, BLOCK_IDS = 4096, 128, 1 << 20
 END_ID = 1
 #: Up to so many writing tasks, their offsets (24 bytes each) are broadcast.
 BROADCAST_PARTS = 100_000
@@ -87,17 +87,21 @@ class Model:
         """Checkpoint states (checkpoints x lanes), their places in the stream, the stream."""
         steps = -(-len(ids) // lanes)
         state = np.full(lanes, LOW, np.uint64)
-        freq, cum, limit = self.freq[ids], self.cum[ids], (LOW >> self.bits) << WORD_BITS
+        freq, cum = self.freq[ids], self.cum[ids]
+        limit = freq * ((LOW >> self.bits) << WORD_BITS)
         words: list[np.ndarray] = []
         saved: list[tuple[np.ndarray, int]] = []
         for s in range(steps - 1, -1, -1):
-            f, c = freq[s * lanes : (s + 1) * lanes], cum[s * lanes : (s + 1) * lanes]
+            at = slice(s * lanes, (s + 1) * lanes)
+            f = freq[at]
             x = state[: len(f)]
-            over = x >= limit * f
-            words.append(x[over].astype("<u4"))
-            x = np.where(over, x >> WORD_BITS, x)
+            over = np.flatnonzero(x >= limit[at])
+            high = x[over]
+            words.append(high.astype("<u4"))
+            x[over] = high >> WORD_BITS
             q = x // f
-            state[: len(f)] = (q << self.bits) + (x - q * f) + c
+            # (q << bits) + x - q * f + cum, in place
+            x += (q << self.bits) - q * f + cum[at]
             if s % every == 0:
                 saved.append((state.copy(), len(words)))
         sizes = np.cumsum([0, *(len(w) for w in reversed(words))])
@@ -125,6 +129,24 @@ class Model:
         return out
 
 
+def _part(docs: DataFrame, parts: int) -> Column:
+    """The range of doc_ids that a row belongs to, of about as many rows each; null is in the first.
+
+    The bounds come from the ids alone: a range partitioning of Spark's own would read the texts twice. They
+    are searched in two steps of about the square root of their number.
+    """
+    bounds = docs.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.25 / parts) if parts > 1 else []
+    if not bounds:
+        return F.lit(0)
+    m = math.ceil(math.sqrt(len(bounds) + 1))
+    groups = [bounds[i : i + m] for i in range(0, len(bounds), m)]
+    doc = F.col("doc_id").cast("double")
+    coarse = F.array(*[F.lit(g[-1] if len(g) == m else math.inf) for g in groups])
+    fine = F.array(*[F.array(*[F.lit(b) for b in (g[: m - 1] or [math.inf])]) for g in [*groups, []]])
+    c = F.size(F.filter(coarse, lambda b: b < doc))
+    return F.coalesce(F.transform(F.array(c), lambda i: i * m + F.size(F.filter(F.get(fine, i), lambda b: b < doc)))[0], F.lit(0))
+
+
 def _sorted_tokens(docs: DataFrame, spec: str, end_id: int, text: str) -> Stored:
     """doc_id, n_ids and ids (uint16 where the ids allow it), written in ascending doc_id order."""
     spark = docs.sparkSession
@@ -142,7 +164,7 @@ def _sorted_tokens(docs: DataFrame, spec: str, end_id: int, text: str) -> Stored
                 ids = [x + tail for x in enc.encode(b.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // width for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n_ids", "ids"])
 
-    made = rows.repartitionByRange(parts, order[0]).sortWithinPartitions(*order).mapInArrow(run, "doc_id long, n_ids long, ids binary")
+    made = rows.repartitionById(parts, _part(docs, parts)).sortWithinPartitions(*order).mapInArrow(run, "doc_id long, n_ids long, ids binary")
     return Stored(made, "tokens", compression="zstd")
 
 
@@ -268,6 +290,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents through word_bpe_49k into files in the shared folder, and back."""
+    import public_tokenizers  # only the query needs it: the operator takes a path
+
     folder = Folder(spark, "rans")
     write(spark.read.parquet(f"{sf_dir}/documents.parquet"), folder.path, public_tokenizers.path("word_bpe_49k.json"))
     return read(spark, folder.path).select("doc_id", "start", F.col("n_ids").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))

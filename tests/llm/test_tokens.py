@@ -108,3 +108,15 @@ def test_scaled_keeps_rare_ids():
     counts = np.array([10**12, 1, 0, 1, 5] + [1] * 50_000)
     f = rans.scaled(counts).astype(int)
     assert f.sum() == 1 << rans.SCALE_BITS and (f[counts > 0] > 0).all() and f[2] == 0
+
+
+@pytest.mark.parametrize("parts", [1, 2, 3, 4, 5, 10, 17])
+def test_ranges_rise_with_the_id(spark, parts):
+    ids = [*range(0, 3000, 7), None, -5, 10**15, 10**15 + 1, *([500] * 40)]
+    df = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+    rows = df.select("doc_id", rans._part(df, parts).cast("int").alias("p")).collect()
+    known = sorted((r.doc_id, r.p) for r in rows if r.doc_id is not None)
+    assert [p for _, p in known] == sorted(p for _, p in known)
+    got = {p for _, p in known}  # many rows of one id may span a whole range, which then stays empty
+    assert got <= set(range(parts)) and len(got) >= parts - 2
+    assert [r.p for r in rows if r.doc_id is None] == [0]
