@@ -8,8 +8,9 @@ stored at every checkpoint, each with a checksum of the ids up to the next one,
 so that any segment decodes alone. ``read`` gives the ids back.
 
 Files: ``<path>/model`` holds the frequency table, ``<path>/blocks`` a row per
-block. The columns of ``blocks`` are the format: ``part`` and ``start_in_part``
-(ids before the block in its writing task), ``first_key``, ``n_docs``,
+block, in a file per range of doc_ids and in order within it. The columns of
+``blocks`` are the format: ``part`` (the range's number, ascending with doc_id) and
+``start_in_part`` (ids before the block in its range), ``first_key``, ``n_docs``,
 ``n_ids``, ``doc_ids`` (little-endian int64, with ``nulls`` as a bit per document),
 ``lengths`` (uint32), ``states`` (uint64 per checkpoint and lane), ``places`` (uint32 per
 checkpoint), ``sums`` (crc32 per checkpoint) and ``stream`` (uint32 words).
@@ -28,7 +29,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,7 +40,7 @@ LOW = np.uint64(1 << 31)
 WORD_BITS = np.uint64(32)
 LANES, CHECKPOINT, BLOCK_IDS = 4096, 128, 1 << 20
 END_ID = 1
-#: Up to so many writing tasks, their offsets (24 bytes each) are broadcast.
+#: Up to so many ranges, their offsets (24 bytes each) are broadcast.
 BROADCAST_PARTS = 100_000
 BLOCK_SCHEMA = (
     "part long, start_in_part long, first_key long, n_docs long, n_ids long, doc_ids binary, nulls binary, lengths binary,"
@@ -147,24 +147,38 @@ def _part(docs: DataFrame, parts: int) -> Column:
     return F.coalesce(F.transform(F.array(c), lambda i: i * m + F.size(F.filter(F.get(fine, i), lambda b: b < doc)))[0], F.lit(0))
 
 
+def _parts(spark: SparkSession) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+
+
 def _sorted_tokens(docs: DataFrame, spec: str, end_id: int, text: str) -> Stored:
-    """doc_id, n_ids and ids (uint16 where the ids allow it), written in ascending doc_id order."""
+    """part (the range), start (ids before the document in its range), doc_id, n_ids and ids (uint16 where they allow it).
+
+    Each range is written in ascending doc_id order; tasks that read the table may get several ranges, or a piece of one.
+    """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(spec)
-    rows = docs.select("doc_id", F.col(text).alias("text"))
-    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    parts = _parts(spark)
+    rows = docs.select(_part(docs, parts).cast("int").alias("part"), "doc_id", F.col(text).alias("text"))
+    order = ["part", F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     width = 2 if max(_tok.encoder(spec).size, end_id) < 1 << 16 else 4
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _tok.encoder(shared.value, width)
         tail = np.array([end_id], f"<u{width}").tobytes()
+        part, before = -1, 0
         for batch in batches:
             for b in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
-                ids = [x + tail for x in enc.encode(b.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // width for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n_ids", "ids"])
-
-    made = rows.repartitionById(parts, _part(docs, parts)).sortWithinPartitions(*order).mapInArrow(run, "doc_id long, n_ids long, ids binary")
+                ids = [x + tail for x in enc.encode(b.column(2).to_pylist())]
+                counts, starts = [len(x) // width for x in ids], []
+                for p, n in zip(b.column(0).to_pylist(), counts, strict=True):
+                    if p != part:
+                        part, before = p, 0
+                    starts.append(before)
+                    before += n
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(starts, pa.int64()), b.column(1), pa.array(counts, pa.int64()), pa.array(ids, pa.binary())], names=["part", "start", "doc_id", "n_ids", "ids"])
+
+    made = rows.repartitionById(parts, F.col("part")).sortWithinPartitions(*order).mapInArrow(run, "part int, start long, doc_id long, n_ids long, ids binary")
     return Stored(made, "tokens", compression="zstd")
 
 
@@ -220,33 +234,47 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, text
     freq = scaled(_counts(tokens.df, size))
     spark.createDataFrame([(SCALE_BITS, freq.astype("<u4").tobytes())], "bits int, freq binary").coalesce(1).write.parquet(f"{path}/model")
     shared = spark.sparkContext.broadcast(freq)
+    parts = _parts(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, part, start = Model(shared.value), TaskContext.get().partitionId(), 0
+        model, part, start, n = Model(shared.value), 0, 0, 0
         doc_ids: list = []
         lengths: list[int] = []
         held: list[np.ndarray] = []
-        n = 0
+
+        def block() -> pa.RecordBatch:
+            nonlocal doc_ids, lengths, held, n
+            out = _arrow([_block(model, part, start, doc_ids, lengths, np.concatenate(held))], _BLOCK_ARROW)
+            doc_ids, lengths, held, n = [], [], [], 0
+            return out
+
         for b in batches:
-            counts = b.column(1).to_numpy()
-            keys, ends = b.column(0).to_pylist(), np.cumsum(counts)
-            ids = _ids_of(b.column(2), counts)
-            begin = 0
-            for i, end in enumerate(ends):
-                doc_ids.append(keys[i])
-                lengths.append(int(counts[i]))
-                if n + end - begin >= BLOCK_IDS:
+            counts = b.column(3).to_numpy()
+            ids = _ids_of(b.column(4), counts)
+            begin = end = 0
+            for p, s, key, count in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                if doc_ids and (p != part or s != start + n):  # another range, or another piece of it
+                    held.append(ids[begin:end])
+                    yield block()
+                    begin = end
+                if not doc_ids:
+                    part, start = p, s
+                doc_ids.append(key)
+                lengths.append(count)
+                n += count
+                end += count
+                if n >= BLOCK_IDS:
                     held.append(ids[begin:end])
-                    block = np.concatenate(held)
-                    yield _arrow([_block(model, part, start, doc_ids, lengths, block)], _BLOCK_ARROW)
-                    start += len(block)
-                    doc_ids, lengths, held, n, begin = [], [], [], 0, end
+                    yield block()
+                    begin = end
             held.append(ids[begin:])
-            n += len(ids) - begin
         if doc_ids:
-            yield _arrow([_block(model, part, start, doc_ids, lengths, np.concatenate(held))], _BLOCK_ARROW)
+            yield block()
 
-    tokens.df.mapInArrow(run, BLOCK_SCHEMA).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    blocks = tokens.df.mapInArrow(run, BLOCK_SCHEMA)
+    # a scan hands files out by size: the blocks, a fraction of the texts, go back to their ranges
+    blocks = blocks.repartitionById(parts, F.col("part").cast("int")).sortWithinPartitions("part", "start_in_part")
+    blocks.write.option("compression", "uncompressed").parquet(f"{path}/blocks")
     tokens.drop()
 
 
@@ -255,9 +283,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     blocks = spark.read.parquet(f"{path}/blocks")
     table = spark.read.parquet(f"{path}/model").first()
     shared = spark.sparkContext.broadcast((table.bits, table.freq))
-    parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"), F.min(F.struct(F.col("first_key").isNotNull(), "first_key", "start_in_part")).alias("k"))
-    # one row per writing task
-    before = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("k", "part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    # one row per range
+    before = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     if before.count() <= BROADCAST_PARTS:
         before = F.broadcast(before)
     made = blocks.join(before, "part").select((F.col("before") + F.col("start_in_part")).alias("start"), "n_ids", "doc_ids", "nulls", "lengths", "states", "places", "sums", "stream")

@@ -120,3 +120,21 @@ def test_ranges_rise_with_the_id(spark, parts):
     got = {p for _, p in known}  # many rows of one id may span a whole range, which then stays empty
     assert got <= set(range(parts)) and len(got) >= parts - 2
     assert [r.p for r in rows if r.doc_id is None] == [0]
+
+
+def test_files_are_in_order_of_doc_id_with_more_ranges_than_tasks(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(["word"] * int(n)) for n in rng.permutation(np.arange(1, 601) * 3)]
+    docs = docs_frame(spark, texts).repartition(7)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "48")
+    try:
+        rans.write(docs, f"{tmp_path}/f", WORD)
+        got = rans.read(spark, f"{tmp_path}/f").select("doc_id", "start", "n_ids", F.crc32("ids")).collect()
+        assert sorted(map(tuple, got)) == want_files(docs)
+        files = sorted((tmp_path / "f" / "blocks").glob("part-*.parquet"))
+        assert len(files) > 8
+        keys = [np.frombuffer(r.doc_ids, "<i8") for f in files for r in spark.read.parquet(str(f)).collect()]
+        assert np.concatenate(keys).tolist() == list(range(600))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
