@@ -11,12 +11,13 @@ two steps, so that a host's pages never meet in one task; every page takes part.
 A wrapper's text slots are main ones if they lie in an ``article`` (or else
 ``main``) and in no part that is a menu, header, footer, sidebar, notice, advert,
 form, comment or the like. Hosts, and pages, without such an element
-use the slots of the body whose text differs between the host's pages. Extraction
-keeps the texts of a page that fall in main slots.
+use the slots of the body that do not say the same on different pages of the host,
+or all if there are no others. Pages with equal text outside menus and the like are
+copies of one page. Extraction keeps the texts of a page that fall in main slots.
 
 Defined cases: a null or empty html has no text; a null url, or one without a
-host, belongs to the host named ''; repeated rows are pages each; a page that is
-the only one of its host has no constant slots; unclosed tags end where HTML has
+host, belongs to the host named ''; repeated rows are pages each; a page that is,
+but for copies of it, the only one of its host or the only one with a slot has it not constant; unclosed tags end where HTML has
 them end, unclosed comments and scripts at the page's end; extra columns are
 dropped; an empty table gives an empty result.
 """
@@ -135,13 +136,29 @@ def parse(page: str) -> list:
 
 
 # A wrapper node is [symbol, least, repeated, content]: content is the list of child nodes, or for a
-# text slot ('#') the text's digest, None once texts differ. A repeated group has the symbol '(...)'.
+# text slot ('#') the text's digest, None once texts differ. A slot has the digest of its page as a fifth
+# part, None once pages differ. A repeated group has the symbol '(...)'.
 SLOT = "#"
 
 
-def learn(tree: list) -> list:
+def learn(tree: list, page: str | None = None) -> list:
     """The wrapper of one page's node."""
-    return [tree[0], 1, 0, fold([[SLOT, 1, 0, hash_text(c)] if isinstance(c, str) else learn(c) for c in tree[1] if not isinstance(c, str) or not c.isspace()])]
+    if page is None:
+        page = hash_text(" ".join(_body_texts(tree)))
+    return [tree[0], 1, 0, fold([[SLOT, 1, 0, hash_text(c), page] if isinstance(c, str) else learn(c, page) for c in tree[1] if not isinstance(c, str) or not c.isspace()])]
+
+
+def _body_texts(tree: list) -> list[str]:
+    """The texts in no part that is a menu or the like."""
+    out: list[str] = []
+    left = [tree]
+    while left:
+        node = left.pop()
+        if isinstance(node, str):
+            out.append(node)
+        elif not is_aside(node[0]):
+            left += reversed(node[1])
+    return out
 
 
 def hash_text(text: str) -> str:
@@ -153,12 +170,12 @@ def hash_text(text: str) -> str:
 
 def _merge_node(a: list, b: list) -> list:
     if a[0] == SLOT:
-        return [SLOT, min(a[1], b[1]), a[2] | b[2], a[3] if a[3] == b[3] else None]
+        return [SLOT, min(a[1], b[1]), a[2] | b[2], a[3] if a[3] == b[3] else None, a[4] if a[4] == b[4] else None]
     return [a[0], min(a[1], b[1]), a[2] | b[2], merge_lists(a[3], b[3])]
 
 
 def _optional(node: list) -> list:
-    return [node[0], 0, node[2], node[3]]
+    return [node[0], 0, *node[2:]]
 
 
 def fold(nodes: list) -> list:
@@ -180,7 +197,7 @@ def fold(nodes: list) -> list:
                 body = [_merge_node(x, y) for x, y in zip(body, nodes[j : j + unit], strict=True)]
                 j += unit
             if unit == 1:
-                out.append([body[0][0], body[0][1], 1, body[0][3]])
+                out.append([*body[0][:2], 1, *body[0][3:]])
             else:
                 out.append([f"({' '.join(names)})", 1, 1, body])
             i = j
@@ -233,31 +250,34 @@ def pattern(node: list) -> str:
     return f"({body}){mark}" if mark and body[:1] != "(" else body + mark
 
 
-def _slots(nodes: list, path: tuple[str, ...]) -> Iterator[tuple[tuple[str, ...], str | None]]:
+def _slots(nodes: list, path: tuple[str, ...]) -> Iterator[tuple[tuple[str, ...], str | None, str | None]]:
     for n in nodes:
         if n[0] == SLOT:
-            yield path, n[3]
+            yield path, n[3], n[4]
         else:
             yield from _slots(n[3], path if n[0][:1] == "(" else (*path, n[0]))
 
 
-def main_slots(wrapper: list, pages: int) -> dict[str, list[list[str]]]:
+def main_slots(wrapper: list) -> dict[str, list[list[str]]]:
     """Paths of main slots: in articles, and those to use where a page has no text in them."""
     semantic: dict[str, list[list[str]]] = {"article": [], "main": []}
     rest: list[list[str]] = []
-    constant: dict[tuple[str, ...], bool] = {}
-    for path, text in _slots(wrapper[3], ()):
-        constant[path] = constant.get(path, True) and text is not None
-    for path, same in constant.items():
+    body: list[list[str]] = []
+    seen: dict[tuple[str, ...], dict[str | None, set[str | None]]] = {}
+    for path, text, page in _slots(wrapper[3], ()):
+        seen.setdefault(path, {}).setdefault(text, set()).add(page)
+    for path, texts in seen.items():
         if any(map(is_aside, path)):
             continue
         tags = {tag_of(s) for s in path} | {w for s in path for w in s.split(".")[1:] if w == "main"}
         for name, found in semantic.items():
             if name in tags:
                 found.append(list(path))
-        if not same or pages < 2:
+        body.append(list(path))
+        # constant: each of its texts is on different pages
+        if None in texts or any(len(pages) == 1 and None not in pages for pages in texts.values()):
             rest.append(list(path))
-    return {"main": semantic["article"] or semantic["main"], "rest": rest}
+    return {"main": semantic["article"] or semantic["main"], "rest": rest or body}
 
 
 def _texts(tree: list, path: tuple[str, ...], blocks: list[list]) -> None:
@@ -329,7 +349,7 @@ def infer(pages: DataFrame) -> DataFrame:
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     def final(key, table):
-        rows = _rows(_merged(zip(*(table.column(c).to_pylist() for c in ("host", "wrapper", "pages")), strict=True)), lambda w, n: (json.dumps(main_slots(w, n)), pattern(w)))
+        rows = _rows(_merged(zip(*(table.column(c).to_pylist() for c in ("host", "wrapper", "pages")), strict=True)), lambda w, n: (json.dumps(main_slots(w)), pattern(w)))
         names = ["host", "wrapper", "pages", "slots", "pattern"]
         return pa.Table.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=names)
 

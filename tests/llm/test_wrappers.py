@@ -73,3 +73,15 @@ def test_expressions():
 def test_classes_that_speak_of_the_page(spark):
     page = "<body class='home has-menu'><div class='page with-sidebar'><article><p>Text</p></article><div class='sidebar'><p>Bar</p></div></div></body>"
     assert text_of(spark, [("http://h/1", page)]) == ["Text"]
+
+
+def test_copies_of_a_page_without_article(spark):
+    page = "<html><body><nav>Menu</nav><div class=c><h2>Title</h2><p>Body text</p></div></body></html>"
+    other = "<html><body><nav>Menu</nav><div class=c><h2>{0}</h2><p>{0} text</p></div></body></html>"
+    want = "Title\nBody text"
+    assert text_of(spark, [("http://h/1", page)] * 3) == [want] * 3
+    assert text_of(spark, [("http://h/1", page), ("http://h/2", page.replace("Menu", "Menu 2"))]) == [want] * 2
+    form = "<html><body><div class=letter><pre>Only here</pre></div></body></html>"
+    assert text_of(spark, [("http://h/1", form)] * 2 + [(f"http://h/{i}", other.format(i)) for i in (2, 3)]) == ["Only here"] * 2 + ["2\n2 text", "3\n3 text"]
+    same = [f"<html><body><div>Shared</div><i class={c}></i></body></html>" for c in ("a", "b")]
+    assert text_of(spark, [("http://h/1", same[0]), ("http://h/2", same[1])]) == ["Shared"] * 2
