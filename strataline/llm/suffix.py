@@ -7,8 +7,10 @@ anchor's group wherever they are. Pieces that are alike as a whole are copies of
 their first one. What is left of the groups with different pieces goes through a
 suffix array with common-prefix lengths: a stack scan gives the interval tree,
 an interval whose occurrences differ in the byte before them is a maximal repeat
-(within the piece), and it is given with all its occurrences. Groups of more than
-``HOT`` pieces are dealt by the hash of each string instead, with the same result.
+(within the piece). ``repeats`` gives these and the repeated pieces with all their
+occurrences, those in copies too; groups of more than ``HOT`` pieces are dealt by the
+first ``length`` bytes of their suffixes there, and the removal, which needs the later
+places alone, deals them by the hash of each string.
 
 Places are ordered by doc_id, then start. Removed is each byte that a string of
 ``length`` bytes covers which also starts at an earlier place.
@@ -23,6 +25,7 @@ kept by ``apply``; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -171,9 +174,16 @@ def suffix_repeats(buf: np.ndarray, begin: np.ndarray, end: np.ndarray, length:
     return out
 
 
-def _repeats(strings: DataFrame, length: int) -> DataFrame:
-    """group, length, doc, start, first of all occurrences of the maximal repeats; strings: anchor, doc, lo, body, in groups by anchor."""
-    schema = pa.schema([("group", pa.int64()), ("length", pa.int32()), ("doc", pa.int64()), ("start", pa.int32()), ("first", pa.bool_())])
+GROUPS = "group long, length int, piece long, inner int"
+
+
+def _repeats(strings: DataFrame, length: int, by_piece: bool = False) -> DataFrame:
+    """group, length, doc, start, first of the maximal repeats among the first places of pieces; strings: anchor, doc, lo, body, in groups by anchor.
+
+    ``by_piece`` gives the piece and the place in it instead of doc, start and first (GROUPS).
+    """
+    where = [("piece", pa.int64()), ("inner", pa.int32())] if by_piece else [("doc", pa.int64()), ("start", pa.int32()), ("first", pa.bool_())]
+    schema = pa.schema([("group", pa.int64()), ("length", pa.int32()), *where])
 
     def scan(tables: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(tables)
@@ -189,6 +199,11 @@ def _repeats(strings: DataFrame, length: int) -> DataFrame:
         deep = np.repeat([d for d, _, _ in found], size)
         place, owner = np.concatenate([x for _, x, _ in found]), np.concatenate([x for _, _, x in found])
         number = np.repeat(np.arange(len(found)), size)
+        if by_piece:
+            prefix = t.prefix_hash(buf)
+            name = t.span_hash(prefix, place, place + deep).view(np.int64)
+            piece = t.span_hash(prefix, begin, ends).view(np.int64)[owner]
+            return pa.RecordBatch.from_arrays([pa.array(name), pa.array(deep.astype(np.int32)), pa.array(piece), pa.array((place - begin[owner]).astype(np.int32))], schema=schema)
         docs, start = doc[owner], lo[owner] + place - begin[owner]
         order = np.lexsort((start, docs, number))
         head = order[np.concatenate(([0], np.cumsum(size)[:-1]))][number]
@@ -218,11 +233,11 @@ def _repeats(strings: DataFrame, length: int) -> DataFrame:
         del held
         t.release()
 
-    return strings.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "group long, length int, doc long, start int, first boolean")
+    return strings.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, GROUPS if by_piece else "group long, length int, doc long, start int, first boolean")
 
 
 def _hot_repeats(strings: DataFrame, length: int) -> DataFrame:
-    """As _repeats, string by string: the places of each string of ``length`` bytes that occurs again."""
+    """For the removal: string by string, the places of each string of ``length`` bytes that occurs again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,8 +259,103 @@ def _hot_repeats(strings: DataFrame, length: int) -> DataFrame:
     return each.join(heads, ["group", "anchor"]).select("group", F.lit(length).alias("length"), "doc", "start", first.alias("first"))
 
 
+def _hot_groups(strings: DataFrame, length: int) -> DataFrame:
+    """As _repeats by piece, in groups of suffixes with equal first ``length`` bytes: sorted by Spark, scanned as they come."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
+                body = [x.as_py() for x in b.column(3)]
+                size = np.array([len(x) for x in body])
+                counts = size - length + 1
+                begin, bounds = np.cumsum(size) - size, np.concatenate(([0], np.cumsum(counts)))
+                buf = np.frombuffer(b"".join(body), np.uint8)
+                owner = np.repeat(np.arange(len(size)), counts)
+                inner = np.arange(bounds[-1]) - bounds[owner]
+                place = begin[owner] + inner
+                prefix = t.prefix_hash(buf)
+                head = t.span_hash(prefix, place, place + length).view(np.int64)
+                piece = t.span_hash(prefix, begin, begin + size).view(np.int64)[owner]
+                before = np.where(inner > 0, buf[np.maximum(place - 1, 0)].astype(np.int32), -1).astype(np.int32)
+                tails = [body[o][i:] for o, i in zip(owner.tolist(), inner.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner)), pa.array(head), pa.array(piece), pa.array(inner.astype(np.int32)), pa.array(before), pa.array(tails, pa.binary())], names=["anchor", "head", "piece", "inner", "before", "suffix"])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces, inners, turns, stack = array("q"), array("i"), array("q"), []
+        last, last_before = b"", -1
+
+        def step(now: int, at: int, found: list) -> None:
+            i = len(pieces)
+            left = i - 1
+            while stack and stack[-1][0] > now:
+                depth, left = stack.pop()
+                if turns[i - 1] != turns[left]:
+                    found.append((depth, at, np.array(pieces[left:i]), np.array(inners[left:i])))
+            if now and (not stack or stack[-1][0] < now):
+                stack.append((now, left))
+
+        def rows(buf: np.ndarray, found: list) -> pa.RecordBatch:
+            depth, at = (np.array([f[k] for f in found], np.int64) for k in (0, 1))
+            size = np.array([len(f[2]) for f in found])
+            name = t.span_hash(t.prefix_hash(buf), at, at + depth).view(np.int64)
+            cols = [np.repeat(name, size), np.repeat(depth.astype(np.int32), size), np.concatenate([f[2] for f in found]), np.concatenate([f[3] for f in found]).astype(np.int32)]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["group", "length", "piece", "inner"])
+
+        for batch in batches:
+            for b in (batch.slice(i, 2000) for i in range(0, batch.num_rows, 2000)):
+                body = [last, *(x.as_py() for x in b.column(5))]
+                sizes = np.array([len(x) for x in body])
+                starts = (np.cumsum(sizes) - sizes).tolist()
+                buf = np.frombuffer(b"".join(body), np.uint8)
+                wide = int(sizes.max())
+                table = np.frombuffer(b"".join(x.ljust(wide, b"\0") for x in body), np.uint8).reshape(-1, wide)
+                differ = np.concatenate((table[1:] != table[:-1], np.ones((len(table) - 1, 1), bool)), 1)
+                lcp = np.minimum(np.minimum(differ.argmax(1), sizes[1:]), sizes[:-1]).tolist()
+                found: list = []
+                for k, (piece, inner, before) in enumerate(zip(*(b.column(c).to_pylist() for c in (2, 3, 4)), strict=True)):
+                    now = lcp[k] if lcp[k] >= length else 0
+                    step(now, starts[k], found)
+                    if not now:
+                        del pieces[:], inners[:], turns[:]
+                    turns.append((turns[-1] + (before < 0 or before != last_before)) if turns else 0)
+                    pieces.append(piece)
+                    inners.append(inner)
+                    last_before = before
+                    if sum(len(f[2]) for f in found[-1:]) > 50_000 or len(found) > 2000:
+                        yield rows(buf, found)
+                        found = []
+                last = body[-1]
+                if found:
+                    yield rows(buf, found)
+        found = []
+        step(0, 0, found)
+        if found:
+            yield rows(np.frombuffer(last, np.uint8), found)
+        t.release()
+
+    each = strings.mapInArrow(split, "anchor long, head long, piece long, inner int, before int, suffix binary")
+    return each.repartition("anchor", "head").sortWithinPartitions("anchor", "head", "suffix").mapInArrow(scan, GROUPS)
+
+
 def repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
-    """All occurrences of the repeats found: group, length, doc, start (byte), and whether the place is the group's first."""
+    """All occurrences of the repeats, maximal within a piece: group, length, doc, start (byte), and whether the place is the group's first."""
+    found, strings = _marked(docs, text, length, every=True)
+    places = found.df.select("piece", "n", "doc", "lo").distinct()
+    again = places.groupBy("piece").agg(F.count("*").alias("times")).filter("times > 1").select("piece")
+    classes = places.join(again, "piece").select(F.col("piece").alias("group"), (F.col("n") + length - 1).alias("length"), "doc", F.col("lo").alias("start"))
+    groups = _repeats(strings.filter(F.col("pieces") <= HOT).drop("pieces"), length, by_piece=True)
+    if not found.df.filter((F.col("pieces") > HOT) & F.col("many") & ~F.col("copy")).isEmpty():
+        groups = groups.unionByName(_hot_groups(strings.filter(F.col("pieces") > HOT).drop("pieces"), length))
+    # a piece stands for its copies
+    inside = groups.join(places, "piece").select("group", "length", "doc", (F.col("lo") + F.col("inner")).alias("start"))
+    out = Stored(classes.unionByName(inside).distinct(), "repeats").df
+    heads = out.groupBy("group").agg(F.min(F.struct("doc", "start")).alias("head"))
+    first = (F.col("doc") == F.col("head.doc")) & (F.col("start") == F.col("head.start"))
+    return out.join(heads, "group").select("group", "length", "doc", "start", first.alias("first"))
+
+
+def _marked(docs: DataFrame, text: str, length: int, every: bool = False) -> tuple[Stored, DataFrame]:
+    """The pieces, ``every`` one or those that the removal needs, and the texts of first places in groups of different pieces."""
     small_batches(docs.sparkSession)
     class_ = Window.partitionBy("anchor", "piece").orderBy("doc", "lo").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     group = Window.partitionBy("anchor")
@@ -256,9 +366,9 @@ def repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFr
         .withColumn("pieces", F.count("*").over(group))
         .withColumn("copy", F.col("copy") | (F.col("doc") != F.col("head.doc")) | (F.col("lo") != F.col("head.lo")))
     )
-    found = Stored(marked.filter("copy OR many").select("anchor", "piece", "doc", "lo", "n", "copy", "pieces"), "pieces")
-    copies = found.df.filter("copy").select(F.col("piece").alias("group"), (F.col("n") + length - 1).alias("length"), "doc", F.col("lo").alias("start"), F.lit(False).alias("first"))
-    wanted = found.df.filter("NOT copy").groupBy("doc").agg(F.collect_list(F.struct("anchor", "piece", "lo", "n", "pieces")).alias("p"))
+    names = ["anchor", "piece", "doc", "lo", "n", "copy", "pieces"]
+    found = Stored(marked.select(*names, "many") if every else marked.filter("copy OR many").select(*names), "pieces")
+    wanted = found.df.filter("NOT copy AND many" if every else "NOT copy").groupBy("doc").agg(F.collect_list(F.struct("anchor", "piece", "lo", "n", "pieces")).alias("p"))
     rows = docs.select(F.col("doc_id").alias("doc"), F.col(text).alias("text")).join(wanted, "doc")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,16 +395,24 @@ def repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFr
         t.release()
 
     strings = rows.mapInArrow(cut, "anchor long, doc long, lo int, body binary, pieces long")
-    out = copies.unionByName(_repeats(strings.filter(F.col("pieces") <= HOT).drop("pieces"), length))
+    return found, strings
+
+
+def _later(docs: DataFrame, text: str, length: int) -> DataFrame:
+    """doc, start and length of the repeats at later places, for the removal."""
+    found, strings = _marked(docs, text, length)
+    copies = found.df.filter("copy").select("doc", F.col("lo").alias("start"), (F.col("n") + length - 1).alias("length"))
+    later = lambda df: df.filter("NOT first").select("doc", "start", "length")
+    out = copies.unionByName(later(_repeats(strings.filter(F.col("pieces") <= HOT).drop("pieces"), length)))
     # only where there are such groups, so that others need no second pass
     if found.df.filter((F.col("pieces") > HOT) & ~F.col("copy")).isEmpty():
         return out
-    return out.unionByName(_hot_repeats(strings.filter(F.col("pieces") > HOT).drop("pieces"), length))
+    return out.unionByName(later(_hot_repeats(strings.filter(F.col("pieces") > HOT).drop("pieces"), length)))
 
 
 def _with_spans(docs: DataFrame, text: str, length: int) -> DataFrame:
     """``docs`` and ``__spans``: the repeats at later places, unmerged, by start; null if there are none."""
-    later = repeats(docs, text, length).filter("NOT first").select(F.col("doc").alias("__doc"), F.struct("start", (F.col("start") + F.col("length")).alias("stop")).alias("s"))
+    later = _later(docs, text, length).select(F.col("doc").alias("__doc"), F.struct("start", (F.col("start") + F.col("length")).alias("stop")).alias("s"))
     spans = later.distinct().groupBy("__doc").agg(F.sort_array(F.collect_list("s")).alias("__spans"))
     return docs.withColumn("__id", F.col("doc_id")).join(spans, F.col("__id") == F.col("__doc"), "left").drop("__id", "__doc")
 

@@ -104,3 +104,26 @@ def test_stack_scan_finds_maximal_repeats(texts):
         if len(places) > 1 and varied(left) and varied(right):
             want.add((s, tuple(sorted(p[0] for p in places))))
     assert got == want
+
+
+def test_repeats_give_first_places_and_copies(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "HELD", 50)
+    monkeypatch.setattr(suffix, "ARRAY_BYTES", 2000)
+    texts = [x for x in nasty() if len(x or "") < 3000]
+    raw = [(x or "").encode() for x in texts]
+    docs = docs_frame(spark, texts).repartition(5)
+    got = {}
+    for hot in (4096, 5):
+        monkeypatch.setattr(suffix, "HOT", hot)
+        rows = suffix.repeats(docs).collect()
+        groups = {}
+        for r in rows:
+            groups.setdefault((r.group, r.length), []).append(r)
+        for g in groups.values():
+            r = g[0]
+            s = raw[r.doc][r.start : r.start + r.length]
+            want = [(i, k) for i, x in enumerate(raw) for k in range(len(x) - len(s) + 1) if x.startswith(s, k)]
+            assert sorted((x.doc, x.start) for x in g) == want and len(want) > 1
+            assert [(x.doc, x.start) for x in g if x.first] == want[:1]
+        got[hot] = {(r.group, r.length, r.doc, r.start) for r in rows}
+    assert got[4096] == got[5] and len({k[:2] for k in got[5]}) > 20
