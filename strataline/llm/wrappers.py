@@ -62,7 +62,7 @@ TOKEN = re.compile(
 )
 ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 MAX_UNIT = 6
-#: Elements nested deeper than this are taken for siblings.
+#: Texts nested deeper than this stand side by side at this depth, with what their elements say of them (``_deep``).
 MAX_DEPTH = 100
 #: Wrappers of all hosts together are broadcast up to so many bytes, else joined by shuffle.
 BROADCAST_BYTES = 8 << 20
@@ -81,8 +81,20 @@ def tag_of(sym: str) -> str:
     return sym.partition(".")[0]
 
 
+def _deep(above: str, sym: str) -> str:
+    """The symbol of a text in an element below MAX_DEPTH: the element's after what counts of the ones around it."""
+    marks = [m for m in above.split(">") if m in ("article", "main", "aside")][:3]
+    own = above.rpartition(">")[2]
+    for mark, here in (("article", tag_of(own) == "article"), ("main", tag_of(own) == "main" or "main" in own.split(".")[1:]), ("aside", is_aside(own))):
+        if here and mark not in marks:
+            marks.append(mark)
+    return ">".join(["", *marks, sym])
+
+
 def is_aside(sym: str) -> bool:
     """Whether an element is no main text; classes such as with-sidebar speak of the page, not of the element."""
+    if ">" in sym:
+        return any(map(is_aside, sym.split(">")))
     tag, *words = sym.split(".")
     if tag in ("html", "body") or not LAYOUT_WORDS.isdisjoint(words):
         words = []
@@ -93,45 +105,68 @@ def parse(page: str) -> list:
     """The page's tree: [symbol, children], texts as strings."""
     root: list = ["", []]
     stack = [root]
+    tags = [""]
+    places: dict[str, list[int]] = {}  # where each tag is open
+
+    def last(names) -> int:
+        return max((places[n][-1] for n in names if places.get(n)), default=0)
+
+    def cut(i: int) -> None:
+        if any(t in BLOCKS for t in tags[max(i, MAX_DEPTH) :]):
+            stack[MAX_DEPTH - 1][1].append(["hr", []])
+        for t in tags[i:]:
+            places[t].pop()
+        del stack[i:], tags[i:]
 
     def close(names: set[str] | frozenset[str], until: set[str] | frozenset[str]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            tag = tag_of(stack[i][0])
-            if tag in until:
-                return
-            if tag in names:
-                del stack[i:]
-                return close(names, until)
+        while (i := last(names)) and i > last(until):
+            cut(i)
+
+    def here() -> list:
+        """Where a text goes, or an element that stays empty."""
+        if len(stack) <= MAX_DEPTH:
+            return stack[-1][1]
+        side = stack[MAX_DEPTH - 1][1]
+        if not side or side[-1][0] != stack[-1][0] or isinstance(side[-1], str):
+            side.append([stack[-1][0], []])
+        return side[-1][1]
 
     for m in TOKEN.finditer(page):
         text = m["text"]
         if text is not None:
-            here = stack[-1][1]
-            if here and isinstance(here[-1], str):
-                here[-1] += text
+            at = here()
+            if at and isinstance(at[-1], str):
+                at[-1] += text
             else:
-                here.append(text)
+                at.append(text)
             continue
         tag = m["tag"]
         if tag is None:
             continue
         tag = tag.lower()
         if m["end"]:
-            for i in range(len(stack) - 1, 0, -1):
-                if tag_of(stack[i][0]) == tag:
-                    del stack[i:]
-                    break
+            if places.get(tag):
+                cut(places[tag][-1])
             continue
         if tag in ENDS_P:
             close({"p"}, {"td", "th", "button", "table", "body"})
         if tag in IMPLIED:
             close(*IMPLIED[tag])
-        if tag in ("html", "body") and any(tag_of(x[0]) == tag for x in stack):
+        if tag in ("html", "body") and places.get(tag):
             continue
         node: list = [symbol(tag, m["attrs"]), []]
-        stack[-1][1].append(node)
-        if tag not in VOID and len(stack) < MAX_DEPTH and not (m["attrs"] or "").endswith("/"):
-            stack.append(node)
+        if tag in VOID or (m["attrs"] or "").endswith("/"):
+            here().append(node)
+            continue
+        if len(stack) < MAX_DEPTH:
+            stack[-1][1].append(node)
+        else:
+            if tag in BLOCKS:
+                stack[MAX_DEPTH - 1][1].append(["hr", []])
+            node[0] = _deep(stack[-1][0] if len(stack) > MAX_DEPTH else "", node[0])
+        places.setdefault(tag, []).append(len(stack))
+        stack.append(node)
+        tags.append(tag)
     return root
 
 
@@ -269,7 +304,8 @@ def main_slots(wrapper: list) -> dict[str, list[list[str]]]:
     for path, texts in seen.items():
         if any(map(is_aside, path)):
             continue
-        tags = {tag_of(s) for s in path} | {w for s in path for w in s.split(".")[1:] if w == "main"}
+        parts = [s for x in path for s in x.split(">")]
+        tags = {tag_of(s) for s in parts} | {w for s in parts for w in s.split(".")[1:] if w == "main"}
         for name, found in semantic.items():
             if name in tags:
                 found.append(list(path))

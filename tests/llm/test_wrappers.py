@@ -85,3 +85,12 @@ def test_copies_of_a_page_without_article(spark):
     assert text_of(spark, [("http://h/1", form)] * 2 + [(f"http://h/{i}", other.format(i)) for i in (2, 3)]) == ["Only here"] * 2 + ["2\n2 text", "3\n3 text"]
     same = [f"<html><body><div>Shared</div><i class={c}></i></body></html>" for c in ("a", "b")]
     assert text_of(spark, [("http://h/1", same[0]), ("http://h/2", same[1])]) == ["Shared"] * 2
+
+
+def test_deep_pages_are_whole(spark):
+    deep = lambda n, x: "<div>" * n + x + "</div>" * n
+    page = "<div><article>{}<p>rest</p></article></div><div>no</div>"
+    for n in (10, 97, 98, 99, 110, 3000):
+        inner = "a <b>b</b> c<br>d<div>e<p>f</p>g</div>h<div class=sidebar>x<p>y</p></div><ul><li>i<li>j</ul>"
+        assert text_of(spark, [("http://h/1", page.format(deep(n, inner)))]) == ["a b c d\ne\nf\ng\nh\ni\nj\nrest"], n
+        assert text_of(spark, [("http://h/1", deep(n, "<p>n</p><article>t<div><i>u</i></div></article><p>o</p>"))]) == ["t\nu"], n
