@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 #: Phrases whose every place counts, with their labels.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 #: A text without any of these has no detection; each keyword of a rule contains one of them.
-STEMS = ("licen", "copyright", "rights", "gpl", "fdl", "commons", "cc ", "cc0", "public domain", "warrant", "redistribut", "permission", "spdx", "copyleft", "patent", "confidential", "proprietary")
+STEMS = ("licen", "copyright", "rights", "gpl", "fdl", "wtfpl", "commons", "cc ", "cc0", "public domain", "warrant", "redistribut", "permission", "spdx", "copyleft", "patent", "confidential", "proprietary", "unauthori", "merchantab")
 
 
 @dataclass(frozen=True)
@@ -153,7 +153,7 @@ def rules() -> tuple[Rule, ...]:
         ("zlib", "licen", "zlib(?: libpng)? licen[sc]e", 1.0),
         ("unlicense", "licen", "(?:the )?unlicense", 0.8),
         ("wtfpl", "licen", "do what the fuck you want to public licen[sc]e", 1.0),
-        ("wtfpl", "licen", "wtfpl(?: licen[sc]e)?", 0.8),
+        ("wtfpl", "wtfpl", "wtfpl(?: licen[sc]e)?", 0.8),
         ("beerware", "licen", "beer ?ware licen[sc]e", 0.9),
         ("public-domain", "public domain", "(?:released|dedicated|placed|is) (?:in|into|to) the public domain", 0.9),
         ("public-domain", "public domain", "public domain(?: work| dedication)?", 0.5),
@@ -162,14 +162,14 @@ def rules() -> tuple[Rule, ...]:
         ("proprietary", "confidential", "confidential and proprietary", 0.8),
         ("proprietary", "licen", "commercial licen[sc]e", 0.5),
         ("proprietary", "permission", "may not be (?:reproduced|copied|redistributed|distributed) without (?:the )?(?:prior )?(?:written |express )?permission", 0.8),
-        ("proprietary", "redistribut", "unauthori[sz]ed (?:copying|reproduction|redistribution)", 0.7),
+        ("proprietary", "unauthori", "unauthori[sz]ed (?:copying|reproduction|redistribution)", 0.7),
         ("reserved", "rights", "all rights (?:are )?reserved", 0.8),
         ("reserved", "rights", "some rights reserved", 0.6),
         ("copyright", "copyright", "copyright (?:c )?(?:©? ?)?(?:19|20)[0-9][0-9](?: (?:19|20)[0-9][0-9])?", 0.7),
         ("copyright", "copyright", "copyright (?:©|c|by)", 0.5),
         ("no-warranty", "warrant", "without (?:any )?warrant(?:y|ies) of any kind", 0.6),
         ("no-warranty", "warrant", "provided as is without warrant(?:y|ies)", 0.6),
-        ("no-warranty", "warrant", "merchantability (?:or|and) fitness for a particular purpose", 0.6),
+        ("no-warranty", "merchantab", "merchantability (?:or|and) fitness for a particular purpose", 0.6),
         ("patent", "patent", "patent (?:licen[sc]e|grant)", 0.5),
         ("copyleft", "copyleft", "(?:strong |weak )?copyleft(?: licen[sc]e)?", 0.5),
         ("permissive", "licen", "permissive(?: open source)? licen[sc]e", 0.4),

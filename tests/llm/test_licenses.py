@@ -57,3 +57,34 @@ def test_hundreds_of_rules():
     for r in rules:
         re.compile(r.pattern)
         assert any(s in r.keyword or r.keyword in s for s in licenses.STEMS), r
+
+
+def _matches(parsed):
+    """Texts that a pattern matches, with every choice of its branches and optional parts; of larger character sets one."""
+    out = [""]
+    for op, arg in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            more = [chr(arg)]
+        elif op == "IN":
+            more = [chr(v) if str(k) == "LITERAL" else chr(v[0]) for k, v in arg]
+        elif op == "BRANCH":
+            more = [x for branch in arg[1] for x in _matches(branch)]
+        elif op == "SUBPATTERN":
+            more = _matches(arg[3])
+        else:
+            assert op == "MAX_REPEAT" and arg[1] == 1, (op, arg)
+            more = ["", *_matches(arg[2])]
+        out = [a + b for a in out for b in more]
+    return out
+
+
+def test_keyword_stem_and_hint_are_in_all_that_a_rule_matches(spark):
+    for r in licenses.rules():
+        texts = _matches(re._parser.parse(r.pattern))
+        assert texts
+        for x in texts:
+            canon = f" {x} "
+            assert r.keyword in canon and r.hint in canon and any(s in canon for s in licenses.STEMS), (r, x)
+    row = licenses.scan(docs_frame(spark, ["This tool is released under the WTFPL."])).first()
+    assert row.labels == "wtfpl" and row.score == 0.8 and len(row.detections) == 1
