@@ -1,7 +1,8 @@
 """Intermediate tables in the folder that driver and executors share.
 
-The folder is the session's ``spark.checkpoint.dir``. Only where that is unset
-(tests, a notebook) a local folder is made and set.
+The folder is the session's ``spark.checkpoint.dir``. Where that is unset, a local
+folder is made and set if driver and executors are one machine (tests, a notebook);
+on a cluster its absence is an error.
 """
 
 from __future__ import annotations
@@ -18,11 +19,24 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder of this session, without a trailing slash."""
     found = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="strataline-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of ``df`` has, in any case, for helper columns."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Hand texts to Python workers ``rows`` at a time, where the session still has Spark's own 10000.
 

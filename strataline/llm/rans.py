@@ -40,6 +40,8 @@ LOW = np.uint64(1 << 31)
 WORD_BITS = np.uint64(32)
 LANES, CHECKPOINT, BLOCK_IDS = 4096, 128, 1 << 20
 END_ID = 1
+#: A range of doc_ids holds about so many bytes of text.
+RANGE_BYTES = 256 << 20
 #: Up to so many ranges, their offsets (24 bytes each) are broadcast.
 BROADCAST_PARTS = 100_000
 BLOCK_SCHEMA = (
@@ -129,37 +131,49 @@ class Model:
         return out
 
 
-def _part(docs: DataFrame, parts: int) -> Column:
-    """The range of doc_ids that a row belongs to, of about as many rows each; null is in the first.
+def _part(docs: DataFrame, parts: int, text: str = "text") -> Column:
+    """The range of doc_ids that a row belongs to, of about as many rows each; null is before all ids.
 
     The bounds come from the ids alone: a range partitioning of Spark's own would read the texts twice. They
-    are searched in two steps of about the square root of their number.
+    are searched in two steps of about the square root of their number. An id that is several bounds in a row
+    has so many rows that its ranges share them by the hash of the text, in the order that they have in the files.
     """
-    bounds = docs.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.25 / parts) if parts > 1 else []
+    key = F.coalesce(F.col("doc_id").cast("double"), F.lit(-math.inf))
+    bounds = docs.select(key.alias("k")).approxQuantile("k", [i / parts for i in range(1, parts)], 0.25 / parts) if parts > 1 else []
     if not bounds:
         return F.lit(0)
     m = math.ceil(math.sqrt(len(bounds) + 1))
     groups = [bounds[i : i + m] for i in range(0, len(bounds), m)]
-    doc = F.col("doc_id").cast("double")
     coarse = F.array(*[F.lit(g[-1] if len(g) == m else math.inf) for g in groups])
     fine = F.array(*[F.array(*[F.lit(b) for b in (g[: m - 1] or [math.inf])]) for g in [*groups, []]])
-    c = F.size(F.filter(coarse, lambda b: b < doc))
-    return F.coalesce(F.transform(F.array(c), lambda i: i * m + F.size(F.filter(F.get(fine, i), lambda b: b < doc)))[0], F.lit(0))
 
+    def count(below) -> Column:
+        """How many bounds are below."""
+        c = F.size(F.filter(coarse, lambda b: below(b)))
+        return F.transform(F.array(c), lambda i: i * m + F.size(F.filter(F.get(fine, i), lambda b: below(b))))[0]
 
-def _parts(spark: SparkSession) -> int:
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    low = count(lambda b: b < key)
+    ties = sorted({b for b, c in zip(bounds, bounds[1:], strict=False) if b == c and (abs(b) < 2**53 or b == -math.inf)})
+    if not ties:  # a bound is the last of its range
+        return low
+    share = (F.shiftright(F.xxhash64(text), 32).cast("double") + 2**31) / 2**32
+    return F.when(key.isin(ties), low + F.floor(share * (count(lambda b: b <= key) - low))).otherwise(low)
 
 
-def _sorted_tokens(docs: DataFrame, spec: str, end_id: int, text: str) -> Stored:
+def _parts(docs: DataFrame, text: str) -> int:
+    """Ranges of about RANGE_BYTES of text, and no fewer than the session's shuffle partitions."""
+    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_BYTES), 1)
+
+
+def _sorted_tokens(docs: DataFrame, spec: str, end_id: int, text: str, parts: int) -> Stored:
     """part (the range), start (ids before the document in its range), doc_id, n_ids and ids (uint16 where they allow it).
 
     Each range is written in ascending doc_id order; tasks that read the table may get several ranges, or a piece of one.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(spec)
-    parts = _parts(spark)
-    rows = docs.select(_part(docs, parts).cast("int").alias("part"), "doc_id", F.col(text).alias("text"))
+    rows = docs.select(_part(docs, parts, text).cast("int").alias("part"), "doc_id", F.col(text).alias("text"))
     order = ["part", F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     width = 2 if max(_tok.encoder(spec).size, end_id) < 1 << 16 else 4
 
@@ -229,12 +243,12 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, text
     spark = docs.sparkSession
     small_batches(spark)
     spec = _tok.spec(tokenizer)
-    tokens = _sorted_tokens(docs, spec, end_id, text)
+    parts = _parts(docs, text)
+    tokens = _sorted_tokens(docs, spec, end_id, text, parts)
     size = max(_tok.encoder(spec).size, end_id + 1)
     freq = scaled(_counts(tokens.df, size))
     spark.createDataFrame([(SCALE_BITS, freq.astype("<u4").tobytes())], "bits int, freq binary").coalesce(1).write.parquet(f"{path}/model")
     shared = spark.sparkContext.broadcast(freq)
-    parts = _parts(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, part, start, n = Model(shared.value), 0, 0, 0

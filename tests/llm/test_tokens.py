@@ -113,7 +113,7 @@ def test_scaled_keeps_rare_ids():
 @pytest.mark.parametrize("parts", [1, 2, 3, 4, 5, 10, 17])
 def test_ranges_rise_with_the_id(spark, parts):
     ids = [*range(0, 3000, 7), None, -5, 10**15, 10**15 + 1, *([500] * 40)]
-    df = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+    df = spark.createDataFrame([(i, f"text {n}") for n, i in enumerate(ids)], "doc_id long, text string")
     rows = df.select("doc_id", rans._part(df, parts).cast("int").alias("p")).collect()
     known = sorted((r.doc_id, r.p) for r in rows if r.doc_id is not None)
     assert [p for _, p in known] == sorted(p for _, p in known)
@@ -122,6 +122,28 @@ def test_ranges_rise_with_the_id(spark, parts):
     assert [r.p for r in rows if r.doc_id is None] == [0]
 
 
+@pytest.mark.parametrize("hot", [77, None])
+def test_rows_of_one_id_are_dealt_over_ranges(spark, hot, tmp_path):
+    texts = [f"t{i} of many words" for i in range(900)]
+    docs = docs_frame(spark, texts).withColumn("doc_id", F.when(F.col("doc_id") % 3 == 0, F.lit(hot)).otherwise(F.col("doc_id")))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), rans._part(docs, 12).cast("int").alias("p")).collect()
+    ordered = sorted(rows, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.h))
+    assert [r.p for r in ordered] == sorted(r.p for r in rows)
+    sizes = np.bincount([r.p for r in rows], minlength=12)
+    assert sizes.max() < 300 and sizes.sum() == 900
+
+
+@pytest.mark.parametrize("parts", [1, 8, 64])
+def test_rans_query_with_other_numbers_of_partitions(spark, parts):
+    sf, old = "/root/testdata/sf0.01", spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        got = [tuple(r)[:4] for r in rans.op1_token_files(spark, sf).orderBy("start").collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert got == want_files(spark.read.parquet(f"{sf}/documents.parquet"))
+
+
 def test_files_are_in_order_of_doc_id_with_more_ranges_than_tasks(spark, tmp_path):
     rng = np.random.default_rng(3)
     texts = [" ".join(["word"] * int(n)) for n in rng.permutation(np.arange(1, 601) * 3)]
