@@ -1,14 +1,16 @@
 """BPE encoding through a table of distinct words, and decoding through an id-to-piece join.
 
 Documents are packed in chunks, and chunks dealt to blocks by a hash. Each block
-lists its distinct words, bucketed by word hash; a bucket gathers the lists of
-all blocks, encodes each distinct word once and hands every block the ids of
+lists its distinct words, bucketed by word hash; a bucket goes through the lists of
+all blocks one by one, encodes each distinct word once and hands every block the ids of
 its own words. These join back by position: a document is the run of its words'
 ids. Decoding takes each id's piece from the vocabulary by position in a join of
 flat arrays, and cuts the pieces' bytes at the documents' bounds.
 
-A block holds about ``BLOCK_BYTES`` of text, a bucket the words of about as much
-text; the numbers of both follow from the size of the input.
+A block holds about ``BLOCK_BYTES`` of text; the number of blocks follows from the size of the
+input, that of buckets does not grow beyond ``BUCKETS``, so that the rows that blocks and
+buckets exchange grow with the input, not with its square. A bucket holds one list and
+its table of distinct words; a table of more than ``TABLE_WORDS`` words is begun anew.
 
 Defined cases: a null or empty text has no ids and decodes to the empty text;
 repeated rows and equal ids are encoded row by row; a text longer than a chunk
@@ -35,6 +37,7 @@ from strataline.llm._store import small_batches
 from strataline.llm._text import release
 
 BLOCK_BYTES, CHUNK_BYTES = 8 << 20, 1 << 20
+BUCKETS, TABLE_WORDS = 2048, 2_000_000
 
 
 def _pack(items: list[bytes]) -> bytes:
@@ -74,17 +77,18 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", block_bytes: int
     rows = docs.select("doc_id", F.col(text).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // block_bytes), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = min(n, BUCKETS)
     chunk = min(CHUNK_BYTES, block_bytes)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Runs of rows as one row each, dealt to blocks by the checksum of their texts."""
+        """Runs of rows as one row each, dealt to blocks by a checksum of their doc_ids and texts."""
         ids: list = []
         texts: list[bytes] = []
         size = 0
 
         def row() -> pa.RecordBatch:
             body = _pack(texts)
-            block = zlib.crc32(body) % n
+            block = zlib.crc32(body, zlib.crc32(str(ids).encode())) % n
             return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([body], pa.binary())], names=["block", "doc_ids", "texts"])
 
         for b in batches:
@@ -119,7 +123,7 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", block_bytes: int
 
         def add(word: str) -> None:
             raw = word.encode()
-            by.setdefault(zlib.crc32(raw) % n, []).append(raw)
+            by.setdefault(zlib.crc32(raw) % buckets, []).append(raw)
 
         seen = _New(add)
         for w in words_of(enc, ordered(table).column("texts")):
@@ -128,27 +132,30 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", block_bytes: int
         block = pa.array([key[0].as_py()] * len(by), pa.int64())
         return pa.Table.from_arrays([block, pa.array(by, pa.int64()), pa.array(map(_pack, by.values()), pa.binary())], names=["block", "bucket", "words"])
 
-    def encoded(key, table):
-        """A bucket: each distinct word is encoded once, each block gets its words' ids."""
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Buckets one after the other: each distinct word is encoded once, each block gets its words' ids."""
         enc = _tok.encoder(shared.value, width)
-        lists = [_unpack(x.as_py()) for x in table.column("words")]
-        ids = dict.fromkeys(w for x in lists for w in x)
-        known = list(ids)
-        for i in range(0, len(known), 20_000):
-            part = known[i : i + 20_000]
-            ids.update(zip(part, enc.encode_words([w.decode() for w in part]), strict=True))
-        got = pa.array([_pack([ids[w] for w in x]) for x in lists], pa.binary())
+        known: dict[bytes, bytes] = {}
+        last = -1
+        for b in batches:
+            for block, bucket, packed_words in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if bucket != last or len(known) > TABLE_WORDS:
+                    known, last = {}, bucket
+                words = _unpack(packed_words)
+                new = [w for w in words if w not in known]
+                known.update(zip(new, enc.encode_words([w.decode() for w in new]), strict=True))
+                body = _pack([known[w] for w in words])
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([bucket], pa.int64()), pa.array([body], pa.binary())], names=["block", "bucket", "ids"])
         enc.pieces_seen.clear()
-        del lists, ids, known
+        del known
         release()
-        return pa.Table.from_arrays([table.column("block"), table.column("bucket"), got], names=["block", "bucket", "ids"])
 
     def joined(key, docs, table):
         """A block: its words' ids join back by position."""
         enc = _tok.encoder(shared.value, width)
         left = {k.as_py(): iter(_unpack(x.as_py())) for k, x in zip(table.column("bucket"), table.column("ids"), strict=True)}
         docs = ordered(docs)
-        of = _New(lambda word: next(left[zlib.crc32(word.encode()) % n]))
+        of = _New(lambda word: next(left[zlib.crc32(word.encode()) % buckets]))
         out = [b"".join(map(of.__getitem__, w)) for w in words_of(enc, docs.column("texts"))]
         flat = np.frombuffer(b"".join(out), f"<u{width}").astype("<i4")
         offsets = np.concatenate(([0], np.cumsum([len(x) // width for x in out], dtype=np.int64))).astype(np.int32)
@@ -161,7 +168,7 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", block_bytes: int
         return pa.Table.from_arrays([doc_ids, ids, joined_pieces(shared.value, ids)], names=["doc_id", "ids", "decoded"])
 
     words = blocks.groupBy("block").applyInArrow(distinct, "block long, bucket long, words binary")
-    table = words.groupBy("bucket").applyInArrow(encoded, "block long, bucket long, ids binary")
+    table = words.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(encoded, "block long, bucket long, ids binary")
     return blocks.groupBy("block").cogroup(table.groupBy("block")).applyInArrow(joined, "doc_id long, ids array<int>" + ", decoded string" * decoded)
 
 
