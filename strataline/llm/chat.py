@@ -4,7 +4,8 @@ Each conversation becomes one or more windows of formatted turns. Prefix sums
 of turn tokens choose spans that end between turns; every window but the first
 repeats the system turn and a limited run of the turns before its span. The
 loss mask covers each assistant text once: in the window whose span holds it,
-not where it is repeated.
+not where it is repeated. Conversations are worked on in parts of ``PART`` turn
+numbers: a part begins a window, without history but with the system turn.
 
 The template is ``### Role:\\n``, the text, ``\\n</turn>\\n``. Inside texts a
 backslash, ``###`` and ``</turn>`` get a backslash in front, so both marks stand
@@ -14,18 +15,20 @@ A role other than the three known ones is written ``=`` and its base64 form.
 Defined cases: a null text is empty; a null role is an empty role; a null
 conv_id is a conversation of its own; a null turn comes first; rows that tie in
 turn go by role, then text; repeated rows are turns of their own; a turn longer
-than the budget has a window to itself and is never cut; an empty table gives
-no windows; extra columns are dropped.
+than the budget has a window to itself and is never cut, however long its text; an
+empty table gives no windows; extra columns are dropped.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 HEAD, MARK, END = "###", "</turn>", "\n</turn>\n"
 ROLES = {"system": "System", "user": "User", "assistant": "Assistant"}
 BUDGET, HISTORY = 512, 128
+#: Turn numbers of a part.
+PART = 1024
 
 
 def tokens(text: Column) -> Column:
@@ -58,64 +61,98 @@ def _role_in(shown: Column) -> Column:
     return out
 
 
-def _turns(rows: DataFrame, count) -> DataFrame:
-    """A row per conversation: its turns in order, and the tokens before each turn."""
-    text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
-    one = F.struct("turn", role.alias("role"), text.alias("text"), count(text).cast("long").alias("tokens"))
-    out = rows.select("conv_id", one.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    total = F.aggregate(
-        F.col("turns.tokens"), F.array(F.lit(0).cast("long")), lambda acc, n: F.array_append(acc, F.element_at(acc, -1) + n)
+def _parts(rows: DataFrame, count, part: int) -> DataFrame:
+    """conv_id, part and turns in order (kind, at, role, text, before, tokens); before: tokens ahead of it in the part.
+
+    A conversation is cut into parts by turn number, so that none of them is a task's load. Each part after
+    the first begins with a turn that is not its own: the system turn (kind 0), or a blank where there is none (kind -1).
+    """
+    base = rows.select(
+        "conv_id",
+        F.coalesce(F.col("turn").cast("long"), F.lit(-(1 << 63))).alias("at"),
+        F.coalesce("role", F.lit("")).alias("role"),
+        F.coalesce("text", F.lit("")).alias("text"),
+    ).withColumn("part", F.expr(f"at div {part}"))
+    # skinny: a row per part, then per conversation of several parts
+    parts = base.groupBy("conv_id", "part").agg(F.min("at").alias("low"), F.min(F.when(F.col("role") < "system", F.col("at"))).alias("other"))
+    several = parts.groupBy("conv_id").agg(F.min("part").alias("first"), F.min("low").alias("low"), F.min("other").alias("other"), F.count("*").alias("n")).filter("n > 1")
+    several = several.select(F.col("conv_id").alias("conv"), "first", "low", (F.col("other").isNull() | (F.col("other") > F.col("low"))).alias("may"))
+    begins = base.filter(F.col("role") == "system").join(several.filter("may"), F.col("conv_id").eqNullSafe(F.col("conv")) & (F.col("at") == F.col("low")))
+    heads = begins.groupBy("conv").agg(F.min("text").alias("text"))
+    leads = (
+        parts.select("conv_id", "part")
+        .join(several.select("conv", "first"), F.col("conv_id").eqNullSafe(F.col("conv")) & (F.col("part") > F.col("first")))
+        .select("conv_id", "part")
+        .join(heads, F.col("conv_id").eqNullSafe(F.col("conv")), "left")
+        .select("conv_id", "part", F.when(F.col("text").isNull(), -1).otherwise(0).alias("kind"), F.lit(0).cast("long").alias("at"), F.lit("system").alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     )
-    return out.withColumn("before", total)
+    every = base.withColumn("kind", F.lit(1)).unionByName(leads).withColumn("tokens", count(F.col("text")).cast("long"))
+    ahead = Window.partitionBy("conv_id", "part").orderBy("kind", "at", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    summed = every.withColumn("before", F.coalesce(F.sum("tokens").over(ahead), F.lit(0).cast("long")))
+    one = F.struct("kind", "at", "role", "text", "before", "tokens")
+    return summed.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list(one)).alias("turns"))
 
 
-def windows(rows: DataFrame, budget: int = BUDGET, history: int = HISTORY, count=tokens) -> DataFrame:
+def windows(rows: DataFrame, budget: int = BUDGET, history: int = HISTORY, count=tokens, part: int = PART) -> DataFrame:
     """Conversations (conv_id, turn, role, text) as windows.
 
-    Columns: conv_id, window, n_context (leading turns that repeat earlier ones),
-    n_tokens, formatted, loss (array of start and length, in code points from 0).
-    A window holds ``budget`` tokens at most, unless its first own turn alone takes more.
+    Columns: conv_id, part and window (the order of the windows), n_context (leading turns
+    that repeat earlier ones), n_tokens, formatted, loss (array of start and length, in
+    code points from 0). A window holds ``budget`` tokens at most, unless its first own
+    turn alone takes more. Work and memory are linear in the turns of a part.
     """
-    has_system = F.col("turns")[0]["role"] == "system"
-    room = F.greatest(F.lit(budget - history) - F.when(has_system, F.col("turns")[0]["tokens"]).otherwise(0), F.lit(1)).cast("long")
+    head, own = F.col("turns")[0], F.col("own")
+    is_system = (head["kind"] == 0) | ((head["kind"] == 1) & (head["role"] == "system"))
+    room = F.greatest(F.lit(budget - history) - F.when(is_system, head["tokens"]).otherwise(0), F.lit(1)).cast("long")
     long0 = F.lit(0).cast("long")
-    # first turns of the spans: a turn opens a span if with it the span would hold more than the room
-    first = F.aggregate(
-        F.sequence(F.lit(1), F.size("turns")),
-        F.array(F.lit(0)),
-        lambda acc, i: F.when(F.get(F.col("before"), i) - F.get(F.col("before"), F.element_at(acc, -1)) > F.col("room"), F.array_append(acc, i - 1)).otherwise(acc),
-    )
-    spans = (
-        _turns(rows, count)
+    grouped = (
+        _parts(rows, count, part)
         .withColumn("room", room)
-        .withColumn("first", F.array_distinct(first))
-        .select("conv_id", "turns", "before", "first", has_system.alias("system"), F.posexplode("first").alias("window", "a"))
-        .withColumn("b", F.coalesce(F.get("first", F.col("window") + 1), F.size("turns")))
+        .withColumn("system", is_system)
+        .withColumn("own", F.when(head["kind"] < 1, F.slice("turns", F.lit(2), F.greatest(F.size("turns") - 1, F.lit(0)))).otherwise(F.col("turns")))
+        # a system turn that is the part's own stands in its first window and is no history
+        .withColumn("low", (F.col("system") & (head["kind"] == 1)).cast("int"))
     )
-    low = F.when(F.col("system"), 1).otherwise(0)
-    back = F.when(
-        F.col("a") > low,
-        F.size(F.filter(F.sequence(low, F.greatest(F.col("a") - 1, low)), lambda j: F.get("before", F.col("a")) - F.get(F.col("before"), j) <= history)),
-    ).otherwise(0)
-    keeps = F.col("system") & (F.col("a") > 0)
-    chosen = F.concat(
-        F.when(keeps, F.slice("turns", 1, 1)).otherwise(F.slice("turns", 1, 0)),
-        F.slice("turns", F.col("a") - F.col("back") + 1, F.col("back") + F.col("b") - F.col("a")),
-    )
-    parts = (
-        spans.withColumn("back", back)
-        .select("conv_id", "window", (F.col("back") + keeps.cast("int")).alias("n_context"), chosen.alias("turns"))
-        .withColumn(
-            "parts",
-            F.transform(
-                "turns",
-                lambda t: F.struct(
-                    F.concat(F.lit(HEAD + " "), _role_out(t["role"]), F.lit(":\n")).alias("head"),
-                    escape(t["text"]).alias("body"),
-                    (t["role"] == "assistant").alias("target"),
-                ),
+    # first turns of the spans: a turn opens a span if with it the span would hold more than the room
+    start = F.struct(own[0]["before"].alias("at"), F.array(F.lit(0)).alias("first"))
+
+    def opens(acc: Column, i: Column) -> Column:
+        turn = F.get(own, i)
+        new = F.struct(turn["before"].alias("at"), F.array_append(acc["first"], i).alias("first"))
+        return F.when(turn["before"] + turn["tokens"] - acc["at"] > F.col("room"), new).otherwise(acc)
+
+    inner = F.when(F.size(own) > 1, F.sequence(F.lit(1), F.size(own) - 1)).otherwise(F.array().cast("array<int>"))
+    halvings = F.sequence(F.lit(0), F.ceil(F.log2(F.size(own) + 1)).cast("int"))
+
+    def reach(a: Column) -> Column:
+        """The first turn of the history before turn a: the smallest from ``low`` on with no more than ``history`` tokens up to a."""
+        limit = F.get(own, a)["before"] - history
+
+        def halve(acc: Column, _: Column) -> Column:
+            mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+            near = F.get(own, mid)["before"] >= limit
+            narrower = F.when(near, F.struct(acc["lo"].alias("lo"), mid.alias("hi"))).otherwise(F.struct((mid + 1).alias("lo"), acc["hi"].alias("hi")))
+            return F.when(acc["lo"] < acc["hi"], narrower).otherwise(acc)
+
+        return F.aggregate(halvings, F.struct(F.least(F.col("low"), a).alias("lo"), a.alias("hi")), halve)["lo"]
+
+    def window(a: Column, i: Column) -> Column:
+        stop, begin = F.coalesce(F.get("first", i + 1), F.size(own)), reach(a)
+        keeps = F.col("system") & ((a > 0) | (head["kind"] == 0))
+        chosen = F.concat(F.when(keeps, F.slice("turns", 1, 1)).otherwise(F.slice("turns", 1, 0)), F.slice(own, begin + 1, stop - begin))
+        return F.struct(i.alias("window"), (a - begin + keeps.cast("int")).alias("n_context"), chosen.alias("turns"))
+
+    spans = grouped.withColumn("first", F.aggregate(inner, start, opens)["first"]).select("conv_id", "part", F.inline(F.transform("first", window)))
+    shown = spans.withColumn(
+        "shown",
+        F.transform(
+            "turns",
+            lambda t: F.struct(
+                F.concat(F.lit(HEAD + " "), _role_out(t["role"]), F.lit(":\n")).alias("head"),
+                escape(t["text"]).alias("body"),
+                (t["role"] == "assistant").alias("target"),
             ),
-        )
+        ),
     )
     state = F.struct(long0.alias("at"), F.lit(0).alias("i"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("loss"))
 
@@ -125,13 +162,14 @@ def windows(rows: DataFrame, budget: int = BUDGET, history: int = HISTORY, count
         loss = F.when(mine, F.array_append(acc["loss"], F.struct(start.alias("start"), n.alias("length")))).otherwise(acc["loss"])
         return F.struct((start + n + len(END)).alias("at"), (acc["i"] + 1).alias("i"), loss.alias("loss"))
 
-    return parts.select(
+    return shown.select(
         "conv_id",
+        "part",
         "window",
         "n_context",
         F.aggregate(F.col("turns.tokens"), long0, lambda acc, n: acc + n).alias("n_tokens"),
-        F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"], F.lit(END))), "").alias("formatted"),
-        F.aggregate("parts", state, step)["loss"].alias("loss"),
+        F.array_join(F.transform("shown", lambda p: F.concat(p["head"], p["body"], F.lit(END))), "").alias("formatted"),
+        F.aggregate("shown", state, step)["loss"].alias("loss"),
     )
 
 
@@ -157,6 +195,7 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = windows(rows).select(
         "conv_id",
         F.struct(
+            "part",
             "window",
             F.slice(read_turns(F.col("formatted")), F.col("n_context") + 1, 1 << 30).alias("turns"),
             F.transform("loss", lambda s: unescape(F.substring(F.col("formatted"), s["start"].cast("int") + 1, s["length"].cast("int")))).alias("loss"),
