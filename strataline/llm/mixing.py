@@ -8,11 +8,18 @@ bounded-knapsack dynamic programming over what is left closes the remaining
 budget to the word where any choice of documents can. Which documents of a
 length are taken is decided by a seeded hash, so that reruns agree.
 
+Texts are split into words once: ids, sources and sizes go to a table in the shared
+folder. Documents meet the plan of their length by broadcast while the plan has at
+most ``BROADCAST_CELLS`` lengths; ranks are taken within groups of a length, and the
+groups are what rows are dealt by, so that a length of very many documents is no
+task's load. The targets are found among one row per source, in one task.
+
 Defined cases: a null or empty text has size 0 and nothing of it is taken; a
 null source is a source of its own, after all others; repeated rows are
 documents of their own in ``mix``, while ``apply`` gives rows of one doc_id the
 same number of copies; ties in the hash go by doc_id; an empty table gives an
-empty mix; extra columns pass through ``apply`` and are dropped by ``mix``.
+empty mix; extra columns pass through ``apply`` whatever their names and are dropped
+by ``mix``; a text counts whole, however long.
 """
 
 from __future__ import annotations
@@ -26,13 +33,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataline.llm import _text as t
-from strataline.llm._store import small_batches
+from strataline.llm._store import Stored, fresh, small_batches
 
 WEIGHTS, SHARE, MOST, SEED = (5, 2, 1), 1.5, 2, 17
 #: The dynamic programme runs over budgets up to so many words; larger rests are first closed by lengths in seeded order.
 TABLE = 1 << 16
 #: Documents of one source and length are ranked in groups of about so many.
 GROUP = 512
+#: Up to so many lengths (some 64 bytes each) the plan is broadcast.
+BROADCAST_CELLS = 500_000
 
 
 def sized(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -119,7 +128,7 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int = SEED)
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = SEED, text: str = "text") -> DataFrame:
     """doc_id, size, source_size, target, copies and taken (copies times size) of every row."""
-    rows = sized(docs, text)
+    rows = Stored(sized(docs, text), "sizes").df
     cells = rows.groupBy("key", "source", "size").agg(F.count("*").alias("n"))
     per_source = targets(cells.withColumn("size", F.col("size") * F.col("n")), weights, share, most)
 
@@ -135,15 +144,19 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
         return cell.assign(full=full, extra=extra)[["key", "size", "n", "source_size", "target", "full", "extra"]]
 
     plans = cells.join(per_source, "key").select("key", "size", "n", "source_size", "target").groupBy("key").applyInPandas(plan, "key string, size long, n long, source_size long, target double, full int, extra long")
-    drawn = rows.join(plans, ["key", "size"]).withColumn("hash", F.xxhash64("doc_id", F.lit(seed)))
+    plans = Stored(plans, "plans").df
+    drawn = rows.join(F.broadcast(plans) if plans.count() <= BROADCAST_CELLS else plans, ["key", "size"]).withColumn("hash", F.xxhash64("doc_id", F.lit(seed)))
     drawn = drawn.withColumn("group", F.pmod("hash", F.ceil(F.col("n") / GROUP)))
+    drawn = drawn.select("doc_id", "key", "size", "source_size", "target", "full", "extra", "hash", "group")
     groups = drawn.groupBy("key", "size", "group").agg(F.count("*").alias("m"))
+    # one row per group, a 512th of a length's documents
     ahead = Window.partitionBy("key", "size").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = groups.select("key", "size", "group", F.coalesce(F.sum("m").over(ahead), F.lit(0)).alias("offset"))
-    rank = F.col("offset") + F.row_number().over(Window.partitionBy("key", "size", "group").orderBy("hash", "doc_id"))
+    offsets = groups.select("key", "size", "group", F.coalesce(F.sum("m").over(ahead), F.lit(0)).alias("offset")).filter("offset > 0")
+    rank = F.coalesce("offset", F.lit(0)) + F.row_number().over(Window.partitionBy("key", "size", "group").orderBy("hash", "doc_id"))
     copies = F.when(F.col("size") > 0, F.col("full") + (rank <= F.col("extra")).cast("int")).otherwise(0)
     return (
-        drawn.join(offsets, ["key", "size", "group"])
+        drawn.repartition("key", "size", "group")
+        .join(offsets, ["key", "size", "group"], "left")
         .withColumn("copies", copies)
         .select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
     )
@@ -151,9 +164,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
 
 def apply(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each row of ``docs`` as many times as it is taken."""
-    copies = mix(docs, **options).groupBy("doc_id").agg(F.max("copies").alias("__copies"))
-    rows = docs.withColumn("__id", F.col("doc_id")).join(copies.withColumnRenamed("doc_id", "__match"), F.col("__id").eqNullSafe(F.col("__match")))
-    return rows.filter("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select(*[rows[c] for c in docs.columns])
+    count, own, match, copy = fresh(docs, "__copies", "__id", "__match", "__copy")
+    copies = mix(docs, **options).groupBy("doc_id").agg(F.max("copies").alias(count)).withColumnRenamed("doc_id", match)
+    rows = docs.withColumn(own, F.col("doc_id")).join(copies, F.col(own).eqNullSafe(F.col(match)))
+    return rows.filter(F.col(count) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(count)))).select(*[rows[c] for c in docs.columns])
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

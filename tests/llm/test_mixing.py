@@ -55,6 +55,16 @@ def test_documents(spark, sf):
     assert copies == Counter({r.doc_id: r.copies for r in got if r.copies})
 
 
+def test_plan_by_shuffle(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = sorted(map(tuple, mixing.mix(docs).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_CELLS", 0)
+    monkeypatch.setattr(mixing, "GROUP", 3)
+    check(spark, docs)
+    monkeypatch.setattr(mixing, "GROUP", 512)
+    assert sorted(map(tuple, mixing.mix(docs).collect())) == want
+
+
 def test_hot_length(spark):
     rows = [(i, "a b c d e f g", "en", "big", 1) for i in range(3000)] + [(5000 + i, "a b " * i, "en", f"s{i % 4}", 1) for i in range(40)]
     check(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))
@@ -66,6 +76,9 @@ def test_awkward(spark):
     same = docs.limit(4).unionByName(docs.limit(4)).withColumn("n", F.lit(1))
     assert mixing.mix(same).count() == 8
     assert mixing.mix(docs.limit(0)).count() == 0 and mixing.apply(docs.limit(0)).count() == 0
+    clash = docs.withColumns({n: F.concat(F.lit(n), "doc_id") for n in ("__id", "__COPIES", "__copy", "__match", "hash")})
+    kept = mixing.apply(clash).collect()
+    assert kept and all(r[n] == f"{n}{r.doc_id}" for r in kept for n in ("__id", "__COPIES", "__copy", "__match", "hash"))
     assert mixing.apply(docs.withColumn("doc_id", F.lit(None).cast("long"))).columns == docs.columns
 
 
