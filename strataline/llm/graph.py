@@ -45,7 +45,12 @@ def _forest(links: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node and label (the smallest node of its component) for every node of ``links`` (a, b: long, not null).
+    """node and label (the smallest node of its component) for every node of ``links`` (a, b: long, not null)."""
+    return labelled(links).df
+
+
+def labelled(links: DataFrame) -> Stored:
+    """As ``components``, as a table that the caller drops.
 
     Each round thins the links by union-find within partitions, hooks every node to
     its smallest neighbour, follows that once more and contracts the links. The rounds
@@ -73,6 +78,7 @@ def components(links: DataFrame) -> DataFrame:
         edges.drop()
         edges = nxt
     if labels is None:
-        return edges.df.select(F.col("a").alias("node"), F.col("b").alias("label"))
+        edges.df = edges.df.select(F.col("a").alias("node"), F.col("b").alias("label"))
+        return edges
     edges.drop()
-    return labels.df
+    return labels

@@ -9,15 +9,16 @@ values are less scattered than with independent hashes.
 Documents of equal sets are one class, and a class is represented by its
 smallest doc_id. Representatives that share a band are candidates. They are
 first verified against the smallest one of the bucket; verified links join
-them. Only members of a bucket that are not joined yet are compared with each
-other, by their whole signatures within blocks, and what comes close is
-verified on full sets, most alike first, unless joined meanwhile. No bucket is
-capped.
+them. Members of a bucket that are not joined by then are compared with each
+other on their full sets, all of them: blocks of a bucket meet pairwise, and
+the shingles that two blocks share give the exact intersection of every pair.
+No bucket is capped and no candidate is left out by an estimate.
 
 Defined cases: null and empty texts, and texts without words, have an empty set
 and are linked with nothing; rows with null doc_id likewise; repeated rows are
 copies of one another; extra columns are dropped by ``groups`` and kept by
-``apply``; an empty table gives an empty result.
+``apply`` whatever their names; a text counts whole, however long; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,16 +31,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataline.llm import _text as t
-from strataline.llm._store import Stored, small_batches
-from strataline.llm.graph import components
+from strataline.llm._store import Stored, fresh, small_batches
+from strataline.llm.graph import labelled
 
 SHINGLE, PERCENT = 5, 75
 SLOTS, ROWS = 128, 4
 BANDS = SLOTS // ROWS
-#: Signatures that agree in fewer slots are not verified: 4.5 standard deviations below what PERCENT gives.
-CLOSE = 74
-#: Members of a bucket are compared in blocks of so many.
-BLOCK = 1024
+#: Members of a bucket are compared in blocks of about so many, and of so many shingles.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
 #: So many ids (8 bytes each) may be broadcast to pick texts; beyond that the texts are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 EMPTY = np.iinfo(np.uint64).max
@@ -100,7 +99,7 @@ def signatures(sets: np.ndarray, bounds: np.ndarray, m: int = SLOTS) -> np.ndarr
 
 
 def sign(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, key (of the set; null if empty), bands and the signature's low bytes."""
+    """doc_id, n_shingles, key (of the set; null if empty) and bands."""
     combine, label = t.constants(ROWS, 41), t.constants(BANDS, 43)
     one, two = t.constants(2, 47)
 
@@ -111,7 +110,6 @@ def sign(docs: DataFrame, text: str = "text") -> DataFrame:
                 n = np.diff(bounds)
                 sig = signatures(sets, bounds)
                 bands = t.mix((sig.reshape(c.rows, BANDS, ROWS) * combine).sum(2, dtype=np.uint64) + label)
-                low = (t.mix(sig) & np.uint64(255)).astype(np.uint8)
                 sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(t.mix(sets * x))))[bounds] for x in (one, two)]
                 keys = np.stack([np.diff(s) for s in sums], 1)
                 none = n == 0
@@ -121,13 +119,12 @@ def sign(docs: DataFrame, text: str = "text") -> DataFrame:
                         pa.array(n, pa.int64()),
                         pa.array([None if e else k.tobytes() for k, e in zip(keys, none, strict=True)], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(np.arange(c.rows + 1, dtype=np.int32) * BANDS), pa.array(bands.astype(np.int64).ravel())),
-                        pa.array([x.tobytes() for x in low], pa.binary()),
                     ],
-                    names=["doc_id", "n_shingles", "key", "bands", "low"],
+                    names=["doc_id", "n_shingles", "key", "bands"],
                 )
         t.release()
 
-    return docs.select("doc_id", F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, key binary, bands array<bigint>, low binary")
+    return docs.select("doc_id", F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, key binary, bands array<bigint>")
 
 
 def _sets(docs: DataFrame, text: str) -> DataFrame:
@@ -180,50 +177,56 @@ def _similar(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
     return common > 0 and 100 * common >= percent * (len(p) + len(q) - common)
 
 
-def _rest(members: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between a bucket's members (band, rep, n, label, low, set) that are not joined yet.
+def _rest(members: DataFrame, docs: DataFrame, text: str, percent: int) -> DataFrame:
+    """Links (a, b) between the labels of members (band, rep, n, label) of a bucket that are alike.
 
-    Blocks of a bucket meet pairwise, each pair of blocks in one task. Pairs whose signatures
-    come close are taken from the most alike on and verified on full sets, unless links found
-    before join them: what comes out is a forest, at most a row per member and task.
+    Blocks of a bucket meet pairwise, each pair of blocks in one task, where the sets join last. What
+    comes out of a task is a forest, at most a row per label.
     """
-    counts = members.groupBy("band").agg(F.count("*").alias("size"))
-    dealt = members.join(counts, "band").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    placed = dealt.select("band", "rep", "n", "label", "low", "set", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    placed = placed.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    counts = members.groupBy("band").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    dealt = members.join(counts, "band").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    placed = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "label", "own")
+    sets = _sets_of(docs, members.select(F.col("rep").alias("doc_id")), text).withColumnRenamed("doc_id", "rep")
 
     def compare(key, table):
         i, j = key[1].as_py(), key[2].as_py()
-        rep, n, label, own = (table.column(c).to_numpy() for c in ("rep", "n", "label", "own"))
-        low = np.frombuffer(b"".join(table.column("low").to_pylist()), np.uint8).reshape(len(rep), -1)
+        label, own = (table.column(c).to_numpy() for c in ("label", "own"))
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("set")]
+        n = np.array([len(x) for x in sets])
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        close: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for x in left:
-            y = right[(label[right] != label[x]) & (rep[right] != rep[x]) & (100 * np.minimum(n[right], n[x]) >= percent * np.maximum(n[right], n[x]))]
-            if i == j:
-                y = y[rep[y] > rep[x]]
-            alike = (low[y] == low[x]).sum(1)
-            y, alike = y[alike >= CLOSE], alike[alike >= CLOSE]
-            close.append((alike, np.full(len(y), x), y))
-        alike, xs, ys = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (zip(*close, strict=True) if close else ((), (), ())))
-        order = np.argsort(-alike, kind="stable")
-        _, root = np.unique(label, return_inverse=True)
-        parent, root = list(range(len(rep))), root.tolist()
-        a, b = [], []
-        for x, y in zip(xs[order].tolist(), ys[order].tolist(), strict=True):
-            p, q = root[x], root[y]
+        out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        if not len(left) or not len(right):
+            return out.empty_table()
+        # which members of the right block hold a shingle
+        shingle = np.concatenate([sets[y] for y in right])
+        holder = np.repeat(np.arange(len(right)), n[right])
+        order = np.argsort(shingle, kind="stable")
+        shingle, holder = shingle[order], holder[order]
+        names, root = np.unique(label, return_inverse=True)
+        root, parent = root.tolist(), list(range(len(names)))
+
+        def find(p: int) -> int:
             while parent[p] != p:
                 parent[p] = p = parent[parent[p]]
-            while parent[q] != q:
-                parent[q] = q = parent[parent[q]]
-            if p != q and _similar(sets[x], sets[y], percent):
-                parent[max(p, q)] = min(p, q)
-                a.append(min(rep[x], rep[y]))
-                b.append(max(rep[x], rep[y]))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            return p
 
-    return placed.groupBy("band", "i", "j").applyInArrow(compare, "a long, b long")
+        a, b = [], []
+        for x in left.tolist():
+            low, high = np.searchsorted(shingle, sets[x], "left"), np.searchsorted(shingle, sets[x], "right")
+            times = high - low
+            at = np.repeat(low - np.concatenate(([0], np.cumsum(times)[:-1])), times) + np.arange(int(times.sum()))
+            common = np.bincount(holder[at], minlength=len(right))
+            for y in right[100 * common >= percent * (n[x] + n[right] - common)].tolist():
+                p, q = find(root[x]), find(root[y])
+                if p != q:
+                    parent[max(p, q)] = min(p, q)
+                    a.append(int(names[min(p, q)]))
+                    b.append(int(names[max(p, q)]))
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=out)
+
+    # the groups are dealt by block pair, not by bucket
+    return placed.join(sets, "rep").repartition("band", "i", "j").groupBy("band", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def groups(docs: DataFrame, text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -231,7 +234,8 @@ def groups(docs: DataFrame, text: str = "text", percent: int = PERCENT) -> DataF
     small_batches(docs.sparkSession)
     signed = Stored(sign(docs, text), "signed")
     some = signed.df.filter("key IS NOT NULL AND doc_id IS NOT NULL")
-    classes = some.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("low").alias("low"))
+    # the rows of one key are exact copies: they meet in partial aggregates
+    classes = some.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     reps = Stored(classes, "classes")
     banded = reps.df.select(F.explode("bands").alias("band"), "rep", "n")
     leads = banded.groupBy("band").agg(F.min(F.struct("rep", "n")).alias("lead"), F.count("*").alias("size")).filter("size > 1").select("band", F.col("lead.rep").alias("lead"), F.col("lead.n").alias("lead_n"))
@@ -239,29 +243,32 @@ def groups(docs: DataFrame, text: str = "text", percent: int = PERCENT) -> DataF
     met = banded.join(leads, "band")
     star = Stored(met.filter((F.col("rep") != F.col("lead")) & alike).select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
     links = Stored(verify(docs, star.df, text, percent), "verified")
-    first = components(links.df)
+    star.drop()
+    first = labelled(links.df)
+    links.drop()
     # buckets whose members are not all joined by now
     label = F.coalesce("label", "rep").alias("label")
-    joined = met.select("band", "rep").join(first.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", label)
+    joined = met.select("band", "rep", "n").join(first.df.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", "n", label)
     mixed = joined.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("band")
-    members = Stored(joined.join(mixed, "band").select("band", "rep", "label"), "members")
-    every = links.df
+    members = Stored(joined.join(mixed, "band").select("band", "rep", "n", "label"), "members")
+    named = reps.df.select("key", "rep").join(first.df.withColumnRenamed("node", "rep"), "rep", "left").select("key", label)
     if not members.df.isEmpty():
-        sets = _sets_of(docs, members.df.select(F.col("rep").alias("doc_id")), text).withColumnRenamed("doc_id", "rep")
-        more = Stored(_rest(members.df.join(reps.df.select("rep", "n", "low"), "rep").join(sets, "rep"), percent), "verified")
-        every = every.unionByName(more.df)
-    labels = components(every)
-    named = reps.df.select("key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", label)
+        more = Stored(_rest(members.df, docs, text, percent), "verified")
+        second = labelled(more.df)
+        more.drop()
+        named = named.join(second.df.toDF("label", "to"), "label", "left").select("key", F.coalesce("to", "label").alias("label"))
+    members.drop()
     out = signed.df.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key")).join(named, "key", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
 
 
 def apply(docs: DataFrame, text: str = "text", percent: int = PERCENT) -> DataFrame:
     """``docs`` without the documents that are near copies of one with a smaller doc_id; of rows with one doc_id all stay or go."""
+    own, gone = fresh(docs, "__id", "__gone")
     found = groups(docs, text, percent)
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    rows = docs.withColumn("__id", F.col("doc_id"))
-    return rows.join(gone, F.col("__id") == F.col("__gone"), "left_anti").select(*[rows[c] for c in docs.columns])
+    left = found.filter("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct()
+    rows = docs.withColumn(own, F.col("doc_id"))
+    return rows.join(left, F.col(own) == F.col(gone), "left_anti").select(*[rows[c] for c in docs.columns])
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,6 +82,32 @@ def test_chains_and_lookalikes(spark, monkeypatch):
     check(docs_frame(spark, texts, 100))
 
 
+def test_recall_at_the_threshold(spark):
+    """Pairs of similarity 0.75 to 0.80, alone and among lookalikes: every one is found."""
+    rng, texts, pairs = random.Random(8), [], 0
+    word = lambda: "".join(rng.choices("abcdefghijkl", k=6))
+    passage = [word() for _ in range(150)]
+    for i in range(400):
+        # runs of k words changed at the end: k shingles differ on each side
+        n = rng.randrange(120, 300)
+        body = (passage if i % 4 == 0 else [word() for _ in range(150)]) + [word() for _ in range(n - 150 if n > 150 else 0)]
+        size = len(body) - 4
+        k = int(size * 0.25 / 1.75)
+        other = body[:-k] + [word() for _ in range(k)]
+        a, b = shingles(" ".join(body)), shingles(" ".join(other))
+        if 0.75 <= len(a & b) / len(a | b) <= 0.80:
+            texts += [" ".join(body), " ".join(other)]
+            pairs += 1
+    assert pairs > 300
+    check(docs_frame(spark, texts, 1))
+
+
+def test_helper_names_in_the_table(spark):
+    docs = docs_frame(spark, ["a b c d e f g h", "a b c d e f g h", "x"]).withColumns({n: F.concat(F.lit(n), "doc_id") for n in ("__id", "__gone", "label", "rep")})
+    rows = neardup.apply(docs).collect()
+    assert {r.doc_id for r in rows} == {0, 2} and all(r[n] == f"{n}{r.doc_id}" for r in rows for n in ("__id", "__gone", "label", "rep"))
+
+
 def test_signature_is_the_sequential_one():
     """The vectorised signature equals the algorithm run element by element with its histogram of steps."""
     rng = np.random.default_rng(5)
