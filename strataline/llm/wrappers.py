@@ -2,31 +2,39 @@
 
 A page is a tree of start tags (with class, id and role) and text slots. The
 children of a node are a union-free regular expression: in order, each once,
-optional or repeated, or a repeated group. ``Wrapper.merge`` aligns two such
+optional or repeated, or a repeated group. ``merge_lists`` aligns two such
 expressions: what stands in both is merged node by node, what stands in one
 only becomes optional, and runs of equal tags or of equal groups of tags are folded
 to repeated ones. Merging is done page by page within tasks, then by host in
-two steps, so that a host's pages never meet in one task; every page takes part.
+two steps, in the order of the wrappers' text, so that a host's pages never meet
+in one task and reruns agree; every page takes part.
 
-A wrapper's text slots are main ones if they lie in an ``article`` (or else
-``main``) and in no part that is a menu, header, footer, sidebar, notice, advert,
-form, comment or the like. Hosts, and pages, without such an element
-use the slots of the body that do not say the same on different pages of the host,
-or all if there are no others. Pages with equal text outside menus and the like are
-copies of one page. Extraction keeps the texts of a page that fall in main slots.
+``decide`` marks a host's slots. Each slot knows the text that all pages have in it, if
+that is one, different pages that have it, and how much text it holds. A slot is main text if it lies in an
+``article`` (or else ``main``), in no part that is a menu, header, footer, sidebar,
+notice, advert, form, comment or the like, and does not say the same on three
+pages or more. Tags tell such parts; class names are a prior: a name that only hints
+at one (``related-work``) counts unless the part holds dense text or the article.
+On hosts without such elements the main text is in the smallest container that holds
+most of the varying text outside links, or where a page has none in it, in the
+slots that vary, or in all if none does. Pages with equal text outside menus and the like are copies of one page.
+
+Extraction matches a page's tree with its host's expression, from the left, and keeps the texts whose slots are main ones.
 
 Defined cases: a null or empty html has no text; a null url, or one without a
 host, belongs to the host named ''; repeated rows are pages each; a page that is,
 but for copies of it, the only one of its host or the only one with a slot has it not constant; unclosed tags end where HTML has
-them end, unclosed comments and scripts at the page's end; extra columns are
+them end, unclosed comments and scripts at the page's end; elements nest to any depth; extra columns are
 dropped; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import html as entities
-import json
 import re
+import sys
+import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -49,56 +57,83 @@ IMPLIED = {
     "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
     "tbody": ({"tbody", "thead", "tr", "td", "th"}, {"table"}), "tfoot": ({"tbody", "tr", "td", "th"}, {"table"}), "body": ({"head"}, {"html"}),
 }
-#: Parts that are no main text: by tag, and by words of class, id and role.
+#: Parts that are no main text, by tag.
 ASIDE_TAGS = frozenset("aside button datalist dialog footer form head header iframe input menu nav noscript script select style svg template textarea title".split())
+#: Words of class, id and role that tell such a part, in compound names too.
 ASIDE_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies disqus disclaimer footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination paywall popup promo promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe teaser toolbar topbar widget widgets".split()
+    "ad ads adv advert adverts advertisement advertising breadcrumb breadcrumbs comment comments commentlist consent contentinfo cookie cookies disqus footer gdpr masthead menu modal nav navbar navigation newsletter pager pagination paywall popup promo promotion reply replies respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget widgets".split()
 )
-LAYOUT_WORDS = frozenset(("with", "has", "no"))
+#: Words that tell it as a whole name, and hint at it in a compound one.
+HINT_WORDS = frozenset("alert banner complementary disclaimer form header login notice notices notification recommended related search teaser".split())
+#: Of text-level elements, these words alone tell it.
+NOTICE_WORDS = frozenset("ad ads advert advertisement cookie cookies newsletter notice paywall promo share skip sponsored subscribe".split())
+TEXT_LEVEL = frozenset("a abbr b blockquote br cite code dd dt em font h1 h2 h3 h4 h5 h6 i p pre q s small span strong sub sup td th time u".split())
+#: Class names that begin so speak of another part than the element.
+ABOUT_OTHERS = ("with-", "without-", "has-", "no-", "not-", "is-")
+#: A part is dense if its texts outside links have so many characters on average; a container is chosen if it has such a share of the text.
+DENSE, SHARE = 40, 0.6
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>|<[!?/][^>]*(?:>|\Z)|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
 ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: Groups of up to so many neighbouring elements are folded when they repeat; longer periods stay optional elements.
 MAX_UNIT = 6
-#: Texts nested deeper than this stand side by side at this depth, with what their elements say of them (``_deep``).
-MAX_DEPTH = 100
 #: Wrappers of all hosts together are broadcast up to so many bytes, else joined by shuffle.
 BROADCAST_BYTES = 8 << 20
 HOSTS_HELD, SALTS = 2000, 16
+#: Nested elements are walked by recursion in Python alone, which takes no C stack.
+sys.setrecursionlimit(max(sys.getrecursionlimit(), 1_000_000))
 
 
 def symbol(tag: str, attrs: str) -> str:
-    """A tag with its class, id and role words, without digits."""
+    """A tag with its class, id and role names, in lower case with hyphens, without digits."""
     if not attrs or "=" not in attrs:
         return tag
-    words = sorted({w for _, a, b, c in ATTR.findall(attrs) for w in re.split(r"[^a-z]+", (a or b or c).lower()) if w})
-    return tag + "." + ".".join(words) if words else tag
+    names = set()
+    for _, a, b, c in ATTR.findall(attrs):
+        for name in (a or b or c).split():
+            names.add(re.sub(r"[^a-z]+", "-", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()).strip("-"))
+    names.discard("")
+    return tag + "." + ".".join(sorted(names)) if names else tag
 
 
 def tag_of(sym: str) -> str:
     return sym.partition(".")[0]
 
 
-def _deep(above: str, sym: str) -> str:
-    """The symbol of a text in an element below MAX_DEPTH: the element's after what counts of the ones around it."""
-    marks = [m for m in above.split(">") if m in ("article", "main", "aside")][:3]
-    own = above.rpartition(">")[2]
-    for mark, here in (("article", tag_of(own) == "article"), ("main", tag_of(own) == "main" or "main" in own.split(".")[1:]), ("aside", is_aside(own))):
-        if here and mark not in marks:
-            marks.append(mark)
-    return ">".join(["", *marks, sym])
+_priors: dict[str, int] = {}
+
+
+def prior(sym: str) -> int:
+    """Whether an element is no main text: 2 by its tag or a name, 1 by a hint, 0 otherwise."""
+    found = _priors.get(sym)
+    if found is None:
+        if len(_priors) > 100_000:
+            _priors.clear()
+        found = _priors[sym] = _prior(sym)
+    return found
 
 
-def is_aside(sym: str) -> bool:
-    """Whether an element is no main text; classes such as with-sidebar speak of the page, not of the element."""
-    if ">" in sym:
-        return any(map(is_aside, sym.split(">")))
-    tag, *words = sym.split(".")
-    if tag in ("html", "body") or not LAYOUT_WORDS.isdisjoint(words):
-        words = []
-    return tag in ASIDE_TAGS or not ASIDE_WORDS.isdisjoint(words)
+def _prior(sym: str) -> int:
+    tag, *names = sym.split(".")
+    if tag in ASIDE_TAGS:
+        return 2
+    if tag in ("html", "body"):
+        return 0
+    out = 0
+    for name in names:
+        if name.startswith(ABOUT_OTHERS):
+            continue
+        words = name.split("-")
+        if tag in TEXT_LEVEL:
+            out = max(out, 2 * (not NOTICE_WORDS.isdisjoint(words)))
+        elif not ASIDE_WORDS.isdisjoint(words) or HINT_WORDS.issuperset(words):
+            out = 2
+        elif not HINT_WORDS.isdisjoint(words):
+            out = max(out, 1)
+    return out
 
 
 def parse(page: str) -> list:
@@ -112,8 +147,6 @@ def parse(page: str) -> list:
         return max((places[n][-1] for n in names if places.get(n)), default=0)
 
     def cut(i: int) -> None:
-        if any(t in BLOCKS for t in tags[max(i, MAX_DEPTH) :]):
-            stack[MAX_DEPTH - 1][1].append(["hr", []])
         for t in tags[i:]:
             places[t].pop()
         del stack[i:], tags[i:]
@@ -122,19 +155,10 @@ def parse(page: str) -> list:
         while (i := last(names)) and i > last(until):
             cut(i)
 
-    def here() -> list:
-        """Where a text goes, or an element that stays empty."""
-        if len(stack) <= MAX_DEPTH:
-            return stack[-1][1]
-        side = stack[MAX_DEPTH - 1][1]
-        if not side or side[-1][0] != stack[-1][0] or isinstance(side[-1], str):
-            side.append([stack[-1][0], []])
-        return side[-1][1]
-
     for m in TOKEN.finditer(page):
         text = m["text"]
+        at = stack[-1][1]
         if text is not None:
-            at = here()
             if at and isinstance(at[-1], str):
                 at[-1] += text
             else:
@@ -155,32 +179,32 @@ def parse(page: str) -> list:
         if tag in ("html", "body") and places.get(tag):
             continue
         node: list = [symbol(tag, m["attrs"]), []]
+        stack[-1][1].append(node)
         if tag in VOID or (m["attrs"] or "").endswith("/"):
-            here().append(node)
             continue
-        if len(stack) < MAX_DEPTH:
-            stack[-1][1].append(node)
-        else:
-            if tag in BLOCKS:
-                stack[MAX_DEPTH - 1][1].append(["hr", []])
-            node[0] = _deep(stack[-1][0] if len(stack) > MAX_DEPTH else "", node[0])
         places.setdefault(tag, []).append(len(stack))
         stack.append(node)
         tags.append(tag)
     return root
 
 
-# A wrapper node is [symbol, least, repeated, content]: content is the list of child nodes, or for a
-# text slot ('#') the text's digest, None once texts differ. A slot has the digest of its page as a fifth
-# part, None once pages differ. A repeated group has the symbol '(...)'.
-SLOT = "#"
+# A wrapper node is [symbol, least, repeated, content]: content is the list of child nodes, or of a
+# text slot ('#') [digest of its text, None once texts differ; digests of up to PAGES different pages
+# that have it, the smallest ones; characters; texts]. A repeated group has the symbol '(...)'.
+SLOT, PAGES = "#", 3
 
 
 def learn(tree: list, page: str | None = None) -> list:
     """The wrapper of one page's node."""
     if page is None:
         page = hash_text(" ".join(_body_texts(tree)))
-    return [tree[0], 1, 0, fold([[SLOT, 1, 0, hash_text(c), page] if isinstance(c, str) else learn(c, page) for c in tree[1] if not isinstance(c, str) or not c.isspace()])]
+    out = []
+    for c in tree[1]:
+        if not isinstance(c, str):
+            out.append(learn(c, page))
+        elif not c.isspace():
+            out.append([SLOT, 1, 0, [hash_text(c), [page], len(c), 1]])
+    return [tree[0], 1, 0, fold(out)]
 
 
 def _body_texts(tree: list) -> list[str]:
@@ -191,21 +215,21 @@ def _body_texts(tree: list) -> list[str]:
         node = left.pop()
         if isinstance(node, str):
             out.append(node)
-        elif not is_aside(node[0]):
+        elif prior(node[0]) < 2:
             left += reversed(node[1])
     return out
 
 
 def hash_text(text: str) -> str:
-    import zlib
-
     flat = " ".join(text.split()).encode()
     return f"{zlib.crc32(flat):x}.{len(flat)}"
 
 
 def _merge_node(a: list, b: list) -> list:
     if a[0] == SLOT:
-        return [SLOT, min(a[1], b[1]), a[2] | b[2], a[3] if a[3] == b[3] else None, a[4] if a[4] == b[4] else None]
+        x, y = a[3], b[3]
+        pages = x[1] if x[1] == y[1] else sorted({*x[1], *y[1]})[:PAGES]
+        return [SLOT, min(a[1], b[1]), a[2] | b[2], [x[0] if x[0] == y[0] else None, pages, x[2] + y[2], x[3] + y[3]]]
     return [a[0], min(a[1], b[1]), a[2] | b[2], merge_lists(a[3], b[3])]
 
 
@@ -274,73 +298,245 @@ def merge_lists(a: list, b: list) -> list:
 
 
 def pattern(node: list) -> str:
-    """The wrapper as a regular expression over tags and #."""
+    """The wrapper as a regular expression over tags and #; #= is a slot of one text, #! a main one."""
     mark = "*" if node[2] and not node[1] else "+" if node[2] else "" if node[1] else "?"
     if node[0] == SLOT:
-        body = "#" if node[3] is None else "#="
-    elif node[0][:1] == "(":
-        body = f"({' '.join(map(pattern, node[3]))})"
+        body = "#!" if len(node[3]) > 4 and node[3][4] & 1 else "#" if node[3][0] is None else "#="
     else:
-        body = f"<{node[0]}>{' '.join(map(pattern, node[3]))}</>"
+        parts = []
+        for n in node[3]:
+            parts.append(pattern(n))
+        body = f"({' '.join(parts)})" if node[0][:1] == "(" else f"<{node[0]}>{' '.join(parts)}</>"
     return f"({body}){mark}" if mark and body[:1] != "(" else body + mark
 
 
-def _slots(nodes: list, path: tuple[str, ...]) -> Iterator[tuple[tuple[str, ...], str | None, str | None]]:
-    for n in nodes:
-        if n[0] == SLOT:
-            yield path, n[3], n[4]
+#: What a slot's text is: in an article, or else main; in the chosen container; varying, or any if none varies.
+MAIN, CHOSEN, REST = 1, 2, 4
+
+
+def _weigh(node: list, seen: dict, link: bool = False) -> tuple:
+    """Characters and texts outside links, characters in links, characters of varying texts outside links, whether an article is inside."""
+    chars = n = linked = varying = 0
+    article = False
+    for c in node[3]:
+        if c[0] == SLOT:
+            _, _, size, times = c[3]
+            if link:
+                linked += size
+            else:
+                chars, n = chars + size, n + times
+                varying += size * _varies(c[3], 2)
         else:
-            yield from _slots(n[3], path if n[0][:1] == "(" else (*path, n[0]))
-
-
-def main_slots(wrapper: list) -> dict[str, list[list[str]]]:
-    """Paths of main slots: in articles, and those to use where a page has no text in them."""
-    semantic: dict[str, list[list[str]]] = {"article": [], "main": []}
-    rest: list[list[str]] = []
-    body: list[list[str]] = []
-    seen: dict[tuple[str, ...], dict[str | None, set[str | None]]] = {}
-    for path, text, page in _slots(wrapper[3], ()):
-        seen.setdefault(path, {}).setdefault(text, set()).add(page)
-    for path, texts in seen.items():
-        if any(map(is_aside, path)):
-            continue
-        parts = [s for x in path for s in x.split(">")]
-        tags = {tag_of(s) for s in parts} | {w for s in parts for w in s.split(".")[1:] if w == "main"}
-        for name, found in semantic.items():
-            if name in tags:
-                found.append(list(path))
-        body.append(list(path))
-        # constant: each of its texts is on different pages
-        if None in texts or any(len(pages) == 1 and None not in pages for pages in texts.values()):
-            rest.append(list(path))
-    return {"main": semantic["article"] or semantic["main"], "rest": rest or body}
-
-
-def _texts(tree: list, path: tuple[str, ...], blocks: list[list]) -> None:
-    """Texts with their paths, in a list per block; a new block begins with an empty list."""
+            tag = tag_of(c[0])
+            got = _weigh(c, seen, link or tag == "a")
+            chars, n, linked, varying = chars + got[0], n + got[1], linked + got[2], varying + got[3]
+            article = article or got[4] or tag in ("article", "main")
+    seen[id(node)] = out = (chars, n, linked, varying, article)
+    return out
+
+
+def _varies(slot: list, pages: int) -> bool:
+    """Whether a slot's text differs, or stands on fewer than so many different pages."""
+    return slot[0] is None or len(slot[1]) < pages
+
+
+def _is_aside(node: list, seen: dict) -> bool:
+    level = prior(node[0])
+    if level != 1:
+        return level == 2
+    chars, n, linked, varying, article = seen[id(node)]
+    return not (article or (varying and chars > linked and chars >= DENSE * n))
+
+
+def decide(wrapper: list) -> list:
+    """The wrapper with marks of its slots: each slot's content gets a fifth part."""
+    seen: dict[int, tuple] = {}
+    _weigh(wrapper, seen)
+    zones: dict[str, list[list]] = {"article": [], "main": [], "": []}
+
+    def visit(node: list, zone: str) -> None:
+        for c in node[3]:
+            if c[0] == SLOT:
+                del c[3][4:]
+                c[3].append(0)
+                zones[""].append(c[3])
+                if zone:
+                    zones[zone].append(c[3])
+            elif c[0][:1] == "(":
+                visit(c, zone)
+            elif _is_aside(c, seen):
+                blank(c)
+            else:
+                tag, *names = c[0].split(".")
+                visit(c, "article" if "article" in (tag, zone) else "main" if tag == "main" or "main" in names else zone)
+
+    def blank(node: list) -> None:
+        for c in node[3]:
+            if c[0] == SLOT:
+                del c[3][4:]
+                c[3].append(0)
+            else:
+                blank(c)
+
+    visit(wrapper, "")
+    inside = zones["article"] or zones["main"]
+    mark = [x for x in inside if _varies(x, PAGES)] or inside
+    for x in mark:
+        x[4] |= MAIN
+    for x in [x for x in zones[""] if _varies(x, 2)] or zones[""]:
+        x[4] |= REST
+    # the smallest container of most of the varying text
+    at = wrapper
+    while True:
+        total = sum(seen[id(c)][3] for c in _elements(at) if not _is_aside(c, seen)) + sum(c[3][2] for c in at[3] if c[0] == SLOT and _varies(c[3], 2))
+        best = max(_elements(at), key=lambda c: 0 if _is_aside(c, seen) else seen[id(c)][3], default=None)
+        if best is None or _is_aside(best, seen) or tag_of(best[0]) in TEXT_LEVEL or seen[id(best)][3] < max(SHARE * total, 1) or _leaf(best):
+            break
+        at = best
+
+    def choose(node: list) -> None:
+        for c in node[3]:
+            if c[0] == SLOT:
+                c[3][4] |= CHOSEN * (c[3][4] >= REST)
+            elif c[0][:1] == "(" or tag_of(c[0]) in TEXT_LEVEL or seen[id(c)][2] <= seen[id(c)][0]:  # no list of links
+                choose(c)
+
+    choose(at)
+    return wrapper
+
+
+def _elements(node: list) -> list[list]:
+    """A node's child elements, those in groups too."""
+    out = []
+    for c in node[3]:
+        if c[0][:1] == "(":
+            out += _elements(c)
+        elif c[0] != SLOT:
+            out.append(c)
+    return out
+
+
+def _leaf(node: list) -> bool:
+    """Whether a node is one of several of its kind, as list items and table rows are, not a container of its own."""
+    return bool(node[2]) or tag_of(node[0]) in ("li", "tr", "dl", "ul", "ol")
+
+
+# Wrappers travel as flat text, node by node, since they may nest deeper than JSON can.
+def dump(wrapper: list) -> str:
+    out: list[str] = []
+
+    def put(node: list) -> None:
+        if node[0] == SLOT:
+            text, pages, *numbers = node[3]
+            out.append(f"{SLOT} {node[1]} {node[2]} {text or '-'} {','.join(pages)} {' '.join(map(str, numbers))}")
+            return
+        out.append(f"{'(' if node[0][:1] == '(' else node[0] or '/'} {node[1]} {node[2]} {len(node[3])}")
+        for c in node[3]:
+            put(c)
+
+    put(wrapper)
+    return "\n".join(out)
+
+
+def load(text: str) -> list:
+    lines = iter(text.split("\n"))
+
+    def get() -> list:
+        name, least, repeated, *rest = next(lines).split(" ")
+        if name == SLOT:
+            return [SLOT, int(least), int(repeated), [None if rest[0] == "-" else rest[0], rest[1].split(","), *map(int, rest[2:])]]
+        content = []
+        for _ in range(int(rest[0])):
+            content.append(get())
+        name = "" if name == "/" else f"({' '.join(n[0] for n in content)})" if name == "(" else name
+        return [name, int(least), int(repeated), content]
+
+    return get()
+
+
+class Matcher:
+    """A host's expression, ready to be matched with pages."""
+
+    def __init__(self, wrapper: list):
+        self.wrapper = wrapper
+        self._flat: dict[int, tuple] = {}
+
+    def flat(self, content: list) -> tuple[list, dict[str, list[int]]]:
+        """The nodes in order, each with the bounds of its group and whether that repeats, and where each symbol stands."""
+        found = self._flat.get(id(content))
+        if found is None:
+            nodes: list[tuple] = []
+            for n in content:
+                at = len(nodes)
+                inner = n[3] if n[0][:1] == "(" else [n]
+                flat = [x for m in inner for x in ([m] if m[0][:1] != "(" else self._leaves(m))]
+                nodes += [(m, at, at + len(flat), n[2]) for m in flat]
+            where: dict[str, list[int]] = {}
+            for i, x in enumerate(nodes):
+                where.setdefault(x[0][0], []).append(i)
+            found = self._flat[id(content)] = (nodes, where)
+        return found
+
+    def _leaves(self, group: list) -> list[list]:
+        out = []
+        for m in group[3]:
+            out += self._leaves(m) if m[0][:1] == "(" else [m]
+        return out
+
+    def next(self, content: list, at: int, sym: str) -> int:
+        """The place of the next child: on in its group, again from the group's begin if it repeats, behind it, or else anywhere; -1 if there is none."""
+        nodes, where = self.flat(content)
+        places = where.get(sym)
+        if not places:
+            return -1
+        if at < 0:
+            return places[0]
+        _, low, high, repeats = nodes[at]
+        i = bisect_left(places, at + 1)
+        if i < len(places) and places[i] < high:
+            return places[i]
+        j = bisect_left(places, low)
+        if repeats and j < len(places) and places[j] <= at:
+            return places[j]
+        return places[i] if i < len(places) else places[0]
+
+
+def _texts(tree: list, matcher: Matcher, content: list | None, zone: int, blocks: list[list]) -> None:
+    """Texts with their marks, in a list per block; a new block begins with an empty list.
+
+    Where the expression has no slot for a text, the page's own elements decide (``zone``).
+    """
+    at = -1
     for c in tree[1]:
         if isinstance(c, str):
-            blocks[-1].append((path, c))
+            if c.isspace():
+                blocks[-1].append((MAIN | CHOSEN | REST, " "))
+                continue
+            found = -1 if content is None else matcher.next(content, at, SLOT)
+            at = found if found >= 0 else at
+            blocks[-1].append((matcher.flat(content)[0][found][0][3][4] if found >= 0 else zone, c))
             continue
         tag = tag_of(c[0])
         if tag in BLOCKS and blocks[-1]:
             blocks.append([])
         if tag == "br":
-            blocks[-1].append((path, " "))
-        _texts(c, (*path, c[0]), blocks)
+            blocks[-1].append((MAIN | CHOSEN | REST, " "))
+        found = -1 if content is None else matcher.next(content, at, c[0])
+        at = found if found >= 0 else at
+        inner = 0 if prior(c[0]) == 2 or not zone else zone | (MAIN if tag == "article" else 0)
+        _texts(c, matcher, matcher.flat(content)[0][found][0][3] if found >= 0 else None, inner, blocks)
         if tag in BLOCKS and blocks[-1]:
             blocks.append([])
 
 
-def extract(page: str | None, slots: dict[str, list[list[str]]]) -> str:
+def extract(page: str | None, matcher: Matcher) -> str:
     """The page's main text: its blocks, one a line."""
     blocks: list[list] = [[]]
-    _texts(parse(page or ""), (), blocks)
-    for kind in ("main", "rest"):
-        keep = set(map(tuple, slots[kind]))
+    _texts(parse(page or ""), matcher, matcher.wrapper[3], REST, blocks)
+    for mark in (MAIN, CHOSEN, REST):
         lines = []
         for parts in blocks:
-            text = " ".join(entities.unescape("".join(x for p, x in parts if p in keep)).split())
+            text = " ".join(entities.unescape("".join(x for m, x in parts if m & mark)).split())
             if text:
                 lines.append(text)
         if lines:
@@ -353,21 +549,21 @@ def host(url: Column) -> Column:
 
 
 def _merged(rows: Iterator[tuple[str, str, int]]) -> dict[str, list]:
+    """host: [wrapper, pages], merged in the order of the wrappers' text."""
     found: dict[str, list] = {}
-    for name, body, n in rows:
-        w = json.loads(body)
+    for name, body, n in sorted(rows):
+        w = load(body)
         found[name] = [_merge_node(found[name][0], w), found[name][1] + n] if name in found else [w, n]
     return found
 
 
-def _rows(found: dict[str, list], more=lambda w, n: ()) -> list[tuple]:
-    return [(k, json.dumps(w, separators=(",", ":")), n, *more(w, n)) for k, (w, n) in found.items()]
-
-
 def infer(pages: DataFrame) -> DataFrame:
-    """host, wrapper, pages, slots (JSON) and pattern of every host."""
+    """host, wrapper (with its slots' marks), pages and pattern of every host."""
     schema = pa.schema([("host", pa.string()), ("wrapper", pa.string()), ("pages", pa.int64())])
 
+    def table(found: dict[str, list]) -> list[pa.Array]:
+        return [pa.array(list(found), pa.string()), pa.array([dump(w) for w, _ in found.values()], pa.string()), pa.array([n for _, n in found.values()], pa.int64())]
+
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, list] = {}
         for b in batches:
@@ -375,44 +571,46 @@ def infer(pages: DataFrame) -> DataFrame:
                 w = learn(parse(page or ""))
                 found[name] = [_merge_node(found[name][0], w), found[name][1] + 1] if name in found else [w, 1]
             if len(found) > HOSTS_HELD:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*_rows(found), strict=True), schema, strict=True)], schema=schema)
+                yield pa.RecordBatch.from_arrays(table(found), schema=schema)
                 found = {}
         if found:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*_rows(found), strict=True), schema, strict=True)], schema=schema)
+            yield pa.RecordBatch.from_arrays(table(found), schema=schema)
+
+    def rows(batch: pa.Table) -> dict[str, list]:
+        return _merged(zip(*(batch.column(c).to_pylist() for c in schema.names), strict=True))
 
-    def some(key, table):
-        rows = _rows(_merged(zip(*(table.column(c).to_pylist() for c in ("host", "wrapper", "pages")), strict=True)))
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+    def some(key, batch):
+        return pa.Table.from_arrays(table(rows(batch)), schema=schema)
 
-    def final(key, table):
-        rows = _rows(_merged(zip(*(table.column(c).to_pylist() for c in ("host", "wrapper", "pages")), strict=True)), lambda w, n: (json.dumps(main_slots(w)), pattern(w)))
-        names = ["host", "wrapper", "pages", "slots", "pattern"]
-        return pa.Table.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=names)
+    def final(key, batch):
+        found = rows(batch)
+        for w, _ in found.values():
+            decide(w)
+        return pa.Table.from_arrays([*table(found), pa.array([pattern(w) for w, _ in found.values()], pa.string())], names=[*schema.names, "pattern"])
 
     parts = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(partial, "host string, wrapper string, pages long")
     salted = parts.withColumn("salt", F.pmod(F.xxhash64("wrapper", "pages"), F.lit(SALTS)))
     halves = salted.groupBy("host", "salt").applyInArrow(some, "host string, wrapper string, pages long")
-    return halves.groupBy("host").applyInArrow(final, "host string, wrapper string, pages long, slots string, pattern string")
+    return halves.groupBy("host").applyInArrow(final, "host string, wrapper string, pages long, pattern string")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url and text of every row of ``pages`` (page_id, url, html)."""
     small_batches(pages.sparkSession)
-    known = Stored(infer(pages).select("host", "slots"), "wrappers")
-    slots = known.df
-    if (slots.agg(F.sum(F.octet_length("slots") + F.octet_length("host"))).first()[0] or 0) <= BROADCAST_BYTES:
-        slots = F.broadcast(slots)
-    rows = pages.select("page_id", "url", "html", host(F.col("url")).alias("host")).join(slots, "host", "left").select("page_id", "url", "html", "slots")
+    known = Stored(infer(pages).select("host", "wrapper"), "wrappers").df
+    if (known.agg(F.sum(F.octet_length("wrapper") + F.octet_length("host"))).first()[0] or 0) <= BROADCAST_BYTES:
+        known = F.broadcast(known)
+    rows = pages.select("page_id", "url", "html", host(F.col("url")).alias("host")).join(known, "host", "left").select("page_id", "url", "html", "wrapper")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, dict] = {}
+        seen: dict[str, Matcher] = {}
         for b in batches:
             texts = []
             for page, text in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 if text not in seen:
                     if len(seen) > HOSTS_HELD:
                         seen.clear()
-                    seen[text] = json.loads(text)
+                    seen[text] = Matcher(load(text))
                 texts.append(extract(page, seen[text]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 

@@ -1,4 +1,5 @@
 import html
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -94,3 +95,54 @@ def test_deep_pages_are_whole(spark):
         inner = "a <b>b</b> c<br>d<div>e<p>f</p>g</div>h<div class=sidebar>x<p>y</p></div><ul><li>i<li>j</ul>"
         assert text_of(spark, [("http://h/1", page.format(deep(n, inner)))]) == ["a b c d\ne\nf\ng\nh\ni\nj\nrest"], n
         assert text_of(spark, [("http://h/1", deep(n, "<p>n</p><article>t<div><i>u</i></div></article><p>o</p>"))]) == ["t\nu"], n
+
+
+def test_names_are_a_prior(spark):
+    body = "<p>A paragraph of the article, long enough to be one, number {0}.</p>"
+    page = f"<article><h1>T {{0}}</h1><div class='sidebar no-print'>Bar</div><div class='advert has-image'>Buy</div>{body}<section class='related-work'><p>Earlier work on {{0}} is described by many authors in detail.</p></section><p class='search'>search {{0}}</p></article>"
+    got = text_of(spark, [(f"http://h/{i}", page.format(i)) for i in range(4)])
+    assert got == [f"T {i}\nA paragraph of the article, long enough to be one, number {i}.\nEarlier work on {i} is described by many authors in detail.\nsearch {i}" for i in range(4)]
+    assert text_of(spark, [("http://h/0", page.format(0))]) == got[:1]
+
+
+def test_what_all_articles_say_is_no_main_text(spark):
+    page = "<article><h1>T {0}</h1><p>Text {0}</p><div class=x>Join our mailing list today</div></article>"
+    assert text_of(spark, [(f"http://h/{i}", page.format(i)) for i in range(5)]) == [f"T {i}\nText {i}" for i in range(5)]
+
+
+def test_story_beside_a_list_of_stories(spark):
+    page = "<body><div class=story><h2>T {0}</h2><p>The story {0} goes on for a while, as they do.</p><p>And ends {0}.</p></div><div class=list><p><a href=/x>Other {0}</a></p><p><a href=/y>More {0}</a></p></div></body>"
+    assert text_of(spark, [(f"http://h/{i}", page.format(i)) for i in range(4)]) == [f"T {i}\nThe story {i} goes on for a while, as they do.\nAnd ends {i}." for i in range(4)]
+
+
+def test_templates_without_articles(spark):
+    """Hosts with templates of their own, the main text known from how the pages were made."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randrange(3, 9)))
+    say = lambda n: " ".join(word() for _ in range(n))
+    pages, want = [], []
+    for h in range(12):
+        name, logo, foot, note = word(), say(2), say(9), say(6)
+        shape = rng.choice(("div", "section", "td"))
+        for i in range(rng.randrange(4, 9)):
+            blocks = [say(rng.randrange(2, 5))] + [say(rng.randrange(8, 40)) for _ in range(rng.randrange(2, 7))]
+            main = f"<h2>{blocks[0]}</h2>" + "".join(f"<p>{x}</p>" for x in blocks[1:])
+            links = "".join(f"<li><a href='/{word()}'>{say(2)}</a></li>" for _ in range(rng.randrange(2, 6)))
+            extra = f"<div class={word() if h % 2 else name + 'x'}>{note}</div>" if not h % 2 else ""
+            holder = f"<table><tr><td class={name}>{main}</td></tr></table>" if shape == "td" else f"<{shape} class={name}>{main}</{shape}>"
+            pages.append((f"http://host{h}.example/{i}", f"<html><head><title>{say(3)}</title></head><body><div>{logo}</div><ul>{links}</ul>{extra}{holder}<div class=z{name}>{foot}</div></body></html>"))
+            want.append("\n".join(blocks))
+    assert text_of(spark, pages) == want
+
+
+def test_reruns_and_other_partitions_agree(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    rows = lambda df: sorted((r.page_id, r.text) for r in w.main_text(df).collect())
+    assert rows(pages) == rows(pages) == rows(pages.repartition(5, "page_id"))
+
+
+def test_dump_and_load():
+    for page in ("", "<p>a b</p>" * 9, "<dl><dt>a<dd>b<dt>c<dd>d</dl>x", "<div>" * 5000 + "deep"):
+        x = w.learn(w.parse(page))
+        assert w.dump(w.load(w.dump(x))) == w.dump(x)
+        assert w.dump(w.decide(w.load(w.dump(x)))) == w.dump(w.load(w.dump(w.decide(x))))
