@@ -7,7 +7,7 @@ without another look at the text, ``ablation`` counts by bitwise aggregation
 what each rule of a policy rejects, alone and together.
 
 Defined cases: a null or empty text has no words (all measurements 0) and fails
-``few_words``; repeated rows and ties are judged row by row; extra columns pass
+``few_words``; texts are measured whole, however long; repeated rows and ties are judged row by row; extra columns pass
 through, but for those with a name of a measurement or ``fail_bits``, which are
 replaced; an empty table gives an empty ledger.
 """
@@ -25,9 +25,13 @@ from pyspark.sql.types import LongType, StructField, StructType
 from strataline.llm import _text as t
 from strataline.llm._store import small_batches
 
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "longest_word")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "longest_word", "n_upper", "n_letters", "n_digits", "n_ascii")
 WINDOW = 8
-SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
+BYTES = np.arange(256)
+SYMBOLS = np.isin(BYTES, np.frombuffer(b"#*$%&|<>", np.uint8))
+UPPER, DIGITS, ASCII = (BYTES >= 65) & (BYTES <= 90), (BYTES >= 48) & (BYTES <= 57), BYTES < 128
+#: A-Z, a-z, and the first byte of every character beyond ASCII.
+LETTERS = UPPER | ((BYTES >= 97) & (BYTES <= 122)) | (BYTES >= 0xC0)
 
 #: Bit, name, SQL condition of failure. A bit keeps its meaning for ever; new rules take new bits.
 RULES: tuple[tuple[int, str, str], ...] = (
@@ -39,13 +43,20 @@ RULES: tuple[tuple[int, str, str], ...] = (
     (5, "long_words", "word_chars > 40 * n_words"),
     (6, "giant_word", "longest_word > 1000"),
     (7, "separators", "100 * n_symbols > 30 * n_words"),
+    (8, "giant_share", "longest_word > 1000 AND 2 * longest_word > word_chars AND 2 * n_ascii > word_chars"),
+    (9, "wide_words", "word_chars > 40 * n_words AND 2 * n_ascii > word_chars"),
+    (10, "shouting", "2 * n_upper > n_letters"),
+    (11, "few_letters", "100 * n_letters < 60 * word_chars"),
+    (12, "digits", "2 * n_digits > word_chars"),
 )
 BITS = {name: 1 << bit for bit, name, _ in RULES}
 #: (policy, version): mask of the bits that reject.
 POLICIES: dict[tuple[str, int], int] = {
     ("base", 1): BITS["few_words"] | BITS["repeated_words"],
-    ("corpus", 1): sum(BITS.values()) - BITS["separators"],
-    ("corpus", 2): sum(BITS.values()),
+    ("corpus", 1): (1 << 7) - 1,
+    ("corpus", 2): (1 << 8) - 1,
+    # a long word, or long words in a script without spaces, no longer reject a text by themselves
+    ("corpus", 3): sum(BITS.values()) - BITS["long_words"] - BITS["giant_word"],
 }
 
 
@@ -78,7 +89,7 @@ def _measures(chunk: t.Chunk) -> list[np.ndarray]:
     chars = np.concatenate(([0], np.cumsum((chunk.buf & 0xC0) != 0x80)))
     longest = np.zeros(rows, np.int64)
     np.maximum.at(longest, t.row_of(w.offs), chars[w.end] - chars[w.start])
-    return [w.counts, within(((chunk.buf & 0xC0) != 0x80) & w.inside), within(SYMBOLS[chunk.buf]), lines, dup, repeat, longest]
+    return [w.counts, within(((chunk.buf & 0xC0) != 0x80) & w.inside), within(SYMBOLS[chunk.buf]), lines, dup, repeat, longest, *(within(x[chunk.buf]) for x in (UPPER, LETTERS, DIGITS)), within(ASCII[chunk.buf] & w.inside)]
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -112,12 +123,12 @@ def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     return measure(docs.drop("fail_bits"), text).withColumn("fail_bits", fail_bits())
 
 
-def apply_policy(rows: DataFrame, policy: str = "corpus", version: int = 2, name: str = "kept") -> DataFrame:
+def apply_policy(rows: DataFrame, policy: str = "corpus", version: int = 3, name: str = "kept") -> DataFrame:
     """Add ``name``: whether no bit of the policy's mask is set."""
     return rows.withColumn(name, F.col("fail_bits").bitwiseAND(F.lit(POLICIES[policy, version])) == 0)
 
 
-def ablation(rows: DataFrame, policy: str = "corpus", version: int = 2) -> DataFrame:
+def ablation(rows: DataFrame, policy: str = "corpus", version: int = 3) -> DataFrame:
     """Per rule of the policy: documents it fails, those that it alone rejects, those kept without it.
 
     One pass over the ledger: counts by distinct bit pattern first, then the few patterns by rule.
@@ -140,7 +151,7 @@ def ablation(rows: DataFrame, policy: str = "corpus", version: int = 2) -> DataF
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ledger of all documents and the verdict of policy corpus 2."""
+    """The ledger of all documents and the verdict of policy corpus 3."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     rows = apply_policy(apply_policy(ledger(docs)), "base", 1, "base_kept")
     return rows.select(

@@ -18,8 +18,9 @@ Places are ordered by doc_id, then start. Removed is each byte that a string of
 Defined cases: a null text is empty; texts shorter than ``length`` keep all
 bytes; rows of null doc_id are not compared and keep all bytes; rows that repeat
 a doc_id are one document, equal starts in it are the same place; a character
-cut at a span's edge loses its other bytes in ``apply``; extra columns are
-kept by ``apply``; an empty table gives an empty result.
+cut at a span's edge loses its other bytes in ``apply``; a text counts whole,
+however long; extra columns are kept by ``apply`` whatever their names; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataline.llm import _text as t
-from strataline.llm._store import Stored, small_batches
+from strataline.llm._store import Stored, fresh, small_batches
 
 LENGTH, GRAM = 100, 32
 HOT = 4096
@@ -410,11 +411,12 @@ def _later(docs: DataFrame, text: str, length: int) -> DataFrame:
     return out.unionByName(later(_hot_repeats(strings.filter(F.col("pieces") > HOT).drop("pieces"), length)))
 
 
-def _with_spans(docs: DataFrame, text: str, length: int) -> DataFrame:
-    """``docs`` and ``__spans``: the repeats at later places, unmerged, by start; null if there are none."""
-    later = _later(docs, text, length).select(F.col("doc").alias("__doc"), F.struct("start", (F.col("start") + F.col("length")).alias("stop")).alias("s"))
-    spans = later.distinct().groupBy("__doc").agg(F.sort_array(F.collect_list("s")).alias("__spans"))
-    return docs.withColumn("__id", F.col("doc_id")).join(spans, F.col("__id") == F.col("__doc"), "left").drop("__id", "__doc")
+def _with_spans(docs: DataFrame, text: str, length: int) -> tuple[DataFrame, str]:
+    """``docs`` and a new column, with its name: the repeats at later places, unmerged, by start; null if there are none."""
+    doc, own, spans = fresh(docs, "__doc", "__id", "__spans")
+    later = _later(docs, text, length).select(F.col("doc").alias(doc), F.struct("start", (F.col("start") + F.col("length")).alias("stop")).alias("s"))
+    found = later.distinct().groupBy(doc).agg(F.sort_array(F.collect_list("s")).alias(spans))
+    return docs.withColumn(own, F.col("doc_id")).join(found, F.col(own) == F.col(doc), "left").drop(own, doc), spans
 
 
 def _kept(column: pa.Array, spans: pa.Array) -> Iterator[tuple[bytes, int, int, int]]:
@@ -434,17 +436,17 @@ def _kept(column: pa.Array, spans: pa.Array) -> Iterator[tuple[bytes, int, int,
 
 def apply(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
     """``docs`` without repeated passages in ``text``; the other columns stay, ``n_chars`` follows the text if there."""
-    marked = _with_spans(docs, text, length)
+    marked, spans = _with_spans(docs, text, length)
     names = marked.columns
-    schema = marked.drop("__spans").schema
+    schema = marked.drop(spans).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = names.index(text)
             old = b.column(at)
-            left = [raw.decode("utf-8", "ignore") if gone else None for raw, _, gone, _ in _kept(old, b.column(names.index("__spans")))]
+            left = [raw.decode("utf-8", "ignore") if gone else None for raw, _, gone, _ in _kept(old, b.column(names.index(spans)))]
             new = pa.array([x if x is not None else o.as_py() for x, o in zip(left, old, strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays([new if n == text else c for n, c in zip(names, b.columns, strict=True) if n != "__spans"], names=[n for n in names if n != "__spans"])
+            yield pa.RecordBatch.from_arrays([new if n == text else c for n, c in zip(names, b.columns, strict=True) if n != spans], names=[n for n in names if n != spans])
 
     out = marked.mapInArrow(run, schema)
     return out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
@@ -460,7 +462,8 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
             cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return _with_spans(docs, "text", LENGTH).select("doc_id", "text", "__spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    marked, spans = _with_spans(docs, "text", LENGTH)
+    return marked.select("doc_id", "text", spans).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 QUERIES = {"op10_suffix_dedup": op10_suffix_dedup}

@@ -59,6 +59,16 @@ def test_stages_and_run(spark, sf):
     assert Counter((r.doc_id, r.ids_sha256) for r in p.run(spark, sf).collect()) == want
 
 
+def test_columns_named_like_helpers_keep_their_values(spark):
+    names = ("n_words", "fail_bits", "kept", "__id", "__spans", "__copies", "row", "label")
+    docs = docs_frame(spark, [" ".join(f"word{i}x{j}" for j in range(60)) for i in range(30)]).withColumns({n: F.concat(F.lit(n), "doc_id") for n in names})
+    docs = docs.unionByName(docs.limit(3).withColumn("doc_id", F.lit(None).cast("long"))).unionByName(docs.limit(2))
+    for _, stage in p.STAGES[:-1]:
+        docs = stage(spark, docs, "")
+        rows = docs.collect()
+        assert rows and all(r[n].startswith(n) and (r.doc_id is None or r[n] == f"{n}{r.doc_id}") for r in rows for n in names)
+
+
 def test_awkward(spark):
     docs = docs_frame(spark, awkward_texts() * 2)
     follow(spark, docs)
