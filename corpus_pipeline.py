@@ -2,7 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame: all that the stage
 before it kept, with its own decisions carried out. All but the last return the
-columns of ``documents``.
+columns of ``documents``, with their own values whatever their names are.
+
+Rows of null doc_id are judged by the quality rules and mixed like others, but are
+compared with no other row; rows that share a doc_id get one decision of each stage
+after the first.
 """
 
 from __future__ import annotations
@@ -16,8 +20,9 @@ from strataline.llm._store import Stored
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that policy corpus 2 keeps."""
-    return quality.apply_policy(quality.ledger(docs), "corpus", 2).filter("kept").select(*docs.columns)
+    """Documents that policy corpus 3 keeps."""
+    rows = docs.select(F.struct("*").alias("row"), "text")
+    return quality.apply_policy(quality.ledger(rows), "corpus", 3).filter("kept").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
