@@ -21,6 +21,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataline.llm._store import fresh
+
 #: Phrases whose every place counts, with their labels.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 #: A text without any of these has no detection; each keyword of a rule contains one of them.
@@ -302,13 +304,13 @@ def scan(docs: DataFrame, text: str = "text", ordered: tuple[Rule, ...] | None =
     ``detections`` has start and stop (code points in the canonical text), priority, score and label.
     """
     ordered = rules() if ordered is None else ordered
-    canon, gate = F.col("__canon"), F.lit(False)
+    name, labels, *names = fresh(docs, "__canon", "__labels", *[f"__base{i}" for i in range(len(BASE))])
+    canon, gate = F.col(name), F.lit(False)
     for stem in STEMS:
         gate = gate | F.contains(canon, F.lit(stem))
     none = F.array().cast("array<struct<start:int,stop:int,priority:int,score:double,label:string>>")
     places = [F.when(F.contains(canon, F.lit(f" {p} ")), F.split(canon, f"(?<= ){p}(?= )")).otherwise(F.array(canon)) for p, _ in BASE]
-    names = [f"__base{i}" for i in range(len(BASE))]
-    out = docs.drop(*[r for r in RESULTS if r != text]).withColumn("__canon", canonical(F.col(text))).withColumns(dict(zip(names, places, strict=True)))
+    out = docs.drop(*[r for r in RESULTS if r != text]).withColumn(name, canonical(F.col(text))).withColumns(dict(zip(names, places, strict=True)))
     n_words = F.greatest(_spaces(canon) - 1, F.lit(0)).cast("long")
     hit = [F.size(n) > 1 for n in names]
     first = [F.when(h, _spaces(F.col(n)[0]) - 1) for h, n in zip(hit, names, strict=True)]
@@ -319,12 +321,12 @@ def scan(docs: DataFrame, text: str = "text", ordered: tuple[Rule, ...] | None =
         .withColumn("n_base", sum((F.size(n) - 1 for n in names), F.lit(0)).cast("long"))
         .withColumn("first_word", F.least(*first).cast("long"))
         .withColumn("last_word", F.greatest(*last).cast("long"))
-        .withColumn("__labels", F.array_compact(F.array(*[F.when(h, F.lit(label)) for h, (_, label) in zip(hit, BASE, strict=True)])))
-        .withColumn("base_labels", F.array_join(F.array_sort(F.array_distinct("__labels")), ","))
-        .withColumn("labels", F.array_join(F.array_sort(F.array_distinct(F.concat("__labels", F.col("detections.label")))), ","))
-        .withColumn("score", F.coalesce(F.when(F.size("__labels") > 0, F.lit(1.0)), F.array_max(F.col("detections.score")), F.lit(0.0)))
+        .withColumn(labels, F.array_compact(F.array(*[F.when(h, F.lit(label)) for h, (_, label) in zip(hit, BASE, strict=True)])))
+        .withColumn("base_labels", F.array_join(F.array_sort(F.array_distinct(F.col(labels))), ","))
+        .withColumn("labels", F.array_join(F.array_sort(F.array_distinct(F.concat(F.col(labels), F.col("detections.label")))), ","))
+        .withColumn("score", F.coalesce(F.when(F.size(F.col(labels)) > 0, F.lit(1.0)), F.array_max(F.col("detections.score")), F.lit(0.0)))
         .withColumn("detections", F.transform("detections", lambda d: d.withField("stop", -d["stop"])))
-        .drop("__canon", "__labels", *names)
+        .drop(name, labels, *names)
     )
 
 

@@ -47,6 +47,9 @@ def test_awkward(spark):
     docs = docs_frame(spark, awkward_texts() + more)
     check(docs)
     out = licenses.scan(docs.withColumn("labels", F.lit(1)).withColumn("extra", F.lit(2)))
+    names = ("__canon", "__labels", "__base0")
+    kept = licenses.scan(docs.withColumns({n: F.concat(F.lit(n), "doc_id") for n in names})).collect()
+    assert all(r[n] == f"{n}{r.doc_id}" for r in kept for n in names)
     assert "extra" in out.columns and dict(out.dtypes)["labels"] == "string"
     assert licenses.scan(docs.limit(0)).count() == 0
 
