@@ -21,17 +21,30 @@ def threshold_detect(df: DataFrame, threshold: float | None = None, sigma: float
 def islands(times: DataFrame, block: int = BLOCK) -> DataFrame:
     """Distinct ti (and further columns) with ``island``: the first ti of its run of consecutive ones.
 
-    Runs are numbered within blocks of ti, then joined over the blocks' edges, so that no task sorts all times.
+    Runs are numbered within blocks of ti. Only runs that touch a block's edge are then joined over the edges, at most
+    two of a block: no task sees all times or all runs.
     """
     cut = times.withColumn("__block", F.floor(F.col("ti") / block))
     run = F.col("ti") - F.row_number().over(Window.partitionBy("__block").orderBy("ti"))
     local = cut.withColumn("__run", run).withColumn("__first", F.min("ti").over(Window.partitionBy("__block", "__run")))
     runs = local.groupBy("__first").agg(F.max("ti").alias("last"))
-    # one row per run of a block: a run begins unless the one before ends just ahead of it
+    begins, ends = F.pmod("__first", F.lit(block)) == 0, F.pmod(F.col("last") + 1, F.lit(block)) == 0
+    # a run begins unless the one before ends just ahead of it
     w = Window.partitionBy(F.lit(0)).orderBy("__first")
     new = F.col("__first") != F.coalesce(F.lag("last").over(w), F.lit(-2)) + 1
-    starts = runs.withColumn("island", F.max(F.when(new, F.col("__first"))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return local.join(starts.select("__first", "island"), "__first").drop("__block", "__first", "__run")
+    starts = runs.filter(begins | ends).withColumn("__start", F.max(F.when(new, F.col("__first"))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    out = local.join(starts.select("__first", "__start"), "__first", "left").withColumn("island", F.coalesce("__start", "__first"))
+    return out.drop("__block", "__first", "__run", "__start")
+
+
+def numbered(rows: DataFrame, order: str, name: str, block: int = BLOCK) -> DataFrame:
+    """Rows with their number from 0 in the order of an integer column: within blocks of it, then by the blocks' counts."""
+    cut = rows.withColumn("__block", F.floor(F.col(order) / block))
+    ahead = Window.partitionBy(F.lit(0)).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per block
+    before = cut.groupBy("__block").agg(F.count("*").alias("n")).select("__block", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("__before"))
+    inner = F.row_number().over(Window.partitionBy("__block").orderBy(order)) - 1
+    return cut.withColumn("__i", inner).join(before, "__block").withColumn(name, F.col("__before") + F.col("__i")).drop("__block", "__before", "__i")
 
 
 def trigger_events(df: DataFrame, threshold: float, fs: float, base_time: str = "1970-01-01 00:00:00", trigger_off: float | None = None) -> DataFrame:
@@ -46,9 +59,8 @@ def trigger_events(df: DataFrame, threshold: float, fs: float, base_time: str =
     runs = islands(times).groupBy("island").agg(F.max("ti").alias("last"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("peak").alias("peak"))
     base = F.to_timestamp(F.lit(base_time))
     at = lambda c: F.timestamp_micros(F.unix_micros(base) + F.round(F.col(c) / F.lit(float(fs)) * 1e6).cast("long"))
-    number = F.row_number().over(Window.orderBy("island")) - 1  # a row per event
-    return runs.filter(F.col("peak") > threshold).select(
-        F.concat(F.lit("evt_"), F.unix_timestamp(base).cast("string"), F.lit("_"), number.cast("string")).alias("id"),
+    return numbered(runs.filter(F.col("peak") > threshold), "island", "number").select(
+        F.concat(F.lit("evt_"), F.unix_timestamp(base).cast("string"), F.lit("_"), F.col("number").cast("string")).alias("id"),
         at("island").alias("start_time"),
         at("last").alias("end_time"),
         F.col("lo").cast("long").alias("min_channel"),
@@ -82,7 +94,7 @@ def overlapping(events: DataFrame, start, stop) -> DataFrame:
 
 def quality_report(df: DataFrame, fs: float) -> DataFrame:
     """One row of quality measures: noisy and dead channels, mains hum, trend, clipping, level, floor and SNR."""
-    from strataline.operators.spectral import dft_mag
+    from strataline.operators.spectral import fft_mag
 
     energy = df.groupBy("ch").agg(F.avg(F.col("v") * F.col("v")).alias("e"))
     median = energy.agg(F.median("e").alias("m"), F.count("*").alias("channels"))
@@ -92,7 +104,7 @@ def quality_report(df: DataFrame, fs: float) -> DataFrame:
         F.sort_array(F.collect_list(F.when(noisy | dead, F.col("ch")))).alias("bad"), F.count_if(dead).alias("dead_channels"), F.count_if(noisy).alias("noisy_channels"), F.max("channels").alias("channels")
     )
     middle = df.join(F.broadcast(df.select("ch").distinct().agg(F.floor(F.count("*") / 2).alias("ch"))), "ch", "left_semi")
-    spec = dft_mag(middle, fs)
+    spec = fft_mag(middle, fs)
     near = lambda f: F.coalesce(F.max(F.when(F.abs(F.col("freq") - f) <= 1, F.col("mag"))), F.lit(0.0))
     hum = spec.agg(near(50.0).alias("p50"), near(60.0).alias("p60"), F.median("mag").alias("bg"), F.max("mag").alias("peak"))
     bg = F.when(F.col("bg") > 0, F.col("bg")).otherwise(F.lit(1e-10))

@@ -18,8 +18,17 @@ TRACE = "ch long, v array<double>"
 SAMPLES = 1 << 22
 
 
+def _lists(x: np.ndarray) -> pa.ListArray:
+    """The columns of (samples, channels) as a list each."""
+    offsets = np.arange(x.shape[1] + 1, dtype=np.int64) * x.shape[0]
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.ascontiguousarray(x.T, dtype=float).ravel()))
+
+
 def map_traces(traces: DataFrame, kernel: Callable[[np.ndarray], np.ndarray | tuple[np.ndarray, ...]], schema: str = TRACE) -> DataFrame:
-    """Apply a kernel on (samples, channels) to all traces, in groups of one length."""
+    """Apply a kernel on (samples, channels) to all traces, in groups of one length.
+
+    Spark hands over at most ``spark.sql.execution.arrow.maxBytesPerBatch`` (64 MB) of traces at a time, or one trace.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -32,7 +41,7 @@ def map_traces(traces: DataFrame, kernel: Callable[[np.ndarray], np.ndarray | tu
                     mine = rows[at : at + width]
                     x = lists.take(pa.array(mine)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(mine), n).T
                     got = kernel(x)
-                    cols = [pa.array(list(np.ascontiguousarray(y.T)), pa.list_(pa.float64())) for y in (got if isinstance(got, tuple) else (got,))]
+                    cols = [_lists(y) for y in (got if isinstance(got, tuple) else (got,))]
                     yield pa.RecordBatch.from_arrays([pa.array(chans[mine]), *cols], names=["ch", *[f"c{i}" for i in range(len(cols))]])
 
     names, kinds = zip(*(f.split(" ", 1) for f in schema.split(", ")), strict=True)

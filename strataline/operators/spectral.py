@@ -1,10 +1,11 @@
-"""Spectra: by expressions for short channels (they have a SQL form), by FFT kernels for long ones."""
+"""Spectra by FFT kernels on whole traces, or on blocks of segments of any channel length."""
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,27 +14,12 @@ from strataline.operators import filters, pointwise
 from strataline.operators.filters import map_traces
 from strataline.operators.layout import to_traces
 
-TAU = 2 * math.pi
-#: Channels up to this length are transformed by expressions where a size is known.
-SHORT = 512
-
-
-def _turn(k, i, n):
-    """Angle of bin k at sample i, reduced to one turn before it is scaled."""
-    return F.lit(-TAU) * F.pmod(k * i, n) / n
-
-
-def dft_mag(df: DataFrame, fs: float) -> DataFrame:
-    """ch, k, freq, mag: magnitude of bins 0 to n // 2 of each channel, as sums over samples and bins."""
-    size = df.groupBy("ch").agg((F.max("ti") + 1).alias("n"))
-    bins = df.join(size, "ch").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / 2))))
-    a = _turn(F.col("k"), F.col("ti"), F.col("n"))
-    sums = bins.groupBy("ch", "k", "n").agg(F.sum(F.col("v") * F.cos(a)).alias("re"), F.sum(F.col("v") * F.sin(a)).alias("im"))
-    return sums.select("ch", "k", (F.col("k") * F.lit(float(fs)) / F.col("n")).alias("freq"), F.hypot("re", "im").alias("mag"))
+#: Samples of a channel that one task transforms by segments; longer channels are cut into blocks with overlap.
+BLOCK = 1 << 18
 
 
 def fft_mag(df: DataFrame, fs: float) -> DataFrame:
-    """As dft_mag, by FFT kernels on traces."""
+    """ch, k, freq, mag: magnitude of bins 0 to n // 2 of each channel."""
     made = map_traces(to_traces(df), lambda x: (np.abs(np.fft.rfft(x, axis=0)), np.broadcast_to(np.fft.rfftfreq(len(x), 1 / fs)[:, None], (len(x) // 2 + 1, x.shape[1]))), "ch long, mag array<double>, freq array<double>")
     return made.select("ch", F.posexplode(F.arrays_zip("freq", "mag")).alias("k", "z")).select("ch", F.col("k").cast("long").alias("k"), "z.freq", "z.mag")
 
@@ -53,57 +39,93 @@ def envelope(df: DataFrame) -> DataFrame:
     return pointwise.absolute(hilbert(df))
 
 
-def _segments(df: DataFrame, n: int, hop: int, centred: bool) -> DataFrame:
-    """Samples of each segment (ch, seg, j, v): j counts within the segment.
+def _by_segments(df: DataFrame, n: int, hop: int, centred: bool, kernel: Callable[[np.ndarray], np.ndarray], total: bool = False) -> DataFrame:
+    """A kernel on segments of ``n`` samples, ``hop`` apart, as (segments, n) with NaN where no sample is.
 
-    Centred segments start n // 2 before s * hop and are filled with zeros beyond the ends; others lie within the data.
+    Centred segments start n // 2 before s * hop and reach beyond the ends; others lie within the data. A channel
+    is dealt in blocks of segments, so that no task depends on its length; each sample goes to the blocks it is
+    part of, as a rule one. Gives ch, seg and the kernel's row of each segment with samples, or with ``total`` ch, n
+    (segments) and the sum of these rows per block.
     """
-    pad = n // 2 if centred else 0
+    pad, per = n // 2 if centred else 0, max(1, BLOCK // hop)
     size = df.groupBy("ch").agg((F.max("ti") + 1).alias("len"))
     count = F.ceil(F.col("len") / hop) + 1 if centred else F.floor((F.col("len") - (n - hop)) / hop)
     at = F.col("ti") + pad
     first = F.greatest(F.ceil((at - (n - 1)) / hop), F.lit(0))
     last = F.least(F.floor(at / hop), count - 1)
-    placed = df.join(size, "ch").filter(last >= first).withColumn("seg", F.explode(F.sequence(first, last)))
-    return placed.select("ch", "seg", (F.col("ti") + pad - F.col("seg") * hop).alias("j"), "v")
+    placed = df.join(size, "ch").filter(last >= first).select("ch", "ti", F.col("v").cast("double").alias("v"), count.cast("long").alias("count"), F.explode(F.sequence(F.floor(first / per), F.floor(last / per))).alias("block"))
+    blocks = placed.groupBy("ch", "block").agg(F.max("count").alias("count"), F.collect_list(F.struct("ti", "v")).alias("s"))
+    key = "n" if total else "seg"
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for ch, block, segments, s in zip(*(b.column(i) for i in range(4)), strict=True):
+                begin = block.as_py() * per
+                m = min(per, segments.as_py() - begin)
+                x = np.full((m - 1) * hop + n, np.nan)
+                j = s.values.field("ti").to_numpy() + pad - begin * hop
+                x[j] = s.values.field("v").to_numpy(zero_copy_only=False)
+                rows = np.lib.stride_tricks.sliding_window_view(x, n)[::hop]
+                some = np.flatnonzero(~np.isnan(rows).all(1))
+                if not len(some):
+                    continue
+                got = kernel(rows[some])
+                ids = np.array([len(some)]) if total else begin + some
+                got = got.sum(0, keepdims=True) if total else got
+                offsets = np.arange(len(got) + 1, dtype=np.int32) * got.shape[1]
+                yield pa.RecordBatch.from_arrays([pa.array([ch.as_py()] * len(got), pa.int64()), pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(got).ravel()))], names=["ch", key, "row"])
 
-def _window(n: int):
-    return 0.5 - 0.5 * F.cos(F.lit(TAU) * F.col("j") / F.lit(float(n)))
+    return blocks.select(F.col("ch").cast("long"), "block", "count", "s").mapInArrow(run, f"ch long, {key} long, row array<double>")
 
 
-def _segment_dft(seg: DataFrame, n: int, value) -> DataFrame:
-    bins = seg.withColumn("x", value).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n // 2).cast("long"))))
-    a = _turn(F.col("k"), F.col("j"), F.lit(n))
-    return bins.groupBy("ch", "seg", "k").agg(F.sum(F.col("x") * F.cos(a)).alias("re"), F.sum(F.col("x") * F.sin(a)).alias("im"))
+def _hann(n: int) -> np.ndarray:
+    """The periodic window."""
+    return 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
+
+
+def _freq(fs: float, n: int):
+    return (F.col("k") * F.lit(float(fs)) / n).alias("freq")
 
 
 def stft_mag(df: DataFrame, fs: float, nperseg: int = 256, noverlap: int | None = None) -> DataFrame:
     """ch, k, freq, seg, t, mag: Hann, zeros beyond the ends, scaled by the window's sum, one-sided without doubling."""
     hop = nperseg - (nperseg // 2 if noverlap is None else noverlap)
-    total = nperseg / 2  # the sum of a periodic Hann window
-    spec = _segment_dft(_segments(df, nperseg, hop, True), nperseg, F.col("v") * _window(nperseg))
-    return spec.select(
-        "ch", "k", (F.col("k") * F.lit(float(fs)) / nperseg).alias("freq"), "seg", (F.col("seg") * F.lit(hop / float(fs))).alias("t"), (F.hypot("re", "im") / F.lit(total)).alias("mag")
-    )
+    hann = _hann(nperseg)
+    rows = _by_segments(df, nperseg, hop, True, lambda x: np.abs(np.fft.rfft(np.nan_to_num(x) * hann, axis=1)) / (nperseg / 2))
+    cells = rows.select("ch", "seg", F.posexplode("row").alias("k", "mag")).withColumn("k", F.col("k").cast("long"))
+    return cells.select("ch", "k", _freq(fs, nperseg), "seg", (F.col("seg") * F.lit(hop / float(fs))).alias("t"), "mag")
+
 
+def _power(fs: float, n: int, scaling: str) -> Callable[[np.ndarray], np.ndarray]:
+    """Power of Hann segments, each without its mean; one-sided and doubled."""
+    hann = _hann(n)
+    norm = (n / 2) ** 2 if scaling == "spectrum" else float(fs) * 0.375 * n  # the sum squared, or the sum of squares
+    twice = np.full(n // 2 + 1, 2.0)
+    twice[0] = 1
+    if n % 2 == 0:
+        twice[-1] = 1
+    return lambda x: np.abs(np.fft.rfft(np.nan_to_num(x - np.nanmean(x, 1, keepdims=True)) * hann, axis=1)) ** 2 / norm * twice
 
-def spectrogram(df: DataFrame, fs: float, nperseg: int = 256, noverlap: int | None = None, scaling: str = "spectrum") -> DataFrame:
-    """ch, seg, k, freq, power of Hann segments within the data, each without its mean; one-sided and doubled."""
+
+def spectrogram(df: DataFrame, fs: float, nperseg: int = 256, noverlap: int | None = None, scaling: str = "spectrum", db: bool = False, low: float | None = None, high: float | None = None) -> DataFrame:
+    """ch, seg, t, k, freq, power of Hann segments within the data, each without its mean; one-sided and doubled.
+
+    t is the segment's middle. With ``db`` the power is in decibels, with ``low`` and ``high`` limited to these.
+    """
     hop = nperseg - (nperseg // 2 if noverlap is None else noverlap)
-    seg = _segments(df, nperseg, hop, False)
-    means = seg.groupBy("ch", "seg").agg(F.avg("v").alias("m"))
-    spec = _segment_dft(seg.join(means, ["ch", "seg"]), nperseg, (F.col("v") - F.col("m")) * _window(nperseg))
-    norm = (nperseg / 2) ** 2 if scaling == "spectrum" else float(fs) * 0.375 * nperseg  # the sum squared, or the sum of squares
-    edge = (F.col("k") == 0) | ((F.col("k") == nperseg // 2) & F.lit(nperseg % 2 == 0))
-    power = (F.col("re") * F.col("re") + F.col("im") * F.col("im")) / F.lit(norm) * F.when(edge, 1.0).otherwise(2.0)
-    return spec.select("ch", "seg", "k", (F.col("k") * F.lit(float(fs)) / nperseg).alias("freq"), power.alias("power"))
+    rows = _by_segments(df, nperseg, hop, False, _power(fs, nperseg, scaling))
+    cells = rows.select("ch", "seg", F.posexplode("row").alias("k", "power")).withColumn("k", F.col("k").cast("long"))
+    value = to_db(F.col("power")) if db else F.col("power")
+    value = value if low is None else F.greatest(value, F.lit(float(low)))
+    value = value if high is None else F.least(value, F.lit(float(high)))
+    return cells.select("ch", "seg", ((F.col("seg") * hop + nperseg / 2) / F.lit(float(fs))).alias("t"), "k", _freq(fs, nperseg), value.alias("power"))
 
 
 def spectrum(df: DataFrame, fs: float, nperseg: int = 1024, overlap: float = 0.5) -> DataFrame:
     """ch, k, freq, power: the mean over segments."""
-    parts = spectrogram(df, fs, nperseg, int(nperseg * overlap))
-    return parts.groupBy("ch", "k", "freq").agg(F.avg("power").alias("power"))
+    parts = _by_segments(df, nperseg, nperseg - int(nperseg * overlap), False, _power(fs, nperseg, "spectrum"), total=True)
+    cells = parts.select("ch", "n", F.posexplode("row").alias("k", "power")).withColumn("k", F.col("k").cast("long"))
+    return cells.groupBy("ch", "k").agg((F.sum("power") / F.sum("n")).alias("power")).select("ch", "k", _freq(fs, nperseg), "power")
 
 
 def welch(df: DataFrame, fs: float, size: int) -> DataFrame:
@@ -149,6 +171,17 @@ def _prominent(rows: DataFrame, value: str, least: float) -> DataFrame:
     return rows.groupBy("ch").applyInPandas(kernel, rows.schema)
 
 
+def dominant(spec: DataFrame, value: str = "power", n_peaks: int = 5, **options) -> DataFrame:
+    """Per channel: the highest peak's frequency and value, and the frequencies and values of the first ``n_peaks``, highest first."""
+    found = F.sort_array(F.collect_list(F.struct("rank", "freq", F.col(value).alias("value"))))
+    return (
+        peaks(spec, value, n_peaks=n_peaks, **options)
+        .groupBy("ch")
+        .agg(found.alias("p"))
+        .select("ch", F.col("p")[0]["freq"].alias("freq"), F.col("p")[0]["value"].alias(value), F.col("p.freq").alias("freqs"), F.col("p.value").alias(f"{value}s"))
+    )
+
+
 def band_power(spec: DataFrame, low: float, high: float, value: str = "power", edge: int = 5) -> DataFrame:
     """Power of a band over the line between the means of its first and last bins: ch, band_power (trapezoid rule)."""
     rows = spec.filter((F.col("freq") >= low) & (F.col("freq") <= high))
@@ -228,11 +261,6 @@ def fk_inverse(spec: DataFrame) -> DataFrame:
     return back.select(F.col("ch").cast("long").alias("ch"), F.col("ti").cast("long").alias("ti"), F.col("re").alias("v"))
 
 
-def long_fft(df: DataFrame, fs: float, size: int | None = None) -> DataFrame:
-    """fft_mag for channels longer than SHORT samples (or of unknown length), else the sums."""
-    return dft_mag(df, fs) if size is not None and size <= SHORT else fft_mag(df, fs)
-
-
 def psd(df: DataFrame, fs: float, window: int, hop: int) -> DataFrame:
     """ch, k, freq, psd: mean power of symmetric Hann segments within the data, filled with zeros to twice their length."""
     hann = np.hanning(window)

@@ -22,9 +22,11 @@ ORACLES: dict[str, str] = {}
 EV = "ev AS (SELECT user_id AS ch, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS ti, value AS v FROM events)"
 EM = "em AS (SELECT vec_id AS ch, u.i - 1 AS ti, CAST(embedding[u.i] AS DOUBLE) AS v FROM embeddings, unnest(range(1, 65)) AS u(i))"
 EG = """
-    k AS (SELECT * FROM (VALUES (0, 'click'), (1, 'error'), (2, 'purchase'), (3, 'signup'), (4, 'view')) AS t(ch, kind)),
-    s AS (SELECT event_type AS kind, CAST(floor(epoch(ts - TIMESTAMP '2024-01-01 00:00:00') / 3600) AS BIGINT) AS ti, sum(value) AS s FROM events GROUP BY 1, 2),
-    eg AS (SELECT k.ch, h.ti, coalesce(s.s, CAST(0 AS DOUBLE)) AS v FROM k CROSS JOIN (SELECT i AS ti FROM unnest(range(0, 720)) AS r(i)) h LEFT JOIN s ON s.kind = k.kind AND s.ti = h.ti)
+    eg_sums AS (SELECT event_type AS kind, CAST(floor(epoch_us(ts) / 3600000000) AS BIGINT) AS hour, sum(value) AS s FROM events GROUP BY 1, 2),
+    eg_kinds AS (SELECT kind, row_number() OVER (ORDER BY kind) - 1 AS ch FROM (SELECT DISTINCT kind FROM eg_sums WHERE kind IS NOT NULL)),
+    eg_hours AS (SELECT unnest(range(min(hour), max(hour) + 1)) AS hour, min(hour) AS lo FROM eg_sums),
+    eg AS (SELECT k.ch, h.hour - h.lo AS ti, coalesce(s.s, CAST(0 AS DOUBLE)) AS v FROM eg_kinds k CROSS JOIN eg_hours h LEFT JOIN eg_sums s ON s.kind = k.kind AND s.hour = h.hour),
+    len AS (SELECT max(ti) + 1 AS n FROM eg)
 """
 TAU = repr(2 * math.pi)
 
@@ -258,7 +260,7 @@ def _dft(source: str, key: str, i: str, n: str, bins: int) -> str:
     f" SELECT ch, CAST(k AS BIGINT) AS k, {r('k * CAST(100 AS DOUBLE) / n')} AS freq, {r('sqrt(re * re + im * im)', 4)} AS mag FROM f"
 )
 def fft_mag(spark: SparkSession, d: str) -> DataFrame:
-    return spectral.dft_mag(ev(spark, d), FS).select("ch", "k", rounded("freq").alias("freq"), rounded("mag", 4).alias("mag"))
+    return spectral.fft_mag(ev(spark, d), FS).select("ch", "k", rounded("freq").alias("freq"), rounded("mag", 4).alias("mag"))
 
 
 @query(
@@ -270,7 +272,7 @@ def fft_kernel(spark: SparkSession, d: str) -> DataFrame:
 
 
 HANN = f"(CAST(0.5 AS DOUBLE) - CAST(0.5 AS DOUBLE) * cos({TAU} * j / 32))"
-STFT = f"""WITH {EG}, c AS (SELECT ch, ti + 16 - seg * 16 AS j, seg, v FROM eg CROSS JOIN (SELECT i AS seg FROM unnest(range(0, 46)) AS g(i)) g WHERE ti + 16 - seg * 16 BETWEEN 0 AND 31),
+STFT = f"""WITH {EG}, c AS (SELECT ch, ti + 16 - seg * 16 AS j, seg, v FROM eg CROSS JOIN (SELECT unnest(range(0, CAST(ceil(n / 16) AS BIGINT) + 1)) AS seg FROM len) g WHERE ti + 16 - seg * 16 BETWEEN 0 AND 31),
     w AS (SELECT ch, seg, j, v * {HANN} AS v, 32 AS n FROM c), f AS ({_dft("w", "ch, seg", "j", "n", 17)})"""
 
 
@@ -280,26 +282,30 @@ def stft_mag(spark: SparkSession, d: str) -> DataFrame:
     return s.select("ch", "seg", "k", rounded("freq").alias("freq"), rounded("t").alias("t"), rounded("mag", 4).alias("mag"))
 
 
-def _power(n: int, hop: int, segments: int) -> str:
-    hann = HANN.replace("/ 32", f"/ {n}")
-    return f"""WITH {EG}, c AS (SELECT ch, ti - seg * {hop} AS j, seg, v FROM eg CROSS JOIN (SELECT i AS seg FROM unnest(range(0, {segments})) AS g(i)) g WHERE ti - seg * {hop} BETWEEN 0 AND {n - 1}),
-    m AS (SELECT ch, seg, avg(v) AS m FROM c GROUP BY ch, seg), w AS (SELECT c.ch, c.seg, c.j, (c.v - m.m) * {hann} AS v, {n} AS n FROM c JOIN m ON m.ch = c.ch AND m.seg = c.seg), f AS ({_dft("w", "ch, seg", "j", "n", n // 2 + 1)}),
-    p AS (SELECT ch, seg, k, k * CAST(100 AS DOUBLE) / {n} AS freq, (re * re + im * im) / ({n / 2} * {n / 2}) * CASE WHEN k = 0 OR k = {n // 2} THEN 1 ELSE 2 END AS power FROM f),
+def _power(n: str, hop: str) -> str:
+    """Mean power of Hann segments of EG; n and hop are SQL expressions over len (n samples)."""
+    bins = _dft("w", "ch, seg", "j", "m", 1025)
+    return f"""WITH {EG}, size AS (SELECT n, {n} AS m, {hop} AS hop FROM len), g AS (SELECT m, hop, unnest(range(0, (n - (m - hop)) // hop)) AS seg FROM size),
+    c AS (SELECT ch, ti - seg * hop AS j, seg, v, g.m FROM eg CROSS JOIN g WHERE ti - seg * hop BETWEEN 0 AND g.m - 1),
+    a0 AS (SELECT ch, seg, avg(v) AS mean FROM c GROUP BY ch, seg),
+    w AS (SELECT c.ch, c.seg, c.j, (c.v - a0.mean) * (CAST(0.5 AS DOUBLE) - CAST(0.5 AS DOUBLE) * cos({TAU} * j / c.m)) AS v, c.m FROM c JOIN a0 ON a0.ch = c.ch AND a0.seg = c.seg), f AS ({bins}),
+    p AS (SELECT ch, seg, k, k * CAST(100 AS DOUBLE) / n AS freq, (re * re + im * im) / (n / CAST(2 AS DOUBLE) * n / 2) * CASE WHEN k = 0 OR 2 * k = n THEN 1 ELSE 2 END AS power FROM f),
     a AS (SELECT ch, k, freq, avg(power) AS power FROM p GROUP BY ch, k, freq)"""
 
 
-@query(f"{_power(64, 32, 21)} SELECT CAST(ch AS BIGINT) AS ch, CAST(k AS BIGINT) AS k, {r('freq')} AS freq, {r('power', 4)} AS power FROM a")
+@query(f"{_power("64", "32")} SELECT CAST(ch AS BIGINT) AS ch, CAST(k AS BIGINT) AS k, {r('freq')} AS freq, {r('power', 4)} AS power FROM a")
 def spectrum(spark: SparkSession, d: str) -> DataFrame:
     return spectral.spectrum(eg(spark, d), FS, 64).select("ch", "k", rounded("freq").alias("freq"), rounded("power", 4).alias("power"))
 
 
-@query(f"{_power(180, 90, 7)} SELECT CAST(ch AS BIGINT) AS ch, CAST(k AS BIGINT) AS k, {r('freq')} AS freq, {r('sqrt(power)', 4)} AS mag FROM a")
+@query(f"{_power("least(2048, greatest(8, n // 4))", "(least(2048, greatest(8, n // 4)) - least(2048, greatest(8, n // 4)) // 2)")} SELECT CAST(ch AS BIGINT) AS ch, CAST(k AS BIGINT) AS k, {r('freq')} AS freq, {r('sqrt(power)', 4)} AS mag FROM a")
 def welch(spark: SparkSession, d: str) -> DataFrame:
-    return spectral.welch(eg(spark, d), FS, 720).select("ch", "k", rounded("freq").alias("freq"), rounded("mag", 4).alias("mag"))
+    frame = eg(spark, d)
+    return spectral.welch(frame, FS, frame.agg(F.max("ti") + 1).first()[0] or 0).select("ch", "k", rounded("freq").alias("freq"), rounded("mag", 4).alias("mag"))
 
 
 @query(
-    f"{_power(64, 32, 21)}, q AS (SELECT *, lag(power) OVER (PARTITION BY ch ORDER BY k) AS l, lead(power) OVER (PARTITION BY ch ORDER BY k) AS n FROM a WHERE freq >= 2 AND freq <= 45),"
+    f"{_power("64", "32")}, q AS (SELECT *, lag(power) OVER (PARTITION BY ch ORDER BY k) AS l, lead(power) OVER (PARTITION BY ch ORDER BY k) AS n FROM a WHERE freq >= 2 AND freq <= 45),"
     f" o AS (SELECT ch, CAST(row_number() OVER (PARTITION BY ch ORDER BY power DESC, k DESC) AS INTEGER) AS rank, freq, power FROM q WHERE power > l AND power > n)"
     f" SELECT CAST(ch AS BIGINT) AS ch, rank, {r('freq')} AS freq, {r('power', 4)} AS power FROM o WHERE rank <= 3"
 )
@@ -309,7 +315,7 @@ def peaks(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"{_power(64, 32, 21)}, b AS (SELECT *, row_number() OVER (PARTITION BY ch ORDER BY k) AS i, row_number() OVER (PARTITION BY ch ORDER BY k DESC) AS j FROM a WHERE freq >= 5 AND freq <= 40),"
+    f"{_power("64", "32")}, b AS (SELECT *, row_number() OVER (PARTITION BY ch ORDER BY k) AS i, row_number() OVER (PARTITION BY ch ORDER BY k DESC) AS j FROM a WHERE freq >= 5 AND freq <= 40),"
     " e AS (SELECT ch, avg(CASE WHEN i <= 5 THEN power END) AS f, avg(CASE WHEN j <= 5 THEN power END) AS l, count(*) AS n FROM b GROUP BY ch),"
     " u AS (SELECT b.ch, b.k, b.freq, greatest(b.power - (e.f + (e.l - e.f) * (b.i - 1) / CAST(e.n - 1 AS DOUBLE)), CAST(0 AS DOUBLE)) AS net FROM b JOIN e ON e.ch = b.ch),"
     " st AS (SELECT ch, (lead(freq) OVER (PARTITION BY ch ORDER BY k) - freq) * (lead(net) OVER (PARTITION BY ch ORDER BY k) + net) / 2 AS strip FROM u)"
@@ -328,51 +334,53 @@ def hilbert_envelope(spark: SparkSession, d: str) -> DataFrame:
     return _out(spectral.envelope(em(spark, d)))
 
 
-FK = f"""{EM}, e AS (SELECT * FROM em WHERE ch < 32), i32 AS (SELECT i AS a FROM unnest(range(0, 32)) AS x(i)), i64 AS (SELECT i AS a FROM unnest(range(0, 64)) AS x(i)),
-    t1 AS (SELECT e.ch, f.a AS fi, sum(v * cos(-{TAU} * ((f.a * ti) % 64) / 64)) AS re, sum(v * sin(-{TAU} * ((f.a * ti) % 64) / 64)) AS im FROM e CROSS JOIN i64 f GROUP BY e.ch, f.a),
-    t2 AS (SELECT fi, k.a AS ki, sum(re * cos(-{TAU} * ((k.a * ch) % 32) / 32) - im * sin(-{TAU} * ((k.a * ch) % 32) / 32)) AS re, sum(re * sin(-{TAU} * ((k.a * ch) % 32) / 32) + im * cos(-{TAU} * ((k.a * ch) % 32) / 32)) AS im FROM t1 CROSS JOIN i32 k GROUP BY fi, k.a),
-    fk AS (SELECT fi, ki, CASE WHEN fi < 32 THEN fi ELSE fi - 64 END * CAST(100 AS DOUBLE) / 64 AS freq, CASE WHEN ki < 16 THEN ki ELSE ki - 32 END / CAST(1 AS DOUBLE) / 32 AS wavenumber, re, im FROM t2)"""
+def _wave(way: str, bin: str, at: str, n: str) -> tuple[str, str]:
+    """cos and sin of a bin's turn."""
+    a = f"{way}{TAU} * (({bin} * {at}) % {n}) / {n}"
+    return f"cos({a})", f"sin({a})"
 
 
-def _few(spark: SparkSession, d: str) -> DataFrame:
-    """The frame of the F-K queries: 32 channels, since the plane needs a dense block of them."""
-    return em(spark, d).filter("ch < 32")
+(C1, S1), (C2, S2), (C3, S3), (C4, S4) = _wave("-", "f.a", "ti", "64"), _wave("-", "k.a", "ch", "c.n"), _wave("", "ki", "c.a", "c.n"), _wave("", "fi", "t.a", "64")
+#: The plane of all channels of EM; c has a row per channel, with the number of them.
+FK = f"""{EM}, i64 AS (SELECT i AS a FROM unnest(range(0, 64)) AS x(i)), c AS (SELECT unnest(range(0, n)) AS a, n FROM (SELECT max(ch) + 1 AS n FROM em)),
+    t1 AS (SELECT em.ch, f.a AS fi, sum(v * {C1}) AS re, sum(v * {S1}) AS im FROM em CROSS JOIN i64 f GROUP BY em.ch, f.a),
+    t2 AS (SELECT fi, k.a AS ki, k.n, sum(re * {C2.replace("c.n", "k.n")} - im * {S2.replace("c.n", "k.n")}) AS re, sum(re * {S2.replace("c.n", "k.n")} + im * {C2.replace("c.n", "k.n")}) AS im FROM t1 CROSS JOIN c k GROUP BY fi, k.a, k.n),
+    fk AS (SELECT fi, ki, CASE WHEN fi < 32 THEN fi ELSE fi - 64 END * CAST(100 AS DOUBLE) / 64 AS freq, CASE WHEN ki < (n + 1) // 2 THEN ki ELSE ki - n END / CAST(1 AS DOUBLE) / n AS wavenumber, re, im FROM t2)"""
 
 
 @query(f"WITH {FK} SELECT CAST(fi AS INTEGER) AS fi, CAST(ki AS INTEGER) AS ki, {r('freq')} AS freq, {r('wavenumber')} AS wavenumber, {r('re')} AS re, {r('im')} AS im FROM fk")
 def fk_transform(spark: SparkSession, d: str) -> DataFrame:
-    return spectral.fk_transform(_few(spark, d), FS).select("fi", "ki", *[rounded(c).alias(c) for c in ("freq", "wavenumber", "re", "im")])
+    return spectral.fk_transform(em(spark, d), FS).select("fi", "ki", *[rounded(c).alias(c) for c in ("freq", "wavenumber", "re", "im")])
 
 
 @query(
     f"""WITH {FK}, kept AS (SELECT fi, ki, re, im FROM fk WHERE CASE WHEN wavenumber = 0 THEN freq = 0 ELSE abs(freq / wavenumber) >= 50 AND abs(freq / wavenumber) <= 800 END),
-    b1 AS (SELECT fi, c.a AS ch, sum(re * cos({TAU} * ((ki * c.a) % 32) / 32) - im * sin({TAU} * ((ki * c.a) % 32) / 32)) / 32 AS re, sum(re * sin({TAU} * ((ki * c.a) % 32) / 32) + im * cos({TAU} * ((ki * c.a) % 32) / 32)) / 32 AS im FROM kept CROSS JOIN i32 c GROUP BY fi, c.a)
-    SELECT CAST(ch AS BIGINT) AS ch, CAST(t.a AS BIGINT) AS ti, {r(f"sum(re * cos({TAU} * ((fi * t.a) % 64) / 64) - im * sin({TAU} * ((fi * t.a) % 64) / 64)) / 64")} AS v FROM b1 CROSS JOIN i64 t GROUP BY ch, t.a"""
+    b1 AS (SELECT fi, c.a AS ch, sum(re * {C3} - im * {S3}) / c.n AS re, sum(re * {S3} + im * {C3}) / c.n AS im FROM kept CROSS JOIN c GROUP BY fi, c.a, c.n)
+    SELECT CAST(ch AS BIGINT) AS ch, CAST(t.a AS BIGINT) AS ti, {r(f"sum(re * {C4} - im * {S4}) / 64")} AS v FROM b1 CROSS JOIN i64 t GROUP BY ch, t.a"""
 )
 def fk_filter(spark: SparkSession, d: str) -> DataFrame:
-    return _out(spectral.fk_filter(_few(spark, d), FS, 50.0, 800.0))
+    return _out(spectral.fk_filter(em(spark, d), FS, 50.0, 800.0))
 
 
 # --- filters: the recursion as a recursive query, a pass of each section forward and one backward
 
 
-def _recursive(sos) -> str:
-    """SQL of a zero-phase filter of EM: odd extension, then every section in both directions."""
+def _zero_phase(sos, source: str = "em", mark: str = "") -> tuple[list[str], str]:
+    """The CTEs of a zero-phase filter of a dense source of 64 samples, and a query of its ch, ti, v: odd extension, then every section in both directions."""
     pad, n = dsp.padding(sos), 64
     total = n + 2 * pad
     parts = [
-        EM,
-        f"x AS (SELECT ch, p.i AS i, CASE WHEN p.i < {pad} THEN 2 * max(CASE WHEN ti = 0 THEN v END) - max(CASE WHEN ti = {pad} - p.i THEN v END)"
+        f"x{mark} AS (SELECT ch, p.i AS i, CASE WHEN p.i < {pad} THEN 2 * max(CASE WHEN ti = 0 THEN v END) - max(CASE WHEN ti = {pad} - p.i THEN v END)"
         f" WHEN p.i >= {pad + n} THEN 2 * max(CASE WHEN ti = {n - 1} THEN v END) - max(CASE WHEN ti = {2 * n - 2 + pad} - p.i THEN v END) ELSE max(CASE WHEN ti = p.i - {pad} THEN v END) END AS v"
-        f" FROM em CROSS JOIN (SELECT i FROM unnest(range(0, {total})) AS q(i)) p GROUP BY ch, p.i)",
+        f" FROM {source} CROSS JOIN (SELECT i FROM unnest(range(0, {total})) AS q(i)) p GROUP BY ch, p.i)",
     ]
-    start, last = dsp.steady_state(sos), "x"
+    start, last = dsp.steady_state(sos), f"x{mark}"
     lit = lambda x: f"CAST({float(x)!r} AS DOUBLE)"
     for way in range(2):
-        first = f"f{way}"
+        first = f"f{mark}{way}"
         parts.append(f"{first} AS (SELECT ch, v AS v0 FROM {last} WHERE i = 0)")
         for k, (b0, b1, b2, _, a1, a2) in enumerate(sos):
-            name = f"s{way}_{k}"
+            name = f"s{mark}{way}_{k}"
             y = f"{lit(b0)} * x.v + {{1}}"
             init = [f"{lit(z)} * f.v0" for z in start[k]]
             y0 = y.replace("{1}", init[0])
@@ -384,9 +392,14 @@ def _recursive(sos) -> str:
                 f" UNION ALL SELECT x.ch, x.i, {y1}, {q[0]}, {q[1]} FROM {name} r JOIN {last} x ON x.ch = r.ch AND x.i = r.i + 1)"
             )
             last = name
-        parts.append(f"rev{way} AS (SELECT ch, {total - 1} - i AS i, v FROM {last})")
-        last = f"rev{way}"
-    return f"WITH RECURSIVE {', '.join(parts)} SELECT CAST(ch AS BIGINT) AS ch, CAST(i - {pad} AS BIGINT) AS ti, {r('v')} AS v FROM {last} WHERE i >= {pad} AND i < {pad + n}"
+        parts.append(f"rev{mark}{way} AS (SELECT ch, {total - 1} - i AS i, v FROM {last})")
+        last = f"rev{mark}{way}"
+    return parts, f"SELECT CAST(ch AS BIGINT) AS ch, CAST(i - {pad} AS BIGINT) AS ti, v FROM {last} WHERE i >= {pad} AND i < {pad + n}"
+
+
+def _recursive(sos, value: str = "v", source: str = "em", before: str = "", digits: int = 6) -> str:
+    parts, rows = _zero_phase(sos, source)
+    return f"WITH RECURSIVE {', '.join([EM, *([before] if before else []), *parts])}, z AS ({rows}) SELECT ch, ti, {r(value, digits)} AS v FROM z"
 
 
 @query(_recursive(dsp.butter_sos(4, 20.0, "lowpass", FS)))
@@ -414,17 +427,31 @@ def notch(spark: SparkSession, d: str) -> DataFrame:
     return _out(filters.notch(em(spark, d), FS, 25.0, 5.0))
 
 
-@query()
+HIGH = dsp.butter_sos(4, 5.0, "highpass", FS)
+CENTRED = "v - avg(v) OVER (PARTITION BY ch)"
+
+
+@query(_recursive(HIGH, CENTRED))
 def process_differential(spark: SparkSession, d: str) -> DataFrame:
     return _out(filters.process_differential(em(spark, d), FS, 5.0))
 
 
-@query()
+@query(_recursive(HIGH, CENTRED, "summed", "summed AS (SELECT ch, ti, sum(v) OVER (PARTITION BY ch ORDER BY ti ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS v FROM em)"))
 def integrate_data(spark: SparkSession, d: str) -> DataFrame:
     return _out(filters.integrate_data(em(spark, d), FS, 5.0))
 
 
-@query()
+def _response(freqs: tuple[float, ...]) -> str:
+    """Per frequency the channel of highest RMS in a band of 5 % either side."""
+    parts, best = [EM], []
+    for i, f in enumerate(freqs):
+        more, rows = _zero_phase(dsp.butter_sos(4, (0.95 * f, 1.05 * f), "bandpass", FS), "em", f"b{i}_")
+        parts += [*more, f"l{i} AS (SELECT ch, sqrt(avg(v * v)) AS rms FROM ({rows}) GROUP BY ch)"]
+        best.append(f"(SELECT CAST({f!r} AS DOUBLE) AS freq, ch, {r('rms')} AS rms FROM l{i} ORDER BY l{i}.rms DESC, ch LIMIT 1)")
+    return f"WITH RECURSIVE {', '.join(parts)} {' UNION ALL '.join(best)}"
+
+
+@query(_response((10.0, 20.0, 30.0)))
 def freq_response(spark: SparkSession, d: str) -> DataFrame:
     return spectral.frequency_response(em(spark, d), FS, [10.0, 20.0, 30.0]).select("freq", "ch", rounded("rms").alias("rms"))
 
@@ -447,7 +474,7 @@ def trigger_events(spark: SparkSession, d: str) -> DataFrame:
     f"""WITH {EG}, m AS (SELECT ti, sqrt(avg(v * v)) AS rms FROM eg GROUP BY ti), b AS (SELECT ti, 20 * log10(rms / (SELECT max(rms) FROM m) + CAST(1e-10 AS DOUBLE)) AS db FROM m),
     z AS (SELECT ti, 0 AS lo, 0 AS hi, db AS peak FROM b WHERE db > -8), {RUNS}
     SELECT {r("a / CAST(100 AS DOUBLE)")} AS start_s, {r("(b + 1) / CAST(100 AS DOUBLE)")} AS end_s, {r("(b + 1 - a) * CAST(10 AS DOUBLE)")} AS duration_ms, {r("peak")} AS peak_db
-    FROM i WHERE b + 1 - a >= 2 AND b < 719 ORDER BY a LIMIT 20"""
+    FROM i, len WHERE b + 1 - a >= 2 AND b < n - 1 ORDER BY a LIMIT 20"""
 )
 def rms_events(spark: SparkSession, d: str) -> DataFrame:
     e = detect.rms_events(eg(spark, d), FS, -8.0, 20.0)
@@ -504,10 +531,10 @@ def spool_concat(spark: SparkSession, d: str) -> DataFrame:
     return spool.concat(rows, ix(spark, d)).select("ch", F.col("ti").cast("long").alias("ti"), "v")
 
 
-@query(_long(EM, "(SELECT ch, ti, v, CAST(w.w AS BIGINT) AS w FROM em CROSS JOIN (SELECT i AS w FROM unnest(range(0, 9)) AS g(i)) w WHERE ti BETWEEN w.w * 7 AND w.w * 7 + 9)", "v").replace("AS v FROM (", "AS v, w AS chunk FROM ("))
+@query(_long(EM, "(SELECT ch, ti, v, CAST(w.w AS BIGINT) AS w FROM em CROSS JOIN (SELECT i AS w FROM unnest(range(0, 10)) AS g(i)) w WHERE ti BETWEEN w.w * 7 AND w.w * 7 + 9)", "v").replace("AS v FROM (", "AS v, w AS chunk FROM ("))
 def spool_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Windows of ten samples that share three; the last one is short."""
-    c = spool.chunks(em(spark, d), 10, 3).filter("chunk < 9")
+    c = spool.chunks(em(spark, d), 10, 3)
     return c.select(F.col("ch").cast("long").alias("ch"), "ti", rounded("v").alias("v"), F.col("chunk").cast("long").alias("chunk"))
 
 
@@ -551,7 +578,7 @@ def stream_sos(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {EG}, c AS (SELECT ch, ti - seg * 16 AS j, seg, v FROM eg CROSS JOIN (SELECT i AS seg FROM unnest(range(0, 44)) AS g(i)) g WHERE ti - seg * 16 BETWEEN 0 AND 31),
+    f"""WITH {EG}, c AS (SELECT ch, ti - seg * 16 AS j, seg, v FROM eg CROSS JOIN (SELECT unnest(range(0, (n - 16) // 16)) AS seg FROM len) g WHERE ti - seg * 16 BETWEEN 0 AND 31),
     w AS (SELECT ch, seg, j, v * (CAST(0.5 AS DOUBLE) - CAST(0.5 AS DOUBLE) * cos({TAU} * j / 31)) AS v, 64 AS n FROM c), f AS ({_dft("w", "ch, seg", "j", "n", 33)}), h AS (SELECT sum((CAST(0.5 AS DOUBLE) - CAST(0.5 AS DOUBLE) * cos({TAU} * i / 31)) * (CAST(0.5 AS DOUBLE) - CAST(0.5 AS DOUBLE) * cos({TAU} * i / 31))) AS s FROM unnest(range(0, 32)) AS q(i))
     SELECT CAST(ch AS BIGINT) AS ch, CAST(k AS BIGINT) AS k, {r("k * CAST(100 AS DOUBLE) / 64")} AS freq, {r("avg(re * re + im * im) * 2 / (100 * max(h.s))", 4)} AS psd FROM f, h GROUP BY ch, k"""
 )
@@ -563,7 +590,7 @@ def psd(spark: SparkSession, d: str) -> DataFrame:
     f"WITH {FK}, m AS (SELECT fi, ki, 20 * log10(sqrt(re * re + im * im) + CAST(1e-12 AS DOUBLE)) AS db FROM fk) SELECT CAST(fi AS INTEGER) AS fi, CAST(ki AS INTEGER) AS ki, {r('db - (SELECT max(db) FROM m)', 4)} AS db FROM m"
 )
 def fk_db(spark: SparkSession, d: str) -> DataFrame:
-    plane = spectral.fk_transform(_few(spark, d), FS).withColumn("db", spectral.to_db(F.hypot("re", "im"), 20.0))
+    plane = spectral.fk_transform(em(spark, d), FS).withColumn("db", spectral.to_db(F.hypot("re", "im"), 20.0))
     return plane.crossJoin(F.broadcast(plane.agg(F.max("db").alias("top")))).select("fi", "ki", rounded(F.col("db") - F.col("top"), 4).alias("db"))
 
 

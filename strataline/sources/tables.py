@@ -26,12 +26,17 @@ def em(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def eg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A regular time axis: the hourly sums of event values by type, 720 hours from 2024-01-01, zero where none."""
-    kinds = F.array(*[F.struct(F.lit(i).cast("long").alias("ch"), F.lit(k).alias("kind")) for i, k in enumerate(("click", "error", "purchase", "signup", "view"))])
-    hour = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(1704067200000000)) / F.lit(3600000000))
-    sums = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("kind"), hour.alias("ti")).agg(F.sum("value").alias("s"))
-    grid = spark.range(720).select(F.col("id").alias("ti"), F.inline(kinds))
-    return grid.join(sums, ["kind", "ti"], "left").select("ch", "ti", F.coalesce("s", F.lit(0.0)).alias("v"))
+    """A regular time axis: the hourly sums of event values by type, from the first event's hour to the last one's, zero where none.
+
+    Types are channels in the order of their names; the axis and the types come from the events.
+    """
+    hour = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(3600000000))
+    sums = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("kind"), hour.alias("hour")).agg(F.sum("value").alias("s"))
+    # one row: the axis, and the few types
+    axis = sums.agg(F.min("hour").alias("lo"), F.max("hour").alias("hi"), F.sort_array(F.collect_set("kind")).alias("kinds"))
+    hours = axis.filter("lo IS NOT NULL").select("lo", "kinds", F.explode(F.sequence("lo", "hi")).alias("hour"))
+    grid = hours.select("hour", (F.col("hour") - F.col("lo")).alias("ti"), F.posexplode("kinds").alias("ch", "kind"))
+    return grid.join(sums, ["kind", "hour"], "left").select(F.col("ch").cast("long").alias("ch"), "ti", F.coalesce("s", F.lit(0.0)).alias("v"))
 
 
 def ix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -170,8 +170,7 @@ def test_causal_filter_over_chunks_is_one_pass():
 def test_transforms(spark, noise):
     f = frame(spark, noise)
     want = abs(np.fft.rfft(noise, axis=0))
-    for df in (f.fft(), spectral.dft_mag(f.df, 100.0)):
-        assert np.allclose(table(df, "mag", "k"), want)
+    assert np.allclose(table(f.fft(), "mag", "k"), want)
     env = f.envelope().collect()
     for n in (200, 199):
         z = dsp.analytic(noise[:n])
@@ -370,3 +369,52 @@ def test_block_filter_is_the_recursion():
         z = dsp.steady_state(sos)[:, :, None] * x[0]
         (y, s), (want, last) = dsp.sos_filter(sos, x, z), dsp._recursion(sos, x, z)
         assert np.allclose(y, want, rtol=1e-9, atol=1e-9) and np.allclose(s, last, rtol=1e-9, atol=1e-9)
+
+
+@pytest.mark.parametrize("block", [40, 1 << 18])
+def test_segments_are_the_same_for_every_block(spark, monkeypatch, block):
+    monkeypatch.setattr(spectral, "BLOCK", block)
+    x = RNG.normal(size=(333, 2))
+    x[50:120, 1] = np.nan
+    n, hop = 32, 12
+    hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
+    f = frame(spark, x)
+    rows = spectral.stft_mag(f.df.filter("v IS NOT NULL"), 100.0, n, n - hop).toPandas()
+    for c in range(2):
+        pad = np.concatenate((np.full(16, np.nan), x[:, c], np.full(60, np.nan)))
+        for s in range(-(-333 // hop) + 1):
+            part = pad[s * hop : s * hop + n]
+            got = rows[(rows.ch == c) & (rows.seg == s)].sort_values("k").mag.to_numpy()
+            want = abs(np.fft.rfft(np.nan_to_num(part) * hann)) / 16 if not np.isnan(part).all() else np.zeros(0)
+            assert len(got) == len(want) and np.allclose(got, want)
+    db = spectral.spectrogram(f.df, 100.0, n, n - hop, db=True, low=-20.0, high=0.0).toPandas()
+    plain = spectral.spectrogram(f.df, 100.0, n, n - hop).toPandas()
+    both = db.merge(plain, on=["ch", "seg", "k"])
+    assert np.allclose(both.power_x, np.clip(10 * np.log10(both.power_y + 1e-12), -20, 0)) and np.allclose(both.t_x, (both.seg * hop + 16) / 100)
+    mean = plain.groupby(["ch", "k"]).power.mean()
+    spec = spectral.spectrum(f.df, 100.0, n, 0.5).toPandas()
+    again = spectral.spectrogram(f.df, 100.0, n, n // 2).toPandas().groupby(["ch", "k"]).power.mean()
+    assert np.allclose(spec.set_index(["ch", "k"]).power.sort_index(), again.sort_index()) and len(mean) == 34
+
+
+def test_percentiles_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(stats, "BINS", 16)
+    monkeypatch.setattr(stats, "FEW", 5)
+    for x in (RNG.normal(size=3000), np.repeat(RNG.integers(0, 9, 40), 25).astype(float), np.array([3.0]), np.concatenate((np.zeros(500), 1e9 * RNG.random(5))), np.array([1.0, np.nextafter(1.0, 2)] * 40)):
+        df = frame(spark, x[:, None]).df
+        got = stats.percentiles(df, [0.0, 0.05, 0.5, 0.977, 1.0]).first()
+        assert np.allclose(got, np.percentile(x, [0, 5, 50, 97.7, 100]), rtol=1e-15, atol=0), x[:5]
+    assert stats.percentiles(df.limit(0), [0.5]).first()[0] is None
+
+
+def test_numbers_go_on_over_blocks(spark):
+    at = sorted(set(RNG.integers(0, 1000, 200).tolist()))
+    rows = detect.numbered(spark.createDataFrame([(i,) for i in at], "ti long").repartition(5), "ti", "n", 64).orderBy("ti").collect()
+    assert [r.n for r in rows] == list(range(len(at)))
+
+
+def test_dominant(spark):
+    t = np.arange(2000) / 1000
+    x = np.stack([3 * np.sin(2 * np.pi * 50 * t) + np.sin(2 * np.pi * 120 * t), np.sin(2 * np.pi * 200 * t) + 2 * np.sin(2 * np.pi * 30 * t)], 1)
+    got = {r.ch: r for r in spectral.dominant(frame(spark, x, 1000.0).spectrum(window=1000), min_prominence=0.1).collect()}
+    assert {c: [round(f) for f in r.freqs] for c, r in got.items()} == {0: [50, 120], 1: [30, 200]} and round(got[0].freq) == 50
