@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,12 +36,12 @@ def union_find(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _forest(links: DataFrame) -> DataFrame:
     """Fewer links with the same components: every run of rows by its own union-find."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in parts:
-            node, root = union_find(p["a"].to_numpy(), p["b"].to_numpy())
-            yield pd.DataFrame({"a": root, "b": node})
+            node, root = union_find(p.column(0).to_numpy(), p.column(1).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(root, pa.int64()), pa.array(node, pa.int64())], names=["a", "b"])
 
-    return links.mapInPandas(run, "a long, b long")
+    return links.select("a", "b").mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:

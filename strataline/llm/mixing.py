@@ -27,7 +27,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -132,18 +131,19 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
     cells = rows.groupBy("key", "source", "size").agg(F.count("*").alias("n"))
     per_source = targets(cells.withColumn("size", F.col("size") * F.col("n")), weights, share, most)
 
-    def plan(cell: pd.DataFrame) -> pd.DataFrame:
+    def plan(cell: pa.Table) -> pa.Table:
         """One source: its whole passes, and what each length gives beyond them."""
-        size, target = int(cell["source_size"].iloc[0]), float(cell["target"].iloc[0])
+        cell = cell.sort_by("size")
+        size, target = cell.column("source_size")[0].as_py(), cell.column("target")[0].as_py()
         full = min(int(target // size), most) if size else 0
-        lengths, counts = cell["size"].to_numpy(np.int64), cell["n"].to_numpy(np.int64)
+        lengths, counts = (cell.column(c).to_numpy() for c in ("size", "n"))
         some = lengths > 0
-        extra = np.zeros(len(cell), np.int64)
+        extra = np.zeros(len(lengths), np.int64)
         if full < most and some.any():
             extra[some] = fit(lengths[some], counts[some], round(target - full * size), seed)
-        return cell.assign(full=full, extra=extra)[["key", "size", "n", "source_size", "target", "full", "extra"]]
+        return cell.append_column("full", pa.array([full] * len(extra), pa.int32())).append_column("extra", pa.array(extra))
 
-    plans = cells.join(per_source, "key").select("key", "size", "n", "source_size", "target").groupBy("key").applyInPandas(plan, "key string, size long, n long, source_size long, target double, full int, extra long")
+    plans = cells.join(per_source, "key").select("key", "size", "n", "source_size", "target").groupBy("key").applyInArrow(plan, "key string, size long, n long, source_size long, target double, full int, extra long")
     plans = Stored(plans, "plans").df
     drawn = rows.join(F.broadcast(plans) if plans.count() <= BROADCAST_CELLS else plans, ["key", "size"]).withColumn("hash", F.xxhash64("doc_id", F.lit(seed)))
     drawn = drawn.withColumn("group", F.pmod("hash", F.ceil(F.col("n") / GROUP)))
