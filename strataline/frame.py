@@ -3,29 +3,55 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field, replace
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataline.functions import units
-from strataline.operators import detect, filters, match, pointwise, rolling, spectral, stats
-from strataline.operators.layout import clean
+from strataline.functions import dsp, units
+from strataline.operators import detect, match, pointwise, rolling, spectral, stats, traces
+from strataline.operators.layout import clean, to_long, to_traces
 
 
-@dataclass(frozen=True)
 class SignalFrame:
     """Rows (ch, ti, v) with the sampling rate fs, the channel spacing dx and metadata beside them.
 
     Every method gives a new frame or a small DataFrame; nothing runs before a sink (collect, count, write).
+    Steps along time that work channel by channel (detrend, demean, scale, abs, normalize, filters) are held
+    back: ``df`` runs a chain with a filter in it in one pass over whole traces, after one shuffle, and any other chain
+    on the rows. A frame that was made from traces (``from_traces``) needs no shuffle at all.
     """
 
-    df: DataFrame
-    fs: float = 1.0
-    dx: float = 1.0
-    meta: dict = field(default_factory=dict)
+    def __init__(self, df: DataFrame | None, fs: float = 1.0, dx: float = 1.0, meta: dict | None = None, *, steps: tuple = (), whole: DataFrame | None = None):
+        self._rows, self._steps, self._whole = df, steps, whole
+        self.fs, self.dx, self.meta = fs, dx, {} if meta is None else meta
+
+    @classmethod
+    def from_traces(cls, rows: DataFrame, fs: float, dx: float = 1.0, **meta) -> SignalFrame:
+        """A frame from a row per channel: ch and v, its samples in order of time."""
+        return cls(None, float(fs), float(dx), meta, whole=rows)
+
+    @cached_property
+    def df(self) -> DataFrame:
+        """The rows (ch, ti, v)."""
+        if self._whole is not None or any(on_rows is None for on_rows, _ in self._steps):
+            return to_long(self.traces)
+        out = self._rows
+        for on_rows, _ in self._steps:
+            out = on_rows(out)
+        return out
+
+    @cached_property
+    def traces(self) -> DataFrame:
+        """A row per channel: ch and v, its samples in order of time."""
+        whole = to_traces(self._rows) if self._whole is None else self._whole
+        return traces.chain(whole, *(on_trace for _, on_trace in self._steps)) if self._steps else whole
+
+    def _step(self, on_trace: traces.Step, on_rows: Callable[[DataFrame], DataFrame] | None = None) -> SignalFrame:
+        """This frame with a step more: on a trace (samples, channels), and on rows unless it needs whole channels."""
+        return SignalFrame(self._rows, self.fs, self.dx, self.meta, steps=(*self._steps, (on_rows, on_trace)), whole=self._whole)
 
     # --- construction and sinks
 
@@ -38,8 +64,8 @@ class SignalFrame:
         rows = pa.table({"ch": np.tile(np.arange(c), n), "ti": np.repeat(np.arange(n), c), "v": x.ravel()})
         return cls(clean(spark.createDataFrame(rows)), float(fs), float(dx), meta)
 
-    def _with(self, df: DataFrame, **change) -> SignalFrame:
-        return replace(self, df=df, **change)
+    def _with(self, df: DataFrame) -> SignalFrame:
+        return SignalFrame(df, self.fs, self.dx, self.meta)
 
     @property
     def shape(self) -> tuple[int, int]:
@@ -91,19 +117,19 @@ class SignalFrame:
         return self._with(self.df.withColumn("v", F.col("v").cast(kind)))
 
     def scale(self, factor: float = 1.0) -> SignalFrame:
-        return self._with(pointwise.scale(self.df, factor))
+        return self._step(traces.scale(factor), lambda df: pointwise.scale(df, factor))
 
     def abs(self) -> SignalFrame:
-        return self._with(pointwise.absolute(self.df))
+        return self._step(traces.absolute(), pointwise.absolute)
 
     def detrend(self, axis: str = "time") -> SignalFrame:
-        return self._with(pointwise.detrend(self.df, axis))
+        return self._step(traces.detrend(), pointwise.detrend) if axis == "time" else self._with(pointwise.detrend(self.df, axis))
 
     def demean(self, axis: str = "time") -> SignalFrame:
-        return self._with(pointwise.demean(self.df, axis))
+        return self._step(traces.demean(), pointwise.demean) if axis == "time" else self._with(pointwise.demean(self.df, axis))
 
     def normalize(self, method: str = "minmax") -> SignalFrame:
-        return self._with(pointwise.normalize(self.df, method))
+        return self._step(traces.normalize(method), lambda df: pointwise.normalize(df, method))
 
     def integrate(self) -> SignalFrame:
         return self._with(pointwise.integrate(self.df, self.fs))
@@ -128,37 +154,40 @@ class SignalFrame:
 
     # --- filters
 
+    def _filter(self, sos: np.ndarray) -> SignalFrame:
+        return self._step(traces.zero_phase(sos))
+
     def bandpass(self, low: float, high: float, order: int = 4) -> SignalFrame:
-        return self._with(filters.bandpass(self.df, self.fs, low, high, order))
+        return self._filter(dsp.butter_sos(order, (low, high), "bandpass", self.fs))
 
     def bandstop(self, low: float, high: float, order: int = 4) -> SignalFrame:
-        return self._with(filters.bandstop(self.df, self.fs, low, high, order))
+        return self._filter(dsp.butter_sos(order, (low, high), "bandstop", self.fs))
 
     def lowpass(self, cutoff: float, order: int = 4) -> SignalFrame:
-        return self._with(filters.lowpass(self.df, self.fs, cutoff, order))
+        return self._filter(dsp.butter_sos(order, cutoff, "lowpass", self.fs))
 
     def highpass(self, cutoff: float, order: int = 4) -> SignalFrame:
-        return self._with(filters.highpass(self.df, self.fs, cutoff, order))
+        return self._filter(dsp.butter_sos(order, cutoff, "highpass", self.fs))
 
     def notch(self, freq: float, q: float = 30) -> SignalFrame:
-        return self._with(filters.notch(self.df, self.fs, freq, q))
+        return self._filter(dsp.notch_sos(freq, q, self.fs))
 
     def process_differential(self, wn: float = 1.0) -> SignalFrame:
-        return self._with(filters.process_differential(self.df, self.fs, wn))
+        return self.highpass(wn).demean()
 
     def integrate_data(self, wn: float = 1.0) -> SignalFrame:
-        return self._with(filters.integrate_data(self.df, self.fs, wn))
+        return self._step(traces.running_sum(), lambda df: pointwise.integrate(df, 1.0)).highpass(wn).demean()
 
     # --- spectra: DataFrames with ch, k, freq and a value
 
     def fft(self) -> DataFrame:
-        return spectral.fft_mag(self.df, self.fs)
+        return spectral.fft_traces(self.traces, self.fs)
 
     def hilbert(self) -> SignalFrame:
-        return self._with(spectral.hilbert(self.df))
+        return self._with(spectral.hilbert_traces(self.traces))
 
     def envelope(self) -> SignalFrame:
-        return self._with(spectral.envelope(self.df))
+        return self._step(traces.envelope())
 
     def stft(self, nperseg: int = 256, noverlap: int | None = None, window: str = "hann") -> DataFrame:
         if window != "hann":
@@ -264,7 +293,7 @@ class SignalFrame:
         meta = dict(self.meta, units=name)
         if self.inventory:
             meta["inventory"] = dict(self.inventory, acquisition=dict(self.inventory.get("acquisition") or {}, data_unit=name))
-        return replace(self, df=df, meta=meta)
+        return SignalFrame(df, self.fs, self.dx, meta)
 
     def to_standard_units(self) -> SignalFrame:
         """Optical phase as strain (rad) or strain rate (rad/s); other units stay."""

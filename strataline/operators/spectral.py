@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from strataline.functions import dsp
 from strataline.operators import filters, pointwise
-from strataline.operators.filters import map_traces
+from strataline.operators.filters import SAMPLES, map_traces
 from strataline.operators.layout import to_traces
 
 #: Samples of a channel that one task transforms by segments; longer channels are cut into blocks with overlap.
@@ -20,18 +20,47 @@ BLOCK = 1 << 18
 
 def fft_mag(df: DataFrame, fs: float) -> DataFrame:
     """ch, k, freq, mag: magnitude of bins 0 to n // 2 of each channel."""
-    made = map_traces(to_traces(df), lambda x: (np.abs(np.fft.rfft(x, axis=0)), np.broadcast_to(np.fft.rfftfreq(len(x), 1 / fs)[:, None], (len(x) // 2 + 1, x.shape[1]))), "ch long, mag array<double>, freq array<double>")
-    return made.select("ch", F.posexplode(F.arrays_zip("freq", "mag")).alias("k", "z")).select("ch", F.col("k").cast("long").alias("k"), "z.freq", "z.mag")
+    return fft_traces(to_traces(df), fs)
+
+
+def spectra(traces: DataFrame) -> DataFrame:
+    """ch, n (samples) and mag, the magnitudes of bins 0 to n // 2, of a row per channel."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(1)
+            sizes = lists.value_lengths().to_numpy()
+            for n in np.unique(sizes[sizes > 0]):
+                rows = np.flatnonzero(sizes == n)
+                for at in range(0, len(rows), max(1, SAMPLES // int(n))):
+                    mine = rows[at : at + max(1, SAMPLES // int(n))]
+                    x = (lists if len(mine) == len(lists) else lists.take(pa.array(mine))).flatten()
+                    z = np.abs(np.fft.rfft(x.to_numpy(zero_copy_only=False).reshape(len(mine), n), axis=1)).astype(float, copy=False)
+                    offsets = np.arange(len(mine) + 1, dtype=np.int32) * z.shape[1]
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(mine)), pa.array(np.full(len(mine), n), pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(z.ravel()))], names=["ch", "n", "mag"])
+
+    return traces.select(F.col("ch").cast("long"), "v").mapInArrow(run, "ch long, n long, mag array<double>")
+
+
+def fft_traces(traces: DataFrame, fs: float) -> DataFrame:
+    """As fft_mag, of a row per channel."""
+    cells = spectra(traces).select("ch", "n", F.posexplode("mag").alias("k", "mag")).withColumn("k", F.col("k").cast("long"))
+    return cells.select("ch", "k", (F.col("k") * F.lit(float(fs)) / F.col("n")).alias("freq"), "mag")
 
 
 def hilbert(df: DataFrame) -> DataFrame:
     """ch, ti, re, im of the analytic signal."""
+    return hilbert_traces(to_traces(df))
+
+
+def hilbert_traces(traces: DataFrame) -> DataFrame:
+    """As hilbert, of a row per channel."""
 
     def kernel(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         z = dsp.analytic(x)
         return z.real, z.imag
 
-    made = map_traces(to_traces(df), kernel, "ch long, re array<double>, im array<double>")
+    made = map_traces(traces, kernel, "ch long, re array<double>, im array<double>")
     return made.select("ch", F.posexplode(F.arrays_zip("re", "im")).alias("ti", "z")).select("ch", F.col("ti").cast("long").alias("ti"), "z.re", "z.im")
 
 

@@ -47,6 +47,14 @@ def normalize(method: str = "minmax") -> Step:
     return run
 
 
+def running_sum() -> Step:
+    return lambda x: x.cumsum(0)
+
+
+def envelope() -> Step:
+    return lambda x: np.abs(dsp.analytic(x))
+
+
 def zero_phase(sos: np.ndarray) -> Step:
     return lambda x: dsp.zero_phase(sos, x)
 

@@ -418,3 +418,18 @@ def test_dominant(spark):
     x = np.stack([3 * np.sin(2 * np.pi * 50 * t) + np.sin(2 * np.pi * 120 * t), np.sin(2 * np.pi * 200 * t) + 2 * np.sin(2 * np.pi * 30 * t)], 1)
     got = {r.ch: r for r in spectral.dominant(frame(spark, x, 1000.0).spectrum(window=1000), min_prominence=0.1).collect()}
     assert {c: [round(f) for f in r.freqs] for c, r in got.items()} == {0: [50, 120], 1: [30, 200]} and round(got[0].freq) == 50
+
+
+def test_a_chain_takes_one_shuffle(spark, noise):
+    f = frame(spark, noise).detrend().bandpass(5, 20).normalize("zscore").abs()
+    plan = f.df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("MapInArrow") == 1
+    t = SignalFrame.from_traces(f.traces, 100.0).lowpass(10.0).scale(2.0)
+    plan = SignalFrame.from_traces(spark.createDataFrame([(0, [1.0] * 50)], "ch long, v array<double>"), 100.0).lowpass(10.0).scale(2.0).df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    assert np.allclose(t.collect(), f.lowpass(10.0).scale(2.0).collect())
+    # without a filter the rows are not gathered
+    assert "MapInArrow" not in frame(spark, noise).detrend().abs().scale(2.0).df._jdf.queryExecution().executedPlan().toString()
+    sos = dsp.butter_sos(4, 1.0, "highpass", 100.0)
+    assert np.allclose(frame(spark, noise).integrate_data(1.0).collect(), (lambda y: y - y.mean(0))(dsp.zero_phase(sos, noise.cumsum(0))))
+    assert np.allclose(frame(spark, noise).process_differential(1.0).collect(), (lambda y: y - y.mean(0))(dsp.zero_phase(sos, noise)))
