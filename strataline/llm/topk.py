@@ -113,12 +113,14 @@ def search_block(q_ids, q, q_table, c_ids, c, c_table, k: int, least=None) -> tu
         bound[c_ids == q_ids[i]] = -np.inf
         floor = -np.inf if least is None or np.isnan(least[i]) else least[i]
         order = np.flatnonzero((bound >= floor) & (bound > -np.inf))
-        order = order[np.argsort(-bound[order], kind="stable")]
+        order = order[np.argsort(-bound[order])]
         lead, got = order[:0], np.zeros(0, kind)
         at, size = 0, 4 * k
         while at < len(order) and bound[order[at]] >= floor:
             part = order[at : at + size]
-            lead, got = np.concatenate((lead, part)), np.concatenate((got, c[part] @ q[i]))
+            score = c[part] @ q[i]
+            good = score >= floor
+            lead, got = np.concatenate((lead, part[good])), np.concatenate((got, score[good]))
             best = np.lexsort((c_ids[lead], -got))[:k]
             lead, got = lead[best], got[best]
             if len(got) == k:
