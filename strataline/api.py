@@ -34,9 +34,10 @@ def from_array(spark: SparkSession, data, fs: float, **options) -> SignalFrame:
 
 def open_spool(spark: SparkSession, paths: list[str] | str, index: str | None = None, **options) -> DataFrame:
     """The index of files, folders or patterns; with ``index`` it is kept there and only new files are scanned."""
-    listing = spark.createDataFrame([(p,) for p in spool.resolve(paths)], "path string")
+    listing = spark.createDataFrame([(p,) for p in spool.resolve(paths, spark)], "path string")
     return spool.refresh(spark, listing, index, **options) if index else formats.scans(listing, **options)
 
 
-def stream(spark: SparkSession, fs: int = 1000, channels: int = 64, seed: int = 0) -> DataFrame:
-    return stateful.simulate(spark, fs, channels, seed)
+def stream(spark: SparkSession, source: str = "simulation", fs: int = 1000, channels: int = 64, seed: int = 0, **options) -> DataFrame:
+    """A stream of samples (timestamp, ch, ti, v): simulated, or of the files that arrive in a folder."""
+    return stateful.simulate(spark, fs, channels, seed) if source == "simulation" else stateful.files(spark, source, fs=fs, n_channels=channels, **options)

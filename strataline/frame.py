@@ -113,6 +113,11 @@ class SignalFrame:
             df = pointwise.select(df, a, b, step, column)
         return self._with(df)
 
+    def seconds(self, start: float = 0.0, stop: float | None = None, channels: list[int] | None = None) -> SignalFrame:
+        """A range of seconds, and of channels from the least to the greatest one named."""
+        t = slice(int(start * self.fs), None if stop is None else int(stop * self.fs))
+        return self.slice(t, slice(min(channels), max(channels) + 1) if channels else slice(None))
+
     def astype(self, kind: str) -> SignalFrame:
         return self._with(self.df.withColumn("v", F.col("v").cast(kind)))
 
@@ -315,8 +320,37 @@ class SignalFrame:
     def apply(self, f: Callable[[DataFrame], DataFrame]) -> SignalFrame:
         return self._with(f(self.df))
 
-    def predict(self, model: Callable[[np.ndarray], np.ndarray] | str) -> DataFrame:
+    def predict(self, model: Callable[[np.ndarray], np.ndarray] | str, before: Callable | None = None, after: Callable | None = None) -> DataFrame:
         """ch and the model's output for each channel's trace; a model is a function on (channels, samples) or the path of an ONNX file."""
         from strataline.plans.models import predict
 
-        return predict(self.df, model)
+        return predict(self.df, model, before, after)
+
+    # --- other packages, where they are installed; small frames, on the driver
+
+    def to_obspy(self):
+        """An ObsPy stream with a trace per channel."""
+        import obspy
+
+        header = {"sampling_rate": self.fs, "network": "DA", "station": "S"}
+        return obspy.Stream([obspy.Trace(data=x, header=header | {"channel": str(c)}) for c, x in enumerate(np.ascontiguousarray(self.collect().T))])
+
+    @classmethod
+    def from_obspy(cls, spark: SparkSession, stream) -> SignalFrame:
+        """The traces of an ObsPy stream as channels; all need one rate, shorter ones are filled with missing values."""
+        rates = {float(t.stats.sampling_rate) for t in stream}
+        if len(rates) != 1:
+            raise ValueError("the stream has no traces, or traces of several rates")
+        x = np.full((max(len(t.data) for t in stream), len(stream)), np.nan)
+        for c, t in enumerate(stream):
+            x[: len(t.data), c] = t.data
+        return cls.from_array(spark, x, rates.pop())
+
+    def to_dascore(self):
+        """A DASCore patch of (time, distance)."""
+        import dascore
+
+        x = self.collect()
+        start = np.datetime64(((self.inventory or {}).get("acquisition") or {}).get("start_time") or "1970-01-01T00:00:00", "ns")
+        time = start + np.round(np.arange(len(x)) * (1e9 / self.fs)).astype("timedelta64[ns]")
+        return dascore.Patch(data=x, coords={"time": time, "distance": np.arange(x.shape[1]) * self.dx}, dims=("time", "distance"), attrs={"data_units": self.unit})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 import re
 import uuid
 
@@ -11,6 +12,7 @@ from strataline.frame import SignalFrame
 OPERATIONS = frozenset(
     "slice astype scale abs detrend demean normalize integrate differentiate median_filter spatial_smooth sta_lta template_match bandpass bandstop lowpass highpass notch process_differential integrate_data hilbert envelope fk_filter threshold_detect rms to_standard_units convert_units".split()
 )
+#: Names and steps of the recipes. (fixed values)
 RECIPES: dict[str, list[dict]] = {
     "standard_denoise": [{"op": "detrend"}, {"op": "highpass", "cutoff": 1.0}],
     "remove_powerline": [{"op": "detrend"}],
@@ -28,6 +30,23 @@ def process(frame: SignalFrame, operations: list[dict]) -> SignalFrame:
     return frame
 
 
+def schemas(style: str = "function") -> list[dict]:
+    """JSON descriptions of the operations for a language model that may name them: as functions, or as tools with an input schema."""
+    kinds = {"float": "number", "int": "integer", "str": "string", "bool": "boolean"}
+    out = []
+    for name in sorted(OPERATIONS):
+        method = getattr(SignalFrame, name)
+        args = {k: p for k, p in inspect.signature(method).parameters.items() if k != "self"}
+        shape = {
+            "type": "object",
+            "properties": {k: {"type": kinds.get(str(p.annotation).split(" |")[0], "string")} | ({} if p.default in (p.empty, None) else {"default": p.default} if not isinstance(p.default, slice) else {}) for k, p in args.items()},
+            "required": [k for k, p in args.items() if p.default is p.empty],
+        }
+        text = (inspect.getdoc(method) or name.replace("_", " ")).split("\n")[0]
+        out.append({"type": "function", "function": {"name": name, "description": text, "parameters": shape}} if style == "function" else {"name": name, "description": text, "input_schema": shape})
+    return out
+
+
 def clean(frame: SignalFrame, recipe: str) -> SignalFrame:
     if recipe not in RECIPES:
         raise ValueError(f"unknown recipe {recipe}")

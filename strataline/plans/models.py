@@ -25,8 +25,14 @@ def _onnx(model: bytes) -> Callable[[np.ndarray], np.ndarray]:
     return lambda x: session.run(None, {name: x.astype(np.float32)})[0]
 
 
-def predict(df: DataFrame, model: Callable[[np.ndarray], np.ndarray] | str) -> DataFrame:
-    """ch, output of each channel; an ONNX file is read on the driver and sent to each worker once."""
+Kernel = Callable[[np.ndarray], np.ndarray]
+
+
+def predict(df: DataFrame, model: Kernel | str, before: Kernel | None = None, after: Kernel | None = None) -> DataFrame:
+    """ch, output of each channel; an ONNX file is read on the driver and sent to each worker once.
+
+    ``before`` prepares the (channels, samples) that the model gets, ``after`` takes what it gives.
+    """
     raw: bytes | None = None
     if isinstance(model, str):
         with open(model, "rb") as f:
@@ -40,7 +46,8 @@ def predict(df: DataFrame, model: Callable[[np.ndarray], np.ndarray] | str) -> D
             for n in np.unique(sizes):
                 rows = np.flatnonzero(sizes == n)
                 x = b.column(1).take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), n)
-                out = np.asarray(f(x), float).reshape(len(rows), -1)
+                y = f(x if before is None else before(x))
+                out = np.asarray(y if after is None else after(y), float).reshape(len(rows), -1)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(list(out), pa.list_(pa.float64()))], names=["ch", "output"])
 
     return to_traces(df).select(F.col("ch").cast("long"), "v").mapInArrow(run, "ch long, output array<double>")

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import json
 import struct
+import uuid
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -64,12 +64,20 @@ class Zarr(Format):
         return numcodecs.get_codec(compressor).decode(raw)
 
     def block(self, path: str, start: int, stop: int, **_) -> np.ndarray:
+        return self._chunks(path, start, stop, None)
+
+    def cells(self, path: str, start: int, stop: int, channels: np.ndarray, **_) -> np.ndarray:
+        return self._chunks(path, start, stop, channels)[:, channels]
+
+    def _chunks(self, path: str, start: int, stop: int, channels: np.ndarray | None) -> np.ndarray:
+        """Samples of all channels; only the chunks of those wanted are read."""
         place, meta, _ = self._array(path)
         (n, c), (h, w) = meta["shape"], meta["chunks"]
+        wanted = range(-(-c // w)) if channels is None else np.unique(channels // w).tolist()
         out = np.full((stop - start, c), np.nan if meta["fill_value"] in (None, "NaN") else meta["fill_value"], float)
         dot = meta.get("dimension_separator", ".")
         for i in range(start // h, -(-stop // h)):
-            for j in range(-(-c // w)):
+            for j in wanted:
                 raw = _bytes(f"{place}/{i}{dot}{j}")
                 if raw is None:
                     continue
@@ -80,27 +88,33 @@ class Zarr(Format):
 
 
 def write_zarr(frame: SignalFrame, path: str, samples: int = 10_000, channels: int = 64) -> None:
-    """A frame as a Zarr folder; every chunk is written by the task that holds it."""
+    """A frame as a Zarr folder; every chunk is written by the task that holds it, whole or not at all.
+
+    The array's description comes last: a folder that a failed job left is no Zarr array.
+    """
     n, c = frame.shape
     fs, place = _place(path)
     fs.create_dir(f"{place}/data", recursive=True)
+    if _bytes(f"{path}/data/.zarray") is not None:
+        raise ValueError(f"{path} holds an array already")
     compressor = {"id": "zstd", "level": 3}
     meta = {"zarr_format": 2, "shape": [n, c], "chunks": [samples, channels], "dtype": "<f8", "compressor": compressor, "fill_value": "NaN", "order": "C", "filters": None}
-    for name, what in ((".zgroup", {"zarr_format": 2}), (".zattrs", {"fs": frame.fs, "dx": frame.dx, "units": frame.unit}), ("data/.zarray", meta)):
-        with fs.open_output_stream(f"{place}/{name}") as f:
-            f.write(json.dumps(what).encode())
-
     def put(key, rows):
         i, j = (int(k) for k in key)
         x = np.full((samples, channels), np.nan)
         x[rows["ti"].to_numpy() - i * samples, rows["ch"].to_numpy() - j * channels] = rows["v"].to_numpy(float)
         own, where = _place(path)
-        with own.open_output_stream(f"{where}/data/{i}.{j}") as f:
+        made = f"{where}/data/.{i}.{j}.{uuid.uuid4().hex}"  # a second attempt at the task may run beside the first
+        with own.open_output_stream(made) as f:
             f.write(zstandard.compress(x.astype("<f8").tobytes(), 3))
+        own.move(made, f"{where}/data/{i}.{j}")
         return pd.DataFrame({"i": [i], "j": [j]})
 
     keyed = frame.df.select("ch", "ti", "v", F.floor(F.col("ti") / samples).alias("i"), F.floor(F.col("ch") / channels).alias("j"))
     keyed.groupBy("i", "j").applyInPandas(put, "i long, j long").count()
+    for name, what in ((".zgroup", {"zarr_format": 2}), (".zattrs", {"fs": frame.fs, "dx": frame.dx, "units": frame.unit}), ("data/.zarray", meta)):
+        with fs.open_output_stream(f"{place}/{name}") as f:
+            f.write(json.dumps(what).encode())
 
 
 class NetCdf(Format):
@@ -178,20 +192,27 @@ def write_netcdf(frame: SignalFrame, path: str) -> None:
         f.write(head + struct.pack(">q", len(head) + 8) + x.astype(">f8").tobytes())
 
 
+#: Differences in a word by (version, code, upper two bits of the word): how many, and of how many bits. (fixed values)
+STEIM = {(1, 1, None): (4, 8), (1, 2, None): (2, 16), (1, 3, None): (1, 32), (2, 1, None): (4, 8), (2, 2, 1): (1, 30), (2, 2, 2): (2, 15), (2, 2, 3): (3, 10), (2, 3, 0): (5, 6), (2, 3, 1): (6, 5), (2, 3, 2): (7, 4)}
+
+
 def _steim(frames: np.ndarray, n: int, version: int) -> np.ndarray:
     """Samples of Steim-compressed frames (rows of 16 words)."""
-    diffs: list[np.ndarray] = []
-    first = int(frames[0, 1].astype(np.int32))
-    for row in frames:
-        for k in range(1, 16):
-            code, w = int(row[0] >> (30 - 2 * k)) & 3, int(row[k])
-            if code == 0:
-                continue
-            sub = w >> 30
-            count, bits = (4, 8) if code == 1 else ({2: (2, 16), 3: (1, 32)}[code] if version == 1 else {(2, 1): (1, 30), (2, 2): (2, 15), (2, 3): (3, 10), (3, 0): (5, 6), (3, 1): (6, 5), (3, 2): (7, 4)}[code, sub])
-            v = np.array([(w >> (bits * (count - 1 - i))) & ((1 << bits) - 1) for i in range(count)], np.int64)
-            diffs.append(np.where(v >> (bits - 1), v - (1 << bits), v))
-    d = np.concatenate(diffs)[:n]
+    words = frames.astype(np.int64)
+    first = int(np.int32(words[0, 1] - (1 << 32) if words[0, 1] >> 31 else words[0, 1]))
+    code = (words[:, :1] >> (30 - 2 * np.arange(16))) & 3
+    code[:, 0] = 0
+    diffs = np.zeros((words.size, 7), np.int64)
+    counts = np.zeros(words.size, np.int64)
+    flat, codes = words.ravel(), code.ravel()
+    for (v, c, upper), (count, bits) in STEIM.items():
+        if v != version:
+            continue
+        mine = np.flatnonzero((codes == c) & (True if upper is None else flat >> 30 == upper))
+        x = (flat[mine, None] >> (bits * (count - 1 - np.arange(count)))) & ((1 << bits) - 1)
+        diffs[mine, :count] = np.where(x >> (bits - 1), x - (1 << bits), x)
+        counts[mine] = count
+    d = diffs[np.arange(7) < counts[:, None]][:n]
     d[0] = first  # the first difference leads to the sample before the record
     return np.cumsum(d)
 
@@ -202,62 +223,80 @@ class MiniSeed(Format):
     name, extensions, priority = "MINISEED", (".mseed", ".miniseed"), 50
     PLAIN = {1: "i2", 3: "i4", 4: "f4", 5: "f8"}
 
-    def _records(self, path: str) -> Iterator[tuple[str, float, float, np.ndarray]]:
+    def _records(self, path: str) -> list[tuple]:
+        """Headers alone: stream, start, rate, samples, byte order, coding, and where the data stand."""
+        out = []
         with opened(path) as f:
-            raw = f.read()
-        at = 0
-        while at + 48 <= len(raw):
-            order = ">" if 1900 <= struct.unpack_from(">H", raw, at + 20)[0] <= 2100 else "<"
-            u = lambda kind, p: struct.unpack_from(order + kind, raw, at + p)[0]  # noqa: B023, E731
-            year, day, hour, minute, second, ticks = u("H", 20), u("H", 22), raw[at + 24], raw[at + 25], raw[at + 26], u("H", 28)
-            n, factor, multiplier, begin, block = u("H", 30), u("h", 32), u("h", 34), u("H", 44), u("H", 46)
-            coding, size = 11, 4096
-            while block:
-                kind, nxt = u("H", block), u("H", block + 2)
-                if kind == 1000:
-                    coding, size = raw[at + block + 4], 1 << raw[at + block + 6]
-                block = nxt
-            rate = (factor if factor > 0 else -1 / factor) * (multiplier if multiplier > 0 else -1 / multiplier)
-            start = (pd.Timestamp(year, 1, 1) + pd.Timedelta(days=day - 1, hours=hour, minutes=minute, seconds=second)).value / 1e9 + ticks * 1e-4
-            name = ".".join(raw[at + a : at + b].decode().strip() for a, b in ((18, 20), (8, 13), (13, 15), (15, 18)))
-            body = raw[at + begin : at + size]
-            if n:
-                if coding in self.PLAIN:
-                    x = np.frombuffer(body, order + self.PLAIN[coding])[:n].astype(float)
-                elif coding in (10, 11):
-                    words = np.frombuffer(body[: len(body) // 64 * 64], order + "u4").reshape(-1, 16)
-                    x = _steim(words, n, coding - 9).astype(float)
-                else:
-                    raise ValueError(f"{path}: encoding {coding} is not known here")
-                yield name, start, rate, x
-            at += size
-
-    def _channels(self, path: str) -> tuple[np.ndarray, float, float]:
-        by: dict[str, list] = defaultdict(list)
-        for name, start, rate, x in self._records(path):
-            by[name].append((start, rate, x))
-        if not by:
+            size, at = f.size(), 0
+            while at + 48 <= size:
+                f.seek(at)
+                raw = f.read(256)
+                order = ">" if 1900 <= struct.unpack_from(">H", raw, 20)[0] <= 2100 else "<"
+                u = lambda kind, p: struct.unpack_from(order + kind, raw, p)[0]  # noqa: B023, E731
+                year, day, hour, minute, second, ticks = u("H", 20), u("H", 22), raw[24], raw[25], raw[26], u("H", 28)
+                n, factor, multiplier, begin, block = u("H", 30), u("h", 32), u("h", 34), u("H", 44), u("H", 46)
+                coding, length = 11, 4096
+                while block and block + 8 <= len(raw):
+                    kind, nxt = u("H", block), u("H", block + 2)
+                    if kind == 1000:
+                        coding, length = raw[block + 4], 1 << raw[block + 6]
+                    block = nxt
+                rate = (factor if factor > 0 else -1 / factor) * (multiplier if multiplier > 0 else -1 / multiplier)
+                start = (pd.Timestamp(year, 1, 1) + pd.Timedelta(days=day - 1, hours=hour, minutes=minute, seconds=second)).value / 1e9 + ticks * 1e-4
+                name = ".".join(raw[a:b].decode().strip() for a, b in ((18, 20), (8, 13), (13, 15), (15, 18)))
+                if n:
+                    if coding not in self.PLAIN and coding not in (10, 11):
+                        raise ValueError(f"{path}: encoding {coding} is not known here")
+                    out.append((name, start, rate, n, order, coding, at + begin, at + length))
+                at += length
+        if not out:
             raise ValueError(f"{path} has no data records")
-        rate = next(iter(by.values()))[0][1]
-        merged = {}
-        for name, parts in sorted(by.items()):
-            parts.sort(key=lambda p: p[0])
-            begin = parts[0][0]
-            at = np.concatenate([round((s - begin) * rate) + np.arange(len(x)) for s, _, x in parts])
-            merged[name] = (begin, np.interp(np.arange(at[-1] + 1), at, np.concatenate([x for _, _, x in parts])))
-        first = max(s for s, _ in merged.values())
-        cut = [x[round((first - s) * rate) :] for s, x in merged.values()]
-        n = min(map(len, cut))
-        return np.stack([x[:n] for x in cut], 1), rate, first
+        return out
+
+    def _decode(self, body: bytes, n: int, order: str, coding: int) -> np.ndarray:
+        if coding in self.PLAIN:
+            return np.frombuffer(body, order + self.PLAIN[coding])[:n].astype(float)
+        words = np.frombuffer(body[: len(body) // 64 * 64], order + "u4").reshape(-1, 16)
+        return _steim(words, n, coding - 9).astype(float)
+
+    def _plan(self, path: str) -> tuple[dict[str, list[tuple]], float, float, int]:
+        """Records of each stream with the place of their first sample on the common axis; rate, start and length of that."""
+        by: dict[str, list[tuple]] = defaultdict(list)
+        for r in self._records(path):
+            by[r[0]].append(r)
+        rate = next(iter(by.values()))[0][2]
+        spans = {k: (min(r[1] for r in v), max(r[1] + r[3] / rate for r in v)) for k, v in by.items()}
+        first = max(a for a, _ in spans.values())
+        n = min(round((b - first) * rate) for _, b in spans.values())
+        return {k: sorted((round((r[1] - first) * rate), *r[3:]) for r in v) for k, v in sorted(by.items())}, rate, first, max(n, 0)
 
     def scan(self, path: str, dx: float = 1.0, **_) -> Scan:
-        x, rate, first = self._channels(path)
-        return Scan(path, self.name, *x.shape, rate, float(dx), start_time=str(pd.Timestamp(round(first * 1e6), unit="us")))
+        by, rate, first, n = self._plan(path)
+        return Scan(path, self.name, n, len(by), rate, float(dx), start_time=str(pd.Timestamp(round(first * 1e6), unit="us")))
 
     def block(self, path: str, start: int, stop: int, **_) -> np.ndarray:
-        return self._channels(path)[0][start:stop]
+        return self.cells(path, start, stop, None)
+
+    def cells(self, path: str, start: int, stop: int, channels: np.ndarray | None, **_) -> np.ndarray:
+        """Only records that touch the range, and the nearest on either side of it for the lines over gaps, are decoded."""
+        by, _, _, _ = self._plan(path)
+        names = list(by) if channels is None else [list(by)[c] for c in channels]
+        out = np.empty((stop - start, len(names)))
+        with opened(path) as f:
+            for i, name in enumerate(names):
+                records = by[name]
+                before = max((k for k, r in enumerate(records) if r[0] <= start), default=0)
+                after = min((k for k, r in enumerate(records) if r[0] + r[1] >= stop), default=len(records) - 1)
+                at, values = [], []
+                for place, n, order, coding, begin, end in records[min(before, after) : max(before, after) + 1]:
+                    f.seek(begin)
+                    values.append(self._decode(f.read(end - begin), n, order, coding))
+                    at.append(place + np.arange(len(values[-1])))
+                out[:, i] = np.interp(np.arange(start, stop), np.concatenate(at), np.concatenate(values))
+        return out
 
 
 CONTAINERS = (Zarr(), NetCdf(), MiniSeed())
 for _fmt in CONTAINERS:
     FORMATS.register(_fmt)
+import strataline.sources.tdms  # noqa: E402, F401 - registers itself

@@ -1,26 +1,29 @@
 """File formats: a registry, detection by priority, one-row scans, and readers that are Spark data sources.
 
 A format tells by ``can_read`` whether a file is its own, by ``scan`` what is in it, and by
-``block`` gives samples [start, stop) of all channels. ``spark.read.format("strataline")`` cuts files into ranges
-of samples, so that a long file is read by many tasks. Files are opened through pyarrow's file
-systems: local paths and URIs of stores that it knows.
+``block`` gives samples [start, stop) of all channels, by ``cells`` of some of them. ``spark.read.format("strataline")``
+cuts files into ranges of samples, so that a long file is read by many tasks; ``samples`` does so for an index of any
+number of files. Files are opened through pyarrow's file systems: local paths and URIs of stores that it knows.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import struct
 import sys
 from collections.abc import Iterator
-from dataclasses import asdict, dataclass, field
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThanOrEqual, InputPartition, LessThan
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 from strataline.frame import SignalFrame
+from strataline.sources import catalog
 
 PHASE = math.pi / 2**13
 #: Samples times channels that one partition of a file holds.
@@ -55,6 +58,18 @@ class Scan:
     format_version: str = "1.0.0"
     attrs: dict = field(default_factory=dict)
 
+    def inventory(self) -> dict:
+        """What the file says of the project, fibre, interrogator and acquisition, in the form of ``catalog.inventory``."""
+        known = {k.lower(): v for k, v in self.attrs.items()}
+        say = lambda *names: next((known[n] for n in names if known.get(n)), "Unknown")
+        return catalog.inventory(
+            str(known.get("projectname") or f"{self.format_name} Project"),
+            acquisition={"start_time": self.start_time or "1970-01-01T00:00:00", "n_channels": self.n_channels, "n_samples": self.n_samples, "data_unit": self.data_unit},
+            fiber={"channel_spacing": self.channel_spacing, "gauge_length": 1.0 if self.gauge_length is None else self.gauge_length},
+            interrogator={"model": say("iumodel", "model", "instrument"), "manufacturer": say("iumanufacturer", "manufacturer", "systeminfomation"), "sampling_rate": self.sampling_rate},
+            custom_attrs=dict(self.attrs),
+        )
+
 
 class Format:
     name = ""
@@ -70,6 +85,10 @@ class Format:
     def block(self, path: str, start: int, stop: int, **options) -> np.ndarray:
         raise NotImplementedError
 
+    def cells(self, path: str, start: int, stop: int, channels: np.ndarray, **options) -> np.ndarray:
+        """Samples [start, stop) of the named channels (in ascending order); formats that can read less do."""
+        return self.block(path, start, stop, **options)[:, channels]
+
 
 class Dat(Format):
     """Flat int16 rows of time x channel; value = raw * pi / 2**13."""
@@ -117,14 +136,17 @@ class SegY(Format):
         return Scan(path, self.name, n, traces, 1e6 / interval, float(dx), file_size=3600 + traces * trace)
 
     def block(self, path: str, start: int, stop: int, **_) -> np.ndarray:
-        _, n, traces, kind, trace = self._head(path)
+        return self.cells(path, start, stop, np.arange(self._head(path)[2]))
+
+    def cells(self, path: str, start: int, stop: int, channels: np.ndarray, **_) -> np.ndarray:
+        _, n, _, kind, trace = self._head(path)
         item = np.dtype(kind).itemsize
-        out = np.empty((stop - start, traces))
+        out = np.empty((stop - start, len(channels)))
         with opened(path) as f:
-            for c in range(traces):
+            for i, c in enumerate(channels.tolist()):
                 f.seek(3600 + c * trace + 240 + start * item)
                 x = np.frombuffer(f.read((stop - start) * item), kind)
-                out[:, c] = _ibm(x) if kind == ">u4" else x
+                out[:, i] = _ibm(x) if kind == ">u4" else x
         return out
 
 
@@ -180,11 +202,24 @@ class Hdf5(Format):
         rate = pick(("SamplingFrequency", "sampling_rate", "fs", "sample_rate", "SamplingFrequency[Hz]"), self.fs)
         gap = pick((self.spacing, "dx", "channel_spacing", "SpatialResolution[m]"), 1.0)
         start = a.get("StartTime") or a.get("start_time")
-        return Scan(path, self.name, *shape, rate, gap, pick(("GaugeLength", "gauge_length"), None), None if start is None else str(start), a.get("DataUnit"), attrs={k: str(v) for k, v in a.items()})
+        with opened(path) as f:
+            size = f.size()
+        unit = a.get("DataUnit") or ("rad" if self.divide else None)
+        return Scan(path, self.name, *map(int, shape), rate, gap, pick(("GaugeLength", "gauge_length"), None), None if start is None else str(start), unit, size, str(a.get("SchemaVersion") or "1.0.0"), {k: str(v) for k, v in a.items()})
 
     def block(self, path: str, start: int, stop: int, **_) -> np.ndarray:
         with self._file(path) as f:
-            x = np.asarray(self._data(f)[start:stop], float)
+            return self._scaled(self._data(f)[start:stop])
+
+    def cells(self, path: str, start: int, stop: int, channels: np.ndarray, **_) -> np.ndarray:
+        if not len(channels):
+            return np.zeros((stop - start, 0))
+        low = int(channels[0])
+        with self._file(path) as f:
+            return self._scaled(self._data(f)[start:stop, low : int(channels[-1]) + 1])[:, channels - low]
+
+    def _scaled(self, raw) -> np.ndarray:
+        x = np.asarray(raw, float)
         return x if self.divide is None else x / self.divide * PHASE
 
 
@@ -200,6 +235,18 @@ def _says(a: dict, word: str) -> bool:
     return any(word in str(a.get(k, "")).lower() for k in ("Manufacturer", "manufacturer", "SystemInfomation", "IUManufacturer"))
 
 
+class NetCdf4(Hdf5):
+    """NetCDF-4 files are HDF5 files by another name."""
+
+    def __init__(self, *args):
+        super().__init__(*args)
+        self.extensions = (".nc", ".nc4")
+
+    def can_read(self, path: str) -> bool:
+        with opened(path) as f:
+            return f.read(4) == b"\x89HDF" and super().can_read(path)
+
+
 # Places of the samples and marks of each vendor's files. (fixed values)
 HDF5 = (
     Hdf5("PRODML", 20, ("Acquisition/Raw[0]/RawData", "Acquisition/Raw[0]/RawData[0]", "Acquisition/Custom/Raw[0]/RawData"), lambda f, a: "Acquisition" in f and ("SchemaVersion" in a or "Acquisition/Raw[0]/RawData" in f)),
@@ -207,6 +254,7 @@ HDF5 = (
     Hdf5("FEBUS", 22, ("Source1/Zone1/Trace", "Source*/Zone*/Trace", "data"), lambda f, a: any(k.startswith("Source") for k in f), spacing="SpatialResolution"),
     Hdf5("APSENSING", 23, ("DAS/data", "data", "Acquisition/Raw[0]"), lambda f, a: _says(a, "ap sensing") or _says(a, "apsensing") or "DAS/data" in f, spacing="SpatialResolution"),
     Hdf5("TERRA15", 25, ("data_product/data",), lambda f, a: "data_product/data" in f),
+    NetCdf4("NETCDF4", 39, ("data", "strain", "strain_rate", "das", "DAS", "velocity")),
     Hdf5("H5", 30, ("Acquisition/Raw[0]", "Acquisition/Raw[0]/RawData", "data", "Data", "raw_data", "DAS/data"), divide=4.0, fs=5000.0),
 )
 
@@ -221,7 +269,8 @@ class Registry:
     def reset(self) -> None:
         self._known = {f.name: f for f in (Dat(), SegY(), *HDF5)}
         arrays = sys.modules.get("strataline.sources.arrays")  # registers its formats when it is imported
-        for f in getattr(arrays, "CONTAINERS", ()):
+        tdms = sys.modules.get("strataline.sources.tdms")
+        for f in (*getattr(arrays, "CONTAINERS", ()), *((tdms.Tdms(),) if tdms else ())):
             self.register(f)
 
     def register(self, fmt: Format) -> None:
@@ -279,38 +328,49 @@ class _Reader(DataSourceReader):
         self.args = {k: v for k, v in self.options.items() if k in known}
         self.scan = FORMATS.scan(self.path, self.options.get("kind"), **self.args)
         self.low, self.high = 0, self.scan.n_samples
-        self.channels: set[int] | None = None
+        self.channels = np.arange(self.scan.n_channels)
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        """Bounds on ti and equality on ch are kept out of the files' other parts."""
+        """Bounds and values of ti and ch: the files' other parts are not read."""
         for f in filters:
             column = getattr(f, "attribute", None)
-            if column == ("ti",) and isinstance(f, GreaterThanOrEqual):
-                self.low = max(self.low, int(f.value))
-            elif column == ("ti",) and isinstance(f, LessThan):
-                self.high = min(self.high, int(f.value))
-            elif column == ("ch",) and isinstance(f, EqualTo):
-                self.channels = {int(f.value)} if self.channels is None else self.channels & {int(f.value)}
-            else:
+            values = sorted(f.value) if isinstance(f, In) else [getattr(f, "value", None)]
+            if column not in (("ti",), ("ch",)) or None in values or not values:
                 yield f
+                continue
+            low = values[0] if isinstance(f, (EqualTo, In, GreaterThanOrEqual)) else values[0] + 1 if isinstance(f, GreaterThan) else None
+            high = values[-1] if isinstance(f, (EqualTo, In, LessThanOrEqual)) else values[0] - 1 if isinstance(f, LessThan) else None
+            if low is None and high is None:
+                yield f
+            elif column == ("ti",):
+                self.low = self.low if low is None else max(self.low, low)
+                self.high = self.high if high is None else min(self.high, high + 1)
+                if isinstance(f, In):  # the bounds alone
+                    yield f
+            else:
+                c = self.channels
+                self.channels = c[np.isin(c, values)] if isinstance(f, In) else c[(c >= (0 if low is None else low)) & (c <= (self.scan.n_channels if high is None else high))]
 
     def partitions(self) -> list[Range]:
-        step = max(1, CELLS // self.scan.n_channels)
+        step = max(1, CELLS // max(1, len(self.channels)))
         return [Range(i, min(i + step, self.high)) for i in range(self.low, self.high, step)] or [Range(0, 0)]
 
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
         import strataline.sources.arrays  # noqa: F401
 
-        fmt = FORMATS.get(self.scan.format_name)
-        args = self.args | {"n_channels": self.scan.n_channels}
-        wanted = np.arange(self.scan.n_channels)
-        if self.channels is not None:
-            wanted = wanted[np.isin(wanted, list(self.channels))]
-        step = max(1, (1 << 18) // self.scan.n_channels)
-        for a in range(part.start, part.stop, step):
-            x = fmt.block(self.path, a, min(a + step, part.stop), **args)[:, wanted]
-            v = x.ravel().astype(float)
-            yield pa.RecordBatch.from_arrays([pa.array(np.tile(wanted, len(x)), pa.int64()), pa.array(np.repeat(np.arange(a, a + len(x)), len(wanted)), pa.int64()), pa.array(v, mask=np.isnan(v))], names=["ch", "ti", "v"])
+        for ch, ti, v in _pieces(self.scan.format_name, self.path, part.start, part.stop, self.channels, self.args | {"n_channels": self.scan.n_channels}):
+            yield pa.RecordBatch.from_arrays([ch, ti, v], names=["ch", "ti", "v"])
+
+
+def _pieces(kind: str, path: str, start: int, stop: int, channels: np.ndarray, args: dict) -> Iterator[tuple[pa.Array, pa.Array, pa.Array]]:
+    """ch, ti and v of a range of a file, some 2**18 cells at a time."""
+    if not len(channels):
+        return
+    fmt, step = FORMATS.get(kind), max(1, (1 << 18) // len(channels))
+    for a in range(start, stop, step):
+        x = fmt.cells(path, a, min(a + step, stop), channels, **args)
+        v = x.ravel().astype(float)
+        yield pa.array(np.tile(channels, len(x)), pa.int64()), pa.array(np.repeat(np.arange(a, a + len(x)), len(channels)), pa.int64()), pa.array(v, mask=np.isnan(v))
 
 
 class FileSource(DataSource):
@@ -327,10 +387,25 @@ class FileSource(DataSource):
         return _Reader(dict(self.options))
 
 
-def read(spark: SparkSession, path: str, kind: str | None = None, **options) -> SignalFrame:
-    """A frame from a file of any known format, or from a Parquet folder with ch, ti and v."""
+def read(spark: SparkSession, path: str, kind: str | None = None, channels: list[int] | tuple[int, int] | None = None, time: tuple[int, int] | None = None, **options) -> SignalFrame:
+    """A frame from a file of any known format, or from a Parquet folder with ch, ti and v.
+
+    ``channels`` is a list, or a tuple of a first and a last channel, both included; ``time`` is a range [first, last) of
+    samples. Both are pushed to the files; channels keep their numbers, times count from the first one read.
+    """
     import strataline.sources.arrays  # noqa: F401
 
+    found = _read(spark, path, kind, **options)
+    df = found.df
+    if channels is not None:
+        df = df.filter(F.col("ch").between(*channels)) if isinstance(channels, tuple) else df.filter(F.col("ch").isin(list(channels)))
+    if time is not None:
+        df = df.filter((F.col("ti") >= time[0]) & (F.col("ti") < time[1])).withColumn("ti", F.col("ti") - time[0])
+    return found if channels is None and time is None else SignalFrame(df, found.fs, found.dx, found.meta)
+
+
+def _read(spark: SparkSession, path: str, kind: str | None, **options) -> SignalFrame:
+
     if kind is None and FORMATS.detect(path) is None:
         fs, dx = float(options.pop("fs", 1.0)), float(options.pop("dx", 1.0))
         return SignalFrame(spark.read.parquet(path).select("ch", "ti", "v"), fs, dx)
@@ -338,31 +413,61 @@ def read(spark: SparkSession, path: str, kind: str | None = None, **options) ->
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     found = FORMATS.scan(path, kind, **options)
     df = spark.read.format("strataline").options(kind=found.format_name, **options).load(path)
-    return SignalFrame(df, found.sampling_rate, found.channel_spacing, {"units": found.data_unit, "source": path})
+    return SignalFrame(df, found.sampling_rate, found.channel_spacing, {"units": found.data_unit, "source": path, "inventory": found.inventory()})
 
 
-def scans(paths: DataFrame, **options) -> DataFrame:
-    """Rows of the file index for a DataFrame of paths; files that can't be read are left out."""
-    from pyspark.sql import functions as F
+SCAN_SCHEMA = (
+    "path string, format_name string, n_samples long, n_channels int, sampling_rate double, channel_spacing double, gauge_length double, start_time string, data_unit string, file_size long,"
+    " format_version string, attrs map<string,string>, inventory string"
+)
 
-    names = ("path", "format_name", "n_samples", "n_channels", "sampling_rate", "channel_spacing", "gauge_length", "start_time", "data_unit", "file_size", "format_version")
 
-    def run(batches):
-        import pandas as pd
+def scans(paths: DataFrame, **options) -> DataFrame:
+    """Rows of the file index for a DataFrame of paths, with attributes and inventory (JSON); files that can't be read are left out."""
+    names = [x.split()[0] for x in SCAN_SCHEMA.split(", ")]
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "map<string,string>": pa.map_(pa.string(), pa.string())}
+    like = [kinds.get(x.split()[1], pa.string()) for x in SCAN_SCHEMA.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import strataline.sources.arrays  # noqa: F401
 
         for b in batches:
             rows = []
-            for path in b["path"]:
+            for path in b.column(0).to_pylist():
                 try:
-                    rows.append({k: asdict(FORMATS.scan(path, **options))[k] for k in names})
-                except (ValueError, OSError, ImportError):
+                    found = FORMATS.scan(path, **options)
+                except (ValueError, OSError, ImportError, KeyError):
                     continue
-            yield pd.DataFrame(rows, columns=list(names)).astype({"gauge_length": float})
+                row = {n: getattr(found, n) for n in names[:-1]} | {"inventory": json.dumps(found.inventory(), default=str)}
+                rows.append(row | {"attrs": [(str(k), str(v)) for k, v in found.attrs.items()]})
+            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in zip(names, like, strict=True)], names=names)
 
-    schema = "path string, format_name string, n_samples long, n_channels int, sampling_rate double, channel_spacing double, gauge_length double, start_time string, data_unit string, file_size long, format_version string"
-    found = paths.select("path").mapInPandas(run, schema).withColumn("start_time", F.try_to_timestamp(F.col("start_time")))
+    found = paths.select("path").mapInArrow(run, SCAN_SCHEMA).withColumn("start_time", F.try_to_timestamp(F.col("start_time")))
     length = F.round(F.col("n_samples") / F.col("sampling_rate") * 1e6).cast("long")
-    return found.withColumn("end_time", F.timestamp_micros(F.unix_micros("start_time") + length)).withColumn("attrs", F.create_map().cast("map<string,string>"))
+    return found.withColumn("end_time", F.timestamp_micros(F.unix_micros("start_time") + length))
+
+
+def samples(index: DataFrame, channels: list[int] | None = None, **options) -> DataFrame:
+    """path, ch, ti and v of all files of an index (path, format_name, n_samples, n_channels, and offset if ti is to go on from it).
+
+    Files are cut into ranges, which are dealt to tasks: one plan for any number of files.
+    """
+    offset = F.col("offset") if "offset" in index.columns else F.lit(0)
+    step = F.greatest(F.floor(F.lit(CELLS) / F.col("n_channels")), F.lit(1)).cast("long")
+    ranges = index.filter("n_samples > 0").select("path", "format_name", F.col("n_channels").cast("long").alias("n_channels"), offset.cast("long").alias("offset"), F.col("n_samples").cast("long").alias("n"), step.alias("step"))
+    ranges = ranges.withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, "step"))).withColumn("stop", F.least(F.col("start") + F.col("step"), F.col("n")))
+    ranges = ranges.repartition(F.col("path"), F.col("start")).select("path", "format_name", "n_channels", "offset", "start", "stop")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import strataline.sources.arrays  # noqa: F401
+
+        for b in batches:
+            for path, kind, width, before, start, stop in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                wanted = np.arange(width) if channels is None else np.array(sorted(c for c in set(channels) if 0 <= c < width), int)
+                for ch, ti, v in _pieces(kind, path, start, stop, wanted, options | {"n_channels": width}):
+                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(ch), pa.string()), ch, pa.array(ti.to_numpy() + before), v], names=["path", "ch", "ti", "v"])
+
+    return ranges.mapInArrow(run, "path string, ch long, ti long, v double")
 
 
 def write_dat(frame: SignalFrame, path: str) -> None:

@@ -28,7 +28,7 @@ def having(index: DataFrame, **attrs) -> DataFrame:
         places = [F.try_element_at("attrs", F.lit(name))] if "attrs" in index.columns else []
         if "inventory" in index.columns:
             places += [F.get_json_object("inventory", f"$.{part}.{name}") for part in INVENTORY_PARTS]
-        index = index.filter(F.coalesce(*places) == F.lit(str(value)))
+        index = index.filter(F.coalesce(*places, F.lit(None).cast("string")) == F.lit(str(value)))
     return index
 
 
@@ -73,46 +73,69 @@ def chunks(samples: DataFrame, length: int, overlap_: int = 0) -> DataFrame:
     return samples.withColumn("chunk", F.explode(F.sequence(first, F.floor(F.col("ti") / hop))))
 
 
-def resolve(paths: list[str] | str) -> list[str]:
-    """Files behind paths, folders and patterns, sorted: of folders those with an extension that a format knows."""
+def resolve(paths: list[str] | str, spark=None) -> list[str]:
+    """Files behind paths, folders and patterns, sorted: of folders those with an extension that a format knows.
+
+    With a session, through Hadoop's file systems, so that every store that Spark reads is listed too.
+    """
     import glob
     import os
 
+    import strataline.sources.arrays  # noqa: F401 - all formats
     from strataline.sources.formats import FORMATS
 
     known, out = tuple(FORMATS.extensions()), set()
     for p in [paths] if isinstance(paths, str) else paths:
-        if os.path.isdir(p):
+        if spark is not None:
+            where = spark._jvm.org.apache.hadoop.fs.Path(p)
+            fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+            for found in fs.globStatus(where) or []:
+                name = found.getPath().toString()
+                inside = fs.listStatus(found.getPath()) if found.isDirectory() and not name.lower().endswith(known) else [found]
+                names = [x.getPath().toString() for x in inside]
+                out.update(_plain(n) for n in names if not found.isDirectory() or n.lower().endswith(known))
+        elif os.path.isdir(p) and not p.lower().endswith(known):
             out.update(os.path.join(p, n) for n in os.listdir(p) if n.lower().endswith(known))
         else:
             out.update(glob.glob(p) if any(c in p for c in "*?[") else [p])
     return sorted(out)
 
 
-def refresh(spark, listing: DataFrame, path: str, **options) -> DataFrame:
-    """The index kept at ``path`` (Parquet), with files that it lacks scanned and appended; sorted by start time."""
-    import os
+def _plain(name: str) -> str:
+    """A local file's path without its scheme."""
+    return "/" + name[5:].lstrip("/") if name.startswith("file:") else name
+
 
+def listing(spark, paths: list[str] | str, most: int = 50) -> DataFrame:
+    """The first ``most`` files, by path: path, name and size in MB."""
+    rows = []
+    for p in resolve(paths, spark)[:most]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(p)
+        size = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+        rows.append((p, where.getName(), round(size / (1 << 20), 3)))
+    return spark.createDataFrame(rows, "path string, name string, size_mb double")
+
+
+def refresh(spark, listing: DataFrame, path: str, **options) -> DataFrame:
+    """The index kept at ``path`` (Parquet, in any store), with files that it lacks scanned and appended; sorted by start time."""
     from strataline.sources import formats
 
-    new = listing
-    if os.path.isdir(path):
-        new = unseen(listing, spark.read.parquet(path))
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    kept = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    new = unseen(listing, spark.read.parquet(path)) if kept else listing
     found = formats.scans(new, **options)
-    if not found.isEmpty():
+    if not kept or not found.isEmpty():
         found.write.mode("append").parquet(path)
     return spark.read.parquet(path).orderBy("start_time", "path")
 
 
-def to_frame(spark, index: DataFrame, **options):
-    """The files of an index (few enough for the driver to name) as one frame along time."""
-    from functools import reduce
-
+def to_frame(spark, index: DataFrame, channels: list[int] | None = None, **options):
+    """The files of an index as one frame along time, in the order of their start times; rate and spacing are the first file's."""
     from strataline.frame import SignalFrame
     from strataline.sources import formats
 
-    rows = index.orderBy("start_time", "path").select("path", "sampling_rate", "channel_spacing").collect()
-    if not rows:
+    first = index.orderBy("start_time", "path").select("sampling_rate", "channel_spacing").first()
+    if first is None:
         raise ValueError("the index has no files")
-    parts = [formats.read(spark, r.path, **options).df.withColumn("path", F.lit(r.path)) for r in rows]
-    return SignalFrame(concat(reduce(DataFrame.unionByName, parts), index), rows[0].sampling_rate, rows[0].channel_spacing)
+    rows = formats.samples(index.join(offsets(index), "path"), channels, **options)
+    return SignalFrame(rows.select("ch", "ti", "v"), first.sampling_rate, first.channel_spacing)

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -31,6 +32,32 @@ def simulate(spark: SparkSession, fs: int = 1000, channels: int = 64, seed: int
     return rows.select("ch", "ti", "timestamp", (noise(seed, "ch", "ti") + F.when(hit, 5.0).otherwise(0.0)).alias("v"))
 
 
+def files(spark: SparkSession, folder: str, pattern: str | None = None, per_batch: int | None = None, **options) -> DataFrame:
+    """The samples of files that arrive in a folder: ch, ti, timestamp, v, path; ti counts within its file.
+
+    Each file is read once, by one task, through its format; options are the format's. A file without a start time begins when it was written.
+    """
+    source = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+    source = source.option("pathGlobFilter", pattern) if pattern else source
+    source = source.option("maxFilesPerTrigger", per_batch) if per_batch else source
+    names = source.load(folder).select("path", F.unix_micros("modificationTime").alias("written"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import strataline.sources.arrays  # noqa: F401
+        from strataline.sources.formats import FORMATS, _pieces
+
+        for b in batches:
+            for path, written in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                place = "/" + path[5:].lstrip("/") if path.startswith("file:") else path
+                found = FORMATS.scan(place, **options)
+                begin = written if found.start_time is None else pd.Timestamp(found.start_time).value // 1000
+                for ch, ti, v in _pieces(found.format_name, place, 0, found.n_samples, np.arange(found.n_channels), options | {"n_channels": found.n_channels}):
+                    at = begin + np.round(ti.to_numpy() * (1e6 / found.sampling_rate)).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([ch, ti, pa.array(at, pa.timestamp("us", "UTC")), v, pa.array([path] * len(ch), pa.string())], names=["ch", "ti", "timestamp", "v", "path"])
+
+    return names.mapInArrow(run, "ch long, ti long, timestamp timestamp, v double, path string")
+
+
 class _Sos(StatefulProcessor):
     """Causal second-order sections; each channel's section states are kept."""
 
@@ -99,10 +126,18 @@ def trigger_sessions(df: DataFrame, threshold: float, gap: str, delay: str = "10
     return found.select(F.col("session_window.start").alias("start_time"), F.col("session_window.end").alias("end_time"), "min_channel", "max_channel", "n", "peak")
 
 
-def metrics(df: DataFrame, width: str = "1 second", delay: str = "10 seconds", time: str = "timestamp") -> DataFrame:
-    """Per window of time: greatest |v|, level and number of samples."""
+def metrics(df: DataFrame, width: str = "1 second", delay: str = "10 seconds", time: str = "timestamp", threshold: float = 0.0) -> DataFrame:
+    """Per window of time: greatest |v|, level, 99.5th percentile of |v|, samples, and samples and channels whose |v| is above the threshold."""
     timed = df.withWatermark(time, delay) if df.isStreaming else df
-    return timed.groupBy(F.window(time, width)).agg(F.max(F.abs("v")).alias("peak"), F.sqrt(F.avg(F.col("v") * F.col("v"))).alias("rms"), F.count("v").alias("n"))
+    size, over = F.abs("v"), F.abs("v") > F.lit(float(threshold))
+    return timed.groupBy(F.window(time, width)).agg(
+        F.max(size).alias("peak"),
+        F.sqrt(F.avg(F.col("v") * F.col("v"))).alias("rms"),
+        F.percentile(size, F.lit(0.995)).alias("p99_5"),
+        F.count("v").alias("n"),
+        F.count_if(over).alias("n_over"),
+        F.size(F.collect_set(F.when(over, F.col("ch")))).alias("channels_over"),
+    )
 
 
 def sequential(*steps: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
