@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataline.functions import dsp, units
-from strataline.operators import detect, match, pointwise, rolling, spectral, stats, traces
+from strataline.operators import chirp, detect, match, pointwise, rolling, spectral, stats, traces
 from strataline.operators.layout import clean, to_long, to_traces
 
 
@@ -208,6 +208,13 @@ class SignalFrame:
     def welch(self) -> DataFrame:
         return spectral.welch(self.df, self.fs, self.shape[0])
 
+    def chirp_power(self, f0: float = 1000.0, f1: float = 2000.0, length: float = 3.0, **options) -> DataFrame:
+        return chirp.chirp_power(self.traces, self.fs, f0, f1, length, **options)
+
+    def dominant_frequencies(self, n_peaks: int = 5, window: int = 1024, **options) -> DataFrame:
+        """Per channel its highest spectral peak and the first ``n_peaks``."""
+        return spectral.dominant(self.spectrum(window=window), n_peaks=n_peaks, **options)
+
     def frequency_response(self, freqs: list[float]) -> DataFrame:
         return spectral.frequency_response(self.df, self.fs, freqs)
 
@@ -273,6 +280,17 @@ class SignalFrame:
         small = pointwise.decimate(self.df, self.shape[0], most)
         return small, stats.percentiles(small, [0.98], F.abs("v"))
 
+    def spectrum_curve(self, window: int = 1024, most: int = 10_000) -> DataFrame:
+        """ch, freq and db of the spectrum, thinned to at most ``most`` points a channel."""
+        step = max(1, -(-(window // 2 + 1) // most))
+        return self.spectrum(window=window).filter(F.pmod("k", F.lit(step)) == 0).select("ch", "freq", spectral.to_db(F.col("power")).alias("db"))
+
+    def spectrogram_image(self, channel: int, window: int = 1024, overlap: float = 0.5) -> tuple[DataFrame, DataFrame]:
+        """t, freq and db of one channel's magnitude spectrogram, and its colour limits: two deviations either side of the mean."""
+        rows = spectral.spectrogram(self.df.filter(F.col("ch") == channel), self.fs, window, int(window * overlap), "density")
+        image = rows.select("t", "freq", spectral.to_db(F.sqrt("power") / F.sqrt(F.when((F.col("k") == 0) | (F.col("k") * 2 == window), 1.0).otherwise(2.0))).alias("db"))
+        return image, image.agg((F.avg("db") - 2 * F.stddev_pop("db")).alias("lo"), (F.avg("db") + 2 * F.stddev_pop("db")).alias("hi"))
+
     def profile(self, stat: str = "rms", metres: bool = False) -> DataFrame:
         return stats.profile(self.df, stat, self.dx if metres else None)
 

@@ -433,3 +433,32 @@ def test_a_chain_takes_one_shuffle(spark, noise):
     sos = dsp.butter_sos(4, 1.0, "highpass", 100.0)
     assert np.allclose(frame(spark, noise).integrate_data(1.0).collect(), (lambda y: y - y.mean(0))(dsp.zero_phase(sos, noise.cumsum(0))))
     assert np.allclose(frame(spark, noise).process_differential(1.0).collect(), (lambda y: y - y.mean(0))(dsp.zero_phase(sos, noise)))
+
+
+def test_chirp_power(spark):
+    from strataline.operators import chirp
+
+    fs, n = 8000.0, 40_000
+    t = np.arange(n) / fs
+    x = 0.05 * RNG.normal(size=(n, 3))
+    for c, (onset, level) in enumerate(((0.8, 0.5), (1.6, 1.0))):
+        on = (t >= onset) & (t < onset + 3)
+        u = t[on] - onset
+        x[on, c] += level * np.cos(2 * np.pi * (1000 * u + 1000 / 6 * u**2))
+    rows = {r.ch: r for r in frame(spark, x, fs).chirp_power().collect()}
+    assert abs(rows[0].onset - 0.8) < 0.02 and abs(rows[1].onset - 1.6) < 0.02 and rows[2].power < 0.01
+    assert np.isclose(rows[0].power, 0.125, rtol=0.2) and np.isclose(rows[1].power, 0.5, rtol=0.2)
+    assert 2.5 < rows[0].duration < 3.2
+    y = RNG.normal(size=3000)
+    plane = chirp.Plane(y, fs, 256, 64)
+    assert np.allclose(plane.signal(plane.z), y)
+
+
+def test_curves(spark):
+    x = RNG.normal(size=(4096, 2))
+    f = frame(spark, x, 100.0)
+    assert f.spectrum_curve(1024, 100).groupBy("ch").count().agg(F.max("count")).first()[0] <= 100
+    image, lim = f.spectrogram_image(1, 256)
+    db, edge = image.toPandas().db, lim.first()
+    assert len(db) == 31 * 129 and np.isclose(edge.lo, db.mean() - 2 * db.std(ddof=0)) and np.isclose(edge.hi, db.mean() + 2 * db.std(ddof=0))
+    assert f.dominant_frequencies(3).count() == 2
