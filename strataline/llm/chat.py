@@ -218,5 +218,39 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: For conversations of one part, as those of the tables are.
 QUERIES = {"op9_chat_formatting": op9_chat_formatting}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op9_chat_formatting": rf"""
+        WITH RECURSIVE raw AS (
+            SELECT conv_id, turn, role, text FROM conversations
+            UNION ALL SELECT -7, i, CASE WHEN i = 0 THEN 'user' ELSE 'assistant' END, '\### Assistant: {MARK} ok' FROM unnest(range(0, 2)) AS v(i)
+        ), one AS (
+            SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS i FROM raw
+        ), sized AS (
+            SELECT conv_id, role, text, i, CAST(ceil(length(text) / 4.0) AS BIGINT) + 3 AS tokens,
+                length('{HEAD} ') + CASE WHEN role IN ('system', 'user', 'assistant') THEN length(role) ELSE 1 + length(base64(encode(role))) END + 2
+                + length(replace(replace(replace(text, '\', '\\'), '{HEAD}', '\{HEAD}'), '{MARK}', '\{MARK}')) + length('{MARK}') + 2 AS chars
+            FROM one
+        ), placed AS (
+            SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY i) - tokens AS before, first_value(role = 'system') OVER (PARTITION BY conv_id ORDER BY i) AS sys,
+                greatest({BUDGET - HISTORY} - CASE WHEN first_value(role) OVER (PARTITION BY conv_id ORDER BY i) = 'system' THEN first_value(tokens) OVER (PARTITION BY conv_id ORDER BY i) ELSE 0 END, 1) AS room
+            FROM sized
+        ), spans(conv_id, i, a, ahead) AS (
+            SELECT conv_id, i, i, before FROM placed WHERE i = 0
+            UNION ALL
+            SELECT p.conv_id, p.i, CASE WHEN p.before + p.tokens - s.ahead > p.room THEN p.i ELSE s.a END, CASE WHEN p.before + p.tokens - s.ahead > p.room THEN p.before ELSE s.ahead END
+            FROM spans s JOIN placed p ON p.conv_id IS NOT DISTINCT FROM s.conv_id AND p.i = s.i + 1
+        ), wins AS (SELECT DISTINCT conv_id, a, ahead FROM spans
+        ), context AS (
+            SELECT w.conv_id, sum(p.chars) AS chars FROM wins w JOIN placed p ON p.conv_id IS NOT DISTINCT FROM w.conv_id AND p.i < w.a
+            WHERE (p.sys AND p.i = 0) OR w.ahead - p.before <= {HISTORY} GROUP BY w.conv_id
+        ), counted AS (SELECT conv_id, count(*) AS n FROM wins GROUP BY conv_id
+        ), whole AS (
+            SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+                coalesce(string_agg(text, '' ORDER BY i) FILTER (WHERE role = 'assistant'), '') AS loss, sum(chars) AS chars FROM placed GROUP BY conv_id
+        )
+        SELECT w.conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(w.chars + coalesce(context.chars, 0) AS BIGINT) AS formatted_chars, counted.n AS n_windows
+        FROM whole w JOIN counted ON counted.conv_id IS NOT DISTINCT FROM w.conv_id LEFT JOIN context ON context.conv_id IS NOT DISTINCT FROM w.conv_id
+    """
+}

@@ -336,5 +336,38 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", F.size("detections").cast("long").alias("n_detections"))
 
 
+def _doubled(text: str) -> str:
+    """A pattern for texts whose spaces are doubled, so that two matches can stand side by side without lookaround."""
+    return text.replace(" ?", "\0").replace(" ", "  ").replace("\0", "(?:  )?")
+
+
+def oracle() -> str:
+    """The scan in SQL: rules as a table, places from the texts between matches."""
+    table = ", ".join(f"({r.priority}, '{r.label}', '{r.keyword}', '{r.hint}', ' (?:{_doubled(r.pattern)}) ', CAST({r.score} AS DOUBLE))" for r in rules())
+    stems = " OR ".join(f"contains(c, '{s}')" for s in STEMS)
+    found = " UNION ALL ".join(
+        f"SELECT r, i - 1 AS i, '{label}' AS label FROM p WHERE " + " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(phrase.split())) for phrase, label in BASE
+    )
+    return rf"""
+        WITH a AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        c AS (SELECT r, ' ' || array_to_string(w, ' ') || ' ' AS c FROM a),
+        rules(priority, label, keyword, hint, pattern, score) AS (VALUES {table}),
+        tried AS (SELECT r, replace(c, ' ', '  ') AS t, rules.* FROM (SELECT * FROM c WHERE {stems}) c JOIN rules ON contains(c, keyword) AND contains(c, hint)),
+        hits AS (SELECT r, priority, label, score, regexp_extract_all(t, pattern) AS h, string_split_regex(t, pattern) AS g FROM tried),
+        each AS (SELECT r, priority, label, score, h, g, unnest(range(1, len(h) + 1)) AS k FROM hits WHERE len(h) > 0),
+        spans AS (SELECT r, priority, label, score, list_sum(list_transform(g[1:k], lambda x: length(x))) + list_sum(list_transform(h[1:k], lambda x: length(x))) AS stop, length(h[k]) AS n FROM each),
+        kept AS (
+            SELECT r, label, score FROM (SELECT *, max(stop) OVER (PARTITION BY r ORDER BY stop - n, stop DESC, priority ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM spans)
+            WHERE far IS NULL OR stop > far
+        ), d AS (SELECT r, count(*) AS n, max(score) AS score, list(DISTINCT label) AS labels FROM kept GROUP BY r),
+        p AS (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM a),
+        b AS (SELECT r, count(*) AS n, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS labels FROM ({found}) GROUP BY r)
+        SELECT doc_id, len(w) AS n_words, coalesce(b.n, 0) AS n_base, first_word, last_word, coalesce(array_to_string(list_sort(b.labels), ','), '') AS base_labels,
+            array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(d.labels, [])))), ',') AS labels,
+            CASE WHEN b.n > 0 THEN CAST(1 AS DOUBLE) ELSE coalesce(d.score, CAST(0 AS DOUBLE)) END AS score, coalesce(d.n, 0) AS n_detections
+        FROM a LEFT JOIN b ON b.r = a.r LEFT JOIN d ON d.r = a.r
+    """
+
+
 QUERIES = {"op4_license_scan": op4_license_scan}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op4_license_scan": oracle()}

@@ -160,5 +160,22 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_BITS = " + ".join(f"CASE WHEN {cond} THEN {1 << bit} ELSE 0 END" for bit, _, cond in RULES)
 QUERIES = {"op6_quality_rules": op6_quality_rules}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op6_quality_rules": rf"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+        w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+        g AS (SELECT r, i, array_to_string(list_slice(w, i, i + 7), ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM w WHERE len(w) >= 8)),
+        again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM g) WHERE n > 1),
+        covered AS (SELECT r, count(DISTINCT i + j) AS n FROM (SELECT r, i, unnest(range(0, 8)) AS j FROM again) GROUP BY r),
+        m AS (
+            SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(l) AS n_lines,
+                len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words, coalesce(list_max(list_transform(w, lambda x: length(x))), 0) AS longest_word,
+                length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(t, '[\x00-\x40\x5B-\x60\x7B-\x7F]', '', 'g')) AS n_letters,
+                length(regexp_replace(t, '[^0-9]', '', 'g')) AS n_digits, length(regexp_replace(array_to_string(w, ''), '[^\x00-\x7F]', '', 'g')) AS n_ascii
+            FROM w LEFT JOIN covered ON covered.r = w.r
+        ), f AS (SELECT *, CAST({_BITS} AS BIGINT) AS fail_bits FROM m)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & {POLICIES["base", 1]} <> 0 AS base_failed, fail_bits & {POLICIES["corpus", 3]} = 0 AS kept, n_lines, longest_word, fail_bits FROM f
+    """
+}

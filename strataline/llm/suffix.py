@@ -467,4 +467,19 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op10_suffix_dedup": op10_suffix_dedup}
-ORACLES: dict[str, str] = {}
+#: All strings of LENGTH bytes; for tables of some megabytes.
+ORACLES = {
+    "op10_suffix_dedup": f"""
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        s AS (SELECT doc_id, i, hash(substr(h, 2 * i + 1, {2 * LENGTH})) AS g, md5_number(substr(h, 2 * i + 1, {2 * LENGTH})) AS m FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - {LENGTH - 1})) AS i FROM d WHERE length(h) >= {2 * LENGTH})),
+        later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g, m ORDER BY doc_id, i) AS k FROM s) WHERE k > 1),
+        runs AS (
+            SELECT doc_id, min(i) AS a, max(i) + {LENGTH} AS b FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (
+                SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= {LENGTH} THEN 0 ELSE 1 END AS new FROM later)) GROUP BY doc_id, run
+        ), gaps AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS b FROM runs UNION ALL SELECT doc_id, max(b), NULL FROM runs GROUP BY doc_id),
+        rest AS (SELECT g.doc_id, string_agg(CASE WHEN g.b IS NULL THEN substr(h, 2 * g.a + 1) ELSE substr(h, 2 * g.a + 1, 2 * (g.b - g.a)) END, '' ORDER BY g.a) AS h FROM gaps g JOIN d ON d.doc_id = g.doc_id GROUP BY g.doc_id),
+        gone AS (SELECT doc_id, sum(b - a) AS n, count(*) AS spans FROM runs GROUP BY doc_id)
+        SELECT d.doc_id, CAST(length(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone.n, 0) AS BIGINT) AS n_removed, coalesce(gone.spans, 0) AS n_spans, sha256(unhex(coalesce(rest.h, d.h))) AS kept_sha256
+        FROM d LEFT JOIN gone ON gone.doc_id = d.doc_id LEFT JOIN rest ON rest.doc_id = d.doc_id
+    """
+}

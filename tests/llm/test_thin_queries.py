@@ -69,3 +69,18 @@ def test_op8(spark, sf, docs):
         assert r.source_size == sizes[s] and r.target == pytest.approx(want[s]) and 0 <= r.taken <= 2 * r.size
         taken[s] += r.taken
     assert all(abs(taken[s] - want[s]) <= 0.02 * sizes[s] + 1 for s in sizes)
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_sql_gives_the_same(spark, sf, name):
+    import os
+
+    import duckdb
+
+    c = duckdb.connect()
+    for t in os.listdir(sf):
+        c.sql(f"CREATE VIEW {t.split('.')[0]} AS SELECT * FROM '{sf}/{t}'")
+    got = registry.queries()[name](spark, sf)
+    want = c.sql(registry.oracle_sql()[name])
+    assert sorted(want.columns) == sorted(got.columns)
+    assert sorted((tuple(r[x] for x in want.columns) for r in got.collect()), key=str) == sorted(want.fetchall(), key=str)
