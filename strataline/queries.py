@@ -626,3 +626,6 @@ def pipeline_trigger(spark: SparkSession, d: str) -> DataFrame:
 def sensor_chain(df: DataFrame, factor: float = 2.0) -> DataFrame:
     """detrend, abs, scale."""
     return pointwise.scale(pointwise.absolute(pointwise.detrend(df)), factor)
+
+
+from strataline import queries_files  # noqa: E402, F401 - adds the queries over files, chains and streams
