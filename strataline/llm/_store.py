@@ -1,29 +1,10 @@
-"""Intermediate tables in the folder that driver and executors share.
-
-The folder is the session's ``spark.checkpoint.dir``. Where that is unset, a local
-folder is made and set if driver and executors are one machine (tests, a notebook);
-on a cluster its absence is an error.
-"""
+"""Intermediate tables in the folder that driver and executors share (``strataline.scratch``), and names for helper columns."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of this session, without a trailing slash."""
-    found = spark.conf.get("spark.checkpoint.dir", "") or ""
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="strataline-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+from strataline.scratch import Folder
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -47,31 +28,6 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(name, str(rows))
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm, sc = spark._jvm, spark.sparkContext
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the session has ended
-        if path.startswith("file:"):
-            shutil.rmtree("/" + path[5:].lstrip("/"), ignore_errors=True)
-
-
-class Folder:
-    """A path of its own in the shared folder; dropped by hand, or at the end of the process.
-
-    What a lazy result still reads is never dropped by an operator.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.path = f"{shared_dir(spark)}/strataline/{name}-{uuid.uuid4().hex}"
-        self._spark = spark
-        atexit.register(_remove, spark, self.path)
-
-    def drop(self) -> None:
-        _remove(self._spark, self.path)
-
-
 class Stored(Folder):
     """A table written to the shared folder."""
 
