@@ -184,7 +184,10 @@ def _rest(members: DataFrame, docs: DataFrame, text: str, percent: int) -> DataF
     comes out of a task is a forest, at most a row per label.
     """
     counts = members.groupBy("band").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    dealt = members.join(counts, "band").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    # buckets of several blocks are few: at most a BLOCKth of the members; their members need not meet to learn it
+    large = Stored(counts.filter("blocks > 1"), "large").df
+    large = F.broadcast(large) if large.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else large
+    dealt = members.join(large, "band", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     placed = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "label", "own")
     sets = _sets_of(docs, members.select(F.col("rep").alias("doc_id")), text).withColumnRenamed("doc_id", "rep")
