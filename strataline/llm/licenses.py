@@ -15,6 +15,7 @@ an empty table gives an empty result. Texts are scanned whole.
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass
 
@@ -274,14 +275,18 @@ def _spans(canon: Column, rule: Column) -> Column:
     return F.aggregate(parts, state, step)["found"]
 
 
+RULE_TABLE = "array<struct<keyword:string,hints:array<struct<hint:string,rules:array<struct<priority:int,label:string,pattern:string,score:double>>>>>>"
+
+
 def detections(canon: Column, ordered: tuple[Rule, ...]) -> Column:
     """Detections that no other one suppresses, by start."""
     by: dict[str, dict[str, list[Rule]]] = {}
     for r in ordered:
         by.setdefault(r.keyword, {}).setdefault(r.hint, []).append(r)
-    each = lambda r: F.struct(F.lit(r.priority).alias("priority"), F.lit(r.label).alias("label"), F.lit(r.pattern).alias("pattern"), F.lit(r.score).alias("score"))
-    hinted = lambda hints: F.array(*[F.struct(F.lit(h).alias("hint"), F.array(*map(each, rs)).alias("rules")) for h, rs in hints.items()])
-    table = F.array(*[F.struct(F.lit(k).alias("keyword"), hinted(hints).alias("hints")) for k, hints in by.items()])
+    each = lambda r: {"priority": r.priority, "label": r.label, "pattern": r.pattern, "score": r.score}
+    nested = [{"keyword": k, "hints": [{"hint": h, "rules": [each(r) for r in rs]} for h, rs in hints.items()]} for k, hints in by.items()]
+    # one literal, which the optimizer turns into a table before the query runs
+    table = F.from_json(F.lit(json.dumps(nested)), RULE_TABLE)
     hints = F.flatten(F.transform(F.filter(table, lambda k: F.contains(canon, k["keyword"])), lambda k: k["hints"]))
     tried = F.flatten(F.transform(F.filter(hints, lambda h: F.contains(canon, h["hint"])), lambda h: h["rules"]))
     found = F.sort_array(F.flatten(F.transform(tried, lambda r: _spans(canon, r))))
