@@ -48,6 +48,15 @@ def test_bpe(spark, sf):
                 assert r.ids == want and r.decoded == LIB[BYTE].decode(want, skip_special_tokens=False)
 
 
+def test_bpe_with_few_buckets_and_small_tables(spark, sf, monkeypatch):
+    monkeypatch.setattr(bpe, "BUCKETS", 2)
+    monkeypatch.setattr(bpe, "TABLE_WORDS", 60)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(80).unionByName(docs_frame(spark, ["same text here"] * 40, 10**6))
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in bpe.encode(docs, BYTE, block_bytes=20_000).collect():
+        assert r.ids == LIB[BYTE].encode(texts[r.doc_id], add_special_tokens=False).ids
+
+
 def test_bpe_query(spark, sf):
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     rows = bpe.op5_bpe(spark, sf).collect()
