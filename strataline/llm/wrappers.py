@@ -82,7 +82,9 @@ ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]
 MAX_UNIT = 6
 #: Wrappers of all hosts together are broadcast up to so many bytes, else joined by shuffle.
 BROADCAST_BYTES = 8 << 20
-HOSTS_HELD, SALTS = 2000, 16
+HOSTS_HELD = 2000
+#: A host's partial wrappers, one of each task that saw it, meet in so many groups, then these: with 4096 tasks, 64 wrappers twice.
+SALTS = 64
 #: Nested elements are walked by recursion in Python alone, which takes no C stack.
 sys.setrecursionlimit(max(sys.getrecursionlimit(), 1_000_000))
 
