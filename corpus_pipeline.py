@@ -21,8 +21,9 @@ from strataline.llm._store import Stored
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that policy corpus 3 keeps."""
-    rows = docs.select(F.struct("*").alias("row"), "text")
-    return quality.apply_policy(quality.ledger(rows), "corpus", 3).filter("kept").select("row.*")
+    names = [c if c == "text" else f"column{i}" for i, c in enumerate(docs.columns)]
+    kept = quality.apply_policy(quality.ledger(docs.toDF(*names)), "corpus", 3).filter("kept")
+    return kept.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
