@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Callable
+from functools import partial
 
 import numpy as np
 import pyarrow.fs as pafs
@@ -19,7 +20,7 @@ from strataline.operators import detect, spectral
 from strataline.plans import chains, models
 from strataline.queries import EM, FS, ORACLES, TAU, _causal, _line, _long, _out, _power, _recursive, query, r, rounded
 from strataline.scratch import Folder
-from strataline.sources import arrays, catalog, formats, spool, synthetic
+from strataline.sources import arrays, catalog, formats, parts, spool, synthetic
 from strataline.sources.tables import eg, em, table
 from strataline.streaming import stateful
 
@@ -92,20 +93,38 @@ def tdms_read(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_long(EM, "em", "v", digits=9))
 def miniseed_read(spark: SparkSession, d: str) -> DataFrame:
-    """A record of doubles per channel; the channels' codes are in their order."""
-    x = _frame(spark, d).collect()
-    records = []
-    for c, y in enumerate(x.T):
-        head = bytearray(64)
-        head[:20] = b"000001D " + f"{c:05d}".encode() + b"  BHZXX"
-        struct.pack_into(">HHBBBBHHhh", head, 20, 2024, 1, 0, 0, 0, 0, 0, len(y), int(FS), 1)
-        head[39] = 1
-        struct.pack_into(">HHHHBBBB", head, 44, 64, 48, 1000, 0, 5, 1, 10, 0)
-        records.append(bytes(head) + y.astype(">f8").tobytes().ljust(960, b"\0"))
-    path = _put(f"{Folder(spark, 'miniseed').path}/a.mseed", b"".join(records))
+    """Records of 120 doubles for each channel; the channels' codes are in their order."""
+    rows, n, c = parts.shaped(em(spark, d))
+    path = f"{Folder(spark, 'miniseed').path}/a.mseed"
+    parts.write(parts.by_channel(rows, n), [path], n * c, n * c, partial(_mseed, n), unit=n)
     return _out(formats.read(spark, path).df, 9)
 
 
+def _mseed(n: int, first: int, x: np.ndarray) -> bytes:
+    """Channels of n samples, from the one that begins at a place on."""
+    x = x.reshape(-1, n)
+    head = bytearray(64)
+    head[:20] = b"000001D ".ljust(15) + b"BHZ  "
+    struct.pack_into(">HHBBBBHHhh", head, 20, 2024, 1, 0, 0, 0, 0, 0, 0, int(FS), 1)
+    head[39] = 1
+    struct.pack_into(">HHHHBBBB", head, 44, 64, 48, 1000, 0, 5, 1, 10, 0)
+    records = -(-n // 120)
+    out = np.zeros((len(x), records, 1024), "u1")
+    out[:, :, :64] = np.frombuffer(head, "u1")
+    # channel numbers to the base of 36, in the codes of network and station
+    number = first // n + np.arange(len(x))
+    digits = np.frombuffer(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", "u1")[number[:, None] // 36 ** np.arange(6, -1, -1) % 36]
+    out[:, :, 18:20], out[:, :, 8:13] = digits[:, None, :2], digits[:, None, 2:]
+    for r in range(records):
+        y = x[:, 120 * r : 120 * r + 120]
+        ticks = round(120 * r / FS * 10_000)
+        seconds = ticks // 10_000
+        when = struct.pack(">HBBBBHH", 1 + seconds // 86_400, seconds // 3600 % 24, seconds // 60 % 60, seconds % 60, 0, ticks % 10_000, y.shape[1])
+        out[:, r, 22:32] = np.frombuffer(when, "u1")
+        out[:, r, 64 : 64 + 8 * y.shape[1]] = np.ascontiguousarray(y, ">f8").view("u1")
+    return out.tobytes()
+
+
 @query(_long(EM, "em", "v", digits=9))
 def parquet_write_read(spark: SparkSession, d: str) -> DataFrame:
     path = f"{Folder(spark, 'parquet').path}/a"

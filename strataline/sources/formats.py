@@ -75,6 +75,8 @@ class Format:
     name = ""
     extensions: tuple[str, ...] = ()
     priority = 100
+    #: A channel's samples stand together in the file: wide files are cut by channels.
+    by_channel = False
 
     def can_read(self, path: str) -> bool:
         return path.lower().endswith(self.extensions)
@@ -89,6 +91,44 @@ class Format:
         """Samples [start, stop) of the named channels (in ascending order); formats that can read less do."""
         return self.block(path, start, stop, **options)[:, channels]
 
+    def places(self, path: str, channels: np.ndarray) -> Places | None:
+        """Where the channels stand, for formats that have to look through a file for that; ``cells`` takes it as ``places``."""
+        return None
+
+    def tile(self, samples: int, channels: int, most: int) -> tuple[int, int]:
+        """Samples and channels that are read at a time, ``most`` cells or so."""
+        rows = max(1, min(samples, most) if self.by_channel else most // max(1, channels))
+        return rows, max(1, most // rows if self.by_channel else channels)
+
+    def _kept(self, path: str, make):
+        """What ``make`` finds in a file, kept while the same file is asked for again."""
+        fs, place = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+        info = fs.get_file_info(place)
+        key = (path, info.size, info.mtime_ns)
+        if getattr(self, "_known", (None,))[0] != key:
+            self._known = (key, make(path))
+        return self._known[1]
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_known"}
+
+
+@dataclass
+class Places:
+    """Rows that say where a channel's samples stand: those of channel i are first[i] to first[i + 1]."""
+
+    first: np.ndarray
+    rows: np.ndarray
+
+    def of(self, channels) -> Places:
+        """Those of some channels, by number or range."""
+        if isinstance(channels, slice):
+            a, b = self.first[channels.start], self.first[min(channels.stop, len(self.first) - 1)]
+            return Places(self.first[channels.start : channels.stop + 1] - a, self.rows[a:b])
+        length = self.first[channels + 1] - self.first[channels]
+        first = np.concatenate(([0], np.cumsum(length)))
+        return Places(first, self.rows[np.repeat(self.first[channels] - first[:-1], length) + np.arange(first[-1])])
+
 
 class Dat(Format):
     """Flat int16 rows of time x channel; value = raw * pi / 2**13."""
@@ -118,6 +158,7 @@ class SegY(Format):
     """SEG-Y revision 1: a trace per channel; int16, int32, IEEE and IBM float samples."""
 
     name, extensions, priority = "SEGY", (".sgy", ".segy"), 50
+    by_channel = True
     KINDS = {1: ">u4", 2: ">i4", 3: ">i2", 5: ">f4", 8: ">i1"}
 
     def _head(self, path: str) -> tuple[int, int, int, str, int]:
@@ -143,6 +184,11 @@ class SegY(Format):
         item = np.dtype(kind).itemsize
         out = np.empty((stop - start, len(channels)))
         with opened(path) as f:
+            if len(channels) > 1 and channels[-1] - channels[0] == len(channels) - 1 and 2 * (stop - start) >= n:  # whole traces that follow one another
+                f.seek(3600 + int(channels[0]) * trace)
+                x = np.frombuffer(f.read(len(channels) * trace), "u1").reshape(-1, trace)[:, 240 + start * item : 240 + stop * item]
+                x = np.ascontiguousarray(x).view(kind).T
+                return _ibm(x) if kind == ">u4" else x.astype(float)
             for i, c in enumerate(channels.tolist()):
                 f.seek(3600 + c * trace + 240 + start * item)
                 x = np.frombuffer(f.read((stop - start) * item), kind)
@@ -316,6 +362,9 @@ FORMATS = Registry()
 class Range(InputPartition):
     start: int
     stop: int
+    first: int = 0
+    last: int = 0
+    places: Places | None = None
 
 
 class _Reader(DataSourceReader):
@@ -328,7 +377,7 @@ class _Reader(DataSourceReader):
         self.args = {k: v for k, v in self.options.items() if k in known}
         self.scan = FORMATS.scan(self.path, self.options.get("kind"), **self.args)
         self.low, self.high = 0, self.scan.n_samples
-        self.channels = np.arange(self.scan.n_channels)
+        self.channels = range(self.scan.n_channels)
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         """Bounds and values of ti and ch: the files' other parts are not read."""
@@ -348,29 +397,43 @@ class _Reader(DataSourceReader):
                 if isinstance(f, In):  # the bounds alone
                     yield f
             else:
-                c = self.channels
+                c = np.asarray(self.channels)
                 self.channels = c[np.isin(c, values)] if isinstance(f, In) else c[(c >= (0 if low is None else low)) & (c <= (self.scan.n_channels if high is None else high))]
 
     def partitions(self) -> list[Range]:
-        step = max(1, CELLS // max(1, len(self.channels)))
-        return [Range(i, min(i + step, self.high)) for i in range(self.low, self.high, step)] or [Range(0, 0)]
+        fmt, width, height = FORMATS.get(self.scan.format_name), len(self.channels), max(0, self.high - self.low)
+        if not width or not height:
+            return [Range(0, 0)]
+        rows, cols = fmt.tile(height, width, CELLS)
+        known = fmt.places(self.path, np.asarray(self.channels))
+        out = []
+        for j in range(0, width, cols):
+            own = None if known is None else known.of(slice(j, j + cols))
+            out += [Range(i, min(i + rows, self.high), j, min(j + cols, width), own) for i in range(self.low, self.high, rows)]
+        return out
 
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
         import strataline.sources.arrays  # noqa: F401
 
-        for ch, ti, v in _pieces(self.scan.format_name, self.path, part.start, part.stop, self.channels, self.args | {"n_channels": self.scan.n_channels}):
+        for ch, ti, v in _pieces(self.scan.format_name, self.path, part.start, part.stop, self.channels[part.first : part.last], self.args | {"n_channels": self.scan.n_channels}, part.places):
             yield pa.RecordBatch.from_arrays([ch, ti, v], names=["ch", "ti", "v"])
 
 
-def _pieces(kind: str, path: str, start: int, stop: int, channels: np.ndarray, args: dict) -> Iterator[tuple[pa.Array, pa.Array, pa.Array]]:
+def _pieces(kind: str, path: str, start: int, stop: int, channels, args: dict, places: Places | None = None) -> Iterator[tuple[pa.Array, pa.Array, pa.Array]]:
     """ch, ti and v of a range of a file, some 2**18 cells at a time."""
-    if not len(channels):
+    channels = np.asarray(channels)
+    if not len(channels) or start >= stop:
         return
-    fmt, step = FORMATS.get(kind), max(1, (1 << 18) // len(channels))
-    for a in range(start, stop, step):
-        x = fmt.cells(path, a, min(a + step, stop), channels, **args)
-        v = x.ravel().astype(float)
-        yield pa.array(np.tile(channels, len(x)), pa.int64()), pa.array(np.repeat(np.arange(a, a + len(x)), len(channels)), pa.int64()), pa.array(v, mask=np.isnan(v))
+    fmt = FORMATS.get(kind)
+    rows, cols = fmt.tile(stop - start, len(channels), 1 << 18)
+    places = fmt.places(path, channels) if places is None else places
+    for j in range(0, len(channels), cols):
+        own = channels[j : j + cols]
+        more = args if places is None else args | {"places": places.of(slice(j, j + cols))}
+        for a in range(start, stop, rows):
+            x = fmt.cells(path, a, min(a + rows, stop), own, **more)
+            v = x.ravel().astype(float)
+            yield pa.array(np.tile(own, len(x)), pa.int64()), pa.array(np.repeat(np.arange(a, a + len(x)), len(own)), pa.int64()), pa.array(v, mask=np.isnan(v))
 
 
 class FileSource(DataSource):
@@ -452,18 +515,25 @@ def samples(index: DataFrame, channels: list[int] | None = None, **options) -> D
 
     Files are cut into ranges, which are dealt to tasks: one plan for any number of files.
     """
+    import strataline.sources.arrays  # noqa: F401
+
     offset = F.col("offset") if "offset" in index.columns else F.lit(0)
-    step = F.greatest(F.floor(F.lit(CELLS) / F.col("n_channels")), F.lit(1)).cast("long")
-    ranges = index.filter("n_samples > 0").select("path", "format_name", F.col("n_channels").cast("long").alias("n_channels"), offset.cast("long").alias("offset"), F.col("n_samples").cast("long").alias("n"), step.alias("step"))
-    ranges = ranges.withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, "step"))).withColumn("stop", F.least(F.col("start") + F.col("step"), F.col("n")))
-    ranges = ranges.repartition(F.col("path"), F.col("start")).select("path", "format_name", "n_channels", "offset", "start", "stop")
+    whole = F.col("format_name").isin([n for n in FORMATS.names() if FORMATS.get(n).by_channel])
+    long = lambda c: c.cast("long")
+    rows = F.when(whole, F.least(F.col("n"), F.lit(CELLS))).otherwise(F.greatest(F.floor(F.lit(CELLS) / F.col("n_channels")), F.lit(1)))
+    cols = F.when(whole, F.greatest(F.floor(F.lit(CELLS) / F.col("step")), F.lit(1))).otherwise(F.col("n_channels"))
+    ranges = index.filter("n_samples > 0 AND n_channels > 0").select("path", "format_name", long(F.col("n_channels")).alias("n_channels"), long(offset).alias("offset"), long(F.col("n_samples")).alias("n"))
+    ranges = ranges.withColumn("step", long(rows)).withColumn("width", long(cols))
+    ranges = ranges.withColumn("start", F.explode(F.sequence(long(F.lit(0)), F.col("n") - 1, "step"))).withColumn("stop", F.least(F.col("start") + F.col("step"), F.col("n")))
+    ranges = ranges.withColumn("first", F.explode(F.sequence(long(F.lit(0)), F.col("n_channels") - 1, "width"))).withColumn("last", F.least(F.col("first") + F.col("width"), F.col("n_channels")))
+    ranges = ranges.repartition(F.col("path"), F.col("start"), F.col("first")).select("path", "format_name", "n_channels", "offset", "start", "stop", "first", "last")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import strataline.sources.arrays  # noqa: F401
 
         for b in batches:
-            for path, kind, width, before, start, stop in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                wanted = np.arange(width) if channels is None else np.array(sorted(c for c in set(channels) if 0 <= c < width), int)
+            for path, kind, width, before, start, stop, first, last in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                wanted = np.arange(first, last) if channels is None else np.array(sorted(c for c in set(channels) if first <= c < last), int)
                 for ch, ti, v in _pieces(kind, path, start, stop, wanted, options | {"n_channels": width}):
                     yield pa.RecordBatch.from_arrays([pa.array([path] * len(ch), pa.string()), ch, pa.array(ti.to_numpy() + before), v], names=["path", "ch", "ti", "v"])
 

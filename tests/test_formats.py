@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from strataline import api
+from strataline import api, queries_files
 from strataline.frame import SignalFrame
 from strataline.plans import chains, models
 from strataline.sources import arrays, formats, spool
@@ -325,3 +325,25 @@ def test_models_with_onnx_and_steps_around(spark, tmp_path):
     assert np.allclose([rows[c][0] for c in range(4)], 2 * abs(x).max(0), atol=1e-5)
     assert models.summary(f.predict(str(tmp_path / "abs.onnx"))).agg(F.sum("n")).first()[0] == 4
     assert pa is not None
+
+
+def vectors(spark, path, n, size):
+    """A table of embeddings: n vectors of so many components."""
+    spark.range(n).select(F.col("id").alias("vec_id"), F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: (F.col("id") * size + i).cast("float")).alias("embedding")).write.parquet(str(path / "embeddings.parquet"))
+    return str(path)
+
+
+def test_miniseed_of_many_channels_and_records(spark, tmp_path):
+    (tmp_path / "wide").mkdir(), (tmp_path / "long").mkdir()
+    for folder, n, size in (("wide", 100_100, 2), ("long", 3, 250)):
+        rows = queries_files.miniseed_read(spark, vectors(spark, tmp_path / folder, n, size))
+        assert rows.filter(F.col("v") != F.col("ch") * size + F.col("ti")).isEmpty() and rows.select("ch", "ti").distinct().count() == n * size
+
+
+def test_miniseed_records_of_several_kinds(tmp_path):
+    from tests.test_sources import record
+
+    raw = [record(b"HHZ", i, 50, 3, np.arange(50 * i, 50 * i + 50).astype(">i4").tobytes(), 50) for i in range(40)]
+    raw[20:30] = [record(b"HHZ", i, 50, 5, np.arange(50 * i, 50 * i + 50).astype(">f8").tobytes(), 50) for i in range(20, 30)]
+    (tmp_path / "a.mseed").write_bytes(b"".join(raw))
+    assert np.array_equal(arrays.MiniSeed().block(str(tmp_path / "a.mseed"), 0, 2000)[:, 0], np.arange(2000))
