@@ -6,7 +6,7 @@ The signals are those of ``queries``. Files and checkpoints go to the shared fol
 from __future__ import annotations
 
 import struct
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -82,15 +82,25 @@ def netcdf_write_read(spark: SparkSession, d: str) -> DataFrame:
 @query(_long(EM, "em", "v", digits=9))
 def tdms_read(spark: SparkSession, d: str) -> DataFrame:
     """One segment of contiguous channels."""
-    x = _frame(spark, d).collect()
-    text = lambda s: struct.pack("<I", len(s)) + s.encode()
-    objects = [text(f"/'g'/'c{c}'") + struct.pack("<IIIQI", 20, 10, 1, len(x), 0) for c in range(x.shape[1])]
-    meta = struct.pack("<I", len(objects)) + b"".join(objects)
-    raw = np.ascontiguousarray(x.T).astype("<f8").tobytes()
-    path = _put(f"{Folder(spark, 'tdms').path}/a.tdms", b"TDSm" + struct.pack("<IIQQ", 0x0E, 4713, len(meta) + len(raw), len(meta)) + meta + raw)
+    rows, n, c = parts.shaped(em(spark, d))
+    path = f"{Folder(spark, 'tdms').path}/a.tdms"
+    parts.write(parts.by_channel(rows, n), [path], n * c, n * c, _doubles, head=partial(_tdms_head, n, c))
     return _out(formats.read(spark, path).df, 9)
 
 
+def _doubles(first: int, x: np.ndarray) -> bytes:
+    return x.astype("<f8").tobytes()
+
+
+def _tdms_head(n: int, c: int) -> Iterator[bytes]:
+    text = lambda s: struct.pack("<I", len(s)) + s.encode()
+    values = struct.pack("<IIIQI", 20, 10, 1, n, 0)
+    size = 4 + sum(len(text(f"/'g'/'c{i}'")) + len(values) for i in range(c))
+    yield b"TDSm" + struct.pack("<IIQQ", 0x0E, 4713, size + 8 * n * c, size) + struct.pack("<I", c)
+    for i in range(0, c, 1 << 14):
+        yield b"".join(text(f"/'g'/'c{j}'") + values for j in range(i, min(i + (1 << 14), c)))
+
+
 @query(_long(EM, "em", "v", digits=9))
 def miniseed_read(spark: SparkSession, d: str) -> DataFrame:
     """Records of 120 doubles for each channel; the channels' codes are in their order."""

@@ -3,6 +3,7 @@
 import pickle
 import struct
 import sys
+import time
 import types
 
 import numpy as np
@@ -347,3 +348,20 @@ def test_miniseed_records_of_several_kinds(tmp_path):
     raw[20:30] = [record(b"HHZ", i, 50, 5, np.arange(50 * i, 50 * i + 50).astype(">f8").tobytes(), 50) for i in range(20, 30)]
     (tmp_path / "a.mseed").write_bytes(b"".join(raw))
     assert np.array_equal(arrays.MiniSeed().block(str(tmp_path / "a.mseed"), 0, 2000)[:, 0], np.arange(2000))
+
+
+def test_tdms_index_of_many_channels(tmp_path):
+    n = 60_000
+    x = RNG.normal(size=(n, 2))
+    (tmp_path / "a.tdms").write_bytes(b"".join(queries_files._tdms_head(2, n)) + x.astype("<f8").tobytes())
+    start = time.process_time()
+    scan = formats.FORMATS.scan(str(tmp_path / "a.tdms"))
+    got = np.concatenate([v.to_numpy() for _, _, v in formats._pieces("TDMS", str(tmp_path / "a.tdms"), 0, 2, np.arange(n), {})])
+    assert scan.n_channels == n and np.array_equal(got, x.T.ravel())
+    assert time.process_time() - start < 10  # a list of the objects took their square
+
+
+def test_tdms_read_is_not_collected(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(SignalFrame, "collect", None)
+    rows = queries_files.tdms_read(spark, vectors(spark, tmp_path, 50, 3))
+    assert rows.filter(F.col("v") != F.col("ch") * 3 + F.col("ti")).isEmpty() and rows.count() == 150
