@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from strataline.functions import dsp, units
 from strataline.operators import chirp, detect, match, pointwise, rolling, spectral, stats, traces
 from strataline.operators.layout import clean, to_long, to_traces
+from strataline.sources import parts
+
+#: Cells up to which arrays go between driver and tasks directly.
+IN_MEMORY = 1 << 20
 
 
 class SignalFrame:
@@ -61,6 +65,8 @@ class SignalFrame:
         x = np.asarray(data, float)
         x = x[:, None] if x.ndim == 1 else x
         n, c = x.shape
+        if x.size > IN_MEMORY:
+            return cls(parts.from_array(spark, x), float(fs), float(dx), meta)
         rows = pa.table({"ch": np.tile(np.arange(c), n), "ti": np.repeat(np.arange(n), c), "v": x.ravel()})
         return cls(clean(spark.createDataFrame(rows)), float(fs), float(dx), meta)
 
@@ -82,8 +88,11 @@ class SignalFrame:
         return self.df.select("ch", "ti", (F.col("ti") / F.lit(self.fs)).alias("t"), (F.col("ch") * F.lit(self.dx)).alias("x"), "v")
 
     def collect(self) -> np.ndarray:
-        """(time, channel) values on the driver; missing ones are NaN."""
-        got = self.df.select("ti", "ch", "v").orderBy("ti", "ch").toArrow()
+        """(time, channel) values on the driver; missing ones are NaN. Large arrays, 8 bytes a cell, come through the shared folder."""
+        rows = self.df.select("ti", "ch", "v")
+        if rows.count() > IN_MEMORY and dict(rows.dtypes)["v"] != "boolean":
+            return parts.to_array(rows)
+        got = rows.orderBy("ti", "ch").toArrow()
         ti, ch = (np.unique(got.column(c).to_numpy(), return_inverse=True) for c in ("ti", "ch"))
         v = got.column("v").to_numpy(zero_copy_only=False)
         out = np.full((len(ti[0]), len(ch[0])), False if v.dtype == bool else np.nan)

@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataline.scratch import Folder
@@ -48,6 +48,7 @@ def write(place: DataFrame, paths: list[str], total: int, per: int, encode: Call
 
     ``encode`` gives the bytes of some cells from a place on that is a multiple of ``unit``, in whole units; ``head`` what comes before them.
     """
+    per, unit = max(1, per), max(1, unit)
     spark, size = place.sparkSession, max(1, PART // unit) * unit
     folder = Folder(spark, "parts")
     fs, inside = place_of(folder.path)
@@ -127,3 +128,50 @@ def by_time(rows: DataFrame, c: int) -> DataFrame:
 
 def by_channel(rows: DataFrame, n: int) -> DataFrame:
     return rows.select((F.col("ch") * n + F.col("ti")).cast("long").alias("place"), "v")
+
+
+def _raw(first: int, x: np.ndarray) -> bytes:
+    return x.astype("<f8").tobytes()
+
+
+def to_array(rows: DataFrame) -> np.ndarray:
+    """(time, channel) values of (ch, ti, v) on the driver, read from a file that tasks wrote."""
+    spark = rows.sparkSession
+    folder = Folder(spark, "array")
+    rows.write.parquet(f"{folder.path}/rows")  # the frame's steps run once
+    kept, n, c = shaped(spark.read.parquet(f"{folder.path}/rows"))
+    write(by_time(kept, c), [f"{folder.path}/a"], n * c, n * c, _raw)
+    out = np.empty((n, c), "<f8")
+    fs, place = place_of(f"{folder.path}/a")
+    flat, at = out.reshape(-1).view("u1"), 0
+    with fs.open_input_stream(place) as f:
+        while raw := f.read(COPY):
+            flat[at : at + len(raw)] = np.frombuffer(raw, "u1")
+            at += len(raw)
+    folder.drop()
+    return out
+
+
+def from_array(spark: SparkSession, x: np.ndarray) -> DataFrame:
+    """(ch, ti, v) of (time, channel) values that tasks read from a file; NaN becomes NULL."""
+    (n, c), path = x.shape, f"{Folder(spark, 'array').path}/a"
+    fs, place = place_of(path)
+    fs.create_dir(place.rsplit("/", 1)[0], recursive=True)
+    with fs.open_output_stream(place) as f:
+        for r in range(n):
+            for a in range(0, c, PART):
+                f.write(x[r, a : a + PART].astype("<f8").tobytes())
+    piece = 1 << 18
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, where = place_of(path)
+        with own.open_input_file(where) as f:
+            for b in batches:
+                for i in b.column(0).to_pylist():
+                    f.seek(8 * piece * i)
+                    v = np.frombuffer(f.read(8 * min(piece, n * c - piece * i)), "<f8")
+                    at = piece * i + np.arange(len(v))
+                    yield pa.RecordBatch.from_arrays([pa.array(at % c), pa.array(at // c), pa.array(v, mask=np.isnan(v))], names=["ch", "ti", "v"])
+
+    tasks = -(-n * c // piece)
+    return spark.range(0, tasks, 1, max(1, tasks // 8)).mapInArrow(run, "ch long, ti long, v double")

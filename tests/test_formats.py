@@ -365,3 +365,22 @@ def test_tdms_read_is_not_collected(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(SignalFrame, "collect", None)
     rows = queries_files.tdms_read(spark, vectors(spark, tmp_path, 50, 3))
     assert rows.filter(F.col("v") != F.col("ch") * 3 + F.col("ti")).isEmpty() and rows.count() == 150
+
+
+def test_large_arrays_go_by_files(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from strataline import frame
+    from strataline.sources import parts
+
+    x = RNG.normal(size=(40, 7))
+    x[3, 2] = np.nan
+    plain = SignalFrame.from_array(spark, x, 10.0)
+    monkeypatch.setattr(frame, "IN_MEMORY", 100)
+    monkeypatch.setattr(parts, "PART", 50)
+    monkeypatch.setattr(DataFrame, "toArrow", None)
+    assert np.array_equal(plain.collect(), x, equal_nan=True)
+    back = SignalFrame.from_array(spark, plain.collect(), 10.0)
+    assert np.array_equal(back.collect(), x, equal_nan=True) and back.df.filter("v IS NULL").count() == 1
+    some = SignalFrame(plain.df.filter("ch NOT IN (0, 4) AND ti > 9").withColumn("ch", F.col("ch") * 1000), 10.0)  # numbers with gaps are ranks
+    assert np.array_equal(some.collect(), x[10:][:, [1, 2, 3, 5, 6]], equal_nan=True)
