@@ -10,7 +10,6 @@ from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,14 +24,6 @@ from strataline.sources.tables import eg, em, table
 from strataline.streaming import stateful
 
 
-def _put(path: str, raw: bytes) -> str:
-    fs, place = pafs.FileSystem.from_uri(path)
-    fs.create_dir(place.rsplit("/", 1)[0], recursive=True)
-    with fs.open_output_stream(place) as f:
-        f.write(raw)
-    return path
-
-
 def _frame(spark: SparkSession, d: str) -> SignalFrame:
     return SignalFrame(em(spark, d), FS)
 
@@ -42,16 +33,17 @@ def _frame(spark: SparkSession, d: str) -> SignalFrame:
 COUNTS = "floor(v * 1000) * pi() / 8192"
 
 
-def _dat(x: np.ndarray) -> bytes:
-    """(time, channel) values in thousandths as flat integers."""
+def _dat(first: int, x: np.ndarray) -> bytes:
+    """Values in thousandths as flat integers."""
     return np.floor(x * 1000).astype("<i2").tobytes()
 
 
 @query(_long(EM, "em", COUNTS))
 def dat_read(spark: SparkSession, d: str) -> DataFrame:
-    x = _frame(spark, d).collect()
-    path = _put(f"{Folder(spark, 'dat').path}/a.dat", _dat(x))
-    return _out(formats.read(spark, path, n_channels=x.shape[1], fs=FS).df)
+    rows, n, c = parts.shaped(em(spark, d))
+    path = f"{Folder(spark, 'dat').path}/a.dat"
+    parts.write(parts.by_time(rows, c), [path], n * c, n * c, _dat)
+    return _out(formats.read(spark, path, n_channels=c, fs=FS).df)
 
 
 @query(_long(EM, "em", "v", digits=9))

@@ -384,3 +384,9 @@ def test_large_arrays_go_by_files(spark, monkeypatch):
     assert np.array_equal(back.collect(), x, equal_nan=True) and back.df.filter("v IS NULL").count() == 1
     some = SignalFrame(plain.df.filter("ch NOT IN (0, 4) AND ti > 9").withColumn("ch", F.col("ch") * 1000), 10.0)  # numbers with gaps are ranks
     assert np.array_equal(some.collect(), x[10:][:, [1, 2, 3, 5, 6]], equal_nan=True)
+
+
+@pytest.mark.parametrize("name", ["dat_read", "netcdf_write_read", "scan_index", "segy_read", "spool_inventory", "spool_files"])
+def test_file_queries_collect_nothing(spark, sf, monkeypatch, name):
+    monkeypatch.setattr(SignalFrame, "collect", None)
+    assert getattr(queries_files, name)(spark, sf).count() > 0
