@@ -66,7 +66,7 @@ def zarr_write_read(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_long(EM, "em", "v", digits=9))
 def netcdf_write_read(spark: SparkSession, d: str) -> DataFrame:
-    path = _put(f"{Folder(spark, 'netcdf').path}/a.nc", b"")
+    path = f"{Folder(spark, 'netcdf').path}/a.nc"
     arrays.write_netcdf(_frame(spark, d), path)
     return _out(formats.read(spark, path).df, 9)
 
