@@ -48,13 +48,23 @@ def dat_read(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_long(EM, "em", "v", digits=9))
 def segy_read(spark: SparkSession, d: str) -> DataFrame:
-    x = _frame(spark, d).collect()
+    rows, n, c = parts.shaped(em(spark, d))
+    path = f"{Folder(spark, 'segy').path}/a.sgy"
+    parts.write(parts.by_channel(rows, n), [path], n * c, n * c, partial(_segy, n), unit=n, head=partial(_segy_head, n))
+    return _out(formats.read(spark, path).df, 9)
+
+
+def _segy(n: int, first: int, x: np.ndarray) -> bytes:
+    x = np.ascontiguousarray(x.reshape(-1, n), ">f4").view("u1")
+    return np.hstack((np.zeros((len(x), 240), "u1"), x)).tobytes()
+
+
+def _segy_head(n: int) -> Iterator[bytes]:
     head = bytearray(3600)
     struct.pack_into(">H", head, 3216, 10_000)
-    struct.pack_into(">H", head, 3220, len(x))
+    struct.pack_into(">H", head, 3220, n)
     struct.pack_into(">h", head, 3224, 5)
-    path = _put(f"{Folder(spark, 'segy').path}/a.sgy", bytes(head) + b"".join(bytes(240) + c.astype(">f4").tobytes() for c in x.T))
-    return _out(formats.read(spark, path).df, 9)
+    yield bytes(head)
 
 
 @query(_long(EM, "em", "v", digits=9))
