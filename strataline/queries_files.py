@@ -152,11 +152,11 @@ def array_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 def _four_files(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
     """EM as four files that follow one another: their index."""
-    x, folder = _frame(spark, d).collect(), Folder(spark, "spool").path
-    for i in range(4):
-        _put(f"{folder}/{i}.dat", _dat(x[16 * i : 16 * i + 16]))
+    rows, n, c = parts.shaped(em(spark, d))
+    folder = Folder(spark, "spool").path
+    parts.write(parts.by_time(rows, c), [f"{folder}/{i}.dat" for i in range(4)], min(n, 64) * c, 16 * c, _dat)
     listing = spark.createDataFrame([(p,) for p in spool.resolve(folder, spark)], "path string")
-    return formats.scans(listing, n_channels=x.shape[1], fs=FS), x.shape[1]
+    return formats.scans(listing, n_channels=c, fs=FS), c
 
 
 @query(f"WITH {EM}, n AS (SELECT count(DISTINCT ch) AS n FROM em) SELECT CAST(i AS VARCHAR) || '.dat' AS name, 'DAT' AS format_name, CAST(16 AS BIGINT) AS n_samples, CAST(n AS INTEGER) AS n_channels, CAST(100 AS DOUBLE) AS sampling_rate, CAST(32 * n AS BIGINT) AS file_size, 'rad/s' AS data_unit FROM n, unnest(range(0, 4)) AS f(i)")
