@@ -278,16 +278,16 @@ TASKS = "8"
 def _streamed(spark: SparkSession, rows: DataFrame, name: str, operator: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
     """All that an operator gives on rows (ch, ti, v) that come in files, as a table."""
     folder = Folder(spark, name).path
-    # a file is a batch, and a batch a range of time, in order
+    # a batch is a range of time, in order; its files hold ranges of channels
     cut = rows.select("ch", "ti", "v").withColumn("part", F.floor(F.col("ti") / 24))
-    cut.repartition(1, "part").sortWithinPartitions("part", "ti").write.partitionBy("part").parquet(f"{folder}/in")
-    parts = sorted(x.part for x in cut.select("part").distinct().collect())
+    cut.repartition("part", F.floor(F.col("ch") / (1 << 14))).sortWithinPartitions("part", "ti").write.partitionBy("part").parquet(f"{folder}/in")
+    batches = sorted(x.part for x in cut.select("part").distinct().collect())
     old = {k: spark.conf.get(k, None) for k in ("spark.sql.shuffle.partitions", "spark.sql.streaming.stateStore.providerClass")}
     spark.conf.set("spark.sql.shuffle.partitions", TASKS)
     stateful.use_rocksdb(spark)
     try:
-        for part in parts:  # one more file for the same stream
-            spark.read.schema("ch long, ti long, v double").parquet(f"{folder}/in/part={part}").coalesce(1).write.mode("append").parquet(f"{folder}/arrived")
+        for part in batches:  # more files for the same stream
+            spark.read.schema("ch long, ti long, v double").parquet(f"{folder}/in/part={part}").write.mode("append").parquet(f"{folder}/arrived")
             stream = spark.readStream.schema("ch long, ti long, v double").parquet(f"{folder}/arrived")
             keep = lambda batch, n: batch.write.mode("append").parquet(f"{folder}/out")
             stateful.start(operator(stream), keep, f"{folder}/checkpoint", once=True, mode=mode).awaitTermination()

@@ -85,29 +85,46 @@ def sos_stream(df: DataFrame, sos: np.ndarray) -> DataFrame:
 
 
 class _Ring(StatefulProcessor):
-    """The last samples of each channel."""
+    """The last samples of the channels of a block; their state is one row of arrays."""
 
     def __init__(self, capacity: int):
         self.capacity = capacity
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getListState("held", "ti long, v double")
+        self.held = handle.getValueState("held", "ch binary, ti binary, v binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        part = pd.concat(list(rows)).sort_values("ti")
-        old = [(int(a), float(b)) for a, b in self.held.get()] if self.held.exists() else []
-        new = [(int(a), float(b)) for a, b in zip(part["ti"], part["v"], strict=True)]
-        kept = (old + new)[-self.capacity :]
-        self.held.put(kept)
-        yield pd.DataFrame({"ch": [int(part["ch"].iloc[0])], "n": [len(kept)], "first_ti": [kept[0][0]], "last_ti": [kept[-1][0]], "full": [len(kept) == self.capacity], "values": [[v for _, v in kept]]})
+        part = pd.concat(list(rows))
+        ch, ti, v = part["ch"].to_numpy(np.int64), part["ti"].to_numpy(np.int64), part["v"].to_numpy(float)
+        order = np.lexsort((ti, ch))
+        ch, ti, v, fresh = ch[order], ti[order], v[order], np.unique(ch)
+        if self.held.exists():
+            old = [np.frombuffer(x, kind) for x, kind in zip(self.held.get(), ("<i8", "<i8", "<f8"), strict=True)]
+            order = np.argsort(np.concatenate((old[0], ch)), kind="stable")  # a channel's new samples come after its old ones
+            ch, ti, v = (np.concatenate(pair)[order] for pair in zip(old, (ch, ti, v), strict=True))
+        ends = np.append(np.flatnonzero(np.diff(ch)) + 1, len(ch))
+        starts = np.concatenate(([0], ends[:-1]))
+        keep = np.repeat(ends, ends - starts) - np.arange(len(ch)) <= self.capacity
+        ch, ti, v = ch[keep], ti[keep], v[keep]
+        self.held.update((ch.astype("<i8").tobytes(), ti.astype("<i8").tobytes(), v.astype("<f8").tobytes()))
+        ends = np.append(np.flatnonzero(np.diff(ch)) + 1, len(ch))
+        starts = np.concatenate(([0], ends[:-1]))
+        seen = np.isin(ch[starts], fresh)
+        starts, ends = starts[seen], ends[seen]
+        yield pd.DataFrame({"ch": ch[starts], "n": ends - starts, "first_ti": ti[starts], "last_ti": ti[ends - 1], "full": ends - starts == self.capacity, "values": [v[i:j] for i, j in zip(starts, ends, strict=True)]})
 
     def close(self) -> None:
         pass
 
 
 def ring_stream(df: DataFrame, capacity: int) -> DataFrame:
-    """After each batch, every channel's buffer: n, first_ti, last_ti, full and the values, oldest first."""
-    return df.groupBy("ch").transformWithStateInPandas(_Ring(capacity), "ch long, n int, first_ti long, last_ti long, full boolean, values array<double>", "Update", "None")
+    """After each batch, the buffer of every channel that it brought samples of: n, first_ti, last_ti, full and the values, oldest first.
+
+    Channels share their state by blocks, of some 2**15 samples.
+    """
+    block = F.floor(F.col("ch") / max(1, (1 << 15) // capacity))
+    rows = df.select("ch", "ti", "v", block.alias("block"))
+    return rows.groupBy("block").transformWithStateInPandas(_Ring(capacity), "ch long, n int, first_ti long, last_ti long, full boolean, values array<double>", "Update", "None")
 
 
 def view(rows: DataFrame, n: int | None = None) -> DataFrame:

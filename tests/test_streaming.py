@@ -74,3 +74,21 @@ def test_sessions_and_metrics(spark, tmp_path):
 def test_simulation_is_endless(spark):
     df = stateful.simulate(spark, 100, 4)
     assert df.isStreaming and df.columns == ["ch", "ti", "timestamp", "v"]
+
+
+def test_ring_buffers_share_blocks_of_channels(spark, tmp_path, monkeypatch):
+    """Channels that come and go keep their own buffers; a call serves a block of them."""
+    for b in range(3):
+        rows = [(c, i, float(100 * c + i)) for i in range(20 * b, 20 * b + 20) for c in range(0, 400, 2) if (c + b) % 3]
+        spark.createDataFrame(rows, "ch long, ti long, v double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stateful.use_rocksdb(spark)
+    stream = spark.readStream.schema("ch long, ti long, v double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = stateful.ring_stream(stream, 30)
+    assert "block" in out._jdf.queryExecution().analyzed().toString()
+    last = {}
+    for r in sorted(run(out, tmp_path, "update"), key=lambda r: r.last_ti):
+        last[r.ch] = r
+    assert len(last) == 200
+    for c, r in last.items():
+        want = [i for b in range(3) for i in range(20 * b, 20 * b + 20) if (c + b) % 3][-30:]
+        assert (r.n, r.full, r.first_ti, r.last_ti) == (len(want), len(want) == 30, want[0], want[-1]) and r["values"] == [100.0 * c + i for i in want]
